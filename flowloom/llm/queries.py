@@ -3,7 +3,15 @@
 from __future__ import annotations
 
 from flowloom.llm.common import documents
-from flowloom.llm import exact_dedup, quality
+from flowloom.llm import exact_dedup, line_dedup, packing, quality
+
+
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.line_digests(documents(spark, sf_dir))
+
+
+def op3_best_two_fit(spark, sf_dir):
+    return packing.packed_digests(documents(spark, sf_dir))
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -14,5 +22,5 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_exact_dedup)}
-ORACLES = {"op8_quality_rules": quality.oracle(), "op9_exact_dedup": exact_dedup.oracle()}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_best_two_fit, op8_quality_rules, op9_exact_dedup)}
+ORACLES = {"op2_line_dedup": line_dedup.oracle(), "op8_quality_rules": quality.oracle(), "op9_exact_dedup": exact_dedup.oracle()}
