@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from flowloom.llm.common import documents
-from flowloom.llm import exact_dedup, line_dedup, packing, quality
+from flowloom.llm import bpe, exact_dedup, line_dedup, packing, quality
 
 
 def op2_line_dedup(spark, sf_dir):
@@ -14,6 +14,10 @@ def op3_best_two_fit(spark, sf_dir):
     return packing.packed_digests(documents(spark, sf_dir))
 
 
+def op7_byte_level_bpe(spark, sf_dir):
+    return bpe.bpe_digests(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality.quality_rules(documents(spark, sf_dir))
 
@@ -22,5 +26,5 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_best_two_fit, op8_quality_rules, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_best_two_fit, op7_byte_level_bpe, op8_quality_rules, op9_exact_dedup)}
 ORACLES = {"op2_line_dedup": line_dedup.oracle(), "op8_quality_rules": quality.oracle(), "op9_exact_dedup": exact_dedup.oracle()}
