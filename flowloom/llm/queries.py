@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from flowloom.llm.common import documents
-from flowloom.llm import bpe, exact_dedup, line_dedup, packing, quality
+from flowloom.llm import bpe, exact_dedup, html_text, language_id, line_dedup, packing, quality, toxicity
+
+
+def op1_html_text(spark, sf_dir):
+    return html_text.extract(documents(spark, sf_dir, "pages"))
 
 
 def op2_line_dedup(spark, sf_dir):
@@ -14,6 +18,10 @@ def op3_best_two_fit(spark, sf_dir):
     return packing.packed_digests(documents(spark, sf_dir))
 
 
+def op5_language_id(spark, sf_dir):
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op7_byte_level_bpe(spark, sf_dir):
     return bpe.bpe_digests(documents(spark, sf_dir))
 
@@ -26,5 +34,22 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_best_two_fit, op7_byte_level_bpe, op8_quality_rules, op9_exact_dedup)}
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_text,
+        op2_line_dedup,
+        op3_best_two_fit,
+        op5_language_id,
+        op7_byte_level_bpe,
+        op8_quality_rules,
+        op9_exact_dedup,
+        op10_toxicity,
+    )
+}
+#: The others have no equivalent in SQL; tests/llm holds them against brute force or held-out rows.
 ORACLES = {"op2_line_dedup": line_dedup.oracle(), "op8_quality_rules": quality.oracle(), "op9_exact_dedup": exact_dedup.oracle()}
