@@ -102,7 +102,8 @@ def slots(plan: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 
 def packed(docs: DataFrame, size: int = SIZE, ranks: str = RANKS, with_ids: bool = False) -> DataFrame:
     """did, piece, start, length, crc, sequence_id, at (and ids): where each piece lies."""
-    cut = pieces(docs, size, ranks, with_ids)
+    # written, since the range exchange reads its input twice
+    cut = written(pieces(docs, size, ranks, with_ids), "pieces")
     order = ["length", "did", "piece", "start", "crc"]
     ordered = cut.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
     ordered = written(ordered, "pieces-by-length")
