@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from flowloom.llm.common import documents
-from flowloom.llm import bpe, exact_dedup, html_text, language_id, line_dedup, packing, quality, toxicity
+from flowloom.llm import bpe, exact_dedup, html_text, jaccard_join, language_id, line_dedup, packing, quality, toxicity
 
 
 def op1_html_text(spark, sf_dir):
@@ -18,6 +18,10 @@ def op3_best_two_fit(spark, sf_dir):
     return packing.packed_digests(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_language_id(spark, sf_dir):
     return language_id.identify(documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ QUERIES = {
         op1_html_text,
         op2_line_dedup,
         op3_best_two_fit,
+        op4_jaccard_join,
         op5_language_id,
         op7_byte_level_bpe,
         op8_quality_rules,
