@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.arrow import mapped, numbers
-from flowloom.llm.common import rows, shown_id, written
+from flowloom.llm.common import id_column, rows, shown_id, written
 
 WORDS, PERCENT, CROWD, ROUNDS = 5, 75, 48, 4
 
@@ -274,3 +274,9 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(docs).select(shown_id("did").alias("doc_id"), "n_shingles", shown_id("component").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose document is the smallest of its group."""
+    gone = written(grouped(docs).where("did != component").select("did").distinct(), "near-copies")
+    return docs.join(gone, id_column() == gone["did"], "left_anti")

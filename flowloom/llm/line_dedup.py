@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.arrow import OUT_ROWS, mapped, numbers
+from flowloom.llm.arrow import OUT_ROWS, changed_texts, mapped, numbers
 from flowloom.llm.common import rows, shown_id, written
 
 MIN_CHARS = 10
@@ -150,6 +150,11 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return mapped(keyed(docs).join(maps, ["did", "row_hash"], "left"), work, "did long, row_hash long, text string, n_lines long, n_dropped long")
 
 
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs, all columns, with only the lines that stay in text."""
+    return changed_texts(docs, keep_bitmaps(docs, min_chars), lambda body, keep: kept_lines(body, keep)[0])
+
+
 def line_digests(docs: DataFrame) -> DataFrame:
     return deduplicated(docs).select(shown_id("did").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

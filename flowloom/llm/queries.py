@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from flowloom.llm.common import documents
-from flowloom.llm import bpe, exact_dedup, html_text, jaccard_join, language_id, line_dedup, packing, quality, toxicity
+from flowloom.llm import bpe, exact_dedup, html_text, jaccard_join, language_id, line_dedup, packing, quality, repeat_dedup, toxicity
 
 
 def op1_html_text(spark, sf_dir):
@@ -26,6 +26,10 @@ def op5_language_id(spark, sf_dir):
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op6_repeat_dedup(spark, sf_dir):
+    return repeat_dedup.repeat_digests(documents(spark, sf_dir))
+
+
 def op7_byte_level_bpe(spark, sf_dir):
     return bpe.bpe_digests(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ QUERIES = {
         op3_best_two_fit,
         op4_jaccard_join,
         op5_language_id,
+        op6_repeat_dedup,
         op7_byte_level_bpe,
         op8_quality_rules,
         op9_exact_dedup,

@@ -277,5 +277,19 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     return mapped(rows, work, "doc_id long, row_hash long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs, all columns, that are not predicted to be toxic."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_rows))
+
+    def task(batches):
+        scorer = None if isinstance(model.value, float) else Scorer(model.value)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            score = scorer.scores(texts) if scorer else np.full(len(texts), model.value)
+            yield batch.filter(pa.array(score < THRESHOLD))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     return scored(docs, labels, fit_rows).drop("row_hash")
