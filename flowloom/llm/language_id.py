@@ -35,9 +35,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def bounded_rows(df: DataFrame, fit_rows: int, *columns: str) -> list:
-    """The columns of at most fit_rows rows of df, those with the smallest hash of doc_id."""
-    hashed = df.select(F.xxhash64("doc_id").alias("fit_hash"), *columns)
-    return hashed.orderBy("fit_hash", *columns).limit(fit_rows).drop("fit_hash").collect()
+    """The columns of at most fit_rows rows of df, those with the smallest hash of doc_id.
+
+    The hash that cuts is found on ids alone, so that no task sends texts that are not chosen.
+    """
+    hashed = df.withColumn("fit_hash", F.xxhash64("doc_id")).select("fit_hash", *columns)
+    lowest = hashed.select("fit_hash").orderBy("fit_hash").limit(fit_rows).agg(F.max("fit_hash")).first()[0]
+    if lowest is None:
+        return []
+    return hashed.where(F.col("fit_hash") <= lowest).orderBy("fit_hash", *columns).limit(fit_rows).drop("fit_hash").collect()
 
 
 def grams(word: str, n: int) -> list[str]:
