@@ -23,9 +23,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from flowloom.llm.arrow import mapped
+from flowloom.llm.language_id import bounded_rows
 
 FIT_PAGES, LAYOUTS, EPOCHS, SEED = 150, 3, 6, 7
 #: Elements that begin a block of their own, elements without content, elements of raw text.
@@ -232,9 +232,9 @@ def labels_of(blocks: list[Block], real: bool) -> list[int]:
 
 
 def fitted(pages: DataFrame, fit_pages: int = FIT_PAGES, seed: int = SEED) -> Field:
-    chosen = pages.where("html is not null and html like '%<article%'").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(fit_pages)
+    chosen = bounded_rows(pages.where("page_id is not null and html is not null"), fit_pages, "html", key="page_id")
     r, data = random.Random(seed), []
-    texts = [x.html for x in chosen.select("html").collect()] or [
+    texts = [x.html for x in chosen if "<article" in x.html] or [
         "<article><h1>A title</h1><p>A first paragraph of text, long enough to read.</p><p>A second one, as long as the first.</p></article><footer>Imprint</footer>"
     ]
     for page in texts:

@@ -34,12 +34,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def bounded_rows(df: DataFrame, fit_rows: int, *columns: str) -> list:
-    """The columns of at most fit_rows rows of df, those with the smallest hash of doc_id.
+def bounded_rows(df: DataFrame, fit_rows: int, *columns: str, key: str = "doc_id") -> list:
+    """The columns of at most fit_rows rows of df, those with the smallest hash of the key.
 
     The hash that cuts is found on ids alone, so that no task sends texts that are not chosen.
     """
-    hashed = df.withColumn("fit_hash", F.xxhash64("doc_id")).select("fit_hash", *columns)
+    hashed = df.select(F.xxhash64(key).alias("fit_hash"), *columns)
     lowest = hashed.select("fit_hash").orderBy("fit_hash").limit(fit_rows).agg(F.max("fit_hash")).first()[0]
     if lowest is None:
         return []
