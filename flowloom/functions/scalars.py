@@ -32,7 +32,7 @@ def ip_to_uint32(c, strict: bool = False) -> Column:
 
 def bytes_to_string(c) -> Column:
     """Cut at the first NUL; bytes map to characters one to one."""
-    return F.substring_index(F.decode(col(c), "ISO-8859-1"), F.char(F.lit(0)), 1)
+    return F.call_function("substring_index", F.decode(col(c), "ISO-8859-1"), F.char(F.lit(0)), F.lit(1))
 
 
 def string_to_bytes(c, n: int) -> Column:

@@ -177,10 +177,11 @@ class Registry:
         self.families.append((name, where, value))
 
 
-def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(), histograms=(), states: bool = False, unfed=(), unfed_histograms=(), step: int = SCRAPE_S) -> DataFrame:
+def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(), histograms=(), states: bool = False, unfed=(), unfed_histograms=(), step: int = SCRAPE_S, store=None) -> DataFrame:
     """G-A23, T11: name, labels, ts_s, value of every family on a grid of step seconds.
 
     Unlabelled families have a row on each slot from the first, labelled ones from the slot of their first event.
+    store, if given, writes a table and rereads it; it gets the sums by slot, which several parts of the result use.
     """
     # an event at t is seen by the scrape at the next multiple of step, or at t itself
     slot = F.when(F.col("ts_ns") % (step * 1_000_000_000) == 0, F.expr("ts_ns div 1000000000")).otherwise(F.expr(f"(ts_ns div {step}000000000 + 1) * {step}"))
@@ -191,7 +192,12 @@ def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(
     for name, where, value in histograms:
         aggs += [F.count_if(F.expr(f"({where}) and {value} <= {b}")).cast("long").alias(f"{name}_bucket|{b}") for b in BOUNDS]
         aggs += [F.count_if(F.expr(where)).cast("long").alias(f"{name}_bucket|+Inf"), added((f"{name}_sum", where, value)), F.count_if(F.expr(where)).cast("long").alias(f"{name}_count")]
+    if states:
+        by_state_sums = rows.where(END).groupBy("slot", S.tcp_state_name("tcp_state").alias("state")).agg(F.count(F.lit(1)).cast("double").alias("d"))
     wide = rows.groupBy("slot").agg(*aggs)
+    if store:
+        wide = store(wide.toDF(*[f"c{k}" for k in range(len(wide.columns))])).toDF(*wide.columns)
+        by_state_sums = store(by_state_sums) if states else None
     grid = wide.agg(F.sequence(F.min("slot"), F.max("slot"), F.lit(step).cast("long")).alias("s")).select(F.explode("s").alias("slot"))
     full = grid.join(wide, "slot", "left")
     summed = [a for a in wide.columns if a != "slot" and a not in {x[0] for x in last_values}]
@@ -210,7 +216,7 @@ def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(
         seen = F.coalesce(F.last("d", ignorenulls=True).over(by_series), F.lit(0.0))
         out = out.unionByName(rows_l.select(F.concat(F.lit(prefix), "series").alias("name"), none.alias("labels"), F.col("slot").alias("ts_s"), seen.alias("value")))
     if states:
-        seen = rows.where(END).groupBy("slot", S.tcp_state_name("tcp_state").alias("state")).agg(F.count(F.lit(1)).cast("double").alias("d"))
+        seen = by_state_sums
         every = seen.groupBy("state").agg(F.min("slot").alias("since")).join(F.broadcast(grid.agg(F.max("slot").alias("until"))))
         every = every.select("state", F.explode(F.sequence("since", "until", F.lit(step).cast("long"))).alias("slot"))
         dense = every.join(seen, ["state", "slot"], "left")
@@ -226,8 +232,8 @@ def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(
     return out
 
 
-def tcp_samples(matched: DataFrame) -> DataFrame:
-    return samples(matched, "tcp", TCP_COUNTERS, (ACTIVE,), TCP_LAST, TCP_HISTOGRAMS, True, UNFED, UNFED_HISTOGRAMS)
+def tcp_samples(matched: DataFrame, store=None) -> DataFrame:
+    return samples(matched, "tcp", TCP_COUNTERS, (ACTIVE,), TCP_LAST, TCP_HISTOGRAMS, True, UNFED, UNFED_HISTOGRAMS, store=store)
 
 
 def udp_samples(udp: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -34,12 +35,40 @@ def matched(spark, d):
     return W.match_flows(table(spark, d, "tcp"))
 
 
+def through_store(spark, df, label, fmt="parquet", **options):
+    """df written to the shared folder, as the cluster names it; returns the folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="flowloom-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at}/flowloom-{label}-{uuid.uuid4().hex}"
+    if df is not None:
+        df.write.format(fmt).options(**options).save(path)
+    return path
+
+
+def stored(df):
+    return df.sparkSession.read.schema(df.schema).parquet(through_store(df.sparkSession, df, "metrics"))
+
+
+HISTORY: dict[tuple[str, str, str], str] = {}
+
+
+def samples_of(spark, d, protocol):
+    """The metric history of a protocol: written once for a folder of tables and session, then read by every query."""
+    key = (spark.sparkContext.applicationId, d, protocol)
+    if key not in HISTORY:
+        rows = M.tcp_samples(matched(spark, d), stored) if protocol == "tcp" else M.udp_samples(table(spark, d, "udp"))
+        HISTORY[key] = through_store(spark, rows, "history")
+    return spark.read.parquet(HISTORY[key])
+
+
 def tcp_samples(spark, d):
-    return M.tcp_samples(matched(spark, d))
+    return samples_of(spark, d, "tcp")
 
 
 def all_samples(spark, d):
-    return tcp_samples(spark, d).unionByName(M.udp_samples(table(spark, d, "udp")))
+    return tcp_samples(spark, d).unionByName(samples_of(spark, d, "udp"))
 
 
 def flat(samples):
@@ -100,20 +129,6 @@ def frames(spark, d):
     return codecs.frames_to_packets(f)[0].select("ts_ns", "saddr", "daddr", "sport", "dport", "tcp_flags")
 
 
-def through_store(spark, df, label, fmt="parquet", **options):
-    """df written to the shared folder; returns the folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="flowloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at}/flowloom-{label}-{uuid.uuid4().hex}"
-    if df is not None:
-        df.write.format(fmt).options(**options).save(path)
-    return path
-
-
 @query("q_s5_hook_log", O.base("hooks") + " select hook, count(*) n, cast(sum(arg) as bigint) arg_sum from hooks group by hook")
 def hook_log(spark, d):
     path = through_store(spark, table(spark, d, "hooks"), "hooks")
@@ -348,7 +363,7 @@ SAMPLES = ' select name, le, state, ts_s, round("value", 6) "value" from s'
 
 @query("q_ga23_tcp_samples", O.TCP_ONLY + SAMPLES)
 def tcp_sample_rows(spark, d):
-    return flat(tcp_samples(spark, d))
+    return flat(M.tcp_samples(matched(spark, d), stored))
 
 
 @query("q_ga23_udp_samples", O.base("udp") + ", " + O.samples_cte("udp", "udp", M.UDP_COUNTERS) + SAMPLES)
