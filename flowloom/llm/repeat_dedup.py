@@ -47,14 +47,27 @@ def loads(buf: bytes, at: int, n: int) -> np.ndarray:
     return np.ndarray((n,), "<u8", buf, at, (1,))
 
 
-def hashes(buf: bytes, n: int, size: int, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of the size bytes at each of n positions; buf has 8 bytes more."""
-    h = np.full(n, seed, np.uint64)
-    for at in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
-        h = mix(h + loads(buf, at, n)) * A
+def hashes(buf: bytes, n: int, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the size bytes at each of n positions, or at those given; buf has 8 bytes more."""
+    h = spare = None
+    factor = int(A)
+    for offset in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
+        x = loads(buf, offset, n)
+        x = x[at] if at is not None else np.array(x)
+        spare = np.right_shift(x, np.uint64(31), out=spare)
+        x ^= spare
+        x *= np.uint64(factor)
+        factor = (factor * 0xDA942042E4DD58B5 + 2) % 2**64 | 1
+        h = x if h is None else np.add(h, x, out=h)
     return mix(h)
 
 
+def second_hashes(buf: bytes, n: int, size: int, at: np.ndarray) -> np.ndarray:
+    """Another, cheaper one, to check the first."""
+    x, y, z = (loads(buf, offset, n)[at] for offset in (0, (size - 8) // 2, size - 8))
+    return (x * A + y) * B + (z ^ (x >> np.uint64(7)))
+
+
 class Segments:
     """Texts, or parts of long ones that overlap by length - 1 bytes, as one buffer."""
 
@@ -175,21 +188,19 @@ def shared_minimizers(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             first = starts_of(segment, h) if place.size else place
             h, did = h[first], np.array([o[0] for o in owners], np.int64)[np.array(seg.owner, np.int64)[segment[first]]]
             key = (h % np.uint64(buckets)).astype(np.int64) << 32 | (h >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((did, key))
+            order = np.argsort(key)
             key, did = key[order], did[order]
             if key.size:
-                one = starts_of(key, did)
-                key, did = key[one], did[one]
                 run = starts_of(key)
                 size = np.diff(np.append(run, key.size))
-                several = np.repeat(size > 1, size)
-                lead = np.zeros(key.size, bool)
-                lead[run] = True
-                here = several & ~lead  # known to be shared; spread, since no bucket needs them
-                for b in np.unique(did[here] % buckets).tolist():
-                    of = here & (did % buckets == b)
-                    sent(out, b, 1, key[of], did[of])
-                key, did, several = key[run], did[run], size > 1
+                least = np.minimum.reduceat(did, run)
+                several = least != np.maximum.reduceat(did, run)
+                here = did != np.repeat(least, size)  # known to be shared, so no bucket needs them: spread
+                here_key, here_did = key[here], did[here]
+                for b in np.unique(here_did % buckets).tolist():
+                    of = here_did % buckets == b
+                    sent(out, b, 1, here_key[of], here_did[of])
+                key, did = key[run], least
                 edges = np.searchsorted(key, np.arange(buckets + 1, dtype=np.int64) << 32)
                 for b in range(buckets):
                     of = slice(edges[b], edges[b + 1])
@@ -214,6 +225,21 @@ def shared_minimizers(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     return mapped(dealt(mapped(texts, send, BLOBS), buckets), receive, "did long, key long")
 
 
+def earlier(buf: bytes, n: int, length: int, place: np.ndarray, did: np.ndarray) -> np.ndarray:
+    """Whether the string at each place is also at the place of a smaller document."""
+    h1, h2 = hashes(buf, n, length, place), second_hashes(buf, n, length, place)
+    order = np.argsort(h1)
+    run = starts_of(h1[order])
+    other = h2[order]
+    if (np.minimum.reduceat(other, run) != np.maximum.reduceat(other, run)).any():
+        order = np.lexsort((h2, h1))
+        run = starts_of(h1[order], h2[order])
+    who = did[order]
+    hit = np.zeros(place.size, bool)
+    hit[order] = who > np.repeat(np.minimum.reduceat(who, run), np.diff(np.append(run, order.size)))
+    return hit
+
+
 def ranges(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, first, end) of the runs of neighbouring positions of one owner."""
     if not at.size:
@@ -231,18 +257,15 @@ def repeated_ranges(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             out = {"bucket": [], "kind": [], "data": []}
             wanted = np.unique(np.concatenate([np.array(o[2], np.int64) for o in owners]))
             key = (h % np.uint64(buckets)).astype(np.int64) << 32 | (h >> np.uint64(32)).astype(np.int64)
-            of = np.isin(key, wanted)
-            place, segment, key = place[of], segment[of], key[of]
+            if place.size:
+                run = starts_of(segment, key)
+                of = np.repeat(np.isin(key[run], wanted), np.diff(np.append(run, key.size)))
+                place, segment, key = place[of], segment[of], key[of]
             if place.size:
                 owner = np.array(seg.owner, np.int64)[segment]
                 did, row = np.array([o[0] for o in owners], np.int64), np.array([o[1] for o in owners], np.int64)
                 shift = (np.array(seg.start, np.int64) - seg.first)[segment]  # from the buffer to the text
-                h1 = hashes(seg.buf, len(seg.buf) - length - 8, length)[place]
-                order = np.lexsort((did[owner], h1))
-                run = starts_of(h1[order])
-                least = np.repeat(did[owner][order][run], np.diff(np.append(run, order.size)))
-                hit = np.zeros(place.size, bool)
-                hit[order] = did[owner][order] > least
+                hit = earlier(seg.buf, len(seg.buf) - length - 8, length, place, did[owner])
                 o, first, stop = ranges(owner[hit], (place + shift)[hit])
                 for b in np.unique(did[o] % buckets).tolist():
                     x = did[o] % buckets == b
@@ -278,15 +301,7 @@ def repeated_ranges(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             offset = np.arange(part.size) - np.repeat(np.cumsum(count) - count, count)
             buf = raw.tobytes() + bytes(length + 8)
             at = base[part] + offset
-            h1 = hashes(buf, raw.size, length)[at]
-            order = np.lexsort((did[part], h1))
-            h2 = hashes(buf, raw.size, length, 1)[at][order]
-            h1, who = h1[order], did[part][order]
-            run = starts_of(h1)
-            width = np.diff(np.append(run, order.size))
-            same = h2 == np.repeat(h2[run], width)  # the second hash must agree with the smallest document's
-            hit = np.zeros(part.size, bool)
-            hit[order] = (who > np.repeat(who[run], width)) & same
+            hit = earlier(buf, raw.size, length, at, did[part])
             o, first, stop = ranges(part[hit], (start[part] + offset)[hit])
             yield {"did": did[o], "row_hash": row[o], "first": first, "stop": stop}
 
