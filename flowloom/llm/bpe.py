@@ -34,11 +34,11 @@ from flowloom.llm.arrow import mapped
 from flowloom.llm.common import rows, shown_id, written
 from flowloom.llm.tokens import RANKS, Encoder, read_ranks
 
-FREQUENT, CHUNK_CHARS, LONG_CHARS = 300_000, 48, 400
+FREQUENT, CHUNK_CHARS, LONG_CHARS = 1_000_000, 48, 400
 BUCKETS = 65536
 NONE = 2**31 - 1
 #: Distinct chunks a task counts before it hands the counts on.
-COUNTED = 400_000
+COUNTED = 600_000
 UNSAFE = re.compile(r"\s ").search
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
