@@ -80,7 +80,7 @@ P95 = O.MATCHED + """, e as (select ts_ns // 60000000000 w, rtt_mean from m wher
  b as (select w, le, count(*) filter (where rtt_mean <= le) c from e cross join (select unnest([{bounds}]) le) group by w, le),
  n as (select w, count(*) total from e group by w),
  r as (select b.w, le, c, total, coalesce(lag(le) over (partition by b.w order by le), 0) low, coalesce(lag(c) over (partition by b.w order by le), 0) under from b join n on n.w = b.w)
- select w * 60 window_start_s, max(total) observations, round(arg_min(low + (le - low) * (0.95 * total - under) / nullif(c - under, 0), le) filter (where c >= 0.95 * total) / 1000, 6) p95_ms from r group by w
+ select w * 60 window_start_s, max(total) observations, arg_min(low + (le - low) * (cast(0.95 as double) * total - under) / nullif(c - under, 0), le) filter (where c >= cast(0.95 as double) * total) / 1000 p95_ms from r group by w
 """.format(bounds=", ".join(map(str, M.BOUNDS)))
 
 
@@ -92,7 +92,7 @@ def rtt_p95_per_minute(spark, d):
     vector = cells.select(F.create_map(F.lit("le"), "le").alias("labels"), F.col("w").alias("t"), F.col("cumulative").cast("double").alias("value"))
     counts = cells.where("le = '+Inf'").select(F.col("w").alias("t"), F.col("cumulative").alias("observations"))
     q = V.histogram_quantile(0.95, vector).join(counts.where("observations > 0"), "t")
-    return q.select((F.col("t") * 60).alias("window_start_s"), "observations", F.round(F.col("value") / 1000, 6).alias("p95_ms"))
+    return q.select((F.col("t") * 60).alias("window_start_s"), "observations", (F.col("value") / 1000).alias("p95_ms"))
 
 
 # sources and sinks
