@@ -71,18 +71,21 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS, block_hash=F.xxh
     current = written(given.select("b.did", "b.row_hash", "b.n", "b.digest", "b.n_blocks", "b.at", "n.name"), "named-blocks")
     out = ["did", "n", "digest", "n_blocks", "name"]
     done = current.where("n_blocks = 1").select(out)
-    current = current.where("n_blocks > 1")
+    # rows that repeat an id and a text are one from here on, counted
+    current = current.where("n_blocks > 1").withColumn("copies", F.lit(1).cast("long"))
     left = current.agg(F.max("n_blocks")).first()[0] or 1
     while left > 1:
         pairs = current.groupBy("did", "row_hash", "n", "digest", "n_blocks", F.expr("at div 2").cast("int").alias("at")).agg(
             F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("a"),
             F.coalesce(F.max(F.when(F.col("at") % 2 == 1, F.col("name"))), F.lit(0)).alias("b"),
+            F.sum(F.when(F.col("at") % 2 == 0, F.col("copies"))).alias("copies"),
         )
         pairs = written(pairs, "pairs")
         names = written(named(pairs.select("a", "b").distinct(), ["a", "b"]), "pair-names")
         current = written(pairs.join(names, ["a", "b"]).drop("a", "b"), "paired")
         left = (left + 1) // 2
-    return done.unionByName(current.select(out))
+    each = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")
+    return done.unionByName(current.select(*out, each).drop("one"))
 
 
 def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, block_hash=F.xxhash64) -> DataFrame:
