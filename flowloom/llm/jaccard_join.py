@@ -136,32 +136,26 @@ def shared_rows(prefixes: DataFrame) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (x, y) with both, the exact overlap of their sets, and their sizes nx, ny."""
-
-    def work(batches):
-        for batch in batches:
-            xs, ys = batch.column("sx").to_pylist(), batch.column("sy").to_pylist()
-            both, nx, ny = [], [], []
-            for a, b in zip(xs, ys):
-                a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-                both.append(len(np.intersect1d(a, b, assume_unique=True)))
-                nx.append(len(a))
-                ny.append(len(b))
-            yield {"x": batch.column("x"), "y": batch.column("y"), "both": np.array(both, "i8"), "nx": np.array(nx, "i8"), "ny": np.array(ny, "i8")}
-
+    """pairs (x, y) with both, the exact overlap of their sets, and their sizes nx, ny; sets stream through the joins."""
     joined = pairs.join(sets.select(F.col("did").alias("x"), F.col("members").alias("sx")), "x")
     joined = joined.join(sets.select(F.col("did").alias("y"), F.col("members").alias("sy")), "y")
-    return mapped(joined.select("x", "y", "sx", "sy"), work, "x long, y long, both long, nx long, ny long")
+    size = lambda c: F.size(c).cast("long")
+    return joined.select("x", "y", size(F.array_intersect("sx", "sy")).alias("both"), size("sx").alias("nx"), size("sy").alias("ny"))
 
 
 def set_table(docs: DataFrame, needed: DataFrame, words: int = WORDS) -> DataFrame:
-    """did, members (packed sorted hashes) of the documents in needed (did)."""
+    """did, members (the distinct hashes) of the documents in needed (did)."""
 
     def work(batches):
         for batch in batches:
-            yield {"did": batch.column("did"), "members": pa.array([shingles(b, words).astype("<u8").tobytes() for b in batch.column("body").to_pylist()], pa.binary())}
-
-    return mapped(bodies(docs).join(needed, "did", "left_semi"), work, "did long, members binary")
+            bodies_ = batch.column("body").to_pylist()
+            for i in range(0, len(bodies_), 500):
+                sets = [shingles(b, words).view("i8") for b in bodies_[i : i + 500]]
+                edges = np.cumsum([0, *map(len, sets)]).astype("i4")
+                flat = np.concatenate(sets) if sets else np.zeros(0, "i8")
+                yield {"did": batch.column("did").slice(i, 500), "members": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat))}
+
+    return mapped(bodies(docs).join(needed, "did", "left_semi"), work, "did long, members array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
