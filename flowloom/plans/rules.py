@@ -78,5 +78,5 @@ def liveness(samples: DataFrame, targets: DataFrame, step_s: int = 15) -> DataFr
     span = samples.agg(F.sequence(F.min("ts_s"), F.max("ts_s"), F.lit(step_s).cast("long")).alias("s")).select(F.explode("s").alias("ts_s"))
     expected = span.join(F.broadcast(targets))
     up = expected.join(seen.withColumn("up", F.lit(1.0)), ["instance", "ts_s"], "left")
-    labels = F.create_map(F.lit("job"), F.lit("network-observer"), F.lit("instance"), "instance")
+    labels = F.create_map(F.lit("job"), F.lit("agent"), F.lit("instance"), "instance")
     return up.select(F.lit("up").alias("name"), labels.alias("labels"), "ts_s", F.coalesce("up", F.lit(0.0)).alias("value"))

@@ -428,9 +428,9 @@ def last_values(spark, d):
     return rows.groupBy("name").agg(F.max_by("value", "ts_s").alias("value"))
 
 
-@query("q_u3_static_labels", O.TCP_ONLY + " select name, 'prod' cluster, 'network-observer' job, count(*) n from s where regexp_full_match(name, 'network_tcp_.*_total') group by name")
+@query("q_u3_static_labels", O.TCP_ONLY + " select name, 'prod' cluster, 'agent' job, count(*) n from s where regexp_full_match(name, 'network_tcp_.*_total') group by name")
 def static_labels(spark, d):
-    rows = M.with_labels(M.keep_names(tcp_samples(spark, d), "network_tcp_.*_total"), {"cluster": "prod", "job": "network-observer"})
+    rows = M.with_labels(M.keep_names(tcp_samples(spark, d), "network_tcp_.*_total"), {"cluster": "prod", "job": "agent"})
     return rows.groupBy("name", F.col("labels")["cluster"].alias("cluster"), F.col("labels")["job"].alias("job")).agg(F.count(F.lit(1)).alias("n"))
 
 
