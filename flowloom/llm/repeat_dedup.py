@@ -106,7 +106,7 @@ def segmented(batches, length: int):
     seg, owners = Segments(length), []
     for batch in batches:
         keys = batch.column("keys").to_pylist() if "keys" in batch.schema.names else [None] * batch.num_rows
-        for did, row_hash, body, key in zip(batch.column("did").to_pylist(), batch.column("row_hash").to_pylist(), batch.column("body").to_pylist(), keys):
+        for did, row_hash, body, key in zip(batch.column("did").to_pylist(), batch.column("row_hash").to_pylist(), bodies_of(batch), keys):
             for at in range(0, max(1, len(body) - length + 1), CHUNK):
                 part = body[at : at + CHUNK + length - 1]
                 if len(part) < length:
@@ -123,7 +123,7 @@ def segmented(batches, length: int):
 def blob(*arrays: np.ndarray) -> bytes:
     """Arrays of one length each, with their types and lengths, compressed."""
     head = ";".join(f"{a.dtype.str}:{a.size}" for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=5).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def unblob(data: bytes) -> list[np.ndarray]:
@@ -318,10 +318,28 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = keyed(docs)
     keys = written(shared_minimizers(texts, length, buckets), "shared-minimizers")
     keys = keys.groupBy("did").agg(F.collect_set("key").alias("keys"))
-    found = written(repeated_ranges(texts.join(keys, "did"), length, buckets), "repeats")
+    found = written(repeated_ranges(packed_texts(docs).join(keys, "did"), length, buckets), "repeats")
     return found.groupBy("did", "row_hash").agg(F.collect_list("first").alias("firsts"), F.collect_list("stop").alias("stops"))
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """did, row_hash, packed: texts compressed one by one, for the exchanges that carry them."""
+
+    def work(batches):
+        compress = zstandard.ZstdCompressor(level=5).compress
+        for batch in batches:
+            packed = pa.array([compress(b) for b in batch.column("body").to_pylist()], pa.binary())
+            yield {"did": batch.column("did"), "row_hash": batch.column("row_hash"), "packed": packed}
+
+    return mapped(keyed(docs), work, "did long, row_hash long, packed binary")
+
+
+def bodies_of(batch) -> list[bytes]:
+    if "body" in batch.schema.names:
+        return batch.column("body").to_pylist()
+    return list(map(zstandard.ZstdDecompressor().decompress, batch.column("packed").to_pylist()))
+
+
 def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs, all columns, with the repeated bytes gone from text."""
     return changed_texts(docs, repeats(docs, length), lambda body, firsts, stops: cut(body, firsts, stops, length)[0])
@@ -332,7 +350,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            bodies, firsts, stops = (batch.column(c).to_pylist() for c in ("body", "firsts", "stops"))
+            bodies, firsts, stops = bodies_of(batch), batch.column("firsts").to_pylist(), batch.column("stops").to_pylist()
             done = [cut(b, f, s, length) for b, f, s in zip(bodies, firsts, stops)]
             for i in range(0, len(done), OUT_ROWS):
                 part = done[i : i + OUT_ROWS]
@@ -340,7 +358,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield {"did": batch.column("did").slice(i, OUT_ROWS), "row_hash": batch.column("row_hash").slice(i, OUT_ROWS), "kept": pa.array([x[0] for x in part], pa.binary())} | numbers
 
     schema = "did long, row_hash long, kept binary, n_bytes long, n_removed long, n_spans long"
-    return mapped(keyed(docs).join(repeats(docs, length), ["did", "row_hash"], "left"), work, schema)
+    return mapped(packed_texts(docs).join(repeats(docs, length), ["did", "row_hash"], "left"), work, schema)
 
 
 def cut(body: bytes, firsts: list | None, stops: list | None, length: int) -> tuple[bytes, int, int, int]:
