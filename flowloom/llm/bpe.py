@@ -76,30 +76,39 @@ def literals(path: str) -> tuple[list[int], str]:
     return [ranks[bytes([b])] for b in range(256)], json.dumps(table, separators=(",", ":"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, although body uses it often."""
+    return F.transform(F.array(value), body)[0]
+
+
 def merged(word: Column, of_byte: Column, table: Column) -> Column:
     """The ids of one pre-token (a string column), by the rank table."""
     state = "struct<ids:array<int>,ranks:array<int>>"
 
     def rank(a: Column, b: Column) -> Column:
-        bucket = F.get(table, (a * 7919 + b) % BUCKETS)
-        at = F.array_position(F.get(bucket, 0), a.cast("long") * 65536 + b).cast("int")
-        return F.coalesce(F.get(F.get(bucket, 1), at - 1).cast("int"), F.lit(NONE))
+        def look(bucket: Column) -> Column:
+            at = F.array_position(bucket[0], a.cast("long") * 65536 + b).cast("int")
+            return F.coalesce(F.get(bucket[1], at - 1).cast("int"), F.lit(NONE))
+
+        return let(F.get(table, (a * 7919 + b) % BUCKETS), look)
+
+    none = F.array().cast("array<int>")
 
     def step(s: Column, _: Column) -> Column:
         def merge(low: Column) -> Column:
-            ids, ranks = s["ids"], s["ranks"]
-            p = F.array_position(ranks, low).cast("int")
-            n = F.size(ids)
-            none = F.array().cast("array<int>")
-            left = F.when(p > 1, F.array(rank(F.get(ids, p - 2), low))).otherwise(none)
-            right = F.when(p + 1 < n, F.array(rank(low, F.get(ids, p + 1)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, n)).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)).alias("ranks"),
-            ).cast(state)
-
-        low = F.array_min(s["ranks"])
-        return F.when(low < NONE, merge(low)).otherwise(s)
+            def at(p: Column) -> Column:
+                ids, ranks = s["ids"], s["ranks"]
+                n = F.size(ids)
+                left = F.when(p > 1, F.array(rank(F.get(ids, p - 2), low))).otherwise(none)
+                right = F.when(p + 1 < n, F.array(rank(low, F.get(ids, p + 1)))).otherwise(none)
+                return F.struct(
+                    F.concat(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, n)).alias("ids"),
+                    F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)).alias("ranks"),
+                ).cast(state)
+
+            return F.when(low < NONE, let(F.array_position(s["ranks"], low).cast("int"), at)).otherwise(s)
+
+        return let(F.array_min(s["ranks"]), merge)
 
     latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
     start = F.transform(F.filter(F.split(latin, ""), lambda c: c != ""), lambda c: F.get(of_byte, F.ascii(c)))
@@ -110,7 +119,7 @@ def merged(word: Column, of_byte: Column, table: Column) -> Column:
         fold = F.aggregate(F.sequence(F.lit(2), n), F.struct(ids.alias("ids"), pairs.alias("ranks")).cast(state), step, lambda s: s["ids"])
         return F.when(n < 2, ids.cast("array<int>")).otherwise(fold)
 
-    return F.transform(F.array(start), begin)[0]
+    return let(start, begin)
 
 
 def chunk_ids(chunk: Column, path: str = RANKS) -> Column:
