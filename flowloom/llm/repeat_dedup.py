@@ -13,7 +13,7 @@ strings have equal minimizers, so they meet in one bucket, wherever they lie.
 4. Ranges are gathered by document and their bytes removed.
 
 Both exchanges carry compressed blobs, a few for each task and bucket; a string that a third of all documents
-hold is sent once for each 3 MB of text, not once for each document. Strings are compared by two 64-bit hashes.
+hold is sent once for each 1.5 MB of text, not once for each document. Strings are compared by two 64-bit hashes.
 
 Null and empty texts, and texts shorter than ``length``, keep everything. Rows that repeat a doc_id are one
 document: they never displace each other. A text is processed in segments, so its length is not bounded.
@@ -21,6 +21,8 @@ document: they never displace each other. A text is processed in segments, so it
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -32,7 +34,7 @@ from flowloom.llm.common import rows, shown_id, written
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text that a task works on at a time.
-CHUNK = 3 << 20
+CHUNK = 3 << 19
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -334,10 +336,10 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return mapped(keyed(docs), work, "did long, row_hash long, packed binary")
 
 
-def bodies_of(batch) -> list[bytes]:
+def bodies_of(batch) -> Iterable[bytes]:
     if "body" in batch.schema.names:
         return batch.column("body").to_pylist()
-    return list(map(zstandard.ZstdDecompressor().decompress, batch.column("packed").to_pylist()))
+    return map(zstandard.ZstdDecompressor().decompress, batch.column("packed").to_pylist())
 
 
 def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
