@@ -9,14 +9,16 @@ order, here the order of a 64-bit shingle hash. Each such shingle roots a region
 2. Small regions (under ``CROWD`` documents) are joined directly. For each pair the shared shingles are counted, and
    the count bounds the overlap from above; only pairs that can still reach the threshold are compared.
 3. Large regions are left out for every document that has enough other shingles in its margin: in the order
-   "shingles of small regions first", those are its prefix. Documents without enough, such as the members
-   of a large group of near copies, are joined by pivots. A region's pivot is its smallest unresolved such
-   document; exact distances to it split the region into the pivot's cell (within the radius, so linked
-   to it), a shell, and the rest. By the triangle inequality a document of the cell can link only into the
+   "shingles of small regions first", those are its prefix. A pair with a document that lacks them either meets in a
+   small region, or both hold the root of a large region in which such a document lies. The documents of those
+   regions emit their whole sets, and are joined again in regions rooted at their rarest shingles, counted among them.
+4. What is crowded still, such as a large group of near copies, is divided by pivots. A region's pivot is its
+   smallest unresolved document; exact distances to it split the region into the pivot's cell (within the radius, so
+   linked to it), a shell, and the rest. By the triangle inequality a document of the cell can link only into the
    shell of twice the radius, and only within a window of the radius around its own distance; those
    boundary documents are replicated. What no cell holds is the next, smaller region: the join recurs
    with new pivots while a region is large, and then joins what is left directly.
-4. Links and copies are joined to components by alternating large-star and small-star steps, all in Spark.
+5. Links and copies are joined to components by alternating large-star and small-star steps, all in Spark.
 
 Plain Voronoi regions of a few pivots do not separate texts: nearly all distances between texts are 1, so each
 window would hold everything. Regions are therefore rooted at shingles, and pivots divide the crowded ones.
@@ -30,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.arrow import mapped, numbers
@@ -82,8 +84,11 @@ def heads(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return mapped(source, work, "did long, row_hash long, n long, seq1 long, seq2 long")
 
 
-def prefix_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """k (shingle hash), did, n (set size), sent (shingles emitted of it): the prefix and the margin of each set."""
+def prefix_rows(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """k (shingle hash), did, n (set size), sent (shingles emitted of it): the prefix and the margin of each set.
+
+    texts has did and body; at 0 per cent the whole sets are emitted.
+    """
 
     def work(batches):
         for batch in batches:
@@ -105,7 +110,7 @@ def prefix_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 "sent": np.repeat(each, each).astype("i4"),
             }
 
-    return mapped(bodies(docs), work, "k long, did long, n int, sent int")
+    return mapped(texts, work, "k long, did long, n int, sent int")
 
 
 def shared_rows(prefixes: DataFrame) -> DataFrame:
@@ -179,72 +184,100 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
     """u, v: links between representatives (did) that join every group of linked ones; not all pairs of a group."""
-    shared = written(shared_rows(prefix_rows(docs, words, percent)), "shared-shingles")
+    shared = written(shared_rows(prefix_rows(bodies(docs), words, percent)), "shared-shingles")
     shared = shared.join(reps, "did", "left_semi").distinct()
     held = shared.groupBy("k").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
     region = written(shared.join(held, "k"), "regions")
     prefix = F.expr(f"n - ceil({percent} * n / 100) + 1")
     stats = region.groupBy("did", "n", "sent").agg(F.count_if(F.col("g") >= crowd).alias("big"))
-    stats = stats.withColumn("lacks", F.expr("sent - big") < prefix)
-    region = written(region.join(stats.select("did", "n", "big", "lacks"), ["did", "n"]), "regions-stats")
+    stats = written(stats.where("big > 0").withColumn("lacks", F.expr("sent - big") < prefix), "crowded-documents")
+
+    # small regions: the shared shingles seen, those of crowded regions, and those beyond the margins bound the overlap
+    small = region.where(F.col("g") < crowd).join(stats.select("did", "n", "big"), ["did", "n"], "left").withColumn("big", F.coalesce("big", F.lit(0)))
+    near = pairs_of(small, percent, {"big": "b", "n - sent": "r"})
+    candidates = near.where(f"(c + least(bx, by) + greatest(rx, ry)) * {100 + percent} >= {percent} * (nx + ny)").select("x", "y")
+
+    found = []
+    if stats.where("lacks").limit(1).count():
+        crowded = region.where(F.col("g") >= crowd)
+        rooted = crowded.join(stats.where("lacks").select("did"), "did", "left_semi").select("k").distinct()
+        members = written(crowded.join(rooted, "k", "left_semi").select("did").distinct(), "lacking")
+        rare = written(rarest_rows(docs, members, words, percent), "rarest-shingles")
+        size = rare.groupBy("k").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
+        rare = written(rare.join(size, "k"), "rarest-regions")
+        thin, cells = rare.where(F.col("g") < crowd), rare.where(F.col("g") >= crowd)
+        # both take the first of one order, so whatever else they share lies behind the end of one of them
+        bound = f"(c + greatest(rx, ry)) * {100 + percent} >= {percent} * (nx + ny)"
+        if cells.limit(1).count():
+            found, boundary, lone = divided(docs, cells, words, percent, crowd, rounds)
+            candidates = candidates.unionByName(boundary)
+            # a pair may meet in thin regions and in what is left of crowded ones, so shared shingles are not counted here
+            alike = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+            rest = lone.alias("a").join(cells.alias("b"), F.expr(f"a.k = b.k and a.did != b.did and {alike}"))
+            candidates = candidates.unionByName(rest.selectExpr("least(a.did, b.did) as x", "greatest(a.did, b.did) as y"))
+            per = cells.groupBy("did").agg(F.count(F.lit(1)).alias("out"))
+            thin = thin.join(per, "did", "left").withColumn("rest", F.expr("n - taken + coalesce(out, 0)"))
+        else:
+            thin = thin.withColumn("rest", F.expr("n - taken"))
+        candidates = candidates.unionByName(pairs_of(thin, percent, {"rest": "r"}).where(bound).select("x", "y"))
+    candidates = written(candidates.distinct(), "candidates")
+    need = candidates.select(F.col("x").alias("did")).unionByName(candidates.select(F.col("y").alias("did"))).distinct()
+    exact = overlaps(candidates, written(set_table(docs, need, words), "sets"))
+    return union([*found, exact.where(f"100 * both >= {percent} * (nx + ny - both)").select(F.col("x").alias("u"), F.col("y").alias("v"))])
+
+
+def pairs_of(rows_: DataFrame, percent: int, extra: dict[str, str]) -> DataFrame:
+    """x < y, nx, ny, the expressions in extra of both (named with x and y), c: the shingles k of rows_ that both hold."""
+    rows_ = rows_.selectExpr("k", "did", "n", *[f"{e} as {name}" for e, name in extra.items()])
     alike = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-    fields = ["a.did as x", "b.did as y", "a.n as nx", "b.n as ny", "a.big as bx", "b.big as by", "a.n - a.sent as rx", "b.n - b.sent as ry"]
-
-    # pivots in crowded regions that hold many documents without enough other shingles
-    crowded = region.where(F.col("g") >= crowd)
-    dense = crowded.groupBy("k").agg(F.count_if("lacks").alias("d")).where(F.col("d") >= crowd)
-    cells = written(crowded.join(dense.select("k"), "k", "left_semi").select("k", "did", "n", "lacks"), "cells")
-    small = region.where(F.col("g") < crowd)
-    near = small.alias("a").join(small.alias("b"), F.expr(f"a.k = b.k and a.did < b.did and {alike}")).selectExpr(*fields, "0 as open")
-
-    found, resolved, sets = [], None, None
-    if cells.limit(1).count():
-        sets = written(set_table(docs, cells.select("did").distinct(), words), "pivot-sets")
-        left, distances = cells.where("lacks"), None
-        for _ in range(rounds):
-            pivots = left.groupBy("k").agg(F.min(F.struct("did", "n")).alias("p"), F.count(F.lit(1)).alias("d")).where(F.col("d") >= crowd)
-            pivots = written(pivots.select("k", F.col("p.did").alias("pivot"), F.col("p.n").alias("pn")), "pivots")
-            if not pivots.limit(1).count():
-                break
-            # beyond a size ratio of two the distance exceeds twice the radius, so no window reaches there
-            ask = cells.join(pivots, "k").where("did != pivot and 2 * least(n, pn) >= greatest(n, pn)")
-            got = overlaps(ask.select(F.col("did").alias("x"), F.col("pivot").alias("y")).distinct(), sets)
-            got = written(got.withColumn("far", F.expr("1 - both / (nx + ny - both)")), "distances")
-            hit = got.where(f"100 * both >= {percent} * (nx + ny - both)")
-            found.append(hit.select(F.col("x").alias("u"), F.col("y").alias("v")))
-            step = cells.select("k", "did").join(pivots.select("k", "pivot"), "k").join(got.select(F.col("x").alias("did"), F.col("y").alias("pivot"), "far"), ["did", "pivot"])
-            step = step.select("k", "did", "pivot", "far", F.lit(0).alias("own")).unionByName(pivots.select("k", F.col("pivot").alias("did"), "pivot", F.lit(0.0).alias("far"), F.lit(1).alias("own")))
-            distances = step if distances is None else distances.unionByName(step)
-            radius = 1 - percent / 100
-            inside = step.where(F.col("far") <= radius).select("k", "did").distinct()
-            left = written(left.join(inside, ["k", "did"], "left_anti"), "left")
-        if found:
-            group = components(union(found))
-            distances = written(distances.join(group.withColumnRenamed("node", "did"), "did", "left").withColumn("root", F.coalesce("root", "did")), "cell-distances")
-            # boundary documents: of the cell, and of the shell if not joined to the pivot already
-            shell = distances.where((F.col("far") > radius) & (F.col("far") <= 2 * radius))
-            window = f"a.k = b.k and a.pivot = b.pivot and a.root != b.root and abs(a.far - b.far) <= {radius + 1e-9}"
-            cross = distances.where((F.col("far") <= radius) & (F.col("far") > 0)).alias("a").join(shell.alias("b"), F.expr(window))
-            boundary = cross.selectExpr("least(a.did, b.did) as x", "greatest(a.did, b.did) as y").distinct()
-            resolved = distances.where(F.col("far") <= radius).select("k", "did").distinct()
-
-    # what is left of the crowded regions, directly: documents that lack other shingles against all
-    lone = crowded.where("lacks")
-    lone = lone if resolved is None else lone.join(resolved, ["k", "did"], "left_anti")
-    rest = lone.alias("a").join(crowded.alias("b"), F.expr(f"a.k = b.k and a.did != b.did and {alike}"))
-    rest = rest.selectExpr(*fields, "1 as open")
-    swap = "x < y"
-    rest = rest.selectExpr(f"if({swap}, x, y) x", f"if({swap}, y, x) y", *[f"if({swap}, {a}, {b}) {a}" for a, b in (("nx", "ny"), ("bx", "by"), ("rx", "ry"))], *[f"if({swap}, {b}, {a}) {b}" for a, b in (("nx", "ny"), ("bx", "by"), ("rx", "ry"))], "open")
-    counted = near.unionByName(rest).groupBy("x", "y", "nx", "ny", "bx", "by", "rx", "ry").agg(F.count(F.lit(1)).alias("c"))
-    # shared shingles seen, those of crowded regions unseen, and those beyond the margins
-    can = counted.where(f"(c + least(bx, by) + greatest(rx, ry)) * {100 + percent} >= {percent} * (nx + ny)").select("x", "y").distinct()
-    if found:
-        can = can.unionByName(boundary).distinct()
-    can = written(can, "candidates")
-    need = can.select(F.col("x").alias("did")).unionByName(can.select(F.col("y").alias("did"))).distinct()
-    exact = overlaps(can, written(set_table(docs, need, words), "sets"))
-    found.append(exact.where(f"100 * both >= {percent} * (nx + ny - both)").select(F.col("x").alias("u"), F.col("y").alias("v")))
-    return union(found)
+    fields = [f"{side}.{c} as {c}{end}" for c in ("n", *extra.values()) for side, end in (("a", "x"), ("b", "y"))]
+    met = rows_.alias("a").join(rows_.alias("b"), F.expr(f"a.k = b.k and a.did < b.did and {alike}")).selectExpr("a.did as x", "b.did as y", *fields)
+    return met.groupBy(*met.columns).agg(F.count(F.lit(1)).alias("c"))
+
+
+def rarest_rows(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """k, did, n, taken: the shared shingles among the first ``taken`` of each member, the prefix of its whole set.
+
+    The order is by the number of members that hold a shingle, then by hash; those that one member alone holds come
+    first and meet nothing.
+    """
+    whole = prefix_rows(bodies(docs).join(members, "did", "left_semi"), words, 0)
+    shared = written(shared_rows(whole).select("k", "did", "n").distinct(), "whole-sets")
+    held = shared.groupBy("k").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    place = F.row_number().over(Window.partitionBy("did", "n").orderBy("f", "k")) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("did", "n"))
+    ranked = shared.join(held, "k").withColumn("place", place).withColumn("taken", F.expr(f"n - ceil({percent} * n / 100) + 1"))
+    return ranked.where("place <= taken").select("k", "did", "n", "taken")
+
+
+def divided(docs: DataFrame, cells: DataFrame, words: int, percent: int, crowd: int, rounds: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Crowded regions (k, did, n) by pivots: links to pivots, boundary pairs (x, y), and the rows that no cell holds."""
+    sets = written(set_table(docs, cells.select("did").distinct(), words), "pivot-sets")
+    radius, left, distances, found = 1 - percent / 100, cells, None, []
+    for _ in range(rounds):
+        pivots = left.groupBy("k").agg(F.min(F.struct("did", "n")).alias("p"), F.count(F.lit(1)).alias("d")).where(F.col("d") >= crowd)
+        pivots = written(pivots.select("k", F.col("p.did").alias("pivot"), F.col("p.n").alias("pn")), "pivots")
+        if not pivots.limit(1).count():
+            break
+        # beyond a size ratio of two the distance exceeds twice the radius, so no window reaches there
+        ask = cells.join(pivots, "k").where("did != pivot and 2 * least(n, pn) >= greatest(n, pn)")
+        got = overlaps(ask.select(F.col("did").alias("x"), F.col("pivot").alias("y")).distinct(), sets)
+        got = written(got.withColumn("far", F.expr("1 - both / (nx + ny - both)")), "distances")
+        hit = got.where(f"100 * both >= {percent} * (nx + ny - both)")
+        found.append(hit.select(F.col("x").alias("u"), F.col("y").alias("v")))
+        step = cells.select("k", "did").join(pivots.select("k", "pivot"), "k").join(got.select(F.col("x").alias("did"), F.col("y").alias("pivot"), "far"), ["did", "pivot"])
+        step = step.select("k", "did", "pivot", "far").unionByName(pivots.select("k", F.col("pivot").alias("did"), "pivot", F.lit(0.0).alias("far")))
+        distances = step if distances is None else distances.unionByName(step)
+        inside = step.where(F.col("far") <= radius).select("k", "did").distinct()
+        left = written(left.join(inside, ["k", "did"], "left_anti"), "left")
+    # a pair's distances to a pivot do not depend on the region, so each pivot is windowed once
+    group = components(union(found))
+    distances = distances.select("did", "pivot", "far").distinct().join(group.withColumnRenamed("node", "did"), "did", "left")
+    distances = written(distances.withColumn("root", F.coalesce("root", "did")), "cell-distances")
+    # boundary documents: of the cell, and of the shell if not joined to the pivot already
+    shell = distances.where((F.col("far") > radius) & (F.col("far") <= 2 * radius))
+    window = f"a.pivot = b.pivot and a.root != b.root and abs(a.far - b.far) <= {radius + 1e-9}"
+    cross = distances.where((F.col("far") <= radius) & (F.col("far") > 0)).alias("a").join(shell.alias("b"), F.expr(window))
+    return found, cross.selectExpr("least(a.did, b.did) as x", "greatest(a.did, b.did) as y").distinct(), left
 
 
 def union(tables: list[DataFrame]) -> DataFrame:
