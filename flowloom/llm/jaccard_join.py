@@ -10,8 +10,9 @@ order, here the order of a 64-bit shingle hash. Each such shingle roots a region
    the count bounds the overlap from above; only pairs that can still reach the threshold are compared.
 3. Large regions are left out for every document that has enough other shingles in its margin: in the order
    "shingles of small regions first", those are its prefix. A pair with a document that lacks them either meets in a
-   small region, or both hold the root of a large region in which such a document lies. The documents of those
-   regions emit their whole sets, and are joined again in regions rooted at their rarest shingles, counted among them.
+   small region, or both hold the root of a large region in which such a document lies. In those regions the
+   documents without enough emit their whole sets, and are joined again in regions rooted at their rarest shingles,
+   counted among them; the others meet whole sets with those of their margin that the fewest whole sets hold.
 4. What is crowded still, such as a large group of near copies, is divided by pivots. A region's pivot is its
    smallest unresolved document; exact distances to it split the region into the pivot's cell (within the radius, so
    linked to it), a shell, and the rest. By the triangle inequality a document of the cell can link only into the
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from flowloom.llm.arrow import mapped, numbers
 from flowloom.llm.common import id_column, rows, shown_id, written
 
-WORDS, PERCENT, CROWD, ROUNDS = 5, 75, 48, 4
+WORDS, PERCENT, CROWD, ROUNDS = 5, 75, 24, 4
 
 
 def shingles(body: bytes, words: int = WORDS) -> np.ndarray:
@@ -87,17 +88,19 @@ def heads(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def prefix_rows(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """k (shingle hash), did, n (set size), sent (shingles emitted of it): the prefix and the margin of each set.
 
-    texts has did and body; at 0 per cent the whole sets are emitted.
+    texts has did and body. Where it has a column whole that is true, the whole set is emitted and sent is 0.
     """
 
     def work(batches):
         for batch in batches:
-            ks, ids, ns, sent = [], [], [], []
-            for did, body in zip(batch.column("did").to_pylist(), batch.column("body").to_pylist()):
+            ks, ids, ns, sent, shown = [], [], [], [], []
+            whole = batch.column("whole").to_pylist() if "whole" in batch.schema.names else [False] * batch.num_rows
+            for did, body, every in zip(batch.column("did").to_pylist(), batch.column("body").to_pylist(), whole):
                 s = shingles(body, words)
                 if n := len(s):
                     p = prefix_size(n, percent)
-                    m = min(n, p + p // 8 + 16)
+                    m = n if every else min(n, p + p // 8 + 16)
+                    shown.append(0 if every else m)
                     ks.append(s[:m])
                     ids.append(did)
                     ns.append(n)
@@ -107,14 +110,14 @@ def prefix_rows(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 "k": np.concatenate(ks).view("i8") if ks else np.zeros(0, "i8"),
                 "did": np.repeat(np.array(ids, "i8"), each),
                 "n": np.repeat(np.array(ns, "i4"), each),
-                "sent": np.repeat(each, each).astype("i4"),
+                "sent": np.repeat(np.array(shown, "i4"), each),
             }
 
     return mapped(texts, work, "k long, did long, n int, sent int")
 
 
 def shared_rows(prefixes: DataFrame) -> DataFrame:
-    """The rows whose shingle another row holds, or may hold in a neighbouring partition."""
+    """The distinct rows whose shingle another row holds, or may hold in a neighbouring partition."""
 
     def work(batches):
         last = None  # the row kept back, whether it is known to be shared or first in the partition
@@ -124,6 +127,10 @@ def shared_rows(prefixes: DataFrame) -> DataFrame:
             cols = {c: numbers(batch, c) for c in ("k", "did", "n", "sent")}
             if last is not None:
                 cols = {c: np.concatenate([last[0][c], v]) for c, v in cols.items()}
+            # equal rows are neighbours in one partition
+            fresh = np.ones(len(cols["k"]), bool)
+            fresh[1:] = np.any([v[1:] != v[:-1] for v in cols.values()], axis=0)
+            cols = {c: v[fresh] for c, v in cols.items()}
             k = cols["k"]
             same = k[1:] == k[:-1]
             keep = np.zeros(len(k), bool)
@@ -185,7 +192,7 @@ def components(edges: DataFrame) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
     """u, v: links between representatives (did) that join every group of linked ones; not all pairs of a group."""
     shared = written(shared_rows(prefix_rows(bodies(docs), words, percent)), "shared-shingles")
-    shared = shared.join(reps, "did", "left_semi").distinct()
+    shared = shared.join(reps, "did", "left_semi")
     held = shared.groupBy("k").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
     region = written(shared.join(held, "k"), "regions")
     prefix = F.expr(f"n - ceil({percent} * n / 100) + 1")
@@ -201,8 +208,15 @@ def links(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = P
     if stats.where("lacks").limit(1).count():
         crowded = region.where(F.col("g") >= crowd)
         rooted = crowded.join(stats.where("lacks").select("did"), "did", "left_semi").select("k").distinct()
-        members = written(crowded.join(rooted, "k", "left_semi").select("did").distinct(), "lacking")
-        rare = written(rarest_rows(docs, members, words, percent), "rarest-shingles")
+        members = crowded.join(rooted, "k", "left_semi").select("did").distinct()
+        members = members.join(stats.where("lacks").select("did", F.lit(True).alias("whole")).distinct(), "did", "left")
+        members = written(members.select("did", F.coalesce("whole", F.lit(False)).alias("whole")), "members")
+        lacking, others = whole_sets(docs, members, words, percent)
+        mixed = others.alias("a").join(lacking.alias("b"), F.expr(f"a.k = b.k and a.did != b.did and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"))
+        mixed = mixed.selectExpr("a.did as x", "b.did as y", "a.n as nx", "b.n as ny", "a.taken as taken").groupBy("x", "y", "nx", "ny", "taken").agg(F.count(F.lit(1)).alias("c"))
+        mixed = mixed.where(f"(c + nx - taken) * {100 + percent} >= {percent} * (nx + ny)")
+        candidates = candidates.unionByName(mixed.selectExpr("least(x, y) as x", "greatest(x, y) as y"))
+        rare = written(lacking.where("place <= taken").drop("place"), "rarest-shingles")
         size = rare.groupBy("k").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
         rare = written(rare.join(size, "k"), "rarest-regions")
         thin, cells = rare.where(F.col("g") < crowd), rare.where(F.col("g") >= crowd)
@@ -235,18 +249,22 @@ def pairs_of(rows_: DataFrame, percent: int, extra: dict[str, str]) -> DataFrame
     return met.groupBy(*met.columns).agg(F.count(F.lit(1)).alias("c"))
 
 
-def rarest_rows(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """k, did, n, taken: the shared shingles among the first ``taken`` of each member, the prefix of its whole set.
+def whole_sets(docs: DataFrame, members: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The members (did, whole) as rows k, did, n, taken, place: those with their whole sets, and what the others take.
 
-    The order is by the number of members that hold a shingle, then by hash; those that one member alone holds come
-    first and meet nothing.
+    Shingles are ordered by the number of whole sets that hold them, then by hash; a prefix of a set is the first
+    ``taken`` in this order. Shingles without rows are held by no other set, or by no whole set; they come first.
+    The others order their margins alone: any so many of their shingles meet each whole set that is linked to them.
     """
-    whole = prefix_rows(bodies(docs).join(members, "did", "left_semi"), words, 0)
-    shared = written(shared_rows(whole).select("k", "did", "n").distinct(), "whole-sets")
-    held = shared.groupBy("k").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    place = F.row_number().over(Window.partitionBy("did", "n").orderBy("f", "k")) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("did", "n"))
-    ranked = shared.join(held, "k").withColumn("place", place).withColumn("taken", F.expr(f"n - ceil({percent} * n / 100) + 1"))
-    return ranked.where("place <= taken").select("k", "did", "n", "taken")
+    texts = bodies(docs).join(members, "did")
+    shared = written(shared_rows(prefix_rows(texts, words, percent)), "whole-sets")
+    held = shared.where("sent = 0").groupBy("k").agg(F.count(F.lit(1)).alias("f"))
+    taken = F.expr(f"n - ceil({percent} * n / 100) + 1")
+    per = Window.partitionBy("did", "n", "sent")
+    place = F.row_number().over(per.orderBy("f", "k")) + F.expr("if(sent = 0, n, sent)") - F.count(F.lit(1)).over(per)
+    ranked = written(shared.join(held, "k").withColumn("taken", taken).withColumn("place", place), "ranked")
+    columns = ["k", "did", "n", "taken", "place"]
+    return ranked.where("sent = 0").select(columns), ranked.where("sent > 0 and place <= taken").select(columns)
 
 
 def divided(docs: DataFrame, cells: DataFrame, words: int, percent: int, crowd: int, rounds: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:

@@ -207,6 +207,24 @@ def test_near_duplicates_in_crowded_regions(spark, crowd, rounds):
     assert rows(got) == brute_components(items)
 
 
+@pytest.mark.parametrize("crowd", [2, 5])
+def test_near_duplicates_of_shared_passages(spark, crowd):
+    """Documents made mostly of passages that many hold, against ones with more words of their own."""
+    r = np.random.default_rng(8)
+    passages = [" ".join(r.choice([f"w{k}" for k in range(300)], 30)) for _ in range(10)]
+    own = lambda n: " ".join(f"o{k}" for k in r.integers(0, 10**6, n))
+    items = []
+    for _ in range(40):
+        chosen = list(r.choice(10, r.integers(1, 6), replace=False))
+        for _ in range(r.integers(1, 4)):
+            r.shuffle(chosen)
+            items.append((len(items), " ".join(passages[k] for k in chosen) + " " + own(r.integers(0, 90))))
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    got = jaccard_join.grouped(df, crowd=crowd).select("did", "n_shingles", "component")
+    assert rows(got) == brute_components(items)
+    assert len({c for *_, c in brute_components(items)}) < len(items)
+
+
 def test_language(spark, sf, docs, none):
     d = spark.read.parquet(f"/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
