@@ -46,12 +46,17 @@ def parse_comm(c) -> Column:
 
 
 def format_bytes(c) -> Column:
-    """With two decimals from KB on; base 1024."""
+    """With two decimals from KB on; base 1024. Exact on ties (to even, as C and Go print), unlike format_string."""
     n = col(c)
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+    whole = n.cast("double").cast("long")
     for k, unit in enumerate(UNITS[1:], 1):
         small = n < 1024 ** (k + 1) if k < 4 else F.lit(True)
-        out = out.when(small, F.format_string(f"%.2f {unit}", n.cast("double") / float(1024**k)))
+        part = whole.bitwiseAND(1024**k - 1) * 100
+        cents, rest = F.shiftright(whole, 10 * k) * 100 + F.shiftright(part, 10 * k), part.bitwiseAND(1024**k - 1)
+        up = (rest > 1024**k // 2) | ((rest == 1024**k // 2) & (cents.bitwiseAND(1) == 1))
+        cents = cents + up.cast("long")
+        out = out.when(small, F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(f" {unit}")))
     return out
 
 

@@ -235,3 +235,20 @@ def test_empty_tables(spark):
 def test_importable_without_the_corpus_part():
     code = "import sys; sys.modules['flowloom.llm'] = None; import __spark_entry__ as e; assert 'pipeline' not in e.queries() and 'q_r1_rate' in e.queries()"
     assert subprocess.run([sys.executable, "-c", code], cwd=str(__import__("pathlib").Path(__file__).parent.parent)).returncode == 0
+
+
+def test_byte_sizes_are_exact_on_ties(spark):
+    """Expected texts as C's and Go's %.2f print the exact binary value."""
+    want = {1024 + 128: "1.12 KB", 1024 + 384: "1.38 KB", 1024 + 640: "1.62 KB", 1024 + 896: "1.88 KB", 2**20 - 1: "1024.00 KB", 2**20 + 2**17: "1.12 MB", 2**30 + 2**27 + 1: "1.13 GB", 2**40 + 2**37: "1.12 TB"}
+    sizes = [*want, *range(1024, 1024 * 1024, 64), *(random.Random(3).getrandbits(b) for b in range(11, 63) for _ in range(20))]
+    for n in sizes:
+        k = max(k for k in range(5) if n >= 1024**k)
+        want.setdefault(n, f"{float(n) / 1024**k:.2f} {S.UNITS[k]}" if k else f"{n} B")
+    df = spark.createDataFrame([(n,) for n in want], "n long")
+    assert {r.n: r.t for r in df.select("n", S.format_bytes("n").alias("t")).collect()} == want
+
+
+def test_every_flow_is_formatted(spark, sf):
+    got = entry.queries()["q_p6_formats_all_flows"](spark, sf)
+    flows_ = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert got.count() == flows_ and got.where("k % 8 = 0").count() > 0
