@@ -2,15 +2,16 @@
 
 A word's input is its own vector plus the mean of the vectors of its character trigrams (hashed), so that
 unknown words have an input as well. Gated units read a window of words in both directions; attention pools
-their states; a logistic unit scores the window. Windows of ``WINDOW`` words overlap and cover the whole text; a
-document's score is its highest window's.
+their states; a logistic unit scores the window. Every window of ``WINDOW`` words in a row is scored, so a score does
+not depend on where in the text a phrase lies; a document's score is its highest window's.
 
 Fitting, in the driver, uses at most ``FIT_ROWS`` labelled rows that are not held out, those with the smallest
-hash of doc_id. Labels belong to documents, so windows are chosen: first those with the highest word log odds,
-then, in further rounds, those the network itself scores highest. The network has a fixed size.
+hash of doc_id. Labels belong to documents, so windows are chosen among all of them: first those around the word with
+the highest log odds, then, in further rounds, those the network itself scores highest. The network has a fixed size.
 
 Scoring is one Arrow step without a shuffle. The input side of all gates is a table by word, known words
-first and others as a task meets them (up to a bound), so a step of the recurrence is a small product.
+first and others as a task meets them (up to a bound), so a step of the recurrence is a small product. The windows
+that begin at neighbouring words take a step together: what they read is one slice of the text's gate inputs.
 
 Null and empty texts, and texts without a word, are scored as a window of padding: their score is that of no
 evidence. A null doc_id or a label without a document is not learned from. If there are no labels of both
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 from flowloom.llm.arrow import mapped
 from flowloom.llm.language_id import held_out
 
-FIT_ROWS, WINDOW, STRIDE, THRESHOLD = 4000, 32, 24, 0.3
+FIT_ROWS, WINDOW, THRESHOLD = 4000, 32, 0.3
 SIZE, INPUT, TRIGRAMS, VOCABULARY = 8, 12, 2048, 6000
 ROUNDS, STEPS, BATCH, SEED = 3, 140, 160, 11
 #: Words a task keeps in its table, and windows scored at once.
-TABLE, AT_ONCE = 150_000, 4096
+TABLE, AT_ONCE = 150_000, 2048
 WORD = re.compile(r"\w+")
 
 
@@ -159,8 +160,42 @@ class Network:
         return self.pooled(self.states(gates, mask)[0], mask)[3]
 
 
+    def sliding(self, gates: np.ndarray) -> np.ndarray:
+        """The logits of all windows over gates (positions, 2, 3 SIZE), by the position they begin at."""
+        n, p = len(gates) - WINDOW + 1, self.p
+        half = np.repeat(np.array([0.5, 1], np.float32), [2 * SIZE, SIZE])  # squash(x) is 0.5 + 0.5 tanh(x / 2)
+        x = np.ascontiguousarray((gates * half).transpose(1, 2, 0))
+        att, out = np.empty((WINDOW, SIZE, n), np.float32), np.empty((WINDOW, n), np.float32)
+        for d in (0, 1):
+            wh, own = (p["wh"][d] * half).T.copy(), slice(d * SIZE, (d + 1) * SIZE)
+            gate, cell, say = wh[: 2 * SIZE], wh[2 * SIZE :], np.vstack([p["att"][own].T, p["out"][own]])
+            h = np.zeros((SIZE, n), np.float32)
+            for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
+                zr = gate @ h
+                zr += x[d, : 2 * SIZE, t : t + n]
+                np.tanh(zr, out=zr)
+                zr *= 0.5
+                zr += 0.5
+                c = cell @ (zr[SIZE:] * h)
+                c += x[d, 2 * SIZE :, t : t + n]
+                np.tanh(c, out=c)
+                c -= h
+                c *= zr[:SIZE]
+                h += c
+                said = say @ h
+                if d == 0:
+                    att[t], out[t] = said[:SIZE], said[SIZE]
+                else:
+                    att[t] += said[:SIZE]
+                    out[t] += said[SIZE]
+        a = np.einsum("i,tin->tn", p["ctx"], np.tanh(att, out=att))
+        a = np.exp(a - a.max(axis=0))
+        return (a * out).sum(axis=0) / a.sum(axis=0) + p["bias"][0]
+
+
 def windows_of(words: list) -> list[list]:
-    return [words[i : i + WINDOW] for i in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)]
+    """Every window; a text of fewer words is one."""
+    return [words[i : i + WINDOW] for i in range(max(1, len(words) - WINDOW + 1))]
 
 
 class Scorer:
@@ -185,37 +220,51 @@ class Scorer:
             self.size += len(new)
         return [at[w] for w in words]
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The highest window's probability of each text."""
-        top = np.full(len(texts), -np.inf, np.float32)
-        wins, owner = [], []
+    def along(self, ids: np.ndarray) -> np.ndarray:
+        """The logits of all windows of ids, by the position they begin at."""
+        n = len(ids) - WINDOW + 1
+        return np.concatenate([self.net.sliding(self.table[ids[i : i + min(AT_ONCE, n - i) + WINDOW - 1]]) for i in range(0, n, AT_ONCE)])
+
+    def highest(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The logit of each text's highest window, and the word it begins at; texts is an iterable of word lists."""
+        top, start = {}, {}
+        flat, spans, short = [], [], []
 
         def run():
-            ids = np.zeros((len(wins), WINDOW), np.int64)
-            for k, w in enumerate(wins):
-                ids[k, : len(w)] = w
-            logit = self.net.logits(self.table[ids], (ids > 0).astype(np.float32))
-            np.maximum.at(top, owner, logit)
-            wins.clear()
-            owner.clear()
+            if short:
+                ids = np.zeros((len(short), WINDOW), np.int64)
+                for i, (_, w) in enumerate(short):
+                    ids[i, : len(w)] = w
+                for (k, _), x in zip(short, self.net.logits(self.table[ids], (ids > 0).astype(np.float32))):
+                    top[k], start[k] = x, 0
+            if spans:
+                # windows over the end of a text are passed over
+                logit = self.along(np.array(flat, np.int64))
+                for k, a, b in spans:
+                    start[k] = int(logit[a:b].argmax())
+                    top[k] = logit[a + start[k]]
+            for x in (flat, spans, short):
+                x.clear()
+            # ids are valid until here
             if self.size > TABLE:
                 self.reset()
 
-        for k, text in enumerate(texts):
-            ids = self.ids(words_of(text))
-            for w in windows_of(ids):
-                wins.append(w)
-                owner.append(k)
-                if len(wins) >= AT_ONCE:
-                    # ids of this text stay valid: run() may only reset between texts
-                    size, self.size = self.size, 0
-                    run()
-                    self.size = size
-            if self.size > TABLE and wins:
+        k = -1
+        for k, words in enumerate(texts):
+            ids = self.ids(words)
+            if len(ids) < WINDOW:
+                short.append((k, ids))
+            else:
+                spans.append((k, len(flat), len(flat) + len(ids) - WINDOW + 1))
+                flat += ids
+            if len(flat) >= 4 * AT_ONCE or len(short) >= AT_ONCE or self.size > TABLE:
                 run()
-        if wins:
-            run()
-        return squash(top.astype(float))
+        run()
+        return np.array([top[i] for i in range(k + 1)], float), np.array([start[i] for i in range(k + 1)], int)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The highest window's probability of each text."""
+        return squash(self.highest(map(words_of, texts))[0])
 
 
 def fit(labelled: list[tuple[str, int]], seed: int = SEED) -> Network | float:
@@ -231,24 +280,19 @@ def fit(labelled: list[tuple[str, int]], seed: int = SEED) -> Network | float:
     # words that say most come first into the vocabulary
     weight = {w: abs(o) * (kinds[0][w] + kinds[1][w]) ** 0.5 for w, o in odds.items() if kinds[0][w] + kinds[1][w] > 2}
     net = Network(sorted(weight, key=lambda w: (-weight[w], w))[:VOCABULARY], seed)
-    cut = [windows_of(t) for t in texts]
-    chosen = [max(c, key=lambda win: max((odds[w] * (kinds[1][w] > 2) for w in win), default=0)) for c in cut]
+    worth = [[odds[w] * (kinds[1][w] > 2) for w in t] for t in texts]
+    last = [max(0, len(t) - WINDOW) for t in texts]
+    # the word that says most lies in the middle, or as near to it as the text allows
+    begin = [min(max(0, int(np.argmax(v)) - WINDOW // 2), end) if v else 0 for v, end in zip(worth, last)]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     by_label, step = [np.flatnonzero(labels == k) for k in (0, 1)], 0
     for round_ in range(ROUNDS):
         if round_:
-            gates = Scorer(net)
-            best = []
-            for c in cut:
-                ids = [gates.ids(w) for w in c]
-                grid = np.zeros((len(ids), WINDOW), int)
-                for k, w in enumerate(ids):
-                    grid[k, : len(w)] = w
-                best.append(c[int(np.argmax(net.logits(gates.table[grid], (grid > 0).astype(np.float32))))])
-            chosen = best
+            begin = Scorer(net).highest(texts)[1].tolist()
         for _ in range(STEPS):
             pick = np.concatenate([r.choice(by_label[1], BATCH // 3), r.choice(by_label[0], BATCH - BATCH // 3)])
-            wins = [chosen[i] if labels[i] or r.random() < 0.6 else cut[i][r.integers(len(cut[i]))] for i in pick]
+            at = [begin[i] if labels[i] or r.random() < 0.6 else r.integers(last[i] + 1) for i in pick]
+            wins = [texts[i][k : k + WINDOW] for i, k in zip(pick, at)]
             step += 1
             for k, g in net.learn(wins, labels[pick]).items():
                 m, v = moments[k]

@@ -335,6 +335,35 @@ def test_network_gradients():
             assert abs((up - down) / 2e-3 - g[k]) < 2e-4, name
 
 
+def test_every_window_is_scored(monkeypatch):
+    monkeypatch.setattr(toxicity, "AT_ONCE", 50)
+    monkeypatch.setattr(toxicity, "TABLE", 100)
+    r = np.random.default_rng(4)
+    net = toxicity.Network([f"w{k}" for k in range(40)], 1)
+    net.p = {k: v * 4 for k, v in net.p.items()}
+    texts = ["", None, *(" ".join(f"w{k}" for k in r.integers(0, 80, n)) for n in (1, 31, 32, 33, 56, 57, 400, 5, 130))]
+    want = []
+    for text in texts:
+        words = toxicity.words_of(text)
+        logits = []
+        for i in range(max(1, len(words) - toxicity.WINDOW + 1)):
+            win = words[i : i + toxicity.WINDOW]
+            gates, mask = np.zeros((1, toxicity.WINDOW, 2, 3 * toxicity.SIZE), np.float32), np.zeros((1, toxicity.WINDOW), np.float32)
+            gates[0, : len(win)], mask[0, : len(win)] = net.gates(net.inputs(win)), 1
+            logits.append(float(net.logits(gates, mask)[0]))
+        want.append(max(logits))
+    assert np.allclose(toxicity.Scorer(net).scores(texts), toxicity.squash(np.array(want)), atol=1e-4)
+
+
+def test_score_of_a_phrase_does_not_depend_on_its_place():
+    net = toxicity.Network(["bad"], 1)
+    net.p = {k: v * 4 for k, v in net.p.items()}
+    phrase = ["bad", *(f"x{k}" for k in range(18)), "bad"]
+    texts = [" ".join(["a"] * n + phrase + ["a"] * (200 - n)) for n in range(40, 100)]
+    scores = toxicity.Scorer(net).scores(texts)
+    assert np.ptp(scores) < 1e-4 and abs(scores[0] - toxicity.Scorer(net).scores([" ".join(["a"] * 220)])[0]) > 1e-3
+
+
 def test_toxicity_edges(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (None, 1, 1), (999, 0, 1), (6, 0, None)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(none, labels).count() == 0
