@@ -11,7 +11,8 @@ inside an article element are labelled as text, and the same blocks laid out ane
 is a few thousand weights, whatever the number of pages.
 
 A null or empty page gives an empty text. Character references are decoded, white space in a block becomes
-one space, and kept blocks are joined in page order by one space. Nothing is shortened.
+one space, and kept blocks are joined in page order by one space. Nothing is shortened. Text inside svg, math and
+object elements is text of the block around them, which the field sees by a feature of its own.
 """
 
 from __future__ import annotations
@@ -28,17 +29,19 @@ from flowloom.llm.arrow import mapped
 from flowloom.llm.language_id import bounded_rows
 
 FIT_PAGES, LAYOUTS, EPOCHS, SEED = 150, 3, 6, 7
-#: Elements that begin a block of their own, elements without content, elements of raw text.
+#: Elements that begin a block of their own, elements without content, elements of raw text, embedded ones.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol option p pre search section select summary table "
     "tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object".split())
+RAW = "script style noscript template textarea iframe".split()
+FOREIGN = frozenset(["svg", "math"])
+EMBEDDED = FOREIGN | {"object"}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<({'|'.join(RAW)})\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
@@ -47,23 +50,23 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "path", "names", "linked", "marks")
+    __slots__ = ("text", "path", "names", "linked", "marks", "embedded")
 
-    def __init__(self, text, path, names, linked, marks):
-        self.text, self.path, self.names, self.linked, self.marks = text, path, names, linked, marks
+    def __init__(self, text, path, names, linked, marks, embedded):
+        self.text, self.path, self.names, self.linked, self.marks, self.embedded = text, path, names, linked, marks, embedded
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """The page's runs of text between block-level tags, in page order."""
-    blocks, stack, parts, linked, at = [], [], [], 0, 0
+    blocks, stack, parts, linked, at, embedded = [], [], [], 0, 0, set()
 
     def flush():
-        nonlocal parts, linked
+        nonlocal parts, linked, embedded
         text = " ".join("".join(parts).split())
         if text:
             names = [w for _, own, _ in stack for w in own]
-            blocks.append(Block(text, [t for t, _, _ in stack if t in BLOCK], names, linked, [m for _, _, m in stack if m]))
-        parts, linked = [], 0
+            blocks.append(Block(text, [t for t, _, _ in stack if t in BLOCK], names, linked, [m for _, _, m in stack if m], embedded))
+        parts, linked, embedded = [], 0, set()
 
     def add(raw):
         nonlocal linked
@@ -72,27 +75,39 @@ def leaf_blocks(page: str) -> list[Block]:
             parts.append(text)
             if any(t == "a" for t, _, _ in stack):
                 linked += len(text)
+            if text.strip():
+                embedded.update(t for t, _, _ in stack if t in EMBEDDED)
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
+            if any(t in FOREIGN for t, _, _ in stack):
+                # only here a raw element may close itself, and a CDATA section is text
+                if m[1] and (own_end := page.index(">", m.start()) + 1) and page[own_end - 2] == "/":
+                    at = own_end
+                elif m[0].startswith("<![CDATA["):
+                    add(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
         if tag in ("br", "hr"):
             flush()
         if tag in VOID:
             continue
+        # the title of a drawing is no block
+        block = tag in BLOCK and not (tag == "title" and any(t in FOREIGN for t, _, _ in stack))
         if m[2]:
-            if tag in BLOCK:
+            if block:
                 flush()
             if any(t == tag for t, _, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
             continue
-        if tag in BLOCK:
+        if block:
             flush()
-            open_blocks = [i for i, (t, _, _) in enumerate(stack) if t in BLOCK]
+            # a block inside an embedded element closes none outside of it
+            inner = max((i for i, (t, _, _) in enumerate(stack) if t in EMBEDDED), default=-1)
+            open_blocks = [i for i, (t, _, _) in enumerate(stack) if t in BLOCK and i > inner]
             if open_blocks and (stack[open_blocks[-1]][0] == "p" or stack[open_blocks[-1]][0] == tag in ("li", "dt", "dd", "option", "tr", "td", "th")):
                 del stack[open_blocks[-1] :]
         attrs = m[4]
@@ -113,7 +128,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     out, n = [], len(blocks)
     for k, b in enumerate(blocks):
         text, size = b.text, len(b.text)
-        f = {f"in:{t}" for t in b.path} | {f"name:{w}" for w in b.names}
+        f = {f"in:{t}" for t in b.path} | {f"name:{w}" for w in b.names} | {f"holds:{t}" for t in b.embedded}
         f.add(f"leaf:{b.path[-1] if b.path else '-'}")
         f.add(f"size:{bucket(size, (10, 25, 60, 120, 300))}")
         f.add(f"linked:{bucket(b.linked / size, (0.05, 0.4, 0.9))}")

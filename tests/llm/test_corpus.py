@@ -293,6 +293,42 @@ def test_html_extraction(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "inside,want",
+    [
+        ('so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds', "so x=2 holds"),
+        ('so <math display="block"/> holds', "so holds"),
+        ('so <math><annotation><![CDATA[a<b &amp;]]></annotation></math> holds', "so a<b &amp; holds"),
+        ('see <svg><title>A title</title><text>label</text></svg> here', "see A titlelabel here"),
+        ('see <svg width="1" /> here', "see here"),
+        ('see <svg><style/><script/><style>x</style></svg> here', "see here"),
+        ('see <object data="f.swf"><param name="a">no player</object> here', "see no player here"),
+        ("see <object data='f.swf'>no player here", "see no player here"),
+    ],
+)
+def test_embedded_elements_keep_their_text(inside, want):
+    page = f"<body><article><p>{inside}</p><p>A paragraph behind it.</p></article><footer>Imprint</footer></body>"
+    blocks = html_text.leaf_blocks(page)
+    assert [b.text for b in blocks] == [want, "A paragraph behind it.", "Imprint"]
+    assert "article" in blocks[0].path and "article" in blocks[1].path and "article" not in blocks[2].path
+    held = {t for t in html_text.EMBEDDED if f"holds:{t}" in html_text.features(blocks)[0]}
+    assert held == {t for t in html_text.EMBEDDED if f"<{t}" in page and want not in ("so holds", "see here")}
+
+
+def test_blocks_in_embedded_elements():
+    page = "<article><p>one <object><p>two</p></object> three</p><div><svg><foreignObject><p>four</p></foreignObject></svg></div></article>"
+    assert [(b.text, sorted(b.embedded)) for b in html_text.leaf_blocks(page)] == [("one", []), ("two", ["object"]), ("three", []), ("four", ["svg"])]
+
+
+def test_main_text_holds_embedded_text(spark):
+    page = "<article><h1>A title</h1><p>First paragraph, long enough to be read by all. %s</p><p>Second one, as long as the first is.</p></article><footer>&copy; imprint</footer>"
+    kinds = ["plain", "<math><mi>x</mi></math>", "<svg/>", "<object>fallback"]
+    df = spark.createDataFrame([(i, "u", page % kinds[i % 4 if i > 39 else 0]) for i in range(44)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    for i, word in zip(range(40, 44), ["plain ", "x ", "", "fallback "]):
+        assert got[i] == f"A title First paragraph, long enough to be read by all. {word}Second one, as long as the first is."
+
+
 def test_viterbi_is_the_best_chain():
     r = np.random.default_rng(2)
     field = html_text.Field({f"f{k}": float(r.normal()) for k in range(6)}, r.normal(size=2), r.normal(size=(2, 2)))
