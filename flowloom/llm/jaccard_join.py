@@ -25,7 +25,8 @@ Plain Voronoi regions of a few pivots do not separate texts: nearly all distance
 window would hold everything. Regions are therefore rooted at shingles, and pivots divide the crowded ones.
 
 Null, empty and blank texts have an empty set and link with nothing. A text of fewer words than a shingle is one
-shingle. Rows that repeat a doc_id are one document, which links where any of its rows does.
+shingle. Rows that repeat a doc_id are one document, which links where any of its rows does. Each row without an id
+is a document of its own: it is numbered beyond all ids, so ids come first in a group, and shown as null.
 """
 
 from __future__ import annotations
@@ -37,9 +38,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.arrow import mapped, numbers
-from flowloom.llm.common import id_column, rows, shown_id, written
+from flowloom.llm.common import NO_ID, rows, written
 
 WORDS, PERCENT, CROWD, ROUNDS = 5, 75, 24, 4
+#: Rows without an id are numbered from here, or from beyond the largest id if that is larger.
+BEYOND = 2**62
 
 
 def shingles(body: bytes, words: int = WORDS) -> np.ndarray:
@@ -305,8 +308,32 @@ def union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The rows with an id, those without one and their number as ``node``, all columns; and the least number.
+
+    Rows without an id are written once, so that their numbers stay; they follow the order of reading.
+    """
+    own = F.col("doc_id").cast("long")
+    largest = docs.agg(F.max(own)).first()[0]
+    base = BEYOND if largest is None else max(BEYOND, largest + 1)
+    node = node_name(docs)
+    lone = written(docs.where(own.isNull()).withColumn(node, F.monotonically_increasing_id()), "rows-without-id")
+    top = lone.agg(F.max(node)).first()[0]
+    if top is not None and base + top > NO_ID:
+        raise ValueError(f"no room for rows without an id beyond doc_id {largest}")
+    return docs.where(own.isNotNull()), lone.withColumn(node, F.col(node) + F.lit(base)), base
+
+
+def node_name(docs: DataFrame) -> str:
+    """A name that no column of docs has."""
+    taken, name = {c.lower() for c in docs.columns}, "node"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
-    """did, row_hash, n_shingles, component of every row of docs."""
+    """did, row_hash, n_shingles, component of every row of docs, whose ids are not null."""
     head = written(heads(docs, words), "heads")
     some = head.where("n > 0")
     first = written(some.groupBy("seq1", "seq2").agg(F.min("did").alias("rep")), "representatives")
@@ -317,11 +344,21 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd:
     )
 
 
+def as_documents(named: DataFrame, lone: DataFrame) -> DataFrame:
+    """doc_id, text of the rows that numbered() returns, with the numbers as ids."""
+    return named.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(lone.select(F.col(lone.columns[-1]).alias("doc_id"), "text"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    return grouped(docs).select(shown_id("did").alias("doc_id"), "n_shingles", shown_id("component").alias("component_id"))
+    named, lone, base = numbered(docs.select("doc_id", "text"))
+    shown = lambda c: F.when(F.col(c) < base, F.col(c))
+    return grouped(as_documents(named, lone)).select(shown("did").alias("doc_id"), "n_shingles", shown("component").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose document is the smallest of its group."""
-    gone = written(grouped(docs).where("did != component").select("did").distinct(), "near-copies")
-    return docs.join(gone, id_column() == gone["did"], "left_anti")
+    named, lone, _ = numbered(docs)
+    gone = written(grouped(as_documents(named, lone)).where("did != component").select("did").distinct(), "near-copies")
+    node = lone.columns[-1]
+    kept = named.join(gone, named["doc_id"].cast("long") == gone["did"], "left_anti")
+    return kept.unionByName(lone.join(gone, lone[node] == gone["did"], "left_anti").drop(node))

@@ -188,6 +188,22 @@ def test_near_duplicates(docs, none):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    text = lambda k: " ".join(f"w{k}_{n}" for n in range(40))
+    # copies of two documents, of a third without an id at all, a near copy, an unrelated text, blanks, and a very large id
+    items = [(1, text(1)), (2, text(2)), (2**62 + 5, text(4)), (None, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (None, text(4) + " more"), (None, text(5)), (None, ""), (None, None)]
+    alone = brute_components([(i if i is not None else 2**62 + 100 + k, t) for k, (i, t) in enumerate(items)])
+    show = lambda i: None if i > 2**62 + 99 else i
+    want = sorted(((show(i), n, show(c)) for i, n, c in alone), key=str)
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    assert rows(jaccard_join.near_duplicates(df)) == want
+    wide = df.withColumn("node", F.lit(7)).withColumn("did", F.lit(8))
+    kept = jaccard_join.one_of_each_group(wide)
+    assert kept.columns == wide.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([items[k] for k in (0, 1, 2, 5, 8, 9, 10)], key=str)
+
+
 @pytest.mark.parametrize("crowd,rounds", [(4, 2), (3, 4), (1000, 1)])
 def test_near_duplicates_in_crowded_regions(spark, crowd, rounds):
     r = np.random.default_rng(5)
