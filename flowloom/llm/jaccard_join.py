@@ -1,28 +1,25 @@
 """Exact Jaccard join of word-shingle sets, in the metric space of Jaccard distance.
 
-Documents within distance ``1 - similarity`` share one of the first ``prefix`` shingles of either set in a common
-order, here the order of a 64-bit shingle hash. Each such shingle roots a region: the documents that hold it.
-
-1. Texts with equal word sequences collapse to the smallest doc_id. Tasks emit the prefix of each set and a
-   margin beyond it. The rows are range-partitioned by (hash, document), so a frequent shingle spreads, and
-   streamed: a shingle that one document alone holds ends here.
-2. Small regions (under ``CROWD`` documents) are joined directly. For each pair the shared shingles are counted, and
-   the count bounds the overlap from above; only pairs that can still reach the threshold are compared.
-3. Large regions are left out for every document that has enough other shingles in its margin: in the order
-   "shingles of small regions first", those are its prefix. A pair with a document that lacks them either meets in a
-   small region, or both hold the root of a large region in which such a document lies. In those regions the
-   documents without enough emit their whole sets, and are joined again in regions rooted at their rarest shingles,
-   counted among them; the others meet whole sets with those of their margin that the fewest whole sets hold.
-4. What is crowded still, such as a large group of near copies, is divided by pivots. A region's pivot is its
-   smallest unresolved document; exact distances to it split the region into the pivot's cell (within the radius, so
-   linked to it), a shell, and the rest. By the triangle inequality a document of the cell can link only into the
-   shell of twice the radius, and only within a window of the radius around its own distance; those
-   boundary documents are replicated. What no cell holds is the next, smaller region: the join recurs
-   with new pivots while a region is large, and then joins what is left directly.
-5. Links and copies are joined to components by alternating large-star and small-star steps, all in Spark.
+1. Texts with equal word sequences are one node of the join.
+2. In the order of a 64-bit hash, linked sets share several of their first shingles. Tasks emit those, and a
+   document whose number of shared ones is too small for any partner ends here. A shingle that many documents
+   of a task hold is counted there and sent once.
+3. The others, whole, are ordered by the number of documents that hold a shingle. Linked sets share one of the
+   first ``prefix`` shingles of this order, so each such shingle roots a region: the documents that have it there.
+4. A region's first pivot is its node of smallest number. The exact distance of every member to it links what lies
+   within the radius. Members that no link joins yet are compared directly in small regions. Crowded regions get
+   further pivots, one of each of their smallest groups. A document's nearest pivot is its Voronoi cell; it is
+   replicated into another pivot's cell if it lies no more than two radii farther from that pivot than from its own. By the
+   triangle inequality every link then lies in a cell of one of its ends. Cells are regions, so the join recurs.
+5. What is compared directly lies in one cell, in different groups, within one radius of distance to the pivot
+   (triangle inequality again), and passes two exact bounds: the places of the region's shingle in both orders, and the
+   Hamming distance of parity bitmaps, which never exceeds the symmetric difference of the sets.
+6. Links are joined to components by alternating large-star and small-star steps, all in Spark.
 
 Plain Voronoi regions of a few pivots do not separate texts: nearly all distances between texts are 1, so each
-window would hold everything. Regions are therefore rooted at shingles, and pivots divide the crowded ones.
+window would hold everything. The first regions are therefore rooted at shingles. After ``rounds`` rounds the members
+of a crowded cell that are still in different groups are compared directly, in blocks that adaptive execution splits.
+Shingles, and word sequences, are compared by 64-bit and 128-bit hashes.
 
 Null, empty and blank texts have an empty set and link with nothing. A text of fewer words than a shingle is one
 shingle. Rows that repeat a doc_id are one document, which links where any of its rows does. Each row without an id
@@ -40,7 +37,13 @@ from pyspark.sql import functions as F
 from flowloom.llm.arrow import mapped, numbers
 from flowloom.llm.common import NO_ID, rows, written
 
-WORDS, PERCENT, CROWD, ROUNDS = 5, 75, 24, 4
+WORDS, PERCENT, CROWD, ROUNDS, PIVOTS = 5, 75, 24, 3, 3
+#: Keys that a task gathers before it hands them on; 64-bit words of a parity bitmap.
+GATHERED, BITMAP = 2_000_000, 8
+#: Kinds of rows of the first exchange, beside counts: a key of one document, a key known to be shared.
+KEY, SHARED = -1, -2
+#: Stands for the frequency of a shingle at the edge of a partition, which is not counted.
+MANY = 2**31 - 1
 #: Rows without an id are numbered from here, or from beyond the largest id if that is larger.
 BEYOND = 2**62
 
@@ -63,16 +66,23 @@ def shingles_of(tokens: list[bytes], words: int = WORDS) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
-def prefix_size(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+def least_overlap(n: int, percent: int = PERCENT) -> int:
+    """The fewest shingles that a set of n shares with any set linked to it; also the least size of such a set."""
+    return -(-percent * n // 100)
 
 
-def bodies(docs: DataFrame) -> DataFrame:
-    return rows(docs).select("did", F.col("body").cast("binary").alias("body"))
+def needed(n: int, percent: int = PERCENT) -> int:
+    """How many of its emitted shingles a set of n shares with any set linked to it, at least."""
+    m = least_overlap(n, percent)
+    return min(m // 12 + 2, least_overlap(m, percent))
 
 
-def heads(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """did, row_hash, n (set size), seq1, seq2 (hash of the word sequence) of every row."""
+def keyed(docs: DataFrame) -> DataFrame:
+    return rows(docs).select("did", F.xxhash64("body").alias("row_hash"), F.col("body").cast("binary").alias("body"))
+
+
+def heads(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """did, row_hash, n (set size), least (see needed), seq1, seq2 (hash of the word sequence) of every row."""
 
     def work(batches):
         for batch in batches:
@@ -82,95 +92,150 @@ def heads(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 hashes += xxhash.xxh3_128_digest(b" ".join(tokens))
                 sizes.append(len(shingles_of(tokens, words)))
             pair = np.frombuffer(bytes(hashes), "<i8").reshape(-1, 2)
-            yield {"did": batch.column("did"), "row_hash": batch.column("row_hash"), "n": np.array(sizes, "i8"), "seq1": pair[:, 0].copy(), "seq2": pair[:, 1].copy()}
+            yield {
+                "did": batch.column("did"),
+                "row_hash": batch.column("row_hash"),
+                "n": np.array(sizes, "i4"),
+                "least": np.array([needed(n, percent) for n in sizes], "i4"),
+                "seq1": pair[:, 0].copy(),
+                "seq2": pair[:, 1].copy(),
+            }
 
-    source = rows(docs).select("did", F.xxhash64("body").alias("row_hash"), F.col("body").cast("binary").alias("body"))
-    return mapped(source, work, "did long, row_hash long, n long, seq1 long, seq2 long")
+    return mapped(keyed(docs), work, "did long, row_hash long, n int, least int, seq1 long, seq2 long")
 
 
-def prefix_rows(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """k (shingle hash), did, n (set size), sent (shingles emitted of it): the prefix and the margin of each set.
+def first_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """k, seq1, c: the first shingles of each word sequence, in the order of their hashes.
 
-    texts has did and body. Where it has a column whole that is true, the whole set is emitted and sent is 0.
+    c is KEY for a key that one sequence of the task's block holds. A key that more of them hold is one row of the
+    block, with c SHARED, and is counted in c of the row that each sequence of the block has besides (its k is seq1).
     """
 
     def work(batches):
-        for batch in batches:
-            ks, ids, ns, sent, shown = [], [], [], [], []
-            whole = batch.column("whole").to_pylist() if "whole" in batch.schema.names else [False] * batch.num_rows
-            for did, body, every in zip(batch.column("did").to_pylist(), batch.column("body").to_pylist(), whole):
-                s = shingles(body, words)
-                if n := len(s):
-                    p = prefix_size(n, percent)
-                    m = n if every else min(n, p + p // 8 + 16)
-                    shown.append(0 if every else m)
-                    ks.append(s[:m])
-                    ids.append(did)
-                    ns.append(n)
-                    sent.append(m)
-            each = np.array(sent, "i8")
-            yield {
-                "k": np.concatenate(ks).view("i8") if ks else np.zeros(0, "i8"),
-                "did": np.repeat(np.array(ids, "i8"), each),
-                "n": np.repeat(np.array(ns, "i4"), each),
-                "sent": np.repeat(np.array(shown, "i4"), each),
+        ks, seqs, seen, size = [], [], set(), 0
+
+        def out():
+            each = np.array([len(x) for x in ks], "i8")
+            k, of = np.concatenate(ks).view("i8"), np.repeat(np.arange(len(ks)), each)
+            order = np.argsort(k)
+            k, of = k[order], of[order]
+            first = np.ones(len(k), bool)
+            first[1:] = k[1:] != k[:-1]
+            several = np.zeros(len(k), bool)
+            several[1:] |= ~first[1:]
+            several[:-1] |= ~first[1:]
+            seq = np.array(seqs, "i8")
+            count = np.bincount(of[several], minlength=len(ks))
+            one, many = ~several, several & first
+            return {
+                "k": np.concatenate([k[one], k[many], seq]),
+                "seq1": np.concatenate([seq[of[one]], np.zeros(many.sum(), "i8"), seq]),
+                "c": np.concatenate([np.full(one.sum(), KEY), np.full(many.sum(), SHARED), count]).astype("i4"),
             }
 
-    return mapped(texts, work, "k long, did long, n int, sent int")
-
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                tokens = body.lower().split()
+                whole = xxhash.xxh3_128_digest(b" ".join(tokens))
+                if not tokens or whole in seen:
+                    continue
+                seen.add(whole)
+                s = shingles_of(tokens, words)
+                m = least_overlap(len(s), percent)
+                ks.append(s[: len(s) - m + min(m, len(s) // 12 + 2)])
+                seqs.append(int.from_bytes(whole[:8], "little", signed=True))
+                size += len(ks[-1])
+                if size >= GATHERED:
+                    yield out()
+                    ks, seqs, seen, size = [], [], set(), 0
+        if ks:
+            yield out()
+
+    return mapped(rows(docs).select(F.col("body").cast("binary").alias("body")), work, "k long, seq1 long, c int")
+
+
+def alive(docs: DataFrame, first: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of first (by word sequence) whose document shares enough of its first shingles to be linked."""
+    same = Window.partitionBy("k")
+    told = first_keys(docs, words, percent).withColumn("shared", F.min("seq1").over(same) != F.max("seq1").over(same))
+    # every block that holds a sequence counts all its shared keys, so the sum is that number for each block
+    met = F.when(F.col("c") >= 0, F.col("c")).when((F.col("c") == KEY) & F.col("shared"), 1).otherwise(0)
+    told = told.select("seq1", met.alias("met"), (F.col("c") >= 0).alias("block")).where("met > 0 or block")
+    counts = told.groupBy("seq1").agg(F.sum("met").alias("met"), F.count_if("block").alias("blocks"))
+    return first.join(counts, "seq1").where("met >= least * blocks").drop("met", "blocks")
+
+
+def whole_sets(docs: DataFrame, chosen: DataFrame, words: int = WORDS) -> DataFrame:
+    """node, members (distinct hashes), bits (parity bitmap) of the rows in chosen (did, row_hash, node)."""
 
-def shared_rows(prefixes: DataFrame) -> DataFrame:
-    """The distinct rows whose shingle another row holds, or may hold in a neighbouring partition."""
+    def work(batches):
+        for batch in batches:
+            texts = batch.column("body").to_pylist()
+            for i in range(0, len(texts), 500):
+                sets = [shingles(b, words) for b in texts[i : i + 500]]
+                edges = np.cumsum([0, *map(len, sets)]).astype("i4")
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                bits = np.zeros((len(sets), 64 * BITMAP), np.uint8)
+                for k, x in enumerate(sets):
+                    bits[k] = np.bincount((x >> np.uint64(11)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+                packed = np.packbits(bits, axis=1).view("<i8")
+                yield {
+                    "node": batch.column("node").slice(i, 500),
+                    "members": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat.view("i8"))),
+                    "bits": pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, BITMAP, "i4")), pa.array(packed.ravel())),
+                }
+
+    texts = keyed(docs).join(chosen.select("did", "row_hash", "node"), ["did", "row_hash"]).select("node", "body")
+    return mapped(texts, work, "node long, members array<bigint>, bits array<bigint>")
+
+
+def with_frequency(keys: DataFrame) -> DataFrame:
+    """k, node, n, f: the rows whose shingle others hold, and by how many rows it is held.
+
+    Rows are range-partitioned by shingle and document, so a frequent shingle spreads. The first and last shingle of a
+    partition may go on in its neighbours; they count as MANY, which is one order for all documents as well.
+    """
 
     def work(batches):
-        last = None  # the row kept back, whether it is known to be shared or first in the partition
+        first = last = None  # the key at the partition's beginning; the rows of the last key so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {c: numbers(batch, c) for c in ("k", "did", "n", "sent")}
+            cols = {c: numbers(batch, c) for c in ("k", "node", "n")}
+            first = cols["k"][0] if first is None else first
             if last is not None:
-                cols = {c: np.concatenate([last[0][c], v]) for c, v in cols.items()}
-            # equal rows are neighbours in one partition
-            fresh = np.ones(len(cols["k"]), bool)
-            fresh[1:] = np.any([v[1:] != v[:-1] for v in cols.values()], axis=0)
-            cols = {c: v[fresh] for c, v in cols.items()}
+                cols = {c: np.concatenate([last[c], v]) for c, v in cols.items()}
             k = cols["k"]
-            same = k[1:] == k[:-1]
-            keep = np.zeros(len(k), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            keep[0] |= last is None or last[1]
-            last = {c: v[-1:] for c, v in cols.items()}, bool(keep[-1])
-            keep[-1] = False
-            yield {c: v[keep] for c, v in cols.items()}
+            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            f = np.diff(np.r_[start, len(k)])
+            f[k[start] == first] = MANY
+            done = start[-1] if f[-1] != MANY else len(k)
+            f = np.repeat(f, np.diff(np.r_[start, len(k)]))[:done]
+            last = {c: v[done:] for c, v in cols.items()} if done < len(k) else None
+            yield {c: v[:done][f > 1] for c, v in cols.items()} | {"f": f[f > 1].astype("i4")}
         if last is not None:
-            yield last[0]
+            yield last | {"f": np.full(len(last["k"]), MANY, "i4")}
 
-    order = ["k", "did", "n", "sent"]
-    return mapped(prefixes.repartitionByRange(*order).sortWithinPartitions(*order), work, "k long, did long, n int, sent int")
+    return mapped(keys.repartitionByRange("k", "node").sortWithinPartitions("k", "node"), work, "k long, node long, n int, f int")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (x, y) with both, the exact overlap of their sets, and their sizes nx, ny; sets stream through the joins."""
-    joined = pairs.join(sets.select(F.col("did").alias("x"), F.col("members").alias("sx")), "x")
-    joined = joined.join(sets.select(F.col("did").alias("y"), F.col("members").alias("sy")), "y")
-    size = lambda c: F.size(c).cast("long")
-    return joined.select("x", "y", size(F.array_intersect("sx", "sy")).alias("both"), size("sx").alias("nx"), size("sy").alias("ny"))
-
-
-def set_table(docs: DataFrame, needed: DataFrame, words: int = WORDS) -> DataFrame:
-    """did, members (the distinct hashes) of the documents in needed (did)."""
+def rooted(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """cell (the shingle), node, n, place: the prefixes in the order of frequency; place counts from 1."""
+    counted = with_frequency(sets.select("node", F.size("members").alias("n"), F.explode("members").alias("k")))
+    mine = Window.partitionBy("node")
+    ranked = counted.withColumn("nth", F.dense_rank().over(mine.orderBy("f", "k")))
+    # shingles without rows are held by no other document and come first
+    placed = ranked.withColumn("place", F.expr("n + nth") - F.max("nth").over(mine))
+    return placed.where(f"place <= n - ceil({percent} * n / 100) + 1").select(F.col("k").alias("cell"), "node", "n", "place").distinct()
 
-    def work(batches):
-        for batch in batches:
-            bodies_ = batch.column("body").to_pylist()
-            for i in range(0, len(bodies_), 500):
-                sets = [shingles(b, words).view("i8") for b in bodies_[i : i + 500]]
-                edges = np.cumsum([0, *map(len, sets)]).astype("i4")
-                flat = np.concatenate(sets) if sets else np.zeros(0, "i8")
-                yield {"did": batch.column("did").slice(i, 500), "members": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat))}
 
-    return mapped(bodies(docs).join(needed, "did", "left_semi"), work, "did long, members array<bigint>")
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, y, both: the exact overlap of each pair's sets, with their sizes nx, ny; sets stream through the joins."""
+    joined = pairs.join(sets.select(F.col("node").alias("x"), F.col("members").alias("sx")), "x")
+    joined = joined.join(sets.select(F.col("node").alias("y"), F.col("members").alias("sy")), "y")
+    size = lambda c: F.size(c).cast("long")
+    # rows that repeat an id and a text give a pair twice
+    return joined.select("x", "y", size(F.array_intersect("sx", "sy")).alias("both"), size("sx").alias("nx"), size("sy").alias("ny")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,113 +257,86 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def links(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
-    """u, v: links between representatives (did) that join every group of linked ones; not all pairs of a group."""
-    shared = written(shared_rows(prefix_rows(bodies(docs), words, percent)), "shared-shingles")
-    shared = shared.join(reps, "did", "left_semi")
-    held = shared.groupBy("k").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    region = written(shared.join(held, "k"), "regions")
-    prefix = F.expr(f"n - ceil({percent} * n / 100) + 1")
-    stats = region.groupBy("did", "n", "sent").agg(F.count_if(F.col("g") >= crowd).alias("big"))
-    stats = written(stats.where("big > 0").withColumn("lacks", F.expr("sent - big") < prefix), "crowded-documents")
-
-    # small regions: the shared shingles seen, those of crowded regions, and those beyond the margins bound the overlap
-    small = region.where(F.col("g") < crowd).join(stats.select("did", "n", "big"), ["did", "n"], "left").withColumn("big", F.coalesce("big", F.lit(0)))
-    near = pairs_of(small, percent, {"big": "b", "n - sent": "r"})
-    candidates = near.where(f"(c + least(bx, by) + greatest(rx, ry)) * {100 + percent} >= {percent} * (nx + ny)").select("x", "y")
-
-    found = []
-    if stats.where("lacks").limit(1).count():
-        crowded = region.where(F.col("g") >= crowd)
-        rooted = crowded.join(stats.where("lacks").select("did"), "did", "left_semi").select("k").distinct()
-        members = crowded.join(rooted, "k", "left_semi").select("did").distinct()
-        members = members.join(stats.where("lacks").select("did", F.lit(True).alias("whole")).distinct(), "did", "left")
-        members = written(members.select("did", F.coalesce("whole", F.lit(False)).alias("whole")), "members")
-        lacking, others = whole_sets(docs, members, words, percent)
-        mixed = others.alias("a").join(lacking.alias("b"), F.expr(f"a.k = b.k and a.did != b.did and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"))
-        mixed = mixed.selectExpr("a.did as x", "b.did as y", "a.n as nx", "b.n as ny", "a.taken as taken").groupBy("x", "y", "nx", "ny", "taken").agg(F.count(F.lit(1)).alias("c"))
-        mixed = mixed.where(f"(c + nx - taken) * {100 + percent} >= {percent} * (nx + ny)")
-        candidates = candidates.unionByName(mixed.selectExpr("least(x, y) as x", "greatest(x, y) as y"))
-        rare = written(lacking.where("place <= taken").drop("place"), "rarest-shingles")
-        size = rare.groupBy("k").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-        rare = written(rare.join(size, "k"), "rarest-regions")
-        thin, cells = rare.where(F.col("g") < crowd), rare.where(F.col("g") >= crowd)
-        # both take the first of one order, so whatever else they share lies behind the end of one of them
-        bound = f"(c + greatest(rx, ry)) * {100 + percent} >= {percent} * (nx + ny)"
-        if cells.limit(1).count():
-            found, boundary, lone = divided(docs, cells, words, percent, crowd, rounds)
-            candidates = candidates.unionByName(boundary)
-            # a pair may meet in thin regions and in what is left of crowded ones, so shared shingles are not counted here
-            alike = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-            rest = lone.alias("a").join(cells.alias("b"), F.expr(f"a.k = b.k and a.did != b.did and {alike}"))
-            candidates = candidates.unionByName(rest.selectExpr("least(a.did, b.did) as x", "greatest(a.did, b.did) as y"))
-            per = cells.groupBy("did").agg(F.count(F.lit(1)).alias("out"))
-            thin = thin.join(per, "did", "left").withColumn("rest", F.expr("n - taken + coalesce(out, 0)"))
-        else:
-            thin = thin.withColumn("rest", F.expr("n - taken"))
-        candidates = candidates.unionByName(pairs_of(thin, percent, {"rest": "r"}).where(bound).select("x", "y"))
-    candidates = written(candidates.distinct(), "candidates")
-    need = candidates.select(F.col("x").alias("did")).unionByName(candidates.select(F.col("y").alias("did"))).distinct()
-    exact = overlaps(candidates, written(set_table(docs, need, words), "sets"))
-    return union([*found, exact.where(f"100 * both >= {percent} * (nx + ny - both)").select(F.col("x").alias("u"), F.col("y").alias("v"))])
-
-
-def pairs_of(rows_: DataFrame, percent: int, extra: dict[str, str]) -> DataFrame:
-    """x < y, nx, ny, the expressions in extra of both (named with x and y), c: the shingles k of rows_ that both hold."""
-    rows_ = rows_.selectExpr("k", "did", "n", *[f"{e} as {name}" for e, name in extra.items()])
-    alike = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-    fields = [f"{side}.{c} as {c}{end}" for c in ("n", *extra.values()) for side, end in (("a", "x"), ("b", "y"))]
-    met = rows_.alias("a").join(rows_.alias("b"), F.expr(f"a.k = b.k and a.did < b.did and {alike}")).selectExpr("a.did as x", "b.did as y", *fields)
-    return met.groupBy(*met.columns).agg(F.count(F.lit(1)).alias("c"))
-
-
-def whole_sets(docs: DataFrame, members: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The members (did, whole) as rows k, did, n, taken, place: those with their whole sets, and what the others take.
-
-    Shingles are ordered by the number of whole sets that hold them, then by hash; a prefix of a set is the first
-    ``taken`` in this order. Shingles without rows are held by no other set, or by no whole set; they come first.
-    The others order their margins alone: any so many of their shingles meet each whole set that is linked to them.
-    """
-    texts = bodies(docs).join(members, "did")
-    shared = written(shared_rows(prefix_rows(texts, words, percent)), "whole-sets")
-    held = shared.where("sent = 0").groupBy("k").agg(F.count(F.lit(1)).alias("f"))
-    taken = F.expr(f"n - ceil({percent} * n / 100) + 1")
-    per = Window.partitionBy("did", "n", "sent")
-    place = F.row_number().over(per.orderBy("f", "k")) + F.expr("if(sent = 0, n, sent)") - F.count(F.lit(1)).over(per)
-    ranked = written(shared.join(held, "k").withColumn("taken", taken).withColumn("place", place), "ranked")
-    columns = ["k", "did", "n", "taken", "place"]
-    return ranked.where("sent = 0").select(columns), ranked.where("sent > 0 and place <= taken").select(columns)
-
-
-def divided(docs: DataFrame, cells: DataFrame, words: int, percent: int, crowd: int, rounds: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
-    """Crowded regions (k, did, n) by pivots: links to pivots, boundary pairs (x, y), and the rows that no cell holds."""
-    sets = written(set_table(docs, cells.select("did").distinct(), words), "pivot-sets")
-    radius, left, distances, found = 1 - percent / 100, cells, None, []
-    for _ in range(rounds):
-        pivots = left.groupBy("k").agg(F.min(F.struct("did", "n")).alias("p"), F.count(F.lit(1)).alias("d")).where(F.col("d") >= crowd)
-        pivots = written(pivots.select("k", F.col("p.did").alias("pivot"), F.col("p.n").alias("pn")), "pivots")
-        if not pivots.limit(1).count():
+def possible(percent: int) -> str:
+    """Whether the rows a and b of one cell may be linked, by size, by place in both orders, and by their bitmaps."""
+    differ = " + ".join(f"bit_count(a.bits[{i}] ^ b.bits[{i}])" for i in range(BITMAP))
+    return (
+        f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+        f" and {100 + percent} * (1 + least(a.n - a.place, b.n - b.place)) >= {percent} * (a.n + b.n)"
+        f" and {100 + percent} * ({differ}) <= {100 - percent} * (a.n + b.n)"
+    )
+
+
+def grouped_cells(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """cells with root, the group of each document by the links found, without the cells that hold one group only."""
+    rooted_ = cells.drop("root").join(components(found).withColumnRenamed("node", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted_.groupBy("cell").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"), F.count(F.lit(1)).alias("g")).where("lowest != highest")
+    return written(rooted_.drop("g").join(several.select("cell", "g"), "cell"), "cells")
+
+
+def unlinked_pairs(cells: DataFrame, percent: int) -> DataFrame:
+    """x < y: the pairs of each cell that may be linked, are not in one group, and have a document at home there."""
+    columns = ["cell", "node", "n", "place", "bits", "root", "home", "far"]
+    near = f"abs(a.far - b.far) <= {1 - percent / 100 + 1e-9}"
+    once = "a.home and (a.node < b.node or not b.home)"
+    joined = cells.select(columns).alias("a").join(cells.select(columns).alias("b"), F.expr(f"a.cell = b.cell and a.root != b.root and {once} and {near} and {possible(percent)}"))
+    return joined.selectExpr("least(a.node, b.node) as x", "greatest(a.node, b.node) as y")
+
+
+def distances(cells: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, y (a pivot of a cell that x is in), both, nx, ny, far."""
+    ask = cells.join(pivots, "cell").where("node != pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
+    got = overlaps(written(ask, "pivot-pairs"), sets)
+    return written(got.withColumn("far", F.expr("1 - both / (nx + ny - both)")), "distances")
+
+
+def linked(got: DataFrame, percent: int) -> DataFrame:
+    return got.where(f"100 * both >= {percent} * (nx + ny - both)").select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+
+def links(docs: DataFrame, first: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
+    """u, v: links between the nodes of first that join every group of linked ones; not all pairs of a group."""
+    chosen = written(alive(docs, first, words, percent), "may-be-linked")
+    sets = written(whole_sets(docs, chosen, words), "sets")
+    cells = written(rooted(sets, percent), "prefixes")
+    cells = cells.join(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "cell")
+    cells = written(cells, "regions")
+    pivots = cells.groupBy("cell").agg(F.min("node").alias("pivot"))
+    got = distances(cells, pivots, sets)
+    found = linked(got, percent)
+    far = got.select(F.col("x").alias("node"), F.col("y").alias("pivot"), "far")
+    cells = cells.join(pivots, "cell").join(far, ["node", "pivot"], "left").drop("pivot").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    cells = grouped_cells(cells.join(sets.select("node", "bits").distinct(), "node").withColumn("home", F.lit(True)), found)
+    candidates = []
+    for turn in range(rounds):
+        candidates.append(unlinked_pairs(cells.where(F.col("g") < crowd), percent))
+        cells = cells.where(F.col("g") >= crowd)
+        if turn == rounds - 1 or not cells.limit(1).count():
             break
-        # beyond a size ratio of two the distance exceeds twice the radius, so no window reaches there
-        ask = cells.join(pivots, "k").where("did != pivot and 2 * least(n, pn) >= greatest(n, pn)")
-        got = overlaps(ask.select(F.col("did").alias("x"), F.col("pivot").alias("y")).distinct(), sets)
-        got = written(got.withColumn("far", F.expr("1 - both / (nx + ny - both)")), "distances")
-        hit = got.where(f"100 * both >= {percent} * (nx + ny - both)")
-        found.append(hit.select(F.col("x").alias("u"), F.col("y").alias("v")))
-        step = cells.select("k", "did").join(pivots.select("k", "pivot"), "k").join(got.select(F.col("x").alias("did"), F.col("y").alias("pivot"), "far"), ["did", "pivot"])
-        step = step.select("k", "did", "pivot", "far").unionByName(pivots.select("k", F.col("pivot").alias("did"), "pivot", F.lit(0.0).alias("far")))
-        distances = step if distances is None else distances.unionByName(step)
-        inside = step.where(F.col("far") <= radius).select("k", "did").distinct()
-        left = written(left.join(inside, ["k", "did"], "left_anti"), "left")
-    # a pair's distances to a pivot do not depend on the region, so each pivot is windowed once
-    group = components(union(found))
-    distances = distances.select("did", "pivot", "far").distinct().join(group.withColumnRenamed("node", "did"), "did", "left")
-    distances = written(distances.withColumn("root", F.coalesce("root", "did")), "cell-distances")
-    # boundary documents: of the cell, and of the shell if not joined to the pivot already
-    shell = distances.where((F.col("far") > radius) & (F.col("far") <= 2 * radius))
-    window = f"a.pivot = b.pivot and a.root != b.root and abs(a.far - b.far) <= {radius + 1e-9}"
-    cross = distances.where((F.col("far") <= radius) & (F.col("far") > 0)).alias("a").join(shell.alias("b"), F.expr(window))
-    return found, cross.selectExpr("least(a.did, b.did) as x", "greatest(a.did, b.did) as y").distinct(), left
+        cells, new = divided(cells, sets, percent)
+        found = written(found.unionByName(new), "links")
+        cells = grouped_cells(cells, found)
+    candidates.append(unlinked_pairs(cells, percent))
+    exact = overlaps(written(union(candidates).distinct(), "candidates"), sets)
+    return found.unionByName(linked(exact, percent))
+
+
+def divided(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The Voronoi cells of further pivots in each cell, and the links to those pivots."""
+    groups = cells.groupBy("cell", "root").agg(F.min(F.when(F.col("far") > 0, F.col("node"))).alias("pivot"), F.count(F.lit(1)).alias("members"))
+    smallest = Window.partitionBy("cell").orderBy("members", "pivot")
+    pivots = groups.where("pivot is not null").withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= PIVOTS)
+    pivots = written(pivots.select("cell", "pivot"), "pivots")
+    got = distances(cells, pivots, sets)
+    far = got.select(F.col("x").alias("node"), F.col("y").alias("pivot"), F.col("far").alias("away"))
+    reach = cells.join(pivots, "cell").join(far, ["node", "pivot"], "left").withColumn("away", F.coalesce("away", F.lit(0.0)))
+    each = Window.partitionBy("cell", "node")
+    reach = reach.withColumn("nearest", F.min(F.struct("away", "pivot")).over(each))
+    # a document of another cell stays a guest wherever it goes
+    reach = reach.withColumn("home", F.col("home") & (F.col("pivot") == F.col("nearest.pivot")))
+    reach = reach.where(F.col("away") <= F.col("nearest.away") + 2 * (1 - percent / 100) + 1e-9)
+    reach = reach.withColumn("cell", F.xxhash64("cell", "pivot")).withColumn("far", F.col("away"))
+    return reach.drop("away", "nearest", "pivot", "g"), linked(got, percent)
 
 
 def union(tables: list[DataFrame]) -> DataFrame:
@@ -334,14 +372,19 @@ def node_name(docs: DataFrame) -> str:
 
 def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
     """did, row_hash, n_shingles, component of every row of docs, whose ids are not null."""
-    head = written(heads(docs, words), "heads")
+    head = written(heads(docs, words, percent), "heads")
     some = head.where("n > 0")
-    first = written(some.groupBy("seq1", "seq2").agg(F.min("did").alias("rep")), "representatives")
-    copies = some.join(first, ["seq1", "seq2"]).where("did != rep").select(F.col("did").alias("u"), F.col("rep").alias("v"))
-    joined = components(links(docs, first.select(F.col("rep").alias("did")).distinct(), words, percent, crowd, rounds).unionByName(copies))
-    return head.join(joined, head["did"] == joined["node"], "left").select(
-        "did", "row_hash", F.col("n").alias("n_shingles"), F.coalesce("root", "did").alias("component")
-    )
+    first = some.groupBy("seq1", "seq2").agg(F.min(F.struct("did", "row_hash", "n", "least")).alias("rep"))
+    first = written(first.select("seq1", "seq2", "rep.*").withColumn("node", F.monotonically_increasing_id()), "word-sequences")
+    own = written(some.join(first.select("seq1", "seq2", "node"), ["seq1", "seq2"]).select("did", "node").distinct(), "own-sequences")
+    # a document with several rows joins their word sequences
+    least = own.groupBy("did").agg(F.min("node").alias("v"), F.max("node").alias("top"))
+    joins = own.join(least.where("v != top"), "did").select(F.col("node").alias("u"), "v")
+    roots = components(links(docs, first, words, percent, crowd, rounds).unionByName(joins))
+    roots = written(first.select("did", "node").join(roots, "node", "left").select("did", "node", F.coalesce("root", "node").alias("root")), "roots")
+    names = roots.groupBy("root").agg(F.min("did").alias("component"))
+    named = least.select("did", F.col("v").alias("node")).join(roots.select("node", "root").join(names, "root"), "node").select("did", "component")
+    return head.join(named, "did", "left").select("did", "row_hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "did").alias("component"))
 
 
 def as_documents(named: DataFrame, lone: DataFrame) -> DataFrame:
