@@ -1,18 +1,17 @@
 """Byte-level BPE by ranked merges in Spark's higher-order functions.
 
-The merge of a word is one expression: its bytes become ids, and ``aggregate`` folds over them; each step
-merges the leftmost pair of lowest rank. The ranks of pairs are a literal, constant-folded by the optimizer:
-an array of buckets, addressed by a hash of the pair, of a few pairs each. A token has one pair: merging its
-own bytes by lower ranks leaves exactly two parts, and no other pair with its bytes can arise in a text.
-
-1. Texts are split into chunks before each space that follows a non-space character (no match of the
-   pre-token pattern reaches over such a place). Tasks count chunks over all documents.
-2. The ``frequent`` most frequent chunks, whatever the corpus, are merged once and broadcast: at most that
-   many chunks of at most ``CHUNK_CHARS`` characters each.
-3. A document's other chunks are merged where the document is, by the same expression, between two Arrow
-   steps of one stage; nothing is shuffled. Chunks over ``LONG_CHARS`` characters would make the fold
-   quadratic; tiktoken merges those with the same ranks.
-4. The document's ids are the concatenation of its chunks' ids; decoding concatenates the ids' byte pieces.
+1. Tasks cut texts into words, the matches of the pre-token pattern, and hand on each distinct word of a block once, as
+   its bytes, before the documents, which become lists of word numbers. A block is what a task reads until it
+   has met ``WORDS`` distinct words.
+2. Each of these words is merged by one expression: its bytes become ids, and ``aggregate`` folds over them. A step merges
+   all places of the pair of lowest rank, from the left, in one pass over the array, so a step is linear in the
+   word, and a long word needs as many passes as it has distinct merges. Ranks are a literal map, laid out
+   as one array: the id of a pair's first half has a displacement, which its second half is added to.
+   Displacements are chosen so that no two pairs meet. A token has one pair: merging its own bytes by lower ranks leaves
+   exactly two parts, and no other pair with its bytes can arise in a text.
+3. In the same stage, documents look their word numbers up. Nothing is shuffled or broadcast: sending each word
+   through an exchange to be merged once in the whole corpus would carry every (word, block) pair twice, and the texts.
+4. Decoding looks up each id's bytes in a literal array and concatenates them, by built-in functions.
 
 Null and empty texts have no ids. Repeated rows and ids are encoded row by row.
 """
@@ -22,29 +21,30 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.arrow import mapped
-from flowloom.llm.common import rows, shown_id, written
-from flowloom.llm.tokens import RANKS, Encoder, read_ranks
+from flowloom.llm.common import rows, shown_id
+from flowloom.llm.tokens import RANKS, read_ranks
 
-FREQUENT, CHUNK_CHARS, LONG_CHARS = 1_000_000, 48, 400
-BUCKETS = 65536
+#: Distinct words of a block; chunks a task remembers, and the longest of them in characters.
+WORDS, CHUNKS, CHUNK_CHARS = 400_000, 200_000, 48
+#: Ranks are below 2 ** SHIFT.
+SHIFT = 20
 NONE = 2**31 - 1
-#: Distinct chunks a task counts before it hands the counts on.
-COUNTED = 600_000
 UNSAFE = re.compile(r"\s ").search
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
 
 def split_chunks(text: str) -> tuple[str, list[str]]:
-    """The first chunk, and the others without the space that each begins with."""
+    """The first chunk, and the others without the space that each begins with: no word reaches over a chunk's end."""
     if UNSAFE(text):
         first, *rest = BEFORE_SPACE.split(text)
         return first, [x[1:] for x in rest]
@@ -62,18 +62,44 @@ def last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[int, int]:
 
 
 @functools.lru_cache(2)
-def literals(path: str) -> tuple[list[int], str]:
-    """The ids of the 256 bytes, and the JSON of the pair buckets: pair (a, b) -> id of the joined token."""
+def literals(path: str) -> dict[str, str]:
+    """JSON arrays: of_byte (byte -> id), shift (id -> displacement), pairs (place -> first id and joined id), twice
+    (the ids that join an id with itself), hexes (id -> its bytes in hexadecimal digits)."""
     ranks = read_ranks(path)
-    keys: dict[int, list[int]] = defaultdict(list)
-    ids: dict[int, list[int]] = defaultdict(list)
+    own: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    twice = []
     for token, rank in ranks.items():
         if len(token) > 1:
             a, b = last_pair(token, ranks)
-            keys[(a * 7919 + b) % BUCKETS].append(a * 65536 + b)
-            ids[(a * 7919 + b) % BUCKETS].append(rank)
-    table = [[keys[i], ids[i]] for i in range(BUCKETS)]
-    return [ranks[bytes([b])] for b in range(256)], json.dumps(table, separators=(",", ":"))
+            own[a].append((b, rank))
+            twice += [rank] if a == b else []
+    size = max(ranks.values()) + 1
+    pairs, taken = np.full(8 * size, 2**62, np.int64), np.zeros(8 * size, bool)
+    shift, least = np.full(size, -(8 * size), np.int64), 0
+    for a in sorted(own, key=lambda a: (-len(own[a]), a)):
+        seconds, joined = (np.array(x, np.int64) for x in zip(*sorted(own[a])))
+        while taken[least]:
+            least += 1
+        # the first place, of a few thousand looked at together, from which all pairs fall on free ones
+        free, begin = np.zeros(0, np.int64), least
+        while not free.size:
+            places = np.arange(begin, begin + 2048)
+            free = places[~taken[places[:, None] + (seconds - seconds[0])].any(axis=1)]
+            begin += 2048
+        free = int(free[0])
+        taken[free - seconds[0] + seconds] = True
+        pairs[free - seconds[0] + seconds] = (a << SHIFT) + joined
+        shift[a] = free - seconds[0]
+    hexes = [""] * size
+    for token, rank in ranks.items():
+        hexes[rank] = token.hex()
+    of_byte = [ranks[bytes([b])] for b in range(256)]
+    found = {"of_byte": of_byte, "shift": shift.tolist(), "pairs": pairs[: int(np.flatnonzero(taken)[-1]) + 1].tolist(), "twice": twice, "hexes": hexes}
+    return {k: json.dumps(v, separators=(",", ":")) for k, v in found.items()}
+
+
+def literal(name: str, path: str) -> Column:
+    return F.from_json(F.lit(literals(path)[name]), "array<string>" if name == "hexes" else "array<bigint>")
 
 
 def let(value: Column, body) -> Column:
@@ -81,174 +107,127 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def merged(word: Column, of_byte: Column, table: Column) -> Column:
-    """The ids of one pre-token (a string column), by the rank table."""
-    state = "struct<ids:array<int>,ranks:array<int>>"
+def merged(word: Column, path: str = RANKS) -> Column:
+    """The ids (array<bigint>) of a word's bytes (array<bigint>), by the rank table."""
 
-    def rank(a: Column, b: Column) -> Column:
-        def look(bucket: Column) -> Column:
-            at = F.array_position(bucket[0], a.cast("long") * 65536 + b).cast("int")
-            return F.coalesce(F.get(bucket[1], at - 1).cast("int"), F.lit(NONE))
+    def fold(table: Column) -> Column:
+        def state(ids: Column) -> Column:
+            # the owner's id falls out of its own entries, which leaves the rank; all else is too large or null
+            rank = lambda x, i: F.get(table["pairs"], F.get(table["shift"], x) + F.get(ids, i + 1)).bitwiseXOR(F.shiftleft(x, SHIFT))
+            with_low = lambda ranks: F.struct(ids.alias("ids"), ranks.alias("ranks"), F.array_min(ranks).alias("low"))
+            return let(F.transform(ids, rank), with_low)
 
-        return let(F.get(table, (a * 7919 + b) % BUCKETS), look)
+        def joined(s: Column, starts) -> Column:
+            """s with each place that starts merged with the one behind it."""
+            new = F.transform(s["ids"], lambda x, i: F.when(starts(i), s["low"]).when(starts(i - 1), F.lit(-1).cast("bigint")).otherwise(x))
+            return let(F.filter(new, lambda x: x >= 0), state)
 
-    none = F.array().cast("array<int>")
+        def step(s: Column, _: Column) -> Column:
+            low = s["low"]
+            # equal ids in a row: every second place starts
+            marks = F.array_join(F.transform(s["ranks"], lambda r: F.when(r == low, "1").otherwise("0")), "")
+            runs = let(F.split(F.replace(marks, F.lit("11"), F.lit("10")), ""), lambda m: joined(s, lambda i: F.get(m, i) == "1"))
+            plain = joined(s, lambda i: F.get(s["ranks"], i) == low)
+            return F.when(low < 2**SHIFT, F.when(F.array_contains(table["twice"], low), runs).otherwise(plain)).otherwise(s)
 
-    def step(s: Column, _: Column) -> Column:
-        def merge(low: Column) -> Column:
-            def at(p: Column) -> Column:
-                ids, ranks = s["ids"], s["ranks"]
-                n = F.size(ids)
-                left = F.when(p > 1, F.array(rank(F.get(ids, p - 2), low))).otherwise(none)
-                right = F.when(p + 1 < n, F.array(rank(low, F.get(ids, p + 1)))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, n)).alias("ids"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)).alias("ranks"),
-                ).cast(state)
+        ids = F.transform(word, lambda b: F.get(table["of_byte"], b.cast("int")))
+        return F.aggregate(F.sequence(F.lit(2), F.size(word)), let(ids, state), step, lambda s: s["ids"])
 
-            return F.when(low < NONE, let(F.array_position(s["ranks"], low).cast("int"), at)).otherwise(s)
+    # the tables are bound once, so that the expression holds one copy of them
+    tables = F.struct(*[literal(c, path).alias(c) for c in ("of_byte", "shift", "pairs", "twice")])
+    return F.when(F.size(word) > 1, let(tables, fold)).otherwise(F.transform(word, lambda b: F.get(literal("of_byte", path), b.cast("int"))))
 
-        return let(F.array_min(s["ranks"]), merge)
 
-    latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
-    start = F.transform(F.filter(F.split(latin, ""), lambda c: c != ""), lambda c: F.get(of_byte, F.ascii(c)))
+class Numbers(dict):
+    """The numbers of words, in the order in which they are met."""
 
-    def begin(ids: Column) -> Column:
-        n = F.size(ids)
-        pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.get(ids, i), F.get(ids, i + 1)))
-        fold = F.aggregate(F.sequence(F.lit(2), n), F.struct(ids.alias("ids"), pairs.alias("ranks")).cast(state), step, lambda s: s["ids"])
-        return F.when(n < 2, ids.cast("array<int>")).otherwise(fold)
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
-    return let(start, begin)
 
+class Chunked(dict):
+    """The packed word numbers of a space and the key."""
 
-def chunk_ids(chunk: Column, path: str = RANKS) -> Column:
-    """The ids of a chunk: of each match of the pre-token pattern by itself."""
-    byte_ids, table_json = literals(path)
-    table = F.from_json(F.lit(table_json), "array<array<array<bigint>>>")
-    of_byte = F.from_json(F.lit(json.dumps(byte_ids)), "array<int>")
-    matches = F.regexp_extract_all(chunk, F.lit(f"(?U)({public_tokenizers.PATTERN})"))
-    # the tables are bound once, so that the expression holds one copy of them
-    bound = lambda b: F.transform(F.array(table), lambda t: F.flatten(F.transform(matches, lambda w: merged(w, b, t))))[0]
-    return F.transform(F.array(of_byte), bound)[0].alias("ids")
+    def __init__(self, numbers: Numbers):
+        self.numbers, self.words = numbers, regex.compile(public_tokenizers.PATTERN).findall
 
+    def packed(self, text: str) -> bytes:
+        return np.array([self.numbers[w] for w in self.words(text)], "<i4").tobytes()
 
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """chunk (without its leading space), n: over all documents; chunks that are too long to broadcast excepted."""
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.packed(" " + chunk)
+        if len(chunk) <= CHUNK_CHARS:
+            if len(self) >= CHUNKS:
+                self.clear()
+            self[chunk] = found
+        return found
 
-    def work(batches):
-        count: Counter = Counter()
 
-        def out():
-            found = [c for c in count if len(c) <= CHUNK_CHARS]
-            return {"chunk": pa.array(found, pa.string()), "n": np.array([count[c] for c in found], "i8")}
+def numbered_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Rows of three kinds in order: word (its bytes), did and numbers of a document, or, with nulls, the end of a block."""
 
+    def work(batches):
+        chunks = Chunked(Numbers())
         for batch in batches:
+            known, packed = len(chunks.numbers), []
             for body in batch.column("body").to_pylist():
-                count.update(split_chunks(body)[1])
-                if len(count) > COUNTED:
-                    yield out()
-                    count.clear()
-        yield out()
-
-    return mapped(rows(docs), work, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-
-
-def frequent_chunks(docs: DataFrame, frequent: int = FREQUENT, path: str = RANKS) -> dict[str, bytes]:
-    """The packed ids of the most frequent chunks, no more than frequent of them."""
-    step = F.floor(F.log2("n") * 16)
-    counts = written(chunk_counts(docs).where("n > 1").withColumn("step", step), "chunk-counts")
-    sizes = sorted(((r[0], r[1]) for r in counts.groupBy("step").count().collect()), reverse=True)
-    least, total = None, 0
-    for value, size in sizes:
-        if total + size > frequent:
-            break
-        least, total = value, total + size
-    if least is None:
-        return {}
-    chosen = counts.where(F.col("step") >= least).select("chunk", chunk_ids(F.concat(F.lit(" "), "chunk"), path).alias("ids"))
-    return dict(zip(*packed_lists(chosen.toArrow())))
-
-
-def packed_lists(table) -> tuple[list[str], list[bytes]]:
-    table = table.combine_chunks()
-    if not table.num_rows:
-        return [], []
-    return table.column(0).to_pylist(), slices(table.column(1).combine_chunks())
+                first, rest = split_chunks(body)
+                packed.append(chunks.packed(first) + b"".join(map(chunks.__getitem__, rest)))
+            new = [w.encode() for w in list(chunks.numbers)[known:]]
+            if new:
+                flat = np.frombuffer(b"".join(new), np.uint8).astype("i8")
+                edges = np.cumsum([0, *map(len, new)]).astype("i4")
+                nothing = pa.nulls(len(new))
+                yield {"word": pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), "did": nothing.cast(pa.int64()), "numbers": nothing.cast(pa.binary())}
+            yield {"word": pa.nulls(len(packed), pa.list_(pa.int64())), "did": batch.column("did"), "numbers": pa.array(packed, pa.binary())}
+            if len(chunks.numbers) >= words:
+                chunks = Chunked(Numbers())
+                yield {"word": pa.nulls(1, pa.list_(pa.int64())), "did": pa.nulls(1, pa.int64()), "numbers": pa.nulls(1, pa.binary())}
+
+    return mapped(rows(docs), work, "word array<bigint>, did long, numbers binary")
 
 
 def slices(lists) -> list[bytes]:
-    """Each list of ids of an Arrow list array as little-endian unsigned 32-bit integers."""
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    """Each list of ids of an Arrow list array as little-endian unsigned 32-bit integers; a null as nothing."""
     raw = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
     edges = (lists.offsets.to_numpy() * 4).tolist()
     return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
 
-def encoded(docs: DataFrame, frequent: int = FREQUENT, path: str = RANKS) -> DataFrame:
-    """did, body, ids (binary, packed little-endian unsigned 32-bit integers) of every row."""
-    known = docs.sparkSession.sparkContext.broadcast(frequent_chunks(docs, frequent, path))
+def encoded(docs: DataFrame, path: str = RANKS, words: int = WORDS) -> DataFrame:
+    """did, ids (packed little-endian unsigned 32-bit integers), tokens (the same as an array) of every row."""
 
-    def find_rest(batches):
+    def look_up(batches):
+        pieces: list[bytes] = []
         for batch in batches:
-            rest = []
-            for body in batch.column("body").to_pylist():
-                first, others = split_chunks(body)
-                new = [" " + c for c in set(others).difference(known.value)]
-                rest.append([c for c in [first, *new] if c and len(c) <= LONG_CHARS])
-            yield {"did": batch.column("did"), "body": batch.column("body"), "rest": pa.array(rest, pa.list_(pa.string()))}
-
-    def join_ids(batches):
-        encoder = Encoder(path, limit=0)
-
-        def long_ids(chunk):
-            return np.array(encoder.encode(chunk), "<u4").tobytes()
+            ids, dids = [], []
+            for piece, word, did, numbers in zip(slices(batch.column("ids")), batch.column("ids").is_valid().to_pylist(), batch.column("did").to_pylist(), batch.column("numbers").to_pylist()):
+                if word:
+                    pieces.append(piece)
+                elif numbers is None:
+                    pieces = []
+                else:
+                    ids.append(b"".join(map(pieces.__getitem__, np.frombuffer(numbers, "<i4").tolist())))
+                    dids.append(did)
+            flat = np.frombuffer(b"".join(ids), "<i4")
+            edges = np.cumsum([0, *map(len, ids)]) // 4
+            yield {"did": pa.array(dids, pa.int64()), "ids": pa.array(ids, pa.binary()), "tokens": pa.ListArray.from_arrays(pa.array(edges.astype("i4")), pa.array(flat))}
 
-        for batch in batches:
-            words, lists = batch.column("rest"), batch.column("rest_ids")
-            packed = slices(lists.flatten())
-            names = words.flatten().to_pylist()
-            edges = np.cumsum([0, *words.value_lengths().to_pylist()]).tolist()
-            ids = []
-            for body, a, b in zip(batch.column("body").to_pylist(), edges, edges[1:]):
-                own = dict(zip(names[a:b], packed[a:b]))
-                first, others = split_chunks(body)
-                get = known.value.get
-                parts = [own[first] if first in own else long_ids(first)]
-                for c in others:
-                    found = get(c)
-                    if found is None:
-                        found = own.get(" " + c)
-                        if found is None:
-                            found = long_ids(" " + c)
-                    parts.append(found)
-                ids.append(b"".join(parts))
-            yield {"did": batch.column("did"), "body": batch.column("body"), "ids": pa.array(ids, pa.binary())}
-
-    with_rest = mapped(rows(docs), find_rest, "did long, body string, rest array<string>")
-    with_ids = with_rest.withColumn("rest_ids", F.transform("rest", lambda c: chunk_ids(c, path)))
-    return mapped(with_ids, join_ids, "did long, body string, ids binary")
-
-
-def decoded(encoded_docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """did, ids, text (binary): the byte pieces of the ids, concatenated."""
+    with_ids = numbered_words(docs, words).select(merged(F.col("word"), path).alias("ids"), "did", "numbers")
+    return mapped(with_ids, look_up, "did long, ids binary, tokens array<int>")
 
-    def work(batches):
-        piece = [b""] * (max((ranks := read_ranks(path)).values()) + 1)
-        for token, rank in ranks.items():
-            piece[rank] = token
-        for batch in batches:
-            texts = [b"".join(map(piece.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
-            yield {"did": batch.column("did"), "ids": batch.column("ids"), "text": pa.array(texts, pa.binary())}
 
-    return mapped(encoded_docs.select("did", "ids"), work, "did long, ids binary, text binary")
+def decoded(tokens: Column, path: str = RANKS) -> Column:
+    """The bytes (binary) of an array of ids: the pieces of the ids, concatenated."""
+    piece = lambda table: F.transform(tokens, lambda t: F.get(table, t))
+    return F.unhex(F.array_join(let(literal("hexes", path), piece), ""))
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    both = decoded(encoded(docs))
-    return both.select(
+    return encoded(docs).select(
         shown_id("did").alias("doc_id"),
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.size("tokens").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2(decoded(F.col("tokens")), 256).alias("decoded_sha256"),
     )
