@@ -6,8 +6,7 @@
    of a task hold is counted there and sent once.
 3. The others, whole, are ordered by the number of documents that hold a shingle. Linked sets share one of the
    first ``prefix`` shingles of this order, so each such shingle roots a region: the documents that have it there.
-4. A region's first pivot is its node of smallest number. The exact distance of every member to it links what lies
-   within the radius. Members that no link joins yet are compared directly in small regions. Crowded regions get
+4. A region's first pivot is its node of smallest number; what lies within the radius of it is linked. Members that no link joins yet are compared directly in small regions. Crowded regions get
    further pivots, one of each of their smallest groups. A document's nearest pivot is its Voronoi cell; it is
    replicated into another pivot's cell if it lies no more than two radii farther from that pivot than from its own. By the
    triangle inequality every link then lies in a cell of one of its ends. Cells are regions, so the join recurs.
@@ -231,6 +230,8 @@ def rooted(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """x, y, both: the exact overlap of each pair's sets, with their sizes nx, ny; sets stream through the joins."""
+    needed_ = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    sets = sets.select("node", "members").join(needed_, "node", "left_semi")
     joined = pairs.join(sets.select(F.col("node").alias("x"), F.col("members").alias("sx")), "x")
     joined = joined.join(sets.select(F.col("node").alias("y"), F.col("members").alias("sy")), "y")
     size = lambda c: F.size(c).cast("long")
@@ -257,29 +258,33 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def possible(percent: int) -> str:
-    """Whether the rows a and b of one cell may be linked, by size, by place in both orders, and by their bitmaps."""
+def alike(percent: int) -> str:
+    """Whether a and b, with their sizes and bitmaps, may be linked."""
     differ = " + ".join(f"bit_count(a.bits[{i}] ^ b.bits[{i}])" for i in range(BITMAP))
-    return (
-        f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-        f" and {100 + percent} * (1 + least(a.n - a.place, b.n - b.place)) >= {percent} * (a.n + b.n)"
-        f" and {100 + percent} * ({differ}) <= {100 - percent} * (a.n + b.n)"
-    )
+    return f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {100 + percent} * ({differ}) <= {100 - percent} * (a.n + b.n)"
 
 
-def grouped_cells(cells: DataFrame, found: DataFrame) -> DataFrame:
-    """cells with root, the group of each document by the links found, without the cells that hold one group only."""
-    rooted_ = cells.drop("root").join(components(found).withColumnRenamed("node", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted_.groupBy("cell").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"), F.count(F.lit(1)).alias("g")).where("lowest != highest")
-    return written(rooted_.drop("g").join(several.select("cell", "g"), "cell"), "cells")
+def open_cells(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """cells with root, the group of each node by the links found, and g, without the cells that hold one group only."""
+    rooted_ = cells.drop("root").join(components(found).withColumnRenamed("node", "member"), F.expr("node = member"), "left")
+    rooted_ = rooted_.drop("member").withColumn("root", F.coalesce("root", "node"))
+    several = rooted_.groupBy("cell").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).where("lowest != highest")
+    return rooted_.join(several.select("cell"), "cell")
+
+
+def counted(cells: DataFrame) -> DataFrame:
+    """cells, written, with g, the number of rows of a cell."""
+    cells = written(cells, "cells")
+    return cells.join(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("g")), "cell")
 
 
 def unlinked_pairs(cells: DataFrame, percent: int) -> DataFrame:
     """x < y: the pairs of each cell that may be linked, are not in one group, and have a document at home there."""
     columns = ["cell", "node", "n", "place", "bits", "root", "home", "far"]
     near = f"abs(a.far - b.far) <= {1 - percent / 100 + 1e-9}"
+    places = f"{100 + percent} * (1 + least(a.n - a.place, b.n - b.place)) >= {percent} * (a.n + b.n)"
     once = "a.home and (a.node < b.node or not b.home)"
-    joined = cells.select(columns).alias("a").join(cells.select(columns).alias("b"), F.expr(f"a.cell = b.cell and a.root != b.root and {once} and {near} and {possible(percent)}"))
+    joined = cells.select(columns).alias("a").join(cells.select(columns).alias("b"), F.expr(f"a.cell = b.cell and a.root != b.root and {once} and {near} and {places} and {alike(percent)}"))
     return joined.selectExpr("least(a.node, b.node) as x", "greatest(a.node, b.node) as y")
 
 
@@ -298,24 +303,24 @@ def links(docs: DataFrame, first: DataFrame, words: int = WORDS, percent: int =
     """u, v: links between the nodes of first that join every group of linked ones; not all pairs of a group."""
     chosen = written(alive(docs, first, words, percent), "may-be-linked")
     sets = written(whole_sets(docs, chosen, words), "sets")
+    bits = written(sets.select("node", F.size("members").alias("n"), "bits").distinct(), "bitmaps")
     cells = written(rooted(sets, percent), "prefixes")
-    cells = cells.join(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "cell")
-    cells = written(cells, "regions")
-    pivots = cells.groupBy("cell").agg(F.min("node").alias("pivot"))
-    got = distances(cells, pivots, sets)
-    found = linked(got, percent)
-    far = got.select(F.col("x").alias("node"), F.col("y").alias("pivot"), "far")
-    cells = cells.join(pivots, "cell").join(far, ["node", "pivot"], "left").drop("pivot").withColumn("far", F.coalesce("far", F.lit(0.0)))
-    cells = grouped_cells(cells.join(sets.select("node", "bits").distinct(), "node").withColumn("home", F.lit(True)), found)
+    regions = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("g"), F.min("node").alias("pivot")).where("g > 1")
+    cells = written(cells.join(regions, "cell"), "regions")
+    ask = cells.where("node != pivot").select("node", "pivot").distinct()
+    ask = ask.join(bits.alias("a"), "node").join(bits.alias("b"), F.expr("pivot = b.node")).where(alike(percent)).select(F.col("a.node").alias("x"), F.col("pivot").alias("y"))
+    found = written(linked(overlaps(written(ask, "pivot-pairs"), sets), percent), "links")
+    cells = open_cells(cells.withColumn("old", F.expr("node = pivot")).drop("pivot", "g"), found)
+    cells = counted(cells.join(bits.select("node", "bits"), "node").withColumn("home", F.lit(True)).withColumn("far", F.lit(0.0)))
     candidates = []
-    for turn in range(rounds):
+    for _ in range(rounds):
         candidates.append(unlinked_pairs(cells.where(F.col("g") < crowd), percent))
         cells = cells.where(F.col("g") >= crowd)
-        if turn == rounds - 1 or not cells.limit(1).count():
+        if not cells.limit(1).count():
             break
         cells, new = divided(cells, sets, percent)
         found = written(found.unionByName(new), "links")
-        cells = grouped_cells(cells, found)
+        cells = counted(open_cells(cells, found))
     candidates.append(unlinked_pairs(cells, percent))
     exact = overlaps(written(union(candidates).distinct(), "candidates"), sets)
     return found.unionByName(linked(exact, percent))
@@ -323,7 +328,7 @@ def links(docs: DataFrame, first: DataFrame, words: int = WORDS, percent: int =
 
 def divided(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The Voronoi cells of further pivots in each cell, and the links to those pivots."""
-    groups = cells.groupBy("cell", "root").agg(F.min(F.when(F.col("far") > 0, F.col("node"))).alias("pivot"), F.count(F.lit(1)).alias("members"))
+    groups = cells.groupBy("cell", "root").agg(F.min(F.when(~F.col("old"), F.col("node"))).alias("pivot"), F.count(F.lit(1)).alias("members"))
     smallest = Window.partitionBy("cell").orderBy("members", "pivot")
     pivots = groups.where("pivot is not null").withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= PIVOTS)
     pivots = written(pivots.select("cell", "pivot"), "pivots")
@@ -335,7 +340,7 @@ def divided(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     # a document of another cell stays a guest wherever it goes
     reach = reach.withColumn("home", F.col("home") & (F.col("pivot") == F.col("nearest.pivot")))
     reach = reach.where(F.col("away") <= F.col("nearest.away") + 2 * (1 - percent / 100) + 1e-9)
-    reach = reach.withColumn("cell", F.xxhash64("cell", "pivot")).withColumn("far", F.col("away"))
+    reach = reach.withColumn("cell", F.xxhash64("cell", "pivot")).withColumn("far", F.col("away")).withColumn("old", F.expr("old or node = pivot"))
     return reach.drop("away", "nearest", "pivot", "g"), linked(got, percent)
 
 

@@ -2,8 +2,9 @@
 
 A word's input is its own vector plus the mean of the vectors of its character trigrams (hashed), so that
 unknown words have an input as well. Gated units read a window of words in both directions; attention pools
-their states; a logistic unit scores the window. Every window of ``WINDOW`` words in a row is scored, so a score does
-not depend on where in the text a phrase lies; a document's score is its highest window's.
+their states; a logistic unit scores the window. Windows of ``WINDOW`` words begin at every ``STRIDE``-th word and at the
+last place, and all of them are scored: any ``WINDOW - STRIDE + 1`` words in a row lie whole in one, wherever they are. A
+document's score is its highest window's.
 
 Fitting, in the driver, uses at most ``FIT_ROWS`` labelled rows that are not held out, those with the smallest
 hash of doc_id. Labels belong to documents, so windows are chosen among all of them: first those around the word with
@@ -11,11 +12,12 @@ the highest log odds, then, in further rounds, those the network itself scores h
 
 Scoring is one Arrow step without a shuffle. The input side of all gates is a table by word, known words
 first and others as a task meets them (up to a bound), so a step of the recurrence is a small product. The windows
-that begin at neighbouring words take a step together: what they read is one slice of the text's gate inputs.
+of a text take a step together: what they read is one slice of the text's gate inputs for each place in a stride.
 
-Null and empty texts, and texts without a word, are scored as a window of padding: their score is that of no
-evidence. A null doc_id or a label without a document is not learned from. If there are no labels of both
-kinds, every score is the share of label 1, or 0.
+Null and empty texts, and texts without a word, say nothing: their score is the share of label 1 among the rows
+learned from, as is every score if there are no labels of both kinds (0 without labels). A null doc_id or a label without a
+document is not learned from. Repeated rows and ids are scored row by row. A text's length is not bounded: windows are
+scored ``AT_ONCE`` at a time. Fitting reads whole texts; of one row it keeps at most the first ``FIT_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ from pyspark.sql import functions as F
 from flowloom.llm.arrow import mapped
 from flowloom.llm.language_id import held_out
 
-FIT_ROWS, WINDOW, THRESHOLD = 4000, 32, 0.3
+FIT_ROWS, FIT_WORDS, WINDOW, STRIDE, THRESHOLD = 4000, 20_000, 32, 4, 0.3
 SIZE, INPUT, TRIGRAMS, VOCABULARY = 8, 12, 2048, 6000
 ROUNDS, STEPS, BATCH, SEED = 3, 140, 160, 11
 #: Words a task keeps in its table, and windows scored at once.
-TABLE, AT_ONCE = 150_000, 2048
+TABLE, AT_ONCE = 150_000, 1024
 WORD = re.compile(r"\w+")
 
 
@@ -69,6 +71,7 @@ class Network:
         g = lambda *s, k=0.2: (r.standard_normal(s) * k).astype(np.float32)
         self.p = {"words": g(n, INPUT), "chars": g(TRIGRAMS, INPUT), "wx": g(2, INPUT, 3 * SIZE), "wh": g(2, SIZE, 3 * SIZE), "b": g(2, 3 * SIZE, k=0), "att": g(2 * SIZE, SIZE), "ctx": g(SIZE), "out": g(2 * SIZE), "bias": g(1, k=0)}
         self.p["words"][:2] = 0
+        self.share = 0.0  # of label 1, the score of a text without words
 
     def inputs(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -160,24 +163,28 @@ class Network:
         return self.pooled(self.states(gates, mask)[0], mask)[3]
 
 
-    def sliding(self, gates: np.ndarray) -> np.ndarray:
-        """The logits of all windows over gates (positions, 2, 3 SIZE), by the position they begin at."""
-        n, p = len(gates) - WINDOW + 1, self.p
+    def sliding(self, gates: np.ndarray, stride: int = STRIDE) -> np.ndarray:
+        """The logits of the windows over gates (positions, 2, 3 SIZE) that begin at every stride-th position."""
+        n, p = (len(gates) - WINDOW) // stride + 1, self.p
         half = np.repeat(np.array([0.5, 1], np.float32), [2 * SIZE, SIZE])  # squash(x) is 0.5 + 0.5 tanh(x / 2)
-        x = np.ascontiguousarray((gates * half).transpose(1, 2, 0))
+        full = np.zeros((-(-len(gates) // stride) * stride, 2, 3 * SIZE), np.float32)
+        np.multiply(gates, half, out=full[: len(gates)])
+        # by direction, gate and place in a stride, so that a step reads neighbours
+        x = np.ascontiguousarray(full.reshape(-1, stride, 2, 3 * SIZE).transpose(2, 1, 3, 0))
         att, out = np.empty((WINDOW, SIZE, n), np.float32), np.empty((WINDOW, n), np.float32)
         for d in (0, 1):
             wh, own = (p["wh"][d] * half).T.copy(), slice(d * SIZE, (d + 1) * SIZE)
             gate, cell, say = wh[: 2 * SIZE], wh[2 * SIZE :], np.vstack([p["att"][own].T, p["out"][own]])
             h = np.zeros((SIZE, n), np.float32)
             for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
+                read = x[d, t % stride, :, t // stride : t // stride + n]
                 zr = gate @ h
-                zr += x[d, : 2 * SIZE, t : t + n]
+                zr += read[: 2 * SIZE]
                 np.tanh(zr, out=zr)
                 zr *= 0.5
                 zr += 0.5
                 c = cell @ (zr[SIZE:] * h)
-                c += x[d, 2 * SIZE :, t : t + n]
+                c += read[2 * SIZE :]
                 np.tanh(c, out=c)
                 c -= h
                 c *= zr[:SIZE]
@@ -193,9 +200,10 @@ class Network:
         return (a * out).sum(axis=0) / a.sum(axis=0) + p["bias"][0]
 
 
-def windows_of(words: list) -> list[list]:
-    """Every window; a text of fewer words is one."""
-    return [words[i : i + WINDOW] for i in range(max(1, len(words) - WINDOW + 1))]
+def starts_of(n: int) -> list[int]:
+    """Where the windows of a text of n words begin: every STRIDE-th word, and the last place."""
+    last = max(0, n - WINDOW)
+    return [*range(0, last, STRIDE), last]
 
 
 class Scorer:
@@ -221,9 +229,9 @@ class Scorer:
         return [at[w] for w in words]
 
     def along(self, ids: np.ndarray) -> np.ndarray:
-        """The logits of all windows of ids, by the position they begin at."""
-        n = len(ids) - WINDOW + 1
-        return np.concatenate([self.net.sliding(self.table[ids[i : i + min(AT_ONCE, n - i) + WINDOW - 1]]) for i in range(0, n, AT_ONCE)])
+        """The logits of the windows of ids that begin at every STRIDE-th position."""
+        n = (len(ids) - WINDOW) // STRIDE + 1
+        return np.concatenate([self.net.sliding(self.table[ids[STRIDE * i : STRIDE * (min(i + AT_ONCE, n) - 1) + WINDOW]]) for i in range(0, n, AT_ONCE)])
 
     def highest(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """The logit of each text's highest window, and the word it begins at; texts is an iterable of word lists."""
@@ -240,9 +248,10 @@ class Scorer:
             if spans:
                 # windows over the end of a text are passed over
                 logit = self.along(np.array(flat, np.int64))
-                for k, a, b in spans:
-                    start[k] = int(logit[a:b].argmax())
-                    top[k] = logit[a + start[k]]
+                for k, begins, places in spans:
+                    own = logit[places]
+                    best = int(own.argmax())
+                    start[k], top[k] = begins[best], own[best]
             for x in (flat, spans, short):
                 x.clear()
             # ids are valid until here
@@ -255,16 +264,27 @@ class Scorer:
             if len(ids) < WINDOW:
                 short.append((k, ids))
             else:
-                spans.append((k, len(flat), len(flat) + len(ids) - WINDOW + 1))
+                begins = starts_of(len(ids))
+                at, regular = len(flat) // STRIDE, len(begins) - 1 + (begins[-1] % STRIDE == 0)
+                places = [*range(at, at + regular)]
                 flat += ids
-            if len(flat) >= 4 * AT_ONCE or len(short) >= AT_ONCE or self.size > TABLE:
+                flat += [0] * (-len(flat) % STRIDE)
+                if regular < len(begins):
+                    # the last window again, where a stride begins
+                    places.append(len(flat) // STRIDE)
+                    flat += ids[-WINDOW:]
+                    flat += [0] * (-len(flat) % STRIDE)
+                spans.append((k, begins, places))
+            if len(flat) >= 4 * STRIDE * AT_ONCE or len(short) >= AT_ONCE or self.size > TABLE:
                 run()
         run()
         return np.array([top[i] for i in range(k + 1)], float), np.array([start[i] for i in range(k + 1)], int)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The highest window's probability of each text."""
-        return squash(self.highest(map(words_of, texts))[0])
+        words = [words_of(t) for t in texts]
+        said = squash(self.highest(words)[0])
+        return np.where([len(w) > 0 for w in words], said, self.net.share)
 
 
 def fit(labelled: list[tuple[str, int]], seed: int = SEED) -> Network | float:
@@ -273,13 +293,14 @@ def fit(labelled: list[tuple[str, int]], seed: int = SEED) -> Network | float:
     if not len(labels) or labels.min() == labels.max():
         return float(labels.mean()) if len(labels) else 0.0
     r = np.random.default_rng(seed)
-    texts = [words_of(t) for t, _ in labelled]
+    texts = [words_of(t)[:FIT_WORDS] for t, _ in labelled]
     kinds = [Counter(w for t, y in zip(texts, labels) if y == k for w in set(t)) for k in (0, 1)]
     n = [int((labels == k).sum()) for k in (0, 1)]
     odds = {w: np.log((kinds[1][w] + 0.5) / (n[1] + 1)) - np.log((kinds[0][w] + 0.5) / (n[0] + 1)) for w in kinds[1] | kinds[0]}
     # words that say most come first into the vocabulary
     weight = {w: abs(o) * (kinds[0][w] + kinds[1][w]) ** 0.5 for w, o in odds.items() if kinds[0][w] + kinds[1][w] > 2}
     net = Network(sorted(weight, key=lambda w: (-weight[w], w))[:VOCABULARY], seed)
+    net.share = float(labels.mean())
     worth = [[odds[w] * (kinds[1][w] > 2) for w in t] for t in texts]
     last = [max(0, len(t) - WINDOW) for t in texts]
     # the word that says most lies in the middle, or as near to it as the text allows
