@@ -3,9 +3,10 @@
 1. Tasks cut texts into words, the matches of the pre-token pattern, and hand on each distinct word of a block once, as
    its bytes, before the documents, which become lists of word numbers. A block is what a task reads until it
    has met ``WORDS`` distinct words.
-2. Each of these words is merged by one expression: its bytes become ids, and ``aggregate`` folds over them. A step merges
-   all places of the pair of lowest rank, from the left, in one pass over the array, so a step is linear in the
-   word, and a long word needs as many passes as it has distinct merges. Ranks are a literal map, laid out
+2. Each of these words is merged by one expression: its bytes become ids, each with the rank of its pair with the next
+   one above it, and ``aggregate`` folds over them. A step merges the pair of lowest rank: all its places, from the left, in one
+   pass while the array is long, or the leftmost by slices when it is short; both orders give the same ids. So a step is
+   linear in the word, and a long word needs as many passes as it has distinct merges. Ranks are a literal map, laid out
    as one array: the id of a pair's first half has a displacement, which its second half is added to.
    Displacements are chosen so that no two pairs meet. A token has one pair: merging its own bytes by lower ranks leaves
    exactly two parts, and no other pair with its bytes can arise in a text.
@@ -36,8 +37,8 @@ from flowloom.llm.tokens import RANKS, read_ranks
 
 #: Distinct words of a block; chunks a task remembers, and the longest of them in characters.
 WORDS, CHUNKS, CHUNK_CHARS = 400_000, 200_000, 48
-#: Ranks are below 2 ** SHIFT.
-SHIFT = 20
+#: Ranks are below 2 ** SHIFT. Arrays longer than LONG merge all places of a pair in a step, shorter ones the leftmost.
+SHIFT, LONG = 20, 64
 NONE = 2**31 - 1
 UNSAFE = re.compile(r"\s ").search
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
@@ -74,7 +75,7 @@ def literals(path: str) -> dict[str, str]:
             own[a].append((b, rank))
             twice += [rank] if a == b else []
     size = max(ranks.values()) + 1
-    pairs, taken = np.full(8 * size, 2**62, np.int64), np.zeros(8 * size, bool)
+    pairs, taken = np.full(8 * size, 2**40, np.int64), np.zeros(8 * size, bool)
     shift, least = np.full(size, -(8 * size), np.int64), 0
     for a in sorted(own, key=lambda a: (-len(own[a]), a)):
         seconds, joined = (np.array(x, np.int64) for x in zip(*sorted(own[a])))
@@ -110,28 +111,46 @@ def let(value: Column, body) -> Column:
 def merged(word: Column, path: str = RANKS) -> Column:
     """The ids (array<bigint>) of a word's bytes (array<bigint>), by the rank table."""
 
+    low_bits, none = F.lit(2**SHIFT - 1).cast("bigint"), F.lit(2**40).cast("bigint")
+
     def fold(table: Column) -> Column:
+        def ranked(x: Column, y: Column) -> Column:
+            """The id x with the rank of its pair with y above it; x falls out of its own entries, all else is too large."""
+            pair = F.get(table["pairs"], F.get(table["shift"], x) + y).bitwiseXOR(F.shiftleft(x, SHIFT))
+            return F.shiftleft(F.coalesce(pair, none), SHIFT).bitwiseOR(x)
+
         def state(ids: Column) -> Column:
-            # the owner's id falls out of its own entries, which leaves the rank; all else is too large or null
-            rank = lambda x, i: F.get(table["pairs"], F.get(table["shift"], x) + F.get(ids, i + 1)).bitwiseXOR(F.shiftleft(x, SHIFT))
-            with_low = lambda ranks: F.struct(ids.alias("ids"), ranks.alias("ranks"), F.array_min(ranks).alias("low"))
-            return let(F.transform(ids, rank), with_low)
+            return F.transform(ids, lambda x, i: ranked(x, F.get(ids, i + 1)))
+
+        def everywhere(s: Column, least: Column) -> Column:
+            """s with all places of the pair merged, from the left."""
+            low = F.shiftright(least, SHIFT)
+
+            def joined(starts) -> Column:
+                of = lambda x, i: F.when(starts(i), low).when(starts(i - 1), F.lit(-1).cast("bigint")).otherwise(x.bitwiseAND(low_bits))
+                return let(F.filter(F.transform(s, of), lambda x: x >= 0), state)
 
-        def joined(s: Column, starts) -> Column:
-            """s with each place that starts merged with the one behind it."""
-            new = F.transform(s["ids"], lambda x, i: F.when(starts(i), s["low"]).when(starts(i - 1), F.lit(-1).cast("bigint")).otherwise(x))
-            return let(F.filter(new, lambda x: x >= 0), state)
+            # where equal ids follow each other, every second place starts
+            marks = F.array_join(F.transform(s, lambda x: F.when(x == least, "1").otherwise("0")), "")
+            runs = let(F.split(F.replace(marks, F.lit("11"), F.lit("10")), ""), lambda m: joined(lambda i: F.get(m, i) == "1"))
+            return F.when(F.array_contains(table["twice"], low), runs).otherwise(joined(lambda i: F.get(s, i) == least))
+
+        def leftmost(s: Column, p: Column, least: Column) -> Column:
+            """s with the pair at place p (from 1) merged."""
+            low = F.shiftright(least, SHIFT)
+            new, before = ranked(low, F.get(s, p + 1).bitwiseAND(low_bits)), F.get(s, p - 2).bitwiseAND(low_bits)
+            rest = F.slice(s, p + 2, F.size(s))
+            return F.when(p > 1, F.concat(F.slice(s, F.lit(1), p - 2), F.array(ranked(before, low), new), rest)).otherwise(F.concat(F.array(new), rest))
 
         def step(s: Column, _: Column) -> Column:
-            low = s["low"]
-            # equal ids in a row: every second place starts
-            marks = F.array_join(F.transform(s["ranks"], lambda r: F.when(r == low, "1").otherwise("0")), "")
-            runs = let(F.split(F.replace(marks, F.lit("11"), F.lit("10")), ""), lambda m: joined(s, lambda i: F.get(m, i) == "1"))
-            plain = joined(s, lambda i: F.get(s["ranks"], i) == low)
-            return F.when(low < 2**SHIFT, F.when(F.array_contains(table["twice"], low), runs).otherwise(plain)).otherwise(s)
+            def merge(least: Column) -> Column:
+                one = let(F.array_position(s, least).cast("int"), lambda p: leftmost(s, p, least))
+                return F.when(least < 2 ** (2 * SHIFT), F.when(F.size(s) > LONG, everywhere(s, least)).otherwise(one)).otherwise(s)
+
+            return let(F.array_min(s), merge)
 
         ids = F.transform(word, lambda b: F.get(table["of_byte"], b.cast("int")))
-        return F.aggregate(F.sequence(F.lit(2), F.size(word)), let(ids, state), step, lambda s: s["ids"])
+        return F.aggregate(F.sequence(F.lit(2), F.size(word)), let(ids, state), step, lambda s: F.transform(s, lambda x: x.bitwiseAND(low_bits)))
 
     # the tables are bound once, so that the expression holds one copy of them
     tables = F.struct(*[literal(c, path).alias(c) for c in ("of_byte", "shift", "pairs", "twice")])
@@ -153,10 +172,16 @@ class Chunked(dict):
         self.numbers, self.words = numbers, regex.compile(public_tokenizers.PATTERN).findall
 
     def packed(self, text: str) -> bytes:
-        return np.array([self.numbers[w] for w in self.words(text)], "<i4").tobytes()
+        return b"".join([self.numbers[w].to_bytes(4, "little") for w in self.words(text)])
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.packed(" " + chunk)
+        # most chunks are one word of letters, perhaps with a mark behind it
+        if chunk.isascii() and chunk.isalpha():
+            found = self.numbers[" " + chunk].to_bytes(4, "little")
+        elif chunk[-1:] in (",", ".") and chunk.isascii() and chunk[:-1].isalpha():
+            found = self.numbers[" " + chunk[:-1]].to_bytes(4, "little") + self.numbers[chunk[-1]].to_bytes(4, "little")
+        else:
+            found = self.packed(" " + chunk)
         if len(chunk) <= CHUNK_CHARS:
             if len(self) >= CHUNKS:
                 self.clear()
@@ -188,31 +213,37 @@ def numbered_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return mapped(rows(docs), work, "word array<bigint>, did long, numbers binary")
 
 
-def slices(lists) -> list[bytes]:
-    """Each list of ids of an Arrow list array as little-endian unsigned 32-bit integers; a null as nothing."""
-    raw = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-    edges = (lists.offsets.to_numpy() * 4).tolist()
-    return [raw[a:b] for a, b in zip(edges, edges[1:])]
-
-
 def encoded(docs: DataFrame, path: str = RANKS, words: int = WORDS) -> DataFrame:
     """did, ids (packed little-endian unsigned 32-bit integers), tokens (the same as an array) of every row."""
 
     def look_up(batches):
-        pieces: list[bytes] = []
+        # the ids of the block's words, end to end, and where each word begins and ends
+        flat, edges = np.zeros(0, "<i4"), np.zeros(1, "i8")
         for batch in batches:
-            ids, dids = [], []
-            for piece, word, did, numbers in zip(slices(batch.column("ids")), batch.column("ids").is_valid().to_pylist(), batch.column("did").to_pylist(), batch.column("numbers").to_pylist()):
-                if word:
-                    pieces.append(piece)
-                elif numbers is None:
-                    pieces = []
+            words_, dids, numbers = batch.column("ids"), batch.column("did"), batch.column("numbers")
+            kinds = 2 * numbers.is_valid().to_numpy(zero_copy_only=False) + words_.is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1], True])
+            for a, b in zip(cuts, cuts[1:]):
+                if kinds[a] == 1:
+                    part = words_.slice(a, b - a)
+                    flat = np.concatenate([flat, part.flatten().to_numpy(zero_copy_only=False).astype("<i4")])
+                    edges = np.concatenate([edges, edges[-1] + np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))])
+                elif kinds[a] == 0:
+                    flat, edges = np.zeros(0, "<i4"), np.zeros(1, "i8")
                 else:
-                    ids.append(b"".join(map(pieces.__getitem__, np.frombuffer(numbers, "<i4").tolist())))
-                    dids.append(did)
-            flat = np.frombuffer(b"".join(ids), "<i4")
-            edges = np.cumsum([0, *map(len, ids)]) // 4
-            yield {"did": pa.array(dids, pa.int64()), "ids": pa.array(ids, pa.binary()), "tokens": pa.ListArray.from_arrays(pa.array(edges.astype("i4")), pa.array(flat))}
+                    packed = numbers.slice(a, b - a)
+                    sizes = np.array([len(x) // 4 for x in packed.to_pylist()])
+                    of = np.frombuffer(b"".join(packed.to_pylist()), "<i4")
+                    length = edges[of + 1] - edges[of]
+                    ends = np.cumsum(length)
+                    ids = flat[np.repeat(edges[of] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+                    at = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
+                    raw = ids.astype("<i4").tobytes()
+                    yield {
+                        "did": dids.slice(a, b - a),
+                        "ids": pa.array([raw[4 * x : 4 * y] for x, y in zip(at, at[1:])], pa.binary()),
+                        "tokens": pa.ListArray.from_arrays(pa.array(at.astype("i4")), pa.array(ids)),
+                    }
 
     with_ids = numbered_words(docs, words).select(merged(F.col("word"), path).alias("ids"), "did", "numbers")
     return mapped(with_ids, look_up, "did long, ids binary, tokens array<int>")

@@ -45,9 +45,11 @@ def without_blanks(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; in a test a temporary one is set."""
+    """The folder all executors share, as the cluster names it; a local session without one gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="flowloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at

@@ -9,7 +9,7 @@ that have a text and a language, so it has a bounded size. Prediction covers eve
 one Arrow step without a shuffle; a task remembers the scores of the unseen words it has met, up to a bound.
 
 A null text, or one without a letter, is ``und`` with score 0. So is every text if no row can be learned from.
-A null doc_id is never learned from and not held out. Ties go to the language that sorts first.
+A null doc_id is never learned from and not held out. Rows that repeat an id are predicted one by one. Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -46,6 +46,16 @@ def bounded_rows(df: DataFrame, fit_rows: int, *columns: str, key: str = "doc_id
     return hashed.where(F.col("fit_hash") <= lowest).orderBy("fit_hash", *columns).limit(fit_rows).drop("fit_hash").collect()
 
 
+def words_of(text: str) -> Counter:
+    """The words of a text, lower-cased, and how often they occur: letters only, numerals such as roman ones go."""
+    count = Counter(WORD.findall(text.lower()))
+    for word in [w for w in count if not w.isalpha()]:
+        times = count.pop(word)
+        if letters := "".join(filter(str.isalpha, word)):
+            count[letters] += times
+    return count
+
+
 def grams(word: str, n: int) -> list[str]:
     word = f"<{word}>" if n > 1 else word
     return [word[i : i + n] for i in range(len(word) - n + 1)]
@@ -57,7 +67,7 @@ class Backoff:
     def __init__(self, labelled: list[tuple[str, str]], longest: int = LONGEST):
         words: dict[str, Counter] = {}
         for text, lang in labelled:
-            words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+            words.setdefault(lang, Counter()).update(words_of(text))
         self.langs = sorted(words)
         self.longest = longest
         self.words = self.table([words[x] for x in self.langs])
@@ -96,7 +106,7 @@ class Backoff:
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        count = Counter(WORD.findall((text or "").lower()))
+        count = words_of(text or "")
         if not count or not self.langs:
             return "und", 0.0
         score, times = self.score, np.fromiter(count.values(), float, len(count))

@@ -12,6 +12,7 @@
    sizes of the partitions before it (one count a partition). The rank finds the pattern, copy and offset by
    binary search. A length that a third of all pieces share spreads over many partitions.
 
+A string that the tokenizer's file adds to its vocabulary, such as an end mark, is one id where it stands in a text.
 Null and empty texts are the single id 0. Every row of docs is packed, also those that repeat a doc_id.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.arrow import mapped, numbers
 from flowloom.llm.common import rows, shown_id, written
-from flowloom.llm.tokens import RANKS, Encoder
+from flowloom.llm.tokens import RANKS, TOKENIZER, Encoder, added_tokens
 
 SIZE = 2048
 END = b"\0\0\0\0"
@@ -34,8 +35,10 @@ END = b"\0\0\0\0"
 def pieces(docs: DataFrame, size: int = SIZE, ranks: str = RANKS, with_ids: bool = False) -> DataFrame:
     """did, piece, start, length, crc and, if asked for, the packed ids of each piece."""
 
+    added = added_tokens(TOKENIZER)
+
     def work(batches):
-        encoder = Encoder(ranks)
+        encoder = Encoder(ranks, added=added)
         for batch in batches:
             out = {c: [] for c in ("did", "piece", "start", "length", "crc", "ids")}
             for did, body in zip(batch.column("did").to_pylist(), batch.column("body").to_pylist()):

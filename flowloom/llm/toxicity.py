@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from flowloom.llm.arrow import mapped
 from flowloom.llm.language_id import held_out
 
-FIT_ROWS, FIT_WORDS, WINDOW, STRIDE, THRESHOLD = 4000, 20_000, 32, 4, 0.3
+FIT_ROWS, FIT_WORDS, WINDOW, STRIDE, THRESHOLD = 4000, 20_000, 32, 8, 0.3
 SIZE, INPUT, TRIGRAMS, VOCABULARY = 8, 12, 2048, 6000
 ROUNDS, STEPS, BATCH, SEED = 3, 140, 160, 11
 #: Words a task keeps in its table, and windows scored at once.

@@ -118,22 +118,26 @@ def test_line_runs_over_partitions(spark):
     assert {(r.n_dropped, r["count"]) for r in got} == {(0, 1), (2, 399)}
 
 
-def test_chunks_encode_as_the_library(docs):
+def test_chunks_encode_as_the_library():
+    """As the library is loaded: the added token within a text is one id there, and spelled out without added tokens."""
     from tokenizers import Tokenizer
 
-    own, library = tokens.Encoder(limit=5), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    for _, t in CASES:
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = tokens.Encoder(limit=5, added=tokens.added_tokens())
+    for t in [t for _, t in CASES] + ["<|endoftext|> hello", "a<|endoftext|><|endoftext|>  b <|endoftext", " <|endoftext|>"]:
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert own.packed(t or "") == np.array(ids, "<u4").tobytes()
+    assert len(tokens.Encoder().packed("<|endoftext|>")) > 4
 
 
 def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
     got = packing.packed_digests(docs).collect()
-    encoder = tokens.Encoder()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = defaultdict(int)
     for i, t in CASES:
-        ids = encoder.packed(t or "") + bytes(4)
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
         n = len(ids) // 4
         edges = [0, *range(n % 2048 or 2048, n + 1, 2048)]
         for k, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -251,6 +255,11 @@ def test_language(spark, sf, docs, none):
     assert set(r.lang_pred for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()) == {"und"}
 
 
+def test_numerals_are_no_letters():
+    model = language_id.Backoff([("un mot x²", "fr"), ("a word", "en")])
+    assert model.predict("² ½ Ⅷ ① 12 _ —") == ("und", 0.0) and model.predict("Ⅷ mot")[0] == "fr"
+
+
 def test_backoff_uses_shorter_grams():
     model = language_id.Backoff([("der schnelle fuchs", "de"), ("the quick fox", "en")])
     assert model.predict("schnell")[0] == "de" and model.predict("quickly")[0] == "en" and model.predict("123 !?") == ("und", 0.0)
