@@ -60,13 +60,28 @@ def format_bytes(c) -> Column:
     return out
 
 
+def two_decimals(us: Column, scale: int) -> Column:
+    """us / scale, as a double, with two decimals: rounded by its exact binary value, ties to even, as C and Go print."""
+    us = us.cast("long")
+    rest = (us % scale) * 100 % scale
+    cents = ((us * 100 - rest) / scale).cast("long")
+    # at a tie in decimals the double may lie above or below it: both sides times scale and 2 ** 52, without the whole part
+    whole = F.floor(us / scale)
+    fraction = ((us.cast("double") / scale - whole.cast("double")) * 2.0**52).cast("long").cast("decimal(19,0)") * scale
+    exact = (us - whole * scale).cast("decimal(7,0)") * F.lit(2**52).cast("decimal(16,0)")
+    odd = cents.bitwiseAND(1) == 1
+    up = (2 * rest > scale) | ((2 * rest == scale) & ((fraction > exact) | ((fraction == exact) & odd)))
+    cents = cents + up.cast("long")
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def format_duration(c) -> Column:
     """P7"""
     us = col(c)
     return (
         F.when(us < 1000, F.concat(us.cast("string"), F.lit(" µs")))
-        .when(us < 1_000_000, F.format_string("%.2f ms", us.cast("double") / 1000.0))
-        .otherwise(F.format_string("%.2f s", us.cast("double") / 1e6))
+        .when(us < 1_000_000, F.concat(two_decimals(us, 1000), F.lit(" ms")))
+        .otherwise(F.concat(two_decimals(us, 1_000_000), F.lit(" s")))
     )
 
 

@@ -62,6 +62,11 @@ UNFED = (
     "requests_per_second responses_per_second new_flows_per_second closed_flows_per_second"
 ).split()
 UNFED_HISTOGRAMS = ("client_wait_microseconds", "server_wait_microseconds")
+#: (family, value): gauges of what a slot adds a second. Only UDP has a producer of them.
+UDP_RATES = (("bytes_per_second", "packet_size"), ("packets_per_second", "1"))
+TCP_UNFED = [*UNFED, *(name for name, _ in UDP_RATES)]
+UDP_UNFED = sorted({*UNFED, *(f[0] for f in (*TCP_COUNTERS, ACTIVE, *TCP_LAST))} - {f[0] for f in UDP_COUNTERS})
+UDP_UNFED_HISTOGRAMS = (*(f[0] for f in TCP_HISTOGRAMS), *UNFED_HISTOGRAMS)
 SCRAPE_S = 15
 
 
@@ -177,7 +182,7 @@ class Registry:
         self.families.append((name, where, value))
 
 
-def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(), histograms=(), states: bool = False, unfed=(), unfed_histograms=(), step: int = SCRAPE_S, store=None) -> DataFrame:
+def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(), histograms=(), states: bool = False, unfed=(), unfed_histograms=(), step: int = SCRAPE_S, store=None, rates=()) -> DataFrame:
     """G-A23, T11: name, labels, ts_s, value of every family on a grid of step seconds.
 
     Unlabelled families have a row on each slot from the first, labelled ones from the slot of their first event.
@@ -189,6 +194,7 @@ def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(
     if "saddr" in events.columns:
         rows = rows.withColumn("sock_order", F.struct("saddr", "daddr", "sport", "dport"))
     aggs = [added(f) for f in (*counters, *gauges)] + [last(f) for f in last_values]
+    aggs += [added((name, "true", value)) for name, value in rates]
     for name, where, value in histograms:
         aggs += [F.count_if(F.expr(f"({where}) and {value} <= {b}")).cast("long").alias(f"{name}_bucket|{b}") for b in BOUNDS]
         aggs += [F.count_if(F.expr(where)).cast("long").alias(f"{name}_bucket|+Inf"), added((f"{name}_sum", where, value)), F.count_if(F.expr(where)).cast("long").alias(f"{name}_count")]
@@ -200,7 +206,7 @@ def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(
         by_state_sums = store(by_state_sums) if states else None
     grid = wide.agg(F.sequence(F.min("slot"), F.max("slot"), F.lit(step).cast("long")).alias("s")).select(F.explode("s").alias("slot"))
     full = grid.join(wide, "slot", "left")
-    summed = [a for a in wide.columns if a != "slot" and a not in {x[0] for x in last_values}]
+    summed = [a for a in wide.columns if a != "slot" and a not in {x[0] for x in (*last_values, *rates)}]
     cells = [F.struct(F.lit(c).alias("series"), F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias("d")) for c in summed]
     long = full.select("slot", F.inline(F.array(*cells)))
     by_series = Window.partitionBy("series").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
@@ -215,6 +221,9 @@ def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(
         rows_l = full.select("slot", F.inline(F.array(*kept)))
         seen = F.coalesce(F.last("d", ignorenulls=True).over(by_series), F.lit(0.0))
         out = out.unionByName(rows_l.select(F.concat(F.lit(prefix), "series").alias("name"), none.alias("labels"), F.col("slot").alias("ts_s"), seen.alias("value")))
+    if rates:
+        cells = [F.struct(F.lit(prefix + n).alias("name"), (F.coalesce(F.col(n), F.lit(0)) / step).alias("value")) for n, _ in rates]
+        out = out.unionByName(full.select(F.col("slot").alias("ts_s"), F.inline(F.array(*cells))).withColumn("labels", none))
     if states:
         seen = by_state_sums
         every = seen.groupBy("state").agg(F.min("slot").alias("since")).join(F.broadcast(grid.agg(F.max("slot").alias("until"))))
@@ -233,11 +242,11 @@ def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(
 
 
 def tcp_samples(matched: DataFrame, store=None) -> DataFrame:
-    return samples(matched, "tcp", TCP_COUNTERS, (ACTIVE,), TCP_LAST, TCP_HISTOGRAMS, True, UNFED, UNFED_HISTOGRAMS, store=store)
+    return samples(matched, "tcp", TCP_COUNTERS, (ACTIVE,), TCP_LAST, TCP_HISTOGRAMS, True, TCP_UNFED, UNFED_HISTOGRAMS, store=store)
 
 
 def udp_samples(udp: DataFrame) -> DataFrame:
-    return samples(udp, "udp", UDP_COUNTERS)
+    return samples(udp, "udp", UDP_COUNTERS, unfed=UDP_UNFED, unfed_histograms=UDP_UNFED_HISTOGRAMS, rates=UDP_RATES)
 
 
 def with_labels(rows: DataFrame, labels: dict[str, str]) -> DataFrame:

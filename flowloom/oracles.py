@@ -35,7 +35,7 @@ def last(f) -> str:
     return f"arg_max(cast({value} as double), (ts_ns, seq, saddr, daddr, sport, dport)) filter (where {where}) {name}"
 
 
-def samples_cte(rel: str, protocol: str, counters, lasts=(), histograms=(), states=False, unfed=(), unfed_histograms=(), name: str = "s") -> str:
+def samples_cte(rel: str, protocol: str, counters, lasts=(), histograms=(), states=False, unfed=(), unfed_histograms=(), name: str = "s", rates=()) -> str:
     """name(name, le, state, ts_s, value) over rel."""
     slot = "case when ts_ns % 15000000000 = 0 then ts_ns // 1000000000 else (ts_ns // 15000000000 + 1) * 15 end"
     series = [(n, "", w, v) for n, w, v in counters]
@@ -55,6 +55,9 @@ def samples_cte(rel: str, protocol: str, counters, lasts=(), histograms=(), stat
     if states:
         out += f""", {name}t as (select slot, {state_sql('tcp_state')} state, count(*) d from {name}e where event_type = 2 group by all), {name}u as (select state, min(slot) since from {name}t group by state)"""
         parts.append(f"select 'network_{protocol}_connections_by_state', '', u.state, g.slot, sum(cast(coalesce(d, 0) as double)) over (partition by u.state order by g.slot) from {name}g g join {name}u u on g.slot >= u.since left join {name}t x on x.slot = g.slot and x.state = u.state")
+    for n, v in rates:
+        out += f""", {name}r_{n} as (select slot, sum({v}) d from {name}e group by slot)"""
+        parts.append(f"select 'network_{protocol}_{n}', '', '', g.slot, cast(coalesce(d, 0) as double) / 15 from {name}g g left join {name}r_{n} x on x.slot = g.slot")
     zeros = [(n, "") for n in unfed] + [(f"{n}_bucket", str(b)) for n in unfed_histograms for b in (*M.BOUNDS, "+Inf")] + [(f"{n}_{x}", "") for n in unfed_histograms for x in ("sum", "count")]
     if zeros:
         values = ", ".join(f"('network_{protocol}_{n}', '{le}')" for n, le in zeros)
@@ -69,7 +72,7 @@ def state_sql(c: str) -> str:
 
 
 def tcp_samples_cte() -> str:
-    return samples_cte("m", "tcp", (*M.TCP_COUNTERS, M.ACTIVE), M.TCP_LAST, M.TCP_HISTOGRAMS, True, M.UNFED, M.UNFED_HISTOGRAMS, "st")
+    return samples_cte("m", "tcp", (*M.TCP_COUNTERS, M.ACTIVE), M.TCP_LAST, M.TCP_HISTOGRAMS, True, M.TCP_UNFED, M.UNFED_HISTOGRAMS, "st")
 
 
 def all_samples() -> str:

@@ -38,7 +38,7 @@ RULES = {
     "a5": Rule("FrequentTCPReset", tcp("server_reset"), ">", 20, 120, 30, "warning", "error", "RST rate: {h}/s"),
     "a6": Rule("HighSYNRetransmissionRate", tcp("client_syn_repeat"), ">", 5, 120, 30, "warning", "connectivity", "SYN retrans rate: {h}/s"),
     "a7": Rule("ServerQueueOverflow", tcp("server_queue_overflow"), ">", 1, 60, 30, "critical", "capacity", "Queue overflow rate: {h}/s. Consider increasing tcp_max_syn_backlog."),
-    "a8": Rule("ObserverAgentDown", ("instant", "up"), "==", 0, 60, 60, "critical", "availability", "Observer agent has been down for more than 1 minute"),
+    "a8": Rule("AgentDown", ("instant", "up"), "==", 0, 60, 60, "critical", "availability", "No sample from the agent for a minute"),
     "a9": Rule("TooManyActiveConnections", ("instant", "network_tcp_active_flows"), ">", 50000, 300, 60, "warning", "capacity", "Active connections: {v} (threshold: 50000)"),
 }
 

@@ -39,6 +39,8 @@ def through_store(spark, df, label, fmt="parquet", **options):
     """df written to the shared folder, as the cluster names it; returns the folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="flowloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at}/flowloom-{label}-{uuid.uuid4().hex}"
@@ -51,12 +53,19 @@ def stored(df):
     return df.sparkSession.read.schema(df.schema).parquet(through_store(df.sparkSession, df, "metrics"))
 
 
-HISTORY: dict[tuple[str, str, str], str] = {}
+HISTORY: dict[tuple, str] = {}
+SOURCES = ("orders", "lineitem", "events", "customer", "supplier")
+
+
+def version_of(spark, d):
+    """The files that events are derived from, with their times; the history is written anew when they change."""
+    files = [spark.read.parquet(f"{d}/{t}.parquet").select("_metadata.file_path", "_metadata.file_modification_time").distinct() for t in SOURCES]
+    return tuple(sorted((r[0], str(r[1])) for f in files for r in f.collect()))
 
 
 def samples_of(spark, d, protocol):
     """The metric history of a protocol: written once for a folder of tables and session, then read by every query."""
-    key = (spark.sparkContext.applicationId, d, protocol)
+    key = (spark.sparkContext.applicationId, version_of(spark, d), protocol)
     if key not in HISTORY:
         rows = M.tcp_samples(matched(spark, d), stored) if protocol == "tcp" else M.udp_samples(table(spark, d, "udp"))
         HISTORY[key] = through_store(spark, rows, "history")
@@ -202,17 +211,28 @@ def names(spark, d):
     return f.select("k", S.parse_comm("comm").alias("process"), S.bytes_to_string("comm").alias("first_part"))
 
 
-@query("q_p6_formats", O.base("flows") + """ select k, case when t0 < 1024 then t0 || ' B' when t0 < 1048576 then printf('%.2f KB', t0 / 1024.0::double) when t0 < 1073741824 then printf('%.2f MB', t0 / 1048576.0::double) when t0 < 1099511627776 then printf('%.2f GB', t0 / 1073741824.0::double) else printf('%.2f TB', t0 / 1099511627776.0::double) end size_text, srv + cli < 1000 short from flows where k % 8 <> 0""")
+@query("q_p6_formats", O.base("flows") + """ select k, case when t0 < 1024 then t0 || ' B' when t0 < 1048576 then printf('%.2f KB', t0 / 1024.0::double) when t0 < 1073741824 then printf('%.2f MB', t0 / 1048576.0::double) when t0 < 1099511627776 then printf('%.2f GB', t0 / 1073741824.0::double) else printf('%.2f TB', t0 / 1099511627776.0::double) end size_text, srv + cli < 1000 short from flows""")
 def formats(spark, d):
-    return table(spark, d, "flows").where("k % 8 <> 0").select("k", S.format_bytes("t0").alias("size_text"), (F.col("srv") + F.col("cli") < 1000).alias("short"))
+    return table(spark, d, "flows").select("k", S.format_bytes("t0").alias("size_text"), (F.col("srv") + F.col("cli") < 1000).alias("short"))
 
 
 @query("q_p6_formats_all_flows", O.base("flows") + """ select k, case when t0 < 1024 then t0 || ' B' when t0 < 1048576 then printf('%.2f KB', t0 / 1024.0::double) when t0 < 1073741824 then printf('%.2f MB', t0 / 1048576.0::double) when t0 < 1099511627776 then printf('%.2f GB', t0 / 1073741824.0::double) else printf('%.2f TB', t0 / 1099511627776.0::double) end size_text, srv + cli < 1000 short from flows""")
 def all_formats(spark, d):
-    """Every flow; q_p6_formats leaves out one in eight, as its SQL does."""
+    """Every flow, as in q_p6_formats, which kept its name."""
     return table(spark, d, "flows").select("k", S.format_bytes("t0").alias("size_text"), (F.col("srv") + F.col("cli") < 1000).alias("short"))
 
 
+TICKS = "(t0 * 125 + k * 5) % 90000000"
+
+
+@query("q_p7_durations", O.base("flows") + f""", u as (select k, {TICKS} us from flows) select k, case when us < 1000 then us || ' µs' when us < 1000000 then printf('%.2f ms', us / 1000.0::double) else printf('%.2f s', us / 1000000.0::double) end duration,
+ case when us = 0 then '0' when us < 1000 then us || 'µs' when us < 1000000 then printf('%.2fms', us / 1000.0::double) else printf('%.2fs', us / 1000000.0::double) end short from u""")
+def durations(spark, d):
+    """P7 and P8 on times many of which are ties at two decimals."""
+    ticks = table(spark, d, "flows").selectExpr("k", f"{TICKS} us")
+    return ticks.select("k", S.format_duration("us").alias("duration"), S.micros_to_string("us").alias("short"))
+
+
 @query("q_p14_code_names", O.base("tcp") + f" select event_type, {O.state_sql('tcp_state')} state, {PROTO} protocol, {DIR} direction, count(*) n from tcp group by all")
 def code_names(spark, d):
     keys = ["event_type", S.tcp_state_name("tcp_state").alias("state"), S.protocol_name("protocol").alias("protocol"), S.direction_name("direction").alias("direction")]
@@ -372,7 +392,7 @@ def tcp_sample_rows(spark, d):
     return flat(M.tcp_samples(matched(spark, d), stored))
 
 
-@query("q_ga23_udp_samples", O.base("udp") + ", " + O.samples_cte("udp", "udp", M.UDP_COUNTERS) + SAMPLES)
+@query("q_ga23_udp_samples", O.base("udp") + ", " + O.samples_cte("udp", "udp", M.UDP_COUNTERS, unfed=M.UDP_UNFED, unfed_histograms=M.UDP_UNFED_HISTOGRAMS, rates=M.UDP_RATES) + SAMPLES)
 def udp_sample_rows(spark, d):
     return flat(M.udp_samples(table(spark, d, "udp")))
 
@@ -473,6 +493,13 @@ for _r in rules.RULES:
         def _rule(spark, d, r=_r):
             return rules.evaluate_rule(rules.RULES[r], tcp_samples(spark, d), TRIED.get(r)).select("alert", "t", F.round("value", 6).alias("value"), "state", "active_since", "severity")
 
+        if TRIED.get(_r, rules.RULES[_r].threshold) != rules.RULES[_r].threshold:
+
+            @query(f"q_{_r}_{rules.RULES[_r].name.lower()}_as_stated", O.rule(_r, None))
+            def _stated(spark, d, r=_r):
+                """The rule at its own threshold."""
+                return rules.evaluate_rule(rules.RULES[r], tcp_samples(spark, d)).select("alert", "t", F.round("value", 6).alias("value"), "state", "active_since", "severity")
+
 
 UP = O.base("udp") + """, x as (select distinct 'agent' || (pid % 8) instance, (ts_ns // 15000000000) * 15 ts_s from udp), g as (select unnest(range(min(ts_s), max(ts_s) + 15, 15)) ts_s from x), i as (select distinct instance from x),
  u as (select g.ts_s, i.instance, x.instance is null down from g cross join i left join x on x.ts_s = g.ts_s and x.instance = i.instance) select instance, count(*) slots, count(*) filter (where down) down from u group by instance"""

@@ -252,3 +252,14 @@ def test_every_flow_is_formatted(spark, sf):
     got = entry.queries()["q_p6_formats_all_flows"](spark, sf)
     flows_ = spark.read.parquet(f"{sf}/orders.parquet").count()
     assert got.count() == flows_ and got.where("k % 8 = 0").count() > 0
+
+
+def test_texts_of_ties(spark):
+    """Rounded by the exact binary value, ties to even, as printf of C and Go."""
+    want = {1152: "1.12 KB", 1408: "1.38 KB", 1023: "1023 B"}
+    got = spark.createDataFrame([(n,) for n in want], "n long").select("n", S.format_bytes("n").alias("t")).collect()
+    assert {r.n: r.t for r in got} == want
+    ticks = [999, 1000, 1125, 1375, 1005, 999995, 1005000, 1015000, 1125000, 2675000, 4 * 10**12 + 5000, 7 * 10**9 + 125000]
+    text = lambda us: f"{us} µs" if us < 1000 else "%.2f ms" % (us / 1000) if us < 10**6 else "%.2f s" % (us / 10**6)
+    got = spark.createDataFrame([(n,) for n in ticks], "n long").select("n", S.format_duration("n").alias("t")).collect()
+    assert {r.n: r.t for r in got} == {n: text(n) for n in ticks}
