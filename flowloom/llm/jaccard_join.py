@@ -30,7 +30,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.arrow import mapped, numbers
@@ -39,6 +40,8 @@ from flowloom.llm.common import NO_ID, rows, written
 WORDS, PERCENT, CROWD, ROUNDS, PIVOTS = 5, 75, 24, 3, 3
 #: Keys that a task gathers before it hands them on; 64-bit words of a parity bitmap.
 GATHERED, BITMAP = 2_000_000, 8
+#: Bits of the sketch of chosen rows (8 MB, whatever the input), in groups as the bitmap functions build them.
+SKETCH, GROUP = 2**26, 32768
 #: Kinds of rows of the first exchange, beside counts: a key of one document, a key known to be shared.
 KEY, SHARED = -1, -2
 #: Stands for the frequency of a shingle at the edge of a partition, which is not counted.
@@ -164,14 +167,47 @@ def alive(docs: DataFrame, first: DataFrame, words: int = WORDS, percent: int =
     return first.join(counts, "seq1").where("met >= least * blocks").drop("met", "blocks")
 
 
+def sketch_place() -> Column:
+    return F.pmod(F.xxhash64("did", "row_hash"), F.lit(SKETCH))
+
+
+def sketch_of(chosen: DataFrame) -> np.ndarray:
+    """A bit for the hash of each row of chosen, as bytes; built by groups in Spark, of one size for every input."""
+    place = chosen.select(sketch_place().alias("h")).select(F.floor(F.col("h") / GROUP).alias("part"), (F.col("h") % GROUP).alias("bit"))
+    out = np.zeros(SKETCH // 8, np.uint8)
+    for part, bits in place.groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():
+        out[part * GROUP // 8 : (part + 1) * GROUP // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def likely_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """did, row_hash, packed (compressed text) of the rows of docs that the sketch of chosen does not rule out.
+
+    This only lessens what the next exchange carries: with tens of millions of chosen rows the sketch fills up, and
+    more texts pass. Whether a row is chosen is decided by the join that follows.
+    """
+    sketch = docs.sparkSession.sparkContext.broadcast(sketch_of(chosen))
+
+    def work(batches):
+        compress = zstandard.ZstdCompressor(level=5).compress
+        for batch in batches:
+            h = numbers(batch, "h")
+            own = batch.filter(pa.array((sketch.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+            packed = pa.array([compress(b) for b in own.column("body").to_pylist()], pa.binary())
+            yield {"did": own.column("did"), "row_hash": own.column("row_hash"), "packed": packed}
+
+    return mapped(keyed(docs).withColumn("h", sketch_place()), work, "did long, row_hash long, packed binary")
+
+
 def whole_sets(docs: DataFrame, chosen: DataFrame, words: int = WORDS) -> DataFrame:
     """node, members (distinct hashes), bits (parity bitmap) of the rows in chosen (did, row_hash, node)."""
 
     def work(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = batch.column("body").to_pylist()
+            texts = batch.column("packed").to_pylist()
             for i in range(0, len(texts), 500):
-                sets = [shingles(b, words) for b in texts[i : i + 500]]
+                sets = [shingles(unpack(b), words) for b in texts[i : i + 500]]
                 edges = np.cumsum([0, *map(len, sets)]).astype("i4")
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 bits = np.zeros((len(sets), 64 * BITMAP), np.uint8)
@@ -184,7 +220,7 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, words: int = WORDS) -> DataFr
                     "bits": pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, BITMAP, "i4")), pa.array(packed.ravel())),
                 }
 
-    texts = keyed(docs).join(chosen.select("did", "row_hash", "node"), ["did", "row_hash"]).select("node", "body")
+    texts = likely_texts(docs, chosen).join(chosen, ["did", "row_hash"]).select("node", "packed")
     return mapped(texts, work, "node long, members array<bigint>, bits array<bigint>")
 
 
@@ -278,12 +314,13 @@ def counted(cells: DataFrame) -> DataFrame:
     return cells.join(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("g")), "cell")
 
 
-def unlinked_pairs(cells: DataFrame, percent: int) -> DataFrame:
+def unlinked_pairs(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """x < y: the pairs of each cell that may be linked, are not in one group, and have a document at home there."""
     columns = ["cell", "node", "n", "place", "bits", "root", "home", "far"]
     near = f"abs(a.far - b.far) <= {1 - percent / 100 + 1e-9}"
     places = f"{100 + percent} * (1 + least(a.n - a.place, b.n - b.place)) >= {percent} * (a.n + b.n)"
     once = "a.home and (a.node < b.node or not b.home)"
+    cells = cells.join(bits.select("node", "bits"), "node")
     joined = cells.select(columns).alias("a").join(cells.select(columns).alias("b"), F.expr(f"a.cell = b.cell and a.root != b.root and {once} and {near} and {places} and {alike(percent)}"))
     return joined.selectExpr("least(a.node, b.node) as x", "greatest(a.node, b.node) as y")
 
@@ -301,7 +338,7 @@ def linked(got: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, first: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
     """u, v: links between the nodes of first that join every group of linked ones; not all pairs of a group."""
-    chosen = written(alive(docs, first, words, percent), "may-be-linked")
+    chosen = written(alive(docs, first, words, percent).select("did", "row_hash", "node"), "may-be-linked")
     sets = written(whole_sets(docs, chosen, words), "sets")
     bits = written(sets.select("node", F.size("members").alias("n"), "bits").distinct(), "bitmaps")
     cells = written(rooted(sets, percent), "prefixes")
@@ -311,17 +348,17 @@ def links(docs: DataFrame, first: DataFrame, words: int = WORDS, percent: int =
     ask = ask.join(bits.alias("a"), "node").join(bits.alias("b"), F.expr("pivot = b.node")).where(alike(percent)).select(F.col("a.node").alias("x"), F.col("pivot").alias("y"))
     found = written(linked(overlaps(written(ask, "pivot-pairs"), sets), percent), "links")
     cells = open_cells(cells.withColumn("old", F.expr("node = pivot")).drop("pivot", "g"), found)
-    cells = counted(cells.join(bits.select("node", "bits"), "node").withColumn("home", F.lit(True)).withColumn("far", F.lit(0.0)))
+    cells = counted(cells.withColumn("home", F.lit(True)).withColumn("far", F.lit(0.0)))
     candidates = []
     for _ in range(rounds):
-        candidates.append(unlinked_pairs(cells.where(F.col("g") < crowd), percent))
+        candidates.append(unlinked_pairs(cells.where(F.col("g") < crowd), bits, percent))
         cells = cells.where(F.col("g") >= crowd)
         if not cells.limit(1).count():
             break
         cells, new = divided(cells, sets, percent)
         found = written(found.unionByName(new), "links")
         cells = counted(open_cells(cells, found))
-    candidates.append(unlinked_pairs(cells, percent))
+    candidates.append(unlinked_pairs(cells, bits, percent))
     exact = overlaps(written(union(candidates).distinct(), "candidates"), sets)
     return found.unionByName(linked(exact, percent))
 
