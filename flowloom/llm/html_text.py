@@ -41,8 +41,9 @@ FOREIGN = frozenset(["svg", "math"])
 EMBEDDED = FOREIGN | {"object"}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    rf"|<({'|'.join(RAW)})\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"|<({'|'.join(RAW)})\b[^<>]*>.*?(?:</\1\s*>|\Z)"
+    # a quoted value ends where an attribute may end; if there is no such end, the tag ends at its first >
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]{0,2000}\"(?=[\s/>])|'[^']{0,2000}'(?=[\s/>]))*|[^<>]*)>",
     re.S | re.I,
 )
 NAMES = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

@@ -1,6 +1,7 @@
 """Every corpus operator on hard small cases, against brute force, exact round trips or held-out rows."""
 
 import hashlib
+import time
 import zlib
 from collections import defaultdict
 
@@ -314,6 +315,17 @@ def test_bpe_of_long_words(spark):
     assert got == {k: (encode(t), t.encode()) for k, t in enumerate(texts)}
 
 
+def test_broken_markup():
+    """Unclosed tags and quotes cost time in proportion to the page, and lose no paragraph."""
+    began = time.perf_counter()
+    for piece in ("<a x ", '<a x="', '<a x=" ', "<script ", "<", "<a '"):
+        html_text.leaf_blocks(piece * (200_000 // len(piece)))
+    assert time.perf_counter() - began < 20
+    texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
+    assert texts('<p class="x>One two.</p><p class="y>Three.</p>') == ["One two.", "Three."]
+    assert texts("<p><img alt=\"a > b < c\" title='>'>One.</p>") == ["One."]
+
+
 def test_html_extraction(spark):
     page = (
         '<html><head><title>T</title><script>var a = "<p>x</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>'
