@@ -40,21 +40,23 @@ ROUNDS, STEPS, BATCH, SEED = 3, 140, 160, 11
 #: Words a task keeps in its table, and windows scored at once.
 TABLE, AT_ONCE = 150_000, 1024
 WORD = re.compile(r"\w+")
+#: A checksum of three bytes is what each has at its place, combined by exclusive or; the first holds the constant part.
+CRC = [np.array([zlib.crc32(bytes([b if i == k else 0 for i in range(3)])) ^ (k and zlib.crc32(bytes(3))) for b in range(256)]) for k in range(3)]
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def trigrams(word: str) -> list[int]:
-    w = f"<{word}>".encode()
-    return [zlib.crc32(w[i : i + 3]) % TRIGRAMS for i in range(max(1, len(w) - 2))]
-
-
 def pieces_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The trigrams of all words in a row, and how many each word has."""
-    own = [trigrams(w) for w in words]
-    return np.array([t for x in own for t in x], np.int64), np.array([len(x) for x in own], np.int64)
+    """The hashed trigrams of all words in a row, and how many each word has: of its bytes between two marks, at least one."""
+    own = [w.encode() for w in words]
+    size = np.array([len(w) for w in own], np.int64)
+    many = np.maximum(size, 1)
+    buf = np.frombuffer(b"<" + b"><".join(own) + b">\0", np.uint8)
+    hashed = (CRC[0][buf[:-2]] ^ CRC[1][buf[1:-1]] ^ CRC[2][buf[2:]]) % TRIGRAMS
+    begin = np.cumsum(size + 2) - (size + 2)
+    return hashed[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())], many
 
 
 def squash(x):
@@ -166,35 +168,45 @@ class Network:
     def sliding(self, gates: np.ndarray, stride: int = STRIDE) -> np.ndarray:
         """The logits of the windows over gates (positions, 2, 3 SIZE) that begin at every stride-th position."""
         n, p = (len(gates) - WINDOW) // stride + 1, self.p
-        half = np.repeat(np.array([0.5, 1], np.float32), [2 * SIZE, SIZE])  # squash(x) is 0.5 + 0.5 tanh(x / 2)
-        full = np.zeros((-(-len(gates) // stride) * stride, 2, 3 * SIZE), np.float32)
-        np.multiply(gates, half, out=full[: len(gates)])
+        scale = np.repeat(np.array([-1, 2], np.float32), [2 * SIZE, SIZE])  # squash(x) is 1 / (1 + exp(-x)), tanh(x) is 1 - 2 / (1 + exp(2 x))
+        if len(gates) % stride:
+            gates = np.concatenate([gates, np.zeros((-len(gates) % stride, 2, 3 * SIZE), np.float32)])
         # by direction, gate and place in a stride, so that a step reads neighbours
-        x = np.ascontiguousarray(full.reshape(-1, stride, 2, 3 * SIZE).transpose(2, 1, 3, 0))
-        att, out = np.empty((WINDOW, SIZE, n), np.float32), np.empty((WINDOW, n), np.float32)
-        for d in (0, 1):
-            wh, own = (p["wh"][d] * half).T.copy(), slice(d * SIZE, (d + 1) * SIZE)
-            gate, cell, say = wh[: 2 * SIZE], wh[2 * SIZE :], np.vstack([p["att"][own].T, p["out"][own]])
-            h = np.zeros((SIZE, n), np.float32)
-            for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
-                read = x[d, t % stride, :, t // stride : t // stride + n]
-                zr = gate @ h
-                zr += read[: 2 * SIZE]
-                np.tanh(zr, out=zr)
-                zr *= 0.5
-                zr += 0.5
-                c = cell @ (zr[SIZE:] * h)
-                c += read[2 * SIZE :]
-                np.tanh(c, out=c)
-                c -= h
-                c *= zr[:SIZE]
-                h += c
-                said = say @ h
-                if d == 0:
-                    att[t], out[t] = said[:SIZE], said[SIZE]
-                else:
-                    att[t] += said[:SIZE]
-                    out[t] += said[SIZE]
+        x = np.empty((2, stride, 3 * SIZE, len(gates) // stride), np.float32)
+        np.multiply(gates.reshape(-1, stride, 2, 3 * SIZE).transpose(2, 1, 3, 0), scale[:, None], out=x)
+        att, out = np.zeros((WINDOW, SIZE, n), np.float32), np.zeros((WINDOW, n), np.float32)
+        seen, zr = np.empty((3 * SIZE + 1, n), np.float32), np.empty((2 * SIZE, n), np.float32)
+        c, rh = np.empty((SIZE, n), np.float32), np.empty((SIZE, n), np.float32)
+        with np.errstate(over="ignore"):
+            for d in (0, 1):
+                wh, own = (p["wh"][d] * scale).T, slice(d * SIZE, (d + 1) * SIZE)
+                # one product of a state gives the gates of the next step and what it says to attention and outcome
+                looks, cell = np.vstack([wh[: 2 * SIZE], p["att"][own].T, p["out"][None, own]]), wh[2 * SIZE :].copy()
+                h, before = np.zeros((SIZE, n), np.float32), None
+                for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
+                    read = x[d, t % stride, :, t // stride : t // stride + n]
+                    np.matmul(looks, h, out=seen)
+                    if before is not None:
+                        att[before] += seen[2 * SIZE : 3 * SIZE]
+                        out[before] += seen[3 * SIZE]
+                    before = t
+                    np.add(seen[: 2 * SIZE], read[: 2 * SIZE], out=zr)
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    np.multiply(zr[SIZE:], h, out=rh)
+                    np.matmul(cell, rh, out=c)
+                    c += read[2 * SIZE :]
+                    np.exp(c, out=c)
+                    c += 1
+                    np.divide(-2, c, out=c)
+                    c += 1
+                    c -= h
+                    c *= zr[:SIZE]
+                    h += c
+                np.matmul(looks, h, out=seen)
+                att[before] += seen[2 * SIZE : 3 * SIZE]
+                out[before] += seen[3 * SIZE]
         a = np.einsum("i,tin->tn", p["ctx"], np.tanh(att, out=att))
         a = np.exp(a - a.max(axis=0))
         return (a * out).sum(axis=0) / a.sum(axis=0) + p["bias"][0]
@@ -218,15 +230,16 @@ class Scorer:
         self.table = np.zeros((1024, 2, 3 * SIZE), np.float32)
 
     def ids(self, words: list[str]) -> list[int]:
-        at = self.at
-        new = [w for w in dict.fromkeys(words) if w not in at]
-        if new:
-            while self.size + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.size : self.size + len(new)] = self.net.gates(self.net.inputs(new))
-            at.update(zip(new, range(self.size, self.size + len(new))))
-            self.size += len(new)
-        return [at[w] for w in words]
+        ids = list(map(self.at.get, words))
+        if None not in ids:
+            return ids
+        new = list(dict.fromkeys([w for w, i in zip(words, ids) if i is None]))
+        while self.size + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.size : self.size + len(new)] = self.net.gates(self.net.inputs(new))
+        self.at.update(zip(new, range(self.size, self.size + len(new))))
+        self.size += len(new)
+        return list(map(self.at.__getitem__, words))
 
     def along(self, ids: np.ndarray) -> np.ndarray:
         """The logits of the windows of ids that begin at every STRIDE-th position."""
