@@ -13,7 +13,8 @@ strings have equal minimizers, so they meet in one bucket, wherever they lie.
 4. Ranges are gathered by document and their bytes removed.
 
 Both exchanges carry compressed blobs, a few for each task and bucket; a string that a third of all documents
-hold is sent once for each 1.5 MB of text, not once for each document. Strings are compared by two 64-bit hashes.
+hold is sent once for each 1.5 MB of text, not once for each document. Buckets grow in number with the bytes of the
+input, so that one that a task holds does not grow. Strings are compared by two 64-bit hashes.
 
 Null and empty texts, and texts shorter than ``length``, keep everything. Rows that repeat a doc_id are one
 document: they never displace each other. A text is processed in segments, so its length is not bounded.
@@ -33,8 +34,8 @@ from flowloom.llm.arrow import OUT_ROWS, changed_texts, mapped
 from flowloom.llm.common import rows, shown_id, written
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text that a task works on at a time.
-CHUNK = 3 << 19
+#: Bytes of text that a task works on at a time, and bytes of the input for each bucket.
+CHUNK, BUCKET = 3 << 19, 24 << 20
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -145,6 +146,14 @@ def starts_of(*changes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def parts_of(buckets: np.ndarray):
+    """Each bucket there is, and its places, in order."""
+    if buckets.size:
+        order = np.argsort(buckets, kind="stable")
+        run = starts_of(buckets[order])
+        yield from zip(buckets[order[run]].tolist(), np.split(order, run[1:]))
+
+
 def by_bucket(batches):
     """(bucket, its blobs by kind) from rows sorted by bucket."""
     bucket, blobs = None, {}
@@ -199,16 +208,12 @@ def shared_minimizers(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 several = least != np.maximum.reduceat(did, run)
                 here = did != np.repeat(least, size)  # known to be shared, so no bucket needs them: spread
                 here_key, here_did = key[here], did[here]
-                for b in np.unique(here_did % buckets).tolist():
-                    of = here_did % buckets == b
+                for b, of in parts_of(here_did % buckets):
                     sent(out, b, 1, here_key[of], here_did[of])
                 key, did = key[run], least
-                edges = np.searchsorted(key, np.arange(buckets + 1, dtype=np.int64) << 32)
-                for b in range(buckets):
-                    of = slice(edges[b], edges[b + 1])
-                    if of.start < of.stop:
-                        # sorted fingerprints as differences, which compress
-                        sent(out, b, 0, np.diff(key[of] & 0xFFFFFFFF, prepend=0).astype("<u4"), did[of], several[of])
+                for b, of in parts_of(key >> 32):
+                    # sorted fingerprints as differences, which compress
+                    sent(out, b, 0, np.diff(key[of] & 0xFFFFFFFF, prepend=0).astype("<u4"), did[of], several[of])
             yield frame(out)
 
     def receive(batches):
@@ -269,25 +274,19 @@ def repeated_ranges(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 shift = (np.array(seg.start, np.int64) - seg.first)[segment]  # from the buffer to the text
                 hit = earlier(seg.buf, len(seg.buf) - length - 8, length, place, did[owner])
                 o, first, stop = ranges(owner[hit], (place + shift)[hit])
-                for b in np.unique(did[o] % buckets).tolist():
-                    x = did[o] % buckets == b
+                for b, x in parts_of(did[o] % buckets):
                     sent(out, b, 1, did[o[x]], row[o[x]], first[x], stop[x])
                 place, owner, key, shift = place[~hit], owner[~hit], key[~hit], shift[~hit]
                 if place.size:
                     run = starts_of(owner, key, place - np.arange(place.size))
                     count = np.diff(np.append(run, place.size))
-                    bucket = (key[run] >> 32).astype(np.int64)
                     raw = np.frombuffer(seg.buf, np.uint8)
-                    order = np.argsort(bucket, kind="stable")
-                    run, count, bucket = run[order], count[order], bucket[order]
-                    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                    for b in range(buckets):
-                        r, c = run[edges[b] : edges[b + 1]], count[edges[b] : edges[b + 1]]
-                        if r.size:
-                            size = c + length - 1
-                            take = np.repeat(place[r] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                            o = owner[r]
-                            sent(out, b, 0, raw[take], c.astype("<i4"), did[o], row[o], (place + shift)[r])
+                    for b, of in parts_of(key[run] >> 32):
+                        r, c = run[of], count[of]
+                        size = c + length - 1
+                        take = np.repeat(place[r] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                        o = owner[r]
+                        sent(out, b, 0, raw[take], c.astype("<i4"), did[o], row[o], place[r] + shift[r])
             yield frame(out)
 
     def receive(batches):
@@ -314,10 +313,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows(docs).select("did", F.xxhash64("body").alias("row_hash"), F.col("body").cast("binary").alias("body"))
 
 
+def bucket_count(docs: DataFrame, size: int = BUCKET) -> int:
+    """A bucket for each size bytes of text, and no fewer than two for each shuffle partition."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """did, row_hash, firsts, stops: the ranges of positions at which repeated strings begin; rows with some only."""
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed(docs)
+    buckets, texts = bucket_count(docs), keyed(docs)
     keys = written(shared_minimizers(texts, length, buckets), "shared-minimizers")
     keys = keys.groupBy("did").agg(F.collect_set("key").alias("keys"))
     found = written(repeated_ranges(packed_texts(docs).join(keys, "did"), length, buckets), "repeats")

@@ -286,6 +286,14 @@ def test_repeats(docs, none):
     assert repeat_dedup.repeat_digests(none).count() == 0
 
 
+def test_buckets_follow_the_input(docs, none, monkeypatch):
+    want, few = rows(repeat_dedup.repeat_digests(docs)), repeat_dedup.bucket_count(docs)
+    total = sum(len((t or "").encode()) for _, t in CASES)
+    assert repeat_dedup.bucket_count(none) == few == 8 and repeat_dedup.bucket_count(docs, total // 60) >= 60
+    monkeypatch.setattr(repeat_dedup, "bucket_count", lambda docs: 61)
+    assert rows(repeat_dedup.repeat_digests(docs)) == want
+
+
 def test_repeats_in_segments(spark, docs, monkeypatch):
     whole = rows(repeat_dedup.repeat_digests(docs))
     keyed = repeat_dedup.keyed(docs)
