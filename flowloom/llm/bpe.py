@@ -231,9 +231,9 @@ def encoded(docs: DataFrame, path: str = RANKS, words: int = WORDS) -> DataFrame
                 elif kinds[a] == 0:
                     flat, edges = np.zeros(0, "<i4"), np.zeros(1, "i8")
                 else:
-                    packed = numbers.slice(a, b - a)
-                    sizes = np.array([len(x) // 4 for x in packed.to_pylist()])
-                    of = np.frombuffer(b"".join(packed.to_pylist()), "<i4")
+                    packed = numbers.slice(a, b - a).to_pylist()
+                    sizes = np.array([len(x) // 4 for x in packed])
+                    of = np.frombuffer(b"".join(packed), "<i4")
                     length = edges[of + 1] - edges[of]
                     ends = np.cumsum(length)
                     ids = flat[np.repeat(edges[of] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
