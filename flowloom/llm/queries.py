@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from flowloom.llm.common import documents
-from flowloom.llm import bpe, exact_dedup, html_text, jaccard_join, language_id, line_dedup, packing, quality, repeat_dedup, toxicity
+from flowloom.llm import bpe, exact_dedup, html_text, jaccard_join, language_id, lexical_search, line_dedup, packing, quality, repeat_dedup, spelling, toxicity, window_dedup
 
 
 def op1_html_text(spark, sf_dir):
@@ -46,6 +46,18 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op11_window_dedup(spark, sf_dir):
+    return window_dedup.window_digests(documents(spark, sf_dir))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -59,7 +71,17 @@ QUERIES = {
         op8_quality_rules,
         op9_exact_dedup,
         op10_toxicity,
+        op11_window_dedup,
+        op12_spelling_variants,
+        op13_lexical_search,
     )
 }
 #: The others have no equivalent in SQL; tests/llm holds them against brute force or held-out rows.
-ORACLES = {"op2_line_dedup": line_dedup.oracle(), "op8_quality_rules": quality.oracle(), "op9_exact_dedup": exact_dedup.oracle()}
+ORACLES = {
+    "op2_line_dedup": line_dedup.oracle(),
+    "op8_quality_rules": quality.oracle(),
+    "op9_exact_dedup": exact_dedup.oracle(),
+    "op11_window_dedup": window_dedup.oracle(),
+    "op12_spelling_variants": spelling.oracle(),
+    "op13_lexical_search": lexical_search.oracle(),
+}
