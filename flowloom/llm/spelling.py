@@ -11,7 +11,8 @@
    (bound + 2) rarest, and so on. A list with more than a limit of words (at most ``DICTIONARY`` lists) is not merged;
    its words meet in the lists of that gram and one more, up to ``LEVELS`` grams. A pair is met once, at the first
    grams it shares.
-5. A pair that shares as many grams as both bounds ask for is verified by its edit distance.
+   Grams travel as 64-bit tokens that begin with how frequent they are, so their order is one for all words.
+5. The words of a list are verified by what is left of each without one character, so work follows their number.
 
 Every word has at most as many near words as there are single edits of it. A form occurs ten times as often as its
 word, so chains are as long as the digits of the largest count; their ends are found by doubling.
@@ -22,22 +23,25 @@ repeat a doc_id are counted each.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.arrow import mapped
+from flowloom.llm.arrow import OUT_ROWS, mapped
 from flowloom.llm.common import written
 
 LETTERS, LEAST_CHARS, LEAST_N = "A-Za-zÀ-ÿ", 7, 2
 DELETED, RATIO = 31, 10
-SHORT, LONGEST, FREQUENT, DICTIONARY = 3, 5, 50, 2**17
-LISTED, LEVELS = 500, 4
+SHORT, LONGEST, FREQUENT, DICTIONARY = 3, 5, 50, 2**18
+LISTED, LEVELS = 2000, 4
 #: Words that a task counts before it hands them on.
 COUNTED = 300_000
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -88,21 +92,27 @@ def marked(word: Column) -> Column:
     return F.concat(F.lit("^" * (SHORT - 1)), word, F.lit("$" * (SHORT - 1)))
 
 
+def all_grams(s: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(s) - size + 1), lambda k: F.substring(s, k, F.lit(size)))
+
+
 def frequent_grams(words: DataFrame, frequent: int = FREQUENT) -> dict[str, int]:
     """gram: count, for at most DICTIONARY grams."""
-    s = marked(F.col("word"))
-    grams = None
-    for q in range(SHORT, LONGEST + 1):
-        each = F.transform(F.sequence(F.lit(1), F.length(s) - q + 1), lambda k, q=q: F.substring(s, k, F.lit(q)))
-        grams = each if grams is None else F.concat(grams, each)
+    grams = F.concat(*[all_grams(marked(F.col("word")), q) for q in range(SHORT, LONGEST + 1)])
     total = words.agg(F.sum(F.length("word"))).first()[0] or 0
     total = (total + 2 * SHORT * words.count()) * (LONGEST - SHORT + 1)
     counts = words.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     return dict(map(tuple, counts.where(F.col("n") > max(frequent, total // DICTIONARY)).collect()))
 
 
-def grams_of(word: str, frequent: dict[str, int]) -> tuple[list[str], int]:
-    """The word's grams, rarest first, each with the number of its repeat, and the most that lie over one place."""
+def token(gram: str, repeat: int, frequent: dict[str, int]) -> int:
+    """A number for the gram and its repeat; rarer grams have smaller ones."""
+    n = frequent.get(gram)
+    return ((1 + int(64 * math.log2(n)) if n else 0) << 48) | (xxhash.xxh3_64_intdigest(f"{gram} {repeat}") & (2**48 - 1))
+
+
+def grams_of(word: str, frequent: dict[str, int]) -> tuple[list[int], int]:
+    """The word's grams as tokens, rarest first, and the most that lie over one place."""
     s = "^" * (SHORT - 1) + word + "$" * (SHORT - 1)
     found, over, met = [], [0] * len(s), Counter()
     for p in range(len(s) - SHORT + 1):
@@ -110,15 +120,15 @@ def grams_of(word: str, frequent: dict[str, int]) -> tuple[list[str], int]:
         while q < LONGEST and p + q < len(s) and s[p : p + q] in frequent:
             q += 1
         gram = s[p : p + q]
-        found.append((frequent.get(gram, 0), gram, met[gram]))
+        found.append(token(gram, met[gram], frequent))
         met[gram] += 1
         for k in range(p, p + q):
             over[k] += 1
-    return [f"{gram}{k or ''}" for _, gram, k in sorted(found)], max(over)
+    return sorted(found), max(over)
 
 
 def decomposed(words: DataFrame, frequent: dict[str, int]) -> DataFrame:
-    """word, n, grams (rarest first), bound"""
+    """word, n, rare (its bound + LEVELS rarest grams), bound; a word of LEAST_CHARS has so many grams."""
     shared = words.sparkSession.sparkContext.broadcast(frequent)
 
     def work(batches):
@@ -127,44 +137,88 @@ def decomposed(words: DataFrame, frequent: dict[str, int]) -> DataFrame:
             yield {
                 "word": batch.column("word"),
                 "n": batch.column("n"),
-                "grams": pa.array([g for g, _ in found], pa.list_(pa.string())),
+                "rare": pa.array([g[: b + LEVELS] for g, b in found], pa.list_(pa.int64())),
                 "bound": np.array([b for _, b in found], "i4"),
             }
 
-    return mapped(words, work, "word string, n long, grams array<string>, bound int")
+    return mapped(words, work, "word string, n long, rare array<bigint>, bound int")
+
+
+def single_edits(words: list[str]) -> set[tuple[int, int]]:
+    """Pairs of places of words at one edit: a word is another without a character, or both are equal without the same one."""
+    at, pairs, cuts = {w: i for i, w in enumerate(words)}, set(), defaultdict(list)
+    for i, w in enumerate(words):
+        for k in range(len(w)):
+            cut = w[:k] + w[k + 1 :]
+            cuts[k, cut].append(i)
+            if cut in at:
+                pairs.add((at[cut], i))
+    for group in cuts.values():
+        if len(group) > 1:
+            pairs.update(combinations(group, 2))
+    return pairs
+
+
+def merged(lists: DataFrame) -> DataFrame:
+    """a, a_n, b, b_n of the near words of each list (list, picked, word, n, rare) whose first shared grams are the list's."""
+
+    def work(batches):
+        out, names = [], ("picked", "word", "n", "rare")
+
+        def close(rows):
+            if len(rows) < 2:
+                return
+            for i, j in single_edits([r[1] for r in rows]):
+                (picked, a, a_n, a_rare), (other, b, b_n, b_rare) = rows[i], rows[j]
+                theirs = set(b_rare)
+                if picked == other == [g for g in a_rare if g in theirs][: len(picked)]:
+                    out.append((a, a_n, b, b_n))
+
+        def given():
+            a, a_n, b, b_n = zip(*out)
+            return {"a": pa.array(a, pa.string()), "a_n": np.array(a_n, "i8"), "b": pa.array(b, pa.string()), "b_n": np.array(b_n, "i8")}
+
+        key, rows = None, []
+        for batch in batches:
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("list", *names))):
+                if k != key:
+                    close(rows)
+                    key, rows = k, []
+                rows.append(row)
+            if len(out) >= OUT_ROWS:
+                yield given()
+                out = []
+        close(rows)
+        if out:
+            yield given()
+
+    return mapped(lists.repartition("list").sortWithinPartitions("list"), work, "a string, a_n long, b string, b_n long")
 
 
 def near_pairs(words: DataFrame, listed: int = LISTED, levels: int = LEVELS, frequent: int = FREQUENT) -> DataFrame:
     """a, a_n, b, b_n: every pair of words at one edit, once."""
     index = written(decomposed(words, frequent_grams(words, frequent)), "grams")
-    # at: the place of the list's last gram in the word's grams
-    lists = index.withColumn("at", F.explode(F.sequence(F.lit(1), F.least(F.col("bound") + 1, F.size("grams")))))
-    lists = lists.withColumn("list", F.array(F.element_at("grams", F.col("at"))))
+    rarest = F.posexplode(F.slice("rare", 1, F.col("bound") + 1))
+    # at: the place of the list's last gram among the word's grams
+    lists = index.select("word", "n", "rare", "bound", rarest.alias("at", "gram")).withColumn("picked", F.array("gram"))
     found = None
     for level in range(1, levels + 1):
-        lists = written(lists, "gram-lists")
+        lists = lists.withColumn("list", F.xxhash64("picked"))
         short = lists
         if level < levels:
-            limit = max(listed, lists.count() // DICTIONARY)
-            crowded = written(lists.groupBy("list").count().where(F.col("count") > limit).select("list"), "long-lists")
+            counts = written(lists.groupBy("list").count().where(F.col("count") > 1), "list-lengths")
+            limit = max(listed, (counts.agg(F.sum("count")).first()[0] or 0) // DICTIONARY)
+            crowded = written(counts.where(F.col("count") > limit).select("list"), "long-lists")
             short = lists.join(F.broadcast(crowded), "list", "left_anti")  # at most DICTIONARY rows
-        a = short.select("list", *[F.col(c).alias(f"a_{c}") for c in ("word", "n", "grams", "bound")])
-        b = short.select("list", *[F.col(c).alias(f"b_{c}") for c in ("word", "n", "grams", "bound")])
-        shared = F.array_intersect("a_grams", "b_grams")
-        asked = F.greatest(F.size("a_grams") - F.col("a_bound"), F.size("b_grams") - F.col("b_bound"))
-        lengths = F.abs(F.length("a_word") - F.length("b_word")) <= 1
-        first = F.slice(shared, 1, level) == F.col("list")
-        near = F.levenshtein("a_word", "b_word", 1) == 1
-        pairs = a.join(b, "list").where((F.col("a_word") < F.col("b_word")) & lengths & (F.size(shared) >= asked) & first & near)
-        pairs = pairs.select(F.col("a_word").alias("a"), "a_n", F.col("b_word").alias("b"), "b_n")
+        pairs = merged(short.select("list", "picked", "word", "n", F.slice("rare", 1, F.col("bound") + level).alias("rare")))
         found = pairs if found is None else found.unionByName(pairs)
         if level < levels:
             if not crowded.limit(1).count():
                 break
-            more = F.explode(F.sequence(F.col("at") + 1, F.col("bound") + level + 1)).alias("next")
-            left = lists.join(F.broadcast(crowded), "list", "left_semi").where(F.col("at") < F.least(F.col("bound") + level + 1, F.size("grams")))
-            left = left.select("word", "n", "grams", "bound", "list", more).where(F.col("next") <= F.size("grams"))
-            lists = left.select("word", "n", "grams", "bound", F.concat("list", F.array(F.element_at("grams", F.col("next")))).alias("list"), F.col("next").alias("at"))
+            left = lists.join(F.broadcast(crowded), "list", "left_semi").withColumn("place", F.col("at"))
+            later = F.posexplode(F.slice("rare", 1, F.col("bound") + level + 1))
+            left = left.select("word", "n", "rare", "bound", "picked", "place", later.alias("at", "gram")).where("at > place")
+            lists = written(left.withColumn("picked", F.concat("picked", F.array("gram"))).drop("place"), "gram-lists")
     return found
 
 

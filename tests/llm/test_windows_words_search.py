@@ -178,13 +178,14 @@ def test_variants_of_nothing(spark):
 
 def test_an_edit_changes_only_grams_over_its_place():
     some = random.Random(5)
-    frequent = {"".join(g): some.randrange(9) for g in {tuple(some.choice("ab^$") for _ in range(q)) for q in (3, 3, 3, 4, 4) for _ in range(40)}}
+    frequent = {"".join(g): some.randrange(9) for g in {tuple(some.choice("ab^$") for _ in range(q)) for q in (3, 3, 3, 4, 4) for _ in range(40)}}  # any grams may be frequent
     for _ in range(3000):
         a = "".join(some.choice("ab") for _ in range(some.randrange(6, 12)))
         k = some.randrange(len(a))
         b = some.choice([a[:k] + a[k + 1 :], a[:k] + "ab"[some.randrange(2)] + a[k:], a[:k] + "c" + a[k + 1 :]])
         (ga, na), (gb, nb) = spelling.grams_of(a, frequent), spelling.grams_of(b, frequent)
         assert len(set(ga) & set(gb)) >= max(len(ga) - na, len(gb) - nb)
+        assert len(set(ga[: na + 2]) & set(gb[: nb + 2])) >= 2
 
 
 ITEMS = [(1, "w1 w2 w3 W4, w5-w6 w6"), (2, None), (3, ""), (4, "nowhere"), (5, PASSAGE + " " + PASSAGE), (None, "naïve CAFÉ w9"), (5, "same"), (7, "w1")]
