@@ -28,13 +28,33 @@ union all
 select t0+5000000+ln*7000000, 3, saddr,daddr,sport,dport,0,0,0,0,0,0,sum(rt) over (partition by f.k order by ln), sum(rtb) over (partition by f.k order by ln),0,0,0,1,0,f.k from f join l on f.k=l.k where est=1 and rt>0
 union all
 select t0+60000000, 5, saddr,daddr,sport,dport,0,0,0,0,0,0,0,0,0,0,1,1,0,k from f where est=1 and k%50=7"""
-ZERO_LONG = "pid tid srt_mean srt_max zero_wnd_count zero_wnd_duration bytes_received packets_received".split()
+#: One of three stretches of ten minutes is a bad one: slow round trips, zero windows, repeated SYNs, resets.
+BAD = "ts_ns % 1800000000000 between 600000000000 and 1199999999999"
+CLOSED = "event_type = 2 and syn_rtt > 0"
+OWN = {
+    "rtt_mean": f"case when {CLOSED} and {BAD} then rtt_mean * 60 else rtt_mean end",
+    "rtt_max": f"case when {CLOSED} and {BAD} then rtt_max * 60 else rtt_max end",
+    "rst_count": f"case when {CLOSED} and {BAD} then rst_count + 30 + sock % 20 else rst_count end",
+    "tcp_state": "case when event_type = 2 and sock % 9 = 0 then 8 when event_type = 2 and sock % 9 = 1 then 9 else tcp_state end",
+    "srt_mean": f"case when {CLOSED} and sock % 4 <> 0 then 50 + (sock * 17) % 9000 else 0 end",
+    "srt_max": f"case when {CLOSED} and sock % 4 <> 0 then 50 + (sock * 17) % 9000 + (sock % 5) * 400 else 0 end",
+    "zero_wnd_count": f"case when {CLOSED} and {BAD} then 10 + sock % 30 when {CLOSED} and sock % 3 = 0 then 1 else 0 end",
+    "zero_wnd_duration": f"case when {CLOSED} and ({BAD} or sock % 3 = 0) then 700 + (sock * 29) % 5000 else 0 end",
+    "bytes_received": f"case when {CLOSED} then (sock * 131) % 100000 else 0 end",
+    "packets_received": f"case when {CLOSED} then 1 + sock % 40 else 0 end",
+    "direction": "case when sock % 5 = 2 then 0 else 1 end",
+    "syn_retrans": f"case when {CLOSED} and {BAD} then 20 + sock % 7 when {CLOSED} then sock % 3 else 0 end",
+    "timeout_flag": "case when event_type = 2 and sock % 21 = 4 then 1 else 0 end",
+    "pid": "1000 + sock % 30",
+    "tid": "1000 + sock % 30",
+    "comm": "'app'",
+    "protocol": "6",
+    "seq": "event_type",
+}
+INTS = "sport dport event_type rst_count tcp_state protocol direction syn_retrans timeout_flag".split()
 TCP = (
     "select "
-    + ", ".join(f"cast({c} as {'int' if c in ('sport', 'dport', 'event_type', 'rst_count', 'tcp_state') else 'bigint'}) {c}" for c in NEW_TCP)
-    + ", "
-    + ", ".join(f"cast(0 as bigint) {c}" for c in ZERO_LONG)
-    + ", 'app' comm, cast(6 as int) protocol, cast(1 as int) direction, cast(0 as int) syn_retrans, cast(0 as int) timeout_flag, cast(event_type as bigint) seq"
+    + ", ".join(f"cast({OWN.get(c, c)} as {'string' if c == 'comm' else 'int' if c in INTS else 'bigint'}) {c}" for c in dict.fromkeys([*NEW_TCP, *OWN]))
     + f" from ({TCP_CORE}) core"
 )
 HOOKS = f"""with f as ({FLOWS}), l as ({SEGMENTS}), b as (select f.*, l.ln, l.bytes, l.rt, l.rtb from f join l on f.k=l.k where est=1)
@@ -72,7 +92,7 @@ def sql(name: str) -> str:
     return TABLES[name].format(**{t: t for t in SOURCES}).replace("TS_US", "epoch_us(ts)")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = TABLES[name].replace("TS_US", "unix_micros(cast(ts as timestamp))")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCES if "{" + t + "}" in text}
     return spark.sql(text, **used)

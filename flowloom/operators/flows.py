@@ -6,35 +6,63 @@ formatted key, and need no self join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TUPLE = ["saddr", "daddr", "sport", "dport"]
 START, END, RETRANS, ZERO_WINDOW, RESET = 1, 2, 3, 4, 5
+#: Not a recorded event: derived when a flow is too old.
+EXPIRED = 6
+MAX_AGE_S = 300
 ESTABLISHED, CLOSE = 1, 7
 
 
+def expiry_tick(start: str, max_age_s: int) -> Column:
+    """F8: when a flow leaves: collection runs every max_age_s and takes what is older than max_age_s by then."""
+    age = max_age_s * 1_000_000_000
+    return F.expr(f"(({start}) + {age}) div {age} * {age} + {age}")
+
+
 def match_flows(tcp: DataFrame, max_age_s: int | None = None) -> DataFrame:
-    """Each event with matched (an END whose flow is open), start_ts and retrans_ratio.
+    """Each event with matched (an END whose flow is open), start_ts, retrans_ratio, timeout_occurred.
 
-    An END is matched if the START or END before it, of the same five-tuple, is a START. With max_age_s, a START
-    older than that has expired (F8), and its END is an orphan.
+    An END is matched if the START or END before it, of the same five-tuple, is a START. With max_age_s, a flow that
+    is still open at its expiry_tick leaves then (expired_ts of its START), before any event of that moment, and its
+    END is an orphan. A START that another START replaces does not expire.
     """
-    order = Window.partitionBy(*TUPLE, "protocol").orderBy("ts_ns", "seq")
-    ends = F.when(F.col("event_type").isin(START, END), F.struct("event_type", "ts_ns"))
-    before = F.last(ends, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    out = tcp.withColumn("previous", before)
-    age = F.lit(True) if max_age_s is None else F.col("ts_ns") - F.col("previous.ts_ns") <= max_age_s * 1_000_000_000
-    open_flow = F.coalesce((F.col("previous.event_type") == START) & age, F.lit(False))
-    out = out.withColumn("matched", (F.col("event_type") == END) & open_flow)
+    keys, ends = Window.partitionBy(*TUPLE, "protocol"), F.col("event_type").isin(START, END)
+    before = keys.orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    out = tcp.withColumn("previous", F.last(F.when(ends, F.struct("event_type", "ts_ns")), ignorenulls=True).over(before))
+    open_flow = F.col("previous.event_type") == START
+    if max_age_s is not None:
+        open_flow &= F.col("ts_ns") < expiry_tick("previous.ts_ns", max_age_s)
+        after = keys.orderBy(F.desc("ts_ns"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn("next_ts", F.last(F.when(ends, F.col("ts_ns")), ignorenulls=True).over(after))
+        tick = expiry_tick("ts_ns", max_age_s)
+        gone = (F.col("event_type") == START) & (F.col("next_ts").isNull() | (tick <= F.col("next_ts")))
+        out = out.withColumn("expired_ts", F.when(gone, tick)).drop("next_ts")
+    out = out.withColumn("matched", (F.col("event_type") == END) & F.coalesce(open_flow, F.lit(False)))
     out = out.withColumn("start_ts", F.when(F.col("matched"), F.col("previous.ts_ns"))).drop("previous")
     ratio = F.when(F.col("packets_sent") > 0, F.col("retrans_count") / F.col("packets_sent")).otherwise(F.lit(0.0))
     return out.withColumn("retrans_ratio", F.when(F.col("matched"), ratio)).withColumn("timeout_occurred", F.col("timeout_flag") > 0)
 
 
-def expired_flows(tcp: DataFrame, max_age_s: int, now_ns: int) -> DataFrame:
-    """F8: open flows whose START is more than max_age_s before now."""
-    return open_connections(tcp).where(F.lit(now_ns) - F.col("start_ts") > max_age_s * 1_000_000_000)
+def with_expiries(matched: DataFrame, until_ns: int) -> DataFrame:
+    """G-A6: matched (with expired_ts), and an EXPIRED event for each flow that leaves by until_ns; its counters are null."""
+    left = F.col("expired_ts") <= until_ns
+    kept = ("ts_ns", "event_type", "matched", *TUPLE, "protocol", "seq")
+    plain = [c for c in matched.columns if c not in ("ts_ns", "event_type", "expired_ts")]
+    times = F.array(F.struct("ts_ns", "event_type"), F.when(left, F.struct(F.col("expired_ts").alias("ts_ns"), F.lit(EXPIRED).alias("event_type"))))
+    rows = matched.select(*plain, F.explode(F.filter(times, lambda x: x.isNotNull())).alias("at"))
+    rows = rows.select(*plain, "at.ts_ns", "at.event_type")
+    own = F.col("event_type") != EXPIRED
+    return rows.select(*[F.col(c) if c in kept else F.when(own, F.col(c)).alias(c) for c in rows.columns])
+
+
+def expired_flows(tcp: DataFrame, max_age_s: int) -> DataFrame:
+    """F8: the flows that leave, with their start and when they do."""
+    left = match_flows(tcp, max_age_s).where("expired_ts is not null")
+    return left.select(*TUPLE, "protocol", F.col("ts_ns").alias("start_ts"), "expired_ts")
 
 
 def open_connections(tcp: DataFrame) -> DataFrame:

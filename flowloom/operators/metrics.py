@@ -32,8 +32,8 @@ TCP_COUNTERS = (
 )
 #: The variants without double counting.
 TCP_DEDUP = (("retrans_packets_dedup", "event_type = 3", "1"), ("server_reset_dedup", "event_type = 5", "1"))
-#: A gauge that adds up like a counter.
-ACTIVE = ("active_flows", f"event_type = 1 or ({END} and matched)", "case when event_type = 1 then 1 else -1 end")
+#: A gauge that adds up like a counter; 6 is a flow that leaves for its age.
+ACTIVE = ("active_flows", f"event_type in (1, 6) or ({END} and matched)", "case when event_type = 1 then 1 else -1 end")
 #: (family, condition, value): the value of the last event in the condition.
 TCP_LAST = (
     ("rtt_max_microseconds", f"{END} and rtt_mean > 0", "rtt_max"),
@@ -62,12 +62,12 @@ UNFED = (
     "requests_per_second responses_per_second new_flows_per_second closed_flows_per_second"
 ).split()
 UNFED_HISTOGRAMS = ("client_wait_microseconds", "server_wait_microseconds")
-#: (family, value): gauges of what a slot adds a second. Only UDP has a producer of them.
+#: (family, value): gauges that a tick sets to what was added a second since the tick before, and that hold until the next.
 UDP_RATES = (("bytes_per_second", "packet_size"), ("packets_per_second", "1"))
 TCP_UNFED = [*UNFED, *(name for name, _ in UDP_RATES)]
 UDP_UNFED = sorted({*UNFED, *(f[0] for f in (*TCP_COUNTERS, ACTIVE, *TCP_LAST))} - {f[0] for f in UDP_COUNTERS})
 UDP_UNFED_HISTOGRAMS = (*(f[0] for f in TCP_HISTOGRAMS), *UNFED_HISTOGRAMS)
-SCRAPE_S = 15
+SCRAPE_S, TICK_S = 15, 60
 
 
 def added(family: tuple[str, str, str]) -> Column:
@@ -182,15 +182,48 @@ class Registry:
         self.families.append((name, where, value))
 
 
+def slot_of(step: int = SCRAPE_S) -> Column:
+    """The scrape that sees an event first: at the next multiple of step, or at the event itself."""
+    return F.when(F.col("ts_ns") % (step * 1_000_000_000) == 0, F.expr("ts_ns div 1000000000")).otherwise(F.expr(f"(ts_ns div {step}000000000 + 1) * {step}"))
+
+
+def densified(sums: DataFrame, until: DataFrame, step: int = SCRAPE_S) -> DataFrame:
+    """name, labels, ts_s, value from what labelled series add (name, labels, slot, d): totals on every slot from the first.
+
+    A series' rows reach to its next one, so nothing is joined but the last slot (until, one row).
+    """
+    order = Window.partitionBy("name", "series").orderBy("slot")
+    rows = sums.withColumn("series", F.to_json(F.array_sort(F.map_entries("labels"))))
+    rows = rows.withColumn("value", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("slot").over(order))
+    rows = rows.join(F.broadcast(until))
+    slots = F.sequence("slot", F.coalesce(F.col("next") - step, F.col("until")), F.lit(step).cast("long"))
+    return rows.select("name", "labels", F.explode(slots).alias("ts_s"), F.col("value").cast("double").alias("value"))
+
+
+def tc_samples(tc: DataFrame, interfaces: DataFrame, step: int = SCRAPE_S) -> DataFrame:
+    """G-A23: packets and bytes by protocol, direction and interface, and TCP flags by direction, on a grid."""
+    rows = tc.withColumn("slot", slot_of(step))
+    flags = F.when((F.col("protocol") == 6) & (F.col("tcp_flags") != 0), F.col("tcp_flags")).otherwise(0)
+    sums = rows.groupBy("slot", "protocol", "direction", "ifindex", flags.alias("flags")).agg(F.count(F.lit(1)).alias("packets"), F.sum("packet_len").alias("bytes"))
+    pair = lambda name, value: F.create_map(F.lit(name), value)
+    way = pair("direction", S.direction_name("direction"))
+    where = F.map_concat(pair("protocol", S.protocol_name("protocol")), way, pair("ifindex", F.col("if_name")))
+    cell = lambda name, labels, value: F.struct(F.lit(f"network_tc_{name}").alias("name"), labels.alias("labels"), value.alias("d"))
+    cells = F.array(cell("packets_total", where, F.col("packets")), cell("bytes_total", where, F.col("bytes")))
+    flagged = F.transform(S.tcp_flag_names("flags"), lambda f: cell("tcp_flags_total", F.map_concat(pair("flag", f), way), F.col("packets")))
+    named = named_interfaces(sums, interfaces).select("slot", F.inline(F.concat(cells, flagged)))
+    series = F.to_json(F.array_sort(F.map_entries("labels")))
+    added_up = named.groupBy("name", series.alias("series"), "slot").agg(F.any_value("labels").alias("labels"), F.sum("d").cast("double").alias("d")).drop("series")
+    return densified(added_up, rows.agg(F.max("slot").alias("until")), step)
+
+
 def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(), histograms=(), states: bool = False, unfed=(), unfed_histograms=(), step: int = SCRAPE_S, store=None, rates=()) -> DataFrame:
     """G-A23, T11: name, labels, ts_s, value of every family on a grid of step seconds.
 
     Unlabelled families have a row on each slot from the first, labelled ones from the slot of their first event.
     store, if given, writes a table and rereads it; it gets the sums by slot, which several parts of the result use.
     """
-    # an event at t is seen by the scrape at the next multiple of step, or at t itself
-    slot = F.when(F.col("ts_ns") % (step * 1_000_000_000) == 0, F.expr("ts_ns div 1000000000")).otherwise(F.expr(f"(ts_ns div {step}000000000 + 1) * {step}"))
-    rows = events.withColumn("slot", slot)
+    rows = events.withColumn("slot", slot_of(step))
     if "saddr" in events.columns:
         rows = rows.withColumn("sock_order", F.struct("saddr", "daddr", "sport", "dport"))
     aggs = [added(f) for f in (*counters, *gauges)] + [last(f) for f in last_values]
@@ -222,15 +255,14 @@ def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(
         seen = F.coalesce(F.last("d", ignorenulls=True).over(by_series), F.lit(0.0))
         out = out.unionByName(rows_l.select(F.concat(F.lit(prefix), "series").alias("name"), none.alias("labels"), F.col("slot").alias("ts_s"), seen.alias("value")))
     if rates:
-        cells = [F.struct(F.lit(prefix + n).alias("name"), (F.coalesce(F.col(n), F.lit(0)) / step).alias("value")) for n, _ in rates]
-        out = out.unionByName(full.select(F.col("slot").alias("ts_s"), F.inline(F.array(*cells))).withColumn("labels", none))
+        # the tick at or before a slot has what lies in the TICK_S before it
+        ticks = wide.groupBy(F.expr(f"(slot + {TICK_S - 1}) div {TICK_S} * {TICK_S}").alias("tick")).agg(*[(F.sum(n) / TICK_S).alias(n) for n, _ in rates])
+        held = grid.withColumn("tick", F.expr(f"slot div {TICK_S} * {TICK_S}")).join(ticks, "tick", "left")
+        cells = [F.struct(F.lit(prefix + n).alias("name"), F.coalesce(F.col(n), F.lit(0.0)).alias("value")) for n, _ in rates]
+        out = out.unionByName(held.select(F.col("slot").alias("ts_s"), F.inline(F.array(*cells))).withColumn("labels", none))
     if states:
-        seen = by_state_sums
-        every = seen.groupBy("state").agg(F.min("slot").alias("since")).join(F.broadcast(grid.agg(F.max("slot").alias("until"))))
-        every = every.select("state", F.explode(F.sequence("since", "until", F.lit(step).cast("long"))).alias("slot"))
-        dense = every.join(seen, ["state", "slot"], "left")
-        by_state = Window.partitionBy("state").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.unionByName(dense.select(F.lit(prefix + "connections_by_state").alias("name"), F.create_map(F.lit("state"), "state").alias("labels"), F.col("slot").alias("ts_s"), F.sum(F.coalesce("d", F.lit(0.0))).over(by_state).alias("value")))
+        named = by_state_sums.select(F.lit(prefix + "connections_by_state").alias("name"), F.create_map(F.lit("state"), "state").alias("labels"), "slot", "d")
+        out = out.unionByName(densified(named, grid.agg(F.max("slot").alias("until")), step))
     zeros = [F.struct(F.lit(prefix + n).alias("name"), none.alias("labels")) for n in unfed]
     for n in unfed_histograms:
         zeros += [F.struct(F.lit(f"{prefix}{n}_bucket").alias("name"), F.create_map(F.lit("le"), F.lit(str(b))).alias("labels")) for b in (*BOUNDS, "+Inf")]

@@ -16,8 +16,11 @@ def base(*names: str) -> str:
 MATCHED = base("tcp") + f""", m0 as (select *, last_value(case when event_type in (1, 2) then event_type end ignore nulls) over w prev,
  last_value(case when event_type in (1, 2) then ts_ns end ignore nulls) over w prev_ts
  from tcp window w as (partition by {TUPLE}, protocol order by ts_ns, seq rows between unbounded preceding and 1 preceding)),
- m as (select * exclude (prev, prev_ts), event_type = 2 and coalesce(prev = 1, false) matched, case when event_type = 2 and coalesce(prev = 1, false) then prev_ts end start_ts,
- case when event_type = 2 and coalesce(prev = 1, false) then (case when packets_sent > 0 then retrans_count / packets_sent else 0.0 end) end retrans_ratio from m0)"""
+ n0 as (select *, event_type = 2 and coalesce(prev = 1 and ts_ns < (prev_ts // 300000000000 + 2) * 300000000000, false) matched from m0),
+ m as (select * exclude (prev, prev_ts), case when matched then prev_ts end start_ts, case when matched then (case when packets_sent > 0 then retrans_count / packets_sent else 0.0 end) end retrans_ratio from n0),
+ gone as (select *, (ts_ns // 300000000000 + 2) * 300000000000 expired_ts from (select saddr, daddr, sport, dport, protocol, seq, ts_ns, event_type, lead(ts_ns) over (partition by saddr, daddr, sport, dport, protocol order by ts_ns, seq) next_ts
+  from tcp where event_type in (1, 2)) where event_type = 1 and (next_ts is null or (ts_ns // 300000000000 + 2) * 300000000000 <= next_ts)),
+ me as (select * from m union all by name select saddr, daddr, sport, dport, protocol, seq, expired_ts ts_ns, 6 event_type, false matched from gone where expired_ts <= (select max(ts_ns) from tcp))"""
 LIVES = base("hooks") + """, h1 as (select *, sum(case when hook = 'tcp_connect' then 1 else 0 end) over (partition by sock order by ts_ns rows unbounded preceding) life from hooks),
  h2 as (select *, sum(case when hook = 'tcp_set_state' and arg = 7 then 1 else 0 end) over (partition by sock, life order by ts_ns rows unbounded preceding) - (case when hook = 'tcp_set_state' and arg = 7 then 1 else 0 end) closed_before from h1),
  lives as (select * exclude (closed_before) from h2 where life > 0 and closed_before = 0),
@@ -56,8 +59,9 @@ def samples_cte(rel: str, protocol: str, counters, lasts=(), histograms=(), stat
         out += f""", {name}t as (select slot, {state_sql('tcp_state')} state, count(*) d from {name}e where event_type = 2 group by all), {name}u as (select state, min(slot) since from {name}t group by state)"""
         parts.append(f"select 'network_{protocol}_connections_by_state', '', u.state, g.slot, sum(cast(coalesce(d, 0) as double)) over (partition by u.state order by g.slot) from {name}g g join {name}u u on g.slot >= u.since left join {name}t x on x.slot = g.slot and x.state = u.state")
     for n, v in rates:
-        out += f""", {name}r_{n} as (select slot, sum({v}) d from {name}e group by slot)"""
-        parts.append(f"select 'network_{protocol}_{n}', '', '', g.slot, cast(coalesce(d, 0) as double) / 15 from {name}g g left join {name}r_{n} x on x.slot = g.slot")
+        # a gauge holds what the last tick set: the events of the minute before the tick, its end included
+        out += f""", {name}r_{n} as (select (ts_ns + 59999999999) // 60000000000 * 60 tick, sum({v}) / 60 rate from {name}e group by 1)"""
+        parts.append(f"select 'network_{protocol}_{n}', '', '', g.slot, coalesce(rate, 0) from {name}g g left join {name}r_{n} x on x.tick = g.slot // 60 * 60")
     zeros = [(n, "") for n in unfed] + [(f"{n}_bucket", str(b)) for n in unfed_histograms for b in (*M.BOUNDS, "+Inf")] + [(f"{n}_{x}", "") for n in unfed_histograms for x in ("sum", "count")]
     if zeros:
         values = ", ".join(f"('network_{protocol}_{n}', '{le}')" for n, le in zeros)
@@ -72,7 +76,7 @@ def state_sql(c: str) -> str:
 
 
 def tcp_samples_cte() -> str:
-    return samples_cte("m", "tcp", (*M.TCP_COUNTERS, M.ACTIVE), M.TCP_LAST, M.TCP_HISTOGRAMS, True, M.TCP_UNFED, M.UNFED_HISTOGRAMS, "st")
+    return samples_cte("me", "tcp", (*M.TCP_COUNTERS, M.ACTIVE), M.TCP_LAST, M.TCP_HISTOGRAMS, True, M.TCP_UNFED, M.UNFED_HISTOGRAMS, "st")
 
 
 def all_samples() -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.scalars import threshold_color
 from flowloom.plans import vectors as V
+from flowloom.sources.events import in_range
 
 N = "network_"
 
@@ -91,36 +92,41 @@ STEPS = {
 }
 
 
-def evaluate(samples: DataFrame, expression: tuple, step_s: int = V.STEP_S) -> DataFrame:
+def evaluate(samples: DataFrame, expression: tuple, step_s: int = V.STEP_S, end_s: int | None = None) -> DataFrame:
+    """labels, t, value of an expression; end_s is the last evaluation point, by default the last sample's time."""
     kind, *args = expression
+    inner = lambda e: evaluate(samples, e, step_s, end_s)
     if kind == "rate":
-        return V.rate(samples, *args, step_s)
+        return V.rate(samples, *args, step_s, end_s=end_s)
     if kind == "increase":
-        return V.increase(samples, *args, step_s)
+        return V.increase(samples, *args, step_s, end_s=end_s)
     if kind == "increase_last":
         return V.increase(samples, *args, step_s, only_last=True)
     if kind == "instant":
-        return V.instant(samples, args[0], step_s)
+        return V.instant(samples, args[0], step_s, end_s=end_s)
     if kind == "quantile":
-        return V.histogram_quantile(args[0], evaluate(samples, args[1], step_s))
+        return V.histogram_quantile(args[0], inner(args[1]))
     if kind == "sum_le":
-        return V.sum_by(evaluate(samples, args[0], step_s), "le")
+        return V.sum_by(inner(args[0]), "le")
     if kind == "cells":
-        return V.bucket_cells(evaluate(samples, args[0], step_s))
+        return V.bucket_cells(inner(args[0]))
     if kind == "share":
-        return V.share(evaluate(samples, args[0], step_s))
+        return V.share(inner(args[0]))
     if kind == "vector":
-        return V.binary(args[0], evaluate(samples, args[1], step_s), evaluate(samples, args[2], step_s))
-    return V.scalar_op(kind, evaluate(samples, args[0], step_s), args[1])
+        return V.binary(args[0], inner(args[1]), inner(args[2]))
+    return V.scalar_op(kind, inner(args[0]), args[1])
 
 
 def evaluate_panel(panel: str, samples: DataFrame, start_s: int | None = None, end_s: int | None = None, step_s: int = V.STEP_S) -> DataFrame:
-    """Legend, t, value, color of all series of a panel; the legend may be a label's value."""
+    """Legend, t, value, color of all series of a panel; the legend may be a label's value.
+
+    With start_s and end_s, samples is a history with dates, and only the folders of that range are read.
+    """
     if start_s is not None:
-        samples = V.in_range(samples, start_s, end_s)
+        samples = in_range(samples, start_s, end_s)
     out = None
     for legend, expression in PANELS[panel]:
-        rows = evaluate(samples, expression, step_s)
+        rows = evaluate(samples, expression, step_s, end_s)
         text = F.col("labels")[legend.strip("{}")] if legend.startswith("{{") else F.lit(legend)
         color = threshold_color("value", STEPS[panel]) if panel in STEPS else F.lit(None).cast("string")
         rows = rows.select(text.alias("legend"), "t", "value", color.alias("color"))

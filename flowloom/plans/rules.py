@@ -31,15 +31,15 @@ def tcp(name):
 
 #: The rules. {h} is the value with an SI prefix, {p} in percent, {v} as it is.
 RULES = {
-    "a1": Rule("HighTCPRetransmissionRate", ("vector", "/", tcp("retrans_packets"), tcp("packets_sent")), ">", 0.05, 120, 30, "warning", "performance", "TCP retransmission rate is {p} (threshold: 5%)"),
-    "a2": Rule("FrequentZeroWindowEvents", tcp("zero_window_events"), ">", 10, 120, 30, "warning", "performance", "Zero window events rate: {h}/s"),
-    "a3": Rule("HighTCPLatency", ("quantile", 0.95, rate("tcp_rtt_microseconds_bucket", 300)), ">", 100000, 300, 30, "warning", "latency", "P95 RTT is {h}µs (threshold: 100ms)"),
-    "a4": Rule("HighConnectionFailureRate", tcp("client_establish_fail"), ">", 5, 120, 30, "critical", "connectivity", "Connection failures: {h}/s"),
-    "a5": Rule("FrequentTCPReset", tcp("server_reset"), ">", 20, 120, 30, "warning", "error", "RST rate: {h}/s"),
-    "a6": Rule("HighSYNRetransmissionRate", tcp("client_syn_repeat"), ">", 5, 120, 30, "warning", "connectivity", "SYN retrans rate: {h}/s"),
-    "a7": Rule("ServerQueueOverflow", tcp("server_queue_overflow"), ">", 1, 60, 30, "critical", "capacity", "Queue overflow rate: {h}/s. Consider increasing tcp_max_syn_backlog."),
+    "a1": Rule("HighTCPRetransmissionRate", ("vector", "/", tcp("retrans_packets"), tcp("packets_sent")), ">", 0.05, 120, 30, "warning", "performance", "{p} of the TCP packets sent were sent again"),
+    "a2": Rule("FrequentZeroWindowEvents", tcp("zero_window_events"), ">", 10, 120, 30, "warning", "performance", "{h} zero windows a second"),
+    "a3": Rule("HighTCPLatency", ("quantile", 0.95, rate("tcp_rtt_microseconds_bucket", 300)), ">", 100000, 300, 30, "warning", "latency", "One round trip in twenty takes {h}µs or more"),
+    "a4": Rule("HighConnectionFailureRate", tcp("client_establish_fail"), ">", 5, 120, 30, "critical", "connectivity", "{h} connections a second are not established"),
+    "a5": Rule("FrequentTCPReset", tcp("server_reset"), ">", 20, 120, 30, "warning", "error", "{h} resets a second"),
+    "a6": Rule("HighSYNRetransmissionRate", tcp("client_syn_repeat"), ">", 5, 120, 30, "warning", "connectivity", "{h} SYN packets a second are repeated"),
+    "a7": Rule("ServerQueueOverflow", tcp("server_queue_overflow"), ">", 1, 60, 30, "critical", "capacity", "{h} connections a second find the accept queue full"),
     "a8": Rule("AgentDown", ("instant", "up"), "==", 0, 60, 60, "critical", "availability", "No sample from the agent for a minute"),
-    "a9": Rule("TooManyActiveConnections", ("instant", "network_tcp_active_flows"), ">", 50000, 300, 60, "warning", "capacity", "Active connections: {v} (threshold: 50000)"),
+    "a9": Rule("TooManyActiveConnections", ("instant", "network_tcp_active_flows"), ">", 50000, 300, 60, "warning", "capacity", "{v} connections are open"),
 }
 
 
@@ -72,11 +72,20 @@ def evaluate_rule(rule: Rule, samples: DataFrame, threshold: float | None = None
     )
 
 
-def liveness(samples: DataFrame, targets: DataFrame, step_s: int = 15) -> DataFrame:
-    """Samples of up (1 or 0) for each expected (instance, slot); a slot without any sample of the instance is 0."""
+def liveness(samples: DataFrame, step_s: int = 15) -> DataFrame:
+    """Samples of up for each instance: 1 in a slot that has a sample of it, 0 in those between, before and after.
+
+    Slots without a sample are the gaps between an instance's samples, so nothing is joined but the first and last slot.
+    """
+    order = Window.partitionBy("instance").orderBy("ts_s")
     seen = samples.select(F.col("labels")["instance"].alias("instance"), "ts_s").distinct()
-    span = samples.agg(F.sequence(F.min("ts_s"), F.max("ts_s"), F.lit(step_s).cast("long")).alias("s")).select(F.explode("s").alias("ts_s"))
-    expected = span.join(F.broadcast(targets))
-    up = expected.join(seen.withColumn("up", F.lit(1.0)), ["instance", "ts_s"], "left")
+    bounds = samples.agg(F.min("ts_s").alias("first_s"), F.max("ts_s").alias("last_s"))
+    rows = seen.withColumn("before", F.lag("ts_s").over(order)).withColumn("after", F.lead("ts_s").over(order)).join(F.broadcast(bounds))
+    gap = lambda a, b: F.when(a <= b, F.sequence(a, b, F.lit(step_s).cast("long")))
+    missed = F.concat(
+        F.coalesce(F.when(F.col("before").isNull(), gap(F.col("first_s"), F.col("ts_s") - step_s)), F.array().cast("array<bigint>")),
+        F.coalesce(gap(F.col("ts_s") + step_s, F.coalesce(F.col("after") - step_s, F.col("last_s"))), F.array().cast("array<bigint>")),
+    )
+    slots = F.concat(F.array(F.struct("ts_s", F.lit(1.0).alias("value"))), F.transform(missed, lambda t: F.struct(t.alias("ts_s"), F.lit(0.0).alias("value"))))
     labels = F.create_map(F.lit("job"), F.lit("agent"), F.lit("instance"), "instance")
-    return up.select(F.lit("up").alias("name"), labels.alias("labels"), "ts_s", F.coalesce("up", F.lit(0.0)).alias("value"))
+    return rows.select(F.lit("up").alias("name"), labels.alias("labels"), F.inline(slots))

@@ -1,7 +1,9 @@
 """Range and instant functions over samples (name, labels, ts_s, value); results are (labels, t, value).
 
-A sample at ts belongs to the evaluation points t with t - range < ts <= t, so it is exploded to those points of the
-grid and everything else is one hash aggregate by (series, t). Filters on name come first and reach the scan.
+A sample at ts belongs to the evaluation points t with t - range < ts <= t. A sample gives the points up to the next
+sample of its series, for which it is the last; what is first in the range comes from one as-of lookup at t - range, in
+the same stream of the series. Growth is a difference of running sums, so the length of a range costs nothing, and a
+function is one exchange by series. Filters on name come first and reach the folders of a history.
 """
 
 from __future__ import annotations
@@ -17,36 +19,44 @@ def key(labels: str = "labels"):
     return F.to_json(F.array_sort(F.map_entries(labels)))
 
 
-def on_grid(samples: DataFrame, name: str, range_s: int, step_s: int, only_last: bool = False) -> DataFrame:
-    """The samples of a family at each evaluation point whose range holds them, with the sample before each."""
-    series = Window.partitionBy("series").orderBy("ts_s")
-    rows = samples.where(F.col("name") == name).withColumn("series", key())
-    rows = rows.withColumn("before", F.lag(F.struct("ts_s", "value")).over(series))
-    first = F.expr(f"cast(ceil(ts_s / {step_s}) * {step_s} as bigint)")
+def at_points(samples: DataFrame, name: str, range_s: int, step_s: int, end_s: int | None = None, only_last: bool = False) -> DataFrame:
+    """series, labels, ts_s, value, i (number of the sample), resets (dropped by resets so far), first, next, points.
+
+    points are the evaluation points at which the sample is the last one in the range; end_s is the last point of the
+    grid (by default the time of the last sample of all families).
+    """
+    mine = samples.where(F.col("name") == name)
+    rows = mine.select(key().alias("series"), "labels", "ts_s", "value")
+    order = Window.partitionBy("series").orderBy("ts_s")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag("value").over(order)
+    rows = rows.withColumn("reset", F.when(F.col("value") < before, before).otherwise(0.0))
+    rows = rows.withColumn("resets", F.sum("reset").over(so_far)).withColumn("i", F.row_number().over(order))
+    this = F.struct("ts_s", "value", "resets")
+    rows = rows.withColumn("first", F.first(this).over(so_far)).withColumn("next", F.lead(this).over(order))
     if only_last:
-        end = samples.where(F.col("name") == name).agg(F.expr(f"max(ts_s) div {step_s} * {step_s}").alias("t"))
-        return rows.join(F.broadcast(end), F.expr(f"ts_s <= t and ts_s > t - {range_s}"))
-    points = F.expr(f"if(first_t <= ts_s + {range_s} - 1, sequence(first_t, ts_s + {range_s} - 1, cast({step_s} as bigint)), cast(array() as array<bigint>))")
-    end = samples.agg(F.max("ts_s").alias("end_s"))
-    exploded = rows.withColumn("first_t", first).withColumn("t", F.explode(points)).drop("first_t")
-    return exploded.join(F.broadcast(end), F.col("t") <= F.col("end_s")).drop("end_s")
+        end = mine.agg(F.expr(f"max(ts_s) div {step_s} * {step_s}").alias("end_s"))
+    elif end_s is None:
+        end = samples.agg(F.max("ts_s").alias("end_s"))
+    rows = rows.withColumn("end_s", F.lit(end_s).cast("long")) if end_s is not None and not only_last else rows.join(F.broadcast(end))
+    start = F.col("end_s") if only_last else F.expr(f"cast(ceil(ts_s / {step_s}) * {step_s} as bigint)")
+    stop = F.least(F.coalesce(F.col("next.ts_s"), F.col("end_s") + 1) - 1, F.col("ts_s") + range_s - 1, F.col("end_s"))
+    points = F.when((start <= stop) & (start >= F.col("ts_s")), F.sequence(start, stop, F.lit(step_s).cast("long")))
+    return rows.withColumn("points", F.coalesce(points, F.array().cast("array<bigint>"))).drop("reset", "end_s")
 
 
-def increase(samples: DataFrame, name: str, range_s: int, step_s: int = STEP_S, only_last: bool = False, per_second: bool = False) -> DataFrame:
+def increase(samples: DataFrame, name: str, range_s: int, step_s: int = STEP_S, only_last: bool = False, per_second: bool = False, end_s: int | None = None) -> DataFrame:
     """Reset-corrected growth over the range, extrapolated to its ends; at least two samples."""
-    rows = on_grid(samples, name, range_s, step_s, only_last)
-    inside = F.col("before.ts_s") > F.col("t") - range_s
-    reset = F.when(inside & (F.col("value") < F.col("before.value")), F.col("before.value")).otherwise(0.0)
-    g = rows.groupBy("series", "t").agg(
-        F.any_value("labels").alias("labels"),
-        F.count(F.lit(1)).alias("n"),
-        F.min("ts_s").alias("tf"),
-        F.max("ts_s").alias("tl"),
-        F.min_by("value", "ts_s").alias("f"),
-        F.max_by("value", "ts_s").alias("l"),
-        F.sum(reset).alias("resets"),
-    ).where("n >= 2")
-    g = g.selectExpr("labels", "t", "n", "f", "l - f + resets as inc", "cast(tl - tf as double) as span", f"cast(tf - (t - {range_s}) as double) as ds", "cast(t - tl as double) as de")
+    rows = at_points(samples, name, range_s, step_s, end_s, only_last)
+    sample = F.array(F.struct(F.col("ts_s").alias("at"), F.lit(None).cast("long").alias("t")))
+    points = F.transform("points", lambda t: F.struct((t - range_s).alias("at"), t.alias("t")))
+    rows = rows.select("*", F.inline(F.concat(sample, points)))
+    # samples come before the points of their moment: a sample at t - range is out of the range
+    order = Window.partitionBy("series").orderBy("at", F.asc_nulls_first("t")).rowsBetween(Window.unboundedPreceding, 0)
+    out = F.last(F.when(F.col("t").isNull(), F.struct("i", "next")), ignorenulls=True).over(order)
+    g = rows.withColumn("out", out).where("t is not null").withColumn("f", F.coalesce("out.next", "first"))
+    g = g.withColumn("n", F.col("i") - F.coalesce("out.i", F.lit(0))).where("n >= 2")
+    g = g.selectExpr("labels", "t", "n", "f.value as f", "value - f.value + resets - f.resets as inc", "cast(ts_s - f.ts_s as double) as span", f"cast(f.ts_s - (t - {range_s}) as double) as ds", "cast(t - ts_s as double) as de")
     g = g.withColumn("avg", F.expr("span / (n - 1)"))
     g = g.withColumn("ds", F.expr("case when ds >= 1.1 * avg then avg / 2 else ds end")).withColumn("de", F.expr("case when de >= 1.1 * avg then avg / 2 else de end"))
     g = g.withColumn("ds", F.expr("case when inc > 0 and f >= 0 then least(ds, span * f / inc) else ds end"))
@@ -54,14 +64,13 @@ def increase(samples: DataFrame, name: str, range_s: int, step_s: int = STEP_S,
     return g.select("labels", "t", F.expr(value).alias("value"))
 
 
-def rate(samples: DataFrame, name: str, range_s: int, step_s: int = STEP_S, only_last: bool = False) -> DataFrame:
-    return increase(samples, name, range_s, step_s, only_last, per_second=True)
+def rate(samples: DataFrame, name: str, range_s: int, step_s: int = STEP_S, only_last: bool = False, end_s: int | None = None) -> DataFrame:
+    return increase(samples, name, range_s, step_s, only_last, True, end_s)
 
 
-def instant(samples: DataFrame, name: str, step_s: int = STEP_S, lookback_s: int = LOOKBACK_S) -> DataFrame:
+def instant(samples: DataFrame, name: str, step_s: int = STEP_S, lookback_s: int = LOOKBACK_S, end_s: int | None = None) -> DataFrame:
     """The last sample within the lookback."""
-    rows = on_grid(samples, name, lookback_s, step_s)
-    return rows.groupBy("series", "t").agg(F.any_value("labels").alias("labels"), F.max_by("value", "ts_s").alias("value")).select("labels", "t", "value")
+    return at_points(samples, name, lookback_s, step_s, end_s).select("labels", F.explode("points").alias("t"), "value")
 
 
 def histogram_quantile(q: float, buckets: DataFrame) -> DataFrame:
@@ -141,8 +150,3 @@ def last_not_null(vector: DataFrame) -> DataFrame:
     """The last value of each series that is not null."""
     rows = vector.where("value is not null").withColumn("series", key())
     return rows.groupBy("series").agg(F.any_value("labels").alias("labels"), F.max("t").alias("t"), F.max_by("value", "t").alias("value")).drop("series")
-
-
-def in_range(rows: DataFrame, start_s: int, end_s: int) -> DataFrame:
-    """F12"""
-    return rows.where(F.col("ts_s").between(start_s, end_s))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from flowloom import oracles as O
-from flowloom.fixtures import sql, table
+from flowloom.fixtures import derived
 from flowloom.functions import scalars as S
 from flowloom.operators import anomalies as A
 from flowloom.operators import flows as W
@@ -31,10 +31,6 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-def matched(spark, d):
-    return W.match_flows(table(spark, d, "tcp"))
-
-
 def through_store(spark, df, label, fmt="parquet", **options):
     """df written to the shared folder, as the cluster names it; returns the folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,23 +49,60 @@ def stored(df):
     return df.sparkSession.read.schema(df.schema).parquet(through_store(df.sparkSession, df, "metrics"))
 
 
-HISTORY: dict[tuple, str] = {}
-SOURCES = ("orders", "lineitem", "events", "customer", "supplier")
+SOURCES = ("orders", "lineitem", "events")
+#: (application, state of the source tables, name) to the folder of a table that was written once.
+WRITTEN: dict[tuple, str] = {}
 
 
 def version_of(spark, d):
-    """The files that events are derived from, with their times; the history is written anew when they change."""
-    files = [spark.read.parquet(f"{d}/{t}.parquet").select("_metadata.file_path", "_metadata.file_modification_time").distinct() for t in SOURCES]
-    return tuple(sorted((r[0], str(r[1])) for f in files for r in f.collect()))
+    """The files that events are derived from, with their times and lengths, as the file system lists them."""
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for name in SOURCES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        files = path.getFileSystem(conf)
+        for status in [files.getFileStatus(path), *files.listStatus(path)]:
+            found.append((status.getPath().toString(), status.getModificationTime(), status.getLen()))
+    return tuple(sorted(found))
+
+
+def once(spark, d, name, make):
+    """The table that make gives, written once for a session and a state of the source tables, then read by every query."""
+    key = (spark.sparkContext.applicationId, version_of(spark, d), name)
+    if key not in WRITTEN:
+        WRITTEN[key] = through_store(spark, make(), name)
+    return spark.read.parquet(WRITTEN[key])
+
+
+def table(spark, d, name):
+    """An event table; what is no table of events (interfaces, flows) is derived where it is used."""
+    if name in ("interfaces", "flows"):
+        return derived(spark, d, name)
+    return once(spark, d, name, lambda: derived(spark, d, name))
+
+
+def matched(spark, d):
+    return W.match_flows(table(spark, d, "tcp"), W.MAX_AGE_S)
+
+
+def with_expiries(spark, d):
+    """Matched events and the flows that left for their age by the last event."""
+    last = table(spark, d, "tcp").agg(F.max("ts_ns")).first()[0]
+    return W.with_expiries(matched(spark, d), last or 0)
 
 
 def samples_of(spark, d, protocol):
-    """The metric history of a protocol: written once for a folder of tables and session, then read by every query."""
-    key = (spark.sparkContext.applicationId, version_of(spark, d), protocol)
-    if key not in HISTORY:
-        rows = M.tcp_samples(matched(spark, d), stored) if protocol == "tcp" else M.udp_samples(table(spark, d, "udp"))
-        HISTORY[key] = through_store(spark, rows, "history")
-    return spark.read.parquet(HISTORY[key])
+    """The metric history of a protocol, in folders by date and family."""
+    make = {
+        "tcp": lambda: M.tcp_samples(with_expiries(spark, d), stored),
+        "udp": lambda: M.udp_samples(table(spark, d, "udp")),
+        "tc": lambda: M.tc_samples(table(spark, d, "tc"), table(spark, d, "interfaces")),
+    }
+    key = (spark.sparkContext.applicationId, version_of(spark, d), f"{protocol} history")
+    if key not in WRITTEN:
+        path = through_store(spark, None, f"{protocol}-history")
+        events.write_samples(make[protocol](), path)
+        WRITTEN[key] = path
+    return events.read_samples(spark, WRITTEN[key])
 
 
 def tcp_samples(spark, d):
@@ -80,6 +113,10 @@ def all_samples(spark, d):
     return tcp_samples(spark, d).unionByName(samples_of(spark, d, "udp"))
 
 
+def tc_samples(spark, d):
+    return samples_of(spark, d, "tc")
+
+
 def flat(samples):
     get = lambda k: F.coalesce(F.col("labels")[k], F.lit("")).alias(k)
     return samples.select("name", get("le"), get("state"), "ts_s", F.round("value", 6).alias("value"))
@@ -177,8 +214,8 @@ def text_exposition(spark, d):
 def history(spark, d):
     path = through_store(spark, None, "history")
     events.write_samples(M.keep_names(tcp_samples(spark, d), "network_tcp_(new_flows|bytes_sent)_total"), path)
-    kept = events.expire_samples(spark.read.parquet(path), 1)
-    return kept.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    events.expire_samples(spark, path, 1)
+    return events.read_samples(spark, path).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("q_s13_sampled_flows")
@@ -216,12 +253,6 @@ def formats(spark, d):
     return table(spark, d, "flows").select("k", S.format_bytes("t0").alias("size_text"), (F.col("srv") + F.col("cli") < 1000).alias("short"))
 
 
-@query("q_p6_formats_all_flows", O.base("flows") + """ select k, case when t0 < 1024 then t0 || ' B' when t0 < 1048576 then printf('%.2f KB', t0 / 1024.0::double) when t0 < 1073741824 then printf('%.2f MB', t0 / 1048576.0::double) when t0 < 1099511627776 then printf('%.2f GB', t0 / 1073741824.0::double) else printf('%.2f TB', t0 / 1099511627776.0::double) end size_text, srv + cli < 1000 short from flows""")
-def all_formats(spark, d):
-    """Every flow, as in q_p6_formats, which kept its name."""
-    return table(spark, d, "flows").select("k", S.format_bytes("t0").alias("size_text"), (F.col("srv") + F.col("cli") < 1000).alias("short"))
-
-
 TICKS = "(t0 * 125 + k * 5) % 90000000"
 
 
@@ -262,9 +293,21 @@ def match(spark, d):
     return matched(spark, d).select("sock", "ts_ns", "event_type", "matched", "start_ts", F.round("retrans_ratio", 9).alias("retrans_ratio"))
 
 
-@query("q_f8_expiry", O.MATCHED.replace("coalesce(prev = 1, false)", "coalesce(prev = 1 and ts_ns - prev_ts <= 300000000000, false)") + " select matched, count(*) n from m where event_type = 2 group by matched")
+@query("q_f8_expiry", O.MATCHED + " select saddr, daddr, sport, dport, ts_ns start_ts, expired_ts from gone")
 def expiry(spark, d):
-    return W.match_flows(table(spark, d, "tcp"), 300).where("event_type = 2").groupBy("matched").agg(F.count(F.lit(1)).alias("n"))
+    return W.expired_flows(table(spark, d, "tcp"), W.MAX_AGE_S).drop("protocol")
+
+
+ACTIVE_SQL = O.MATCHED + """ select 'started' change, count(*) n from tcp where event_type = 1 union all select 'closed', count(*) from m where matched
+ union all select 'expired', count(*) from me where event_type = 6 union all select 'orphan', count(*) from m where event_type = 2 and not matched"""
+
+
+@query("q_ga6_active_flows", ACTIVE_SQL)
+def active_flows(spark, d):
+    """What the active-flow gauge adds and takes, and the ENDs that it does not count."""
+    e = F.col("event_type")
+    change = F.when(e == W.START, "started").when(e == W.EXPIRED, "expired").when((e == W.END) & F.col("matched"), "closed").when(e == W.END, "orphan")
+    return with_expiries(spark, d).groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("n")).where("change is not null")
 
 
 OPEN = O.base("tcp") + f""", l as (select {O.TUPLE}, protocol, arg_max(event_type, (ts_ns, seq)) filter (where event_type in (1, 2)) ev, max(ts_ns) filter (where event_type in (1, 2)) start_ts,
@@ -331,14 +374,14 @@ WIDE = ", ".join([O.added(f) for f in (*M.TCP_COUNTERS, M.ACTIVE, *M.TCP_DEDUP)]
 LAST = ", ".join(O.last(f) for f in M.TCP_LAST)
 
 
-@query("q_ga4_tcp_metrics", O.MATCHED + f" select {WIDE}, {LAST} from m")
+@query("q_ga4_tcp_metrics", O.MATCHED + f" select {WIDE}, {LAST} from me")
 def tcp_metrics(spark, d):
-    return M.tcp_metrics(matched(spark, d), dedup=True)
+    return M.tcp_metrics(with_expiries(spark, d), dedup=True)
 
 
-@query("q_ga6_metrics_by_port", O.MATCHED + f" select dport, {WIDE} from m group by dport")
+@query("q_ga6_metrics_by_port", O.MATCHED + f" select dport, {WIDE} from me group by dport")
 def metrics_by_port(spark, d):
-    return M.totals(matched(spark, d), (*M.TCP_COUNTERS, M.ACTIVE, *M.TCP_DEDUP), ["dport"])
+    return M.totals(with_expiries(spark, d), (*M.TCP_COUNTERS, M.ACTIVE, *M.TCP_DEDUP), ["dport"])
 
 
 @query("q_ga13_closing_states", O.MATCHED + f" select {O.state_sql('tcp_state')} state, count(*) connections from m where event_type = 2 group by 1")
@@ -389,7 +432,7 @@ SAMPLES = ' select name, le, state, ts_s, round("value", 6) "value" from s'
 
 @query("q_ga23_tcp_samples", O.TCP_ONLY + SAMPLES)
 def tcp_sample_rows(spark, d):
-    return flat(M.tcp_samples(matched(spark, d), stored))
+    return flat(M.tcp_samples(with_expiries(spark, d), stored))
 
 
 @query("q_ga23_udp_samples", O.base("udp") + ", " + O.samples_cte("udp", "udp", M.UDP_COUNTERS, unfed=M.UDP_UNFED, unfed_histograms=M.UDP_UNFED_HISTOGRAMS, rates=M.UDP_RATES) + SAMPLES)
@@ -397,6 +440,21 @@ def udp_sample_rows(spark, d):
     return flat(M.udp_samples(table(spark, d, "udp")))
 
 
+LABELS = ("name", "protocol", "direction", "ifindex", "flag")
+TC_SAMPLES = O.base("tc") + f""", e as (select *, (ts_ns + 14999999999) // 15000000000 * 15 slot, {PROTO} p, {DIR} way, {IF} i from tc), g as (select unnest(range(min(slot), max(slot) + 15, 15)) ts_s from e),
+ f as (select 'network_tc_packets_total' name, p protocol, way direction, i ifindex, '' flag, slot, 1 d from e union all select 'network_tc_bytes_total', p, way, i, '', slot, packet_len from e
+  union all select 'network_tc_tcp_flags_total', '', way, '', n, slot, 1 from e join (values (1, 'FIN'), (2, 'SYN'), (4, 'RST'), (8, 'PSH'), (16, 'ACK'), (32, 'URG')) x(mask, n) on tcp_flags & mask <> 0 where protocol = 6),
+ k as (select {", ".join(LABELS)}, min(slot) since from f group by all), z as (select {", ".join(LABELS)}, slot, sum(d) d from f group by all)
+ select {", ".join("k." + c for c in LABELS)}, ts_s, sum(cast(coalesce(d, 0) as double)) over (partition by {", ".join("k." + c for c in LABELS)} order by ts_s) "value"
+ from k join g on ts_s >= since left join z on {" and ".join(f"z.{c} = k.{c}" for c in LABELS)} and z.slot = ts_s"""
+
+
+@query("q_ga23_tc_samples", TC_SAMPLES)
+def tc_sample_rows(spark, d):
+    get = lambda k: F.coalesce(F.col("labels")[k], F.lit("")).alias(k)
+    return tc_samples(spark, d).select("name", get("protocol"), get("direction"), get("ifindex"), get("flag"), "ts_s", "value")
+
+
 # windows and rates
 @query("q_w1_lifetimes", O.LIVES + " select sock, cast(life as bigint) life, ts_ns, hook from lives")
 def lifetimes(spark, d):
@@ -484,8 +542,8 @@ for _p in panels.PANELS:
         return panels.evaluate_panel(p, samples).withColumn("value", F.round("value", 6))
 
 
-#: Lower thresholds than the rules', at which these tables have alerts; rules with their own are tested as well.
-TRIED = {"a1": 0.05, "a3": 4000.0, "a5": 0.05, "a9": 3000.0}
+#: These tables never have as many connections as a9 asks for; it also runs at a threshold that they reach.
+TRIED = {"a9": 500.0}
 for _r in rules.RULES:
     if _r != "a8":
 
@@ -502,18 +560,31 @@ for _r in rules.RULES:
 
 
 UP = O.base("udp") + """, x as (select distinct 'agent' || (pid % 8) instance, (ts_ns // 15000000000) * 15 ts_s from udp), g as (select unnest(range(min(ts_s), max(ts_s) + 15, 15)) ts_s from x), i as (select distinct instance from x),
- u as (select g.ts_s, i.instance, x.instance is null down from g cross join i left join x on x.ts_s = g.ts_s and x.instance = i.instance) select instance, count(*) slots, count(*) filter (where down) down from u group by instance"""
+ u as (select g.ts_s, i.instance, case when x.instance is null then 0 else 1 end up from g cross join i left join x on x.ts_s = g.ts_s and x.instance = i.instance)"""
+DOWN = UP + """, p as (select unnest(range((select min(ts_s) + 59 from g) // 60 * 60, (select max(ts_s) + 1 from g), 60)) t), v as (select instance, t from p join u on u.ts_s = p.t where up = 0),
+ l as (select *, t - 60 * row_number() over (partition by instance order by t) island from v), a as (select *, min(t) over (partition by instance, island) active_since from l)
+ select 'AgentDown' alert, instance, t, case when t - active_since >= 60 then 'firing' else 'pending' end state, active_since, 'critical' severity from a"""
+
 
+def agents(spark, d):
+    """Slots in which an instance, a process of the UDP events, was heard."""
+    name = F.concat(F.lit("agent"), (F.col("pid") % 8).cast("string"))
+    return table(spark, d, "udp").select(F.create_map(F.lit("instance"), name).alias("labels"), F.expr("(ts_ns div 15000000000) * 15").alias("ts_s"))
 
-@query("q_a8_liveness", UP)
+
+@query("q_a8_liveness", UP + " select instance, count(*) slots, count(*) filter (where up = 0) down from u group by instance")
 def liveness(spark, d):
-    """Instances that report in a slot are up; an instance is a process of the UDP events."""
-    seen = table(spark, d, "udp").select(F.create_map(F.lit("instance"), F.concat(F.lit("agent"), (F.col("pid") % 8).cast("string"))).alias("labels"), F.expr("(ts_ns div 15000000000) * 15").alias("ts_s"))
-    targets = seen.select(F.col("labels")["instance"].alias("instance")).distinct()
-    up = rules.liveness(seen, targets)
+    up = rules.liveness(agents(spark, d))
     return up.groupBy(F.col("labels")["instance"].alias("instance")).agg(F.count(F.lit(1)).alias("slots"), F.count_if(F.col("value") == 0).alias("down"))
 
 
+@query("q_a8_agentdown", DOWN)
+def agent_down(spark, d):
+    """The rule, with its selector of the job and its hold."""
+    up = V.select_labels(rules.liveness(agents(spark, d)), job="agent")
+    return rules.evaluate_rule(rules.RULES["a8"], up).select("alert", F.col("labels")["instance"].alias("instance"), "t", "state", "active_since", "severity")
+
+
 # anomalies
 @query("q_x1_flow_rates", O.base("tcp") + " select ts_ns // 60000000000 * 60 window_start_s, round(count(*) filter (where event_type = 1) / 60, 6) new_flows_per_second, round(count(*) filter (where event_type = 2) / 60, 6) closed_flows_per_second from tcp group by 1")
 def flow_rates(spark, d):

@@ -69,15 +69,31 @@ def write_exposition(samples: DataFrame, path: str) -> None:
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
-    """History by date, so that a time range prunes folders."""
-    dated = samples.withColumn("date", F.to_date(F.timestamp_seconds("ts_s")))
-    dated.repartition("date", "name").write.mode("append").partitionBy("date").parquet(path)
+    """History in folders by date and family, so that a time range and a family prune them."""
+    dated = samples.withColumn("date", F.to_date(F.timestamp_seconds("ts_s"))).withColumn("family", F.col("name"))
+    dated.repartition("date", "family").write.mode("append").partitionBy("date", "family").parquet(path)
 
 
-def expire_samples(samples: DataFrame, days: int = 7) -> DataFrame:
-    """The samples of the last days; write them to the next history."""
-    end = samples.agg(F.max("ts_s").alias("end_s"))
-    return samples.join(F.broadcast(end), F.expr(f"ts_s >= end_s - {days * 86400}")).drop("end_s")
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """name, labels, ts_s, value, date of a history; a condition on name or date prunes its folders."""
+    schema = "labels map<string,string>, ts_s long, value double, date date, family string"
+    return spark.read.schema(schema).parquet(path).select(F.col("family").alias("name"), "labels", "ts_s", "value", "date")
+
+
+def in_range(samples: DataFrame, start_s: int, end_s: int) -> DataFrame:
+    """samples of a history from start to end, by folders first."""
+    day = lambda s: F.to_date(F.timestamp_seconds(F.lit(s)))
+    return samples.where(F.col("ts_s").between(start_s, end_s) & F.col("date").between(day(start_s), day(end_s)))
+
+
+def expire_samples(spark: SparkSession, path: str, days: int = 7) -> None:
+    """A history without the folders of days that are over; the day of the last sample counts as the first."""
+    history = read_samples(spark, path)
+    last = history.agg(F.max("date")).first()[0]
+    old = [r[0] for r in history.select("date").distinct().where(F.col("date") <= F.date_sub(F.lit(last), days)).collect()] if last else []
+    for date in old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={date}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def merge_events(**tables: DataFrame) -> DataFrame:
