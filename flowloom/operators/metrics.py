@@ -217,27 +217,28 @@ def tc_samples(tc: DataFrame, interfaces: DataFrame, step: int = SCRAPE_S) -> Da
     return densified(added_up, rows.agg(F.max("slot").alias("until")), step)
 
 
-def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(), histograms=(), states: bool = False, unfed=(), unfed_histograms=(), step: int = SCRAPE_S, store=None, rates=()) -> DataFrame:
-    """G-A23, T11: name, labels, ts_s, value of every family on a grid of step seconds.
+def histogram_sums(histograms) -> list[Column]:
+    aggs = []
+    for name, where, value in histograms:
+        aggs += [F.count_if(F.expr(f"({where}) and {value} <= {b}")).cast("long").alias(f"{name}_bucket|{b}") for b in BOUNDS]
+        aggs += [F.count_if(F.expr(where)).cast("long").alias(f"{name}_bucket|+Inf"), added((f"{name}_sum", where, value)), F.count_if(F.expr(where)).cast("long").alias(f"{name}_count")]
+    return aggs
 
-    Unlabelled families have a row on each slot from the first, labelled ones from the slot of their first event.
-    store, if given, writes a table and rereads it; it gets the sums by slot, which several parts of the result use.
-    """
+
+def slot_sums(events: DataFrame, counters=(*TCP_COUNTERS, ACTIVE), last_values=TCP_LAST, histograms=TCP_HISTOGRAMS, rates=(), states: bool = True, step: int = SCRAPE_S) -> tuple[DataFrame, DataFrame | None]:
+    """What each slot adds to every family, one row a slot; and connections that closed, by slot and state (slot, state, d)."""
     rows = events.withColumn("slot", slot_of(step))
     if "saddr" in events.columns:
         rows = rows.withColumn("sock_order", F.struct("saddr", "daddr", "sport", "dport"))
-    aggs = [added(f) for f in (*counters, *gauges)] + [last(f) for f in last_values]
-    aggs += [added((name, "true", value)) for name, value in rates]
-    for name, where, value in histograms:
-        aggs += [F.count_if(F.expr(f"({where}) and {value} <= {b}")).cast("long").alias(f"{name}_bucket|{b}") for b in BOUNDS]
-        aggs += [F.count_if(F.expr(where)).cast("long").alias(f"{name}_bucket|+Inf"), added((f"{name}_sum", where, value)), F.count_if(F.expr(where)).cast("long").alias(f"{name}_count")]
+    aggs = [added(f) for f in counters] + [last(f) for f in last_values] + [added((name, "true", value)) for name, value in rates] + histogram_sums(histograms)
+    by_state = None
     if states:
-        by_state_sums = rows.where(END).groupBy("slot", S.tcp_state_name("tcp_state").alias("state")).agg(F.count(F.lit(1)).cast("double").alias("d"))
-    wide = rows.groupBy("slot").agg(*aggs)
-    if store:
-        wide = store(wide.toDF(*[f"c{k}" for k in range(len(wide.columns))])).toDF(*wide.columns)
-        by_state_sums = store(by_state_sums) if states else None
-    grid = wide.agg(F.sequence(F.min("slot"), F.max("slot"), F.lit(step).cast("long")).alias("s")).select(F.explode("s").alias("slot"))
+        by_state = rows.where(END).groupBy("slot", S.tcp_state_name("tcp_state").alias("state")).agg(F.count(F.lit(1)).cast("double").alias("d"))
+    return rows.groupBy("slot").agg(*aggs), by_state
+
+
+def history_of(wide: DataFrame, by_state: DataFrame | None, grid: DataFrame, protocol: str = "tcp", last_values=TCP_LAST, rates=(), unfed=TCP_UNFED, unfed_histograms=UNFED_HISTOGRAMS, step: int = SCRAPE_S) -> DataFrame:
+    """name, labels, ts_s, value of every family on the slots of grid, from the sums of slots."""
     full = grid.join(wide, "slot", "left")
     summed = [a for a in wide.columns if a != "slot" and a not in {x[0] for x in (*last_values, *rates)}]
     cells = [F.struct(F.lit(c).alias("series"), F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias("d")) for c in summed]
@@ -245,10 +246,10 @@ def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(
     by_series = Window.partitionBy("series").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     parts = F.split("series", r"\|")
     le = F.get(parts, 1)
-    labels = F.when(le.isNotNull(), F.create_map(F.lit("le"), le)).otherwise(F.expr("cast(map() as map<string,string>)"))
+    none = F.expr("cast(map() as map<string,string>)")
+    labels = F.when(le.isNotNull(), F.create_map(F.lit("le"), le)).otherwise(none)
     prefix = f"network_{protocol}_"
     out = long.select(F.concat(F.lit(prefix), F.get(parts, 0)).alias("name"), labels.alias("labels"), F.col("slot").alias("ts_s"), F.sum("d").over(by_series).alias("value"))
-    none = F.expr("cast(map() as map<string,string>)")
     if last_values:
         kept = [F.struct(F.lit(f[0]).alias("series"), F.col(f[0]).cast("double").alias("d")) for f in last_values]
         rows_l = full.select("slot", F.inline(F.array(*kept)))
@@ -260,19 +261,32 @@ def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(
         held = grid.withColumn("tick", F.expr(f"slot div {TICK_S} * {TICK_S}")).join(ticks, "tick", "left")
         cells = [F.struct(F.lit(prefix + n).alias("name"), F.coalesce(F.col(n), F.lit(0.0)).alias("value")) for n, _ in rates]
         out = out.unionByName(held.select(F.col("slot").alias("ts_s"), F.inline(F.array(*cells))).withColumn("labels", none))
-    if states:
-        named = by_state_sums.select(F.lit(prefix + "connections_by_state").alias("name"), F.create_map(F.lit("state"), "state").alias("labels"), "slot", "d")
+    if by_state is not None:
+        named = by_state.select(F.lit(prefix + "connections_by_state").alias("name"), F.create_map(F.lit("state"), "state").alias("labels"), "slot", "d")
         out = out.unionByName(densified(named, grid.agg(F.max("slot").alias("until")), step))
     zeros = [F.struct(F.lit(prefix + n).alias("name"), none.alias("labels")) for n in unfed]
     for n in unfed_histograms:
         zeros += [F.struct(F.lit(f"{prefix}{n}_bucket").alias("name"), F.create_map(F.lit("le"), F.lit(str(b))).alias("labels")) for b in (*BOUNDS, "+Inf")]
         zeros += [F.struct(F.lit(f"{prefix}{n}_{x}").alias("name"), none.alias("labels")) for x in ("sum", "count")]
     if zeros:
-        flat = grid.select(F.col("slot").alias("ts_s"), F.inline(F.array(*zeros))).withColumn("value", F.lit(0.0))
-        out = out.unionByName(flat)
+        out = out.unionByName(grid.select(F.col("slot").alias("ts_s"), F.inline(F.array(*zeros))).withColumn("value", F.lit(0.0)))
     return out
 
 
+def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(), histograms=(), states: bool = False, unfed=(), unfed_histograms=(), step: int = SCRAPE_S, store=None, rates=()) -> DataFrame:
+    """G-A23, T11: name, labels, ts_s, value of every family on a grid of step seconds.
+
+    Unlabelled families have a row on each slot from the first, labelled ones from the slot of their first event.
+    store, if given, writes a table and rereads it; it gets the sums by slot, which several parts of the result use.
+    """
+    wide, by_state = slot_sums(events, (*counters, *gauges), last_values, histograms, rates, states, step)
+    if store:
+        wide = store(wide.toDF(*[f"c{k}" for k in range(len(wide.columns))])).toDF(*wide.columns)
+        by_state = store(by_state) if states else None
+    grid = wide.agg(F.sequence(F.min("slot"), F.max("slot"), F.lit(step).cast("long")).alias("s")).select(F.explode("s").alias("slot"))
+    return history_of(wide, by_state, grid, protocol, last_values, rates, unfed, unfed_histograms, step)
+
+
 def tcp_samples(matched: DataFrame, store=None) -> DataFrame:
     return samples(matched, "tcp", TCP_COUNTERS, (ACTIVE,), TCP_LAST, TCP_HISTOGRAMS, True, TCP_UNFED, UNFED_HISTOGRAMS, store=store)
 

@@ -53,25 +53,34 @@ def render(template: str, value: str = "value") -> Column:
     return F.lit(template)
 
 
-def held(present: DataFrame, hold_s: int, interval_s: int) -> DataFrame:
-    """(labels, t, value) of true evaluations, with active_since and pending or firing; a gap starts anew."""
-    rows = present.withColumn("series", V.key())
+def held(present: DataFrame, hold_s: int, interval_s: int, carried: DataFrame | None = None) -> DataFrame:
+    """(labels, t, value) of true evaluations, with active_since and pending or firing; a gap starts anew.
+
+    carried has (labels, t, active_since) of alerts that were active before; they are in the result with fresh false.
+    """
+    rows = present.select("labels", "t", "value", F.lit(None).cast("long").alias("active_since"), F.lit(True).alias("fresh"))
+    if carried is not None:
+        rows = rows.unionByName(carried.select("labels", "t", F.lit(None).cast("double").alias("value"), "active_since", F.lit(False).alias("fresh")))
+    rows = rows.withColumn("series", V.key())
     order = Window.partitionBy("series").orderBy("t")
     rows = rows.withColumn("island", F.col("t") - F.row_number().over(order) * interval_s)
-    since = F.min("t").over(Window.partitionBy("series", "island"))
+    since = F.min(F.coalesce("active_since", "t")).over(Window.partitionBy("series", "island"))
     rows = rows.withColumn("active_since", since)
     return rows.withColumn("state", F.when(F.col("t") - F.col("active_since") >= hold_s, "firing").otherwise("pending")).drop("series", "island")
 
 
-def evaluate_rule(rule: Rule, samples: DataFrame, threshold: float | None = None) -> DataFrame:
-    """alert, labels, t, value, state, active_since, severity, description: evaluations at which the rule is not inactive."""
-    vector = evaluate(samples, rule.expression, rule.interval_s)
-    found = held(V.compare(vector, rule.op, rule.threshold if threshold is None else threshold), rule.hold_s, rule.interval_s)
+def described(found: DataFrame, rule: Rule) -> DataFrame:
     return found.select(
         F.lit(rule.name).alias("alert"), "labels", "t", "value", "state", "active_since", F.lit(rule.severity).alias("severity"), render(rule.template).alias("description")
     )
 
 
+def evaluate_rule(rule: Rule, samples: DataFrame, threshold: float | None = None) -> DataFrame:
+    """alert, labels, t, value, state, active_since, severity, description: evaluations at which the rule is not inactive."""
+    vector = evaluate(samples, rule.expression, rule.interval_s)
+    return described(held(V.compare(vector, rule.op, rule.threshold if threshold is None else threshold), rule.hold_s, rule.interval_s), rule)
+
+
 def liveness(samples: DataFrame, step_s: int = 15) -> DataFrame:
     """Samples of up for each instance: 1 in a slot that has a sample of it, 0 in those between, before and after.
 

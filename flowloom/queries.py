@@ -16,7 +16,7 @@ from flowloom.operators import metrics as M
 from flowloom.plans import panels, rules
 from flowloom.plans import vectors as V
 from flowloom.sources import codecs, events
-from flowloom.streaming import jobs
+from flowloom.streaming import alerts, flow_state, jobs, snapshots
 
 QUERIES, ORACLES = {}, {}
 
@@ -622,14 +622,60 @@ def stream_window(spark, d):
     return rows.select(F.unix_timestamp("window_start").alias("window_start_s"), "total", "events")
 
 
-@query("q_t4_stream_match", O.MATCHED + " select case when matched then 'matched' else 'orphan' end kind, count(*) n, cast(sum(bytes_sent) as bigint) bytes_sent from m where event_type = 2 group by 1")
+def in_parts(rows, order, parts, path, run):
+    """rows go to path in so many stretches of order, one after the other; run takes what is there after each."""
+    first, last = rows.agg(F.min(order), F.max(order)).first()
+    for k in range(parts if first is not None else 0):
+        low, high = first + (last - first + 1) * k // parts, first + (last - first + 1) * (k + 1) // parts
+        rows.where((F.col(order) >= low) & (F.col(order) < high)).write.mode("append").parquet(path)
+        run()
+
+
+T4 = O.MATCHED + """, e as (select max(ts_ns) // 1000000 - 120000 watermark_ms from tcp where event_type in (1, 2, 3))
+ select case when matched then 'matched' else 'orphan' end kind, saddr, daddr, sport, dport, start_ts, ts_ns end_ts, bytes_sent from m where event_type = 2
+ union all select 'expired', saddr, daddr, sport, dport, ts_ns, null, 0 from gone, e where next_ts is not null or expired_ts // 1000000 <= watermark_ms"""
+
+
+@query("q_t4_stream_match", T4)
 def stream_match(spark, d):
-    """The state machine over a day's age, so that no flow of these tables expires; it agrees with the window form."""
+    """The keyed state machine at the age of the agent, over all events: what it matches, and what its timers let go."""
     at = through_store(spark, None, "stream")
     table(spark, d, "tcp").select(*events.EVENTS["tcp"].fieldNames()).write.parquet(f"{at}/in")
-    stream = jobs.match_flows_stream(events.read_events(spark, f"{at}/in", "tcp", streaming=True), 86400, "1 day")
-    rows = spark.read.parquet(jobs.run_available(stream, at)).where("kind <> 'expired'")
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_sent").alias("bytes_sent"))
+    stream = flow_state.match_flows_stream(events.read_events(spark, f"{at}/in", "tcp", streaming=True))
+    rows = spark.read.schema(flow_state.MATCHED).parquet(jobs.run_available(stream, at))
+    return rows.select("kind", *W.TUPLE, "start_ts", "end_ts", "bytes_sent")
+
+
+@query("q_t11_stream_snapshots", O.TCP_ONLY + SAMPLES)
+def stream_snapshots(spark, d):
+    """The history as snapshots of a stream that takes the events in two stretches, and starts again between them."""
+    at = through_store(spark, None, "stream")
+
+    def run():
+        source = events.read_events(spark, f"{at}/in", "tcp", streaming=True)
+        snapshots.snapshots_stream(source, f"{at}/out", availableNow=True).awaitTermination()
+
+    in_parts(table(spark, d, "tcp").select(*events.EVENTS["tcp"].fieldNames()), "ts_ns", 2, f"{at}/in", run)
+    snapshots.finish(spark, f"{at}/out")
+    return flat(snapshots.history(spark, f"{at}/out"))
+
+
+STREAMED = ("a2", "a3", "a5", "a6")
+T12 = O.TCP_ONLY + " " + " union all ".join(f"(select alert, t, value, state, active_since, severity from ({O.rule(r)[len(O.TCP_ONLY):].replace(', v as', 'with v as', 1)}))" for r in STREAMED)
+
+
+@query("q_t12_stream_rules", T12)
+def stream_rules(spark, d):
+    """Rules over the history as a stream of three stretches, with a new start between them; the state of alerts is carried."""
+    at = through_store(spark, None, "stream")
+    families = "network_tcp_(zero_window_events_total|rtt_microseconds_bucket|server_reset_total|client_syn_repeat_total)"
+
+    def run():
+        source = spark.readStream.schema(alerts.SAMPLES).parquet(f"{at}/in")
+        alerts.rules_stream(source, f"{at}/out", {r: rules.RULES[r] for r in STREAMED}, availableNow=True).awaitTermination()
+
+    in_parts(M.keep_names(tcp_samples(spark, d), families).drop("date"), "ts_s", 3, f"{at}/in", run)
+    return alerts.alerts_of(spark, f"{at}/out").select("alert", "t", F.round("value", 6).alias("value"), "state", "active_since", "severity")
 
 
 @query("q_t13_udp_sessions", O.base("udp") + """, o as (select *, case when ts_ns - lag(ts_ns) over w <= 30000000000 then 0 else 1 end fresh from udp window w as (partition by saddr, daddr, sport, dport, pid order by ts_ns)),

@@ -1,22 +1,23 @@
 """Structured Streaming forms of the operators.
 
 Sources are replayable and queries checkpoint, so a lost executor costs a retry and no event. Built-in windowed
-aggregations carry most of it; the flow state machine is a keyed state with an event-time timer.
+aggregations carry most of it; flow matching (flow_state) is keyed state with event-time timers, rules (alerts) and
+snapshots carry tables from batch to batch.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowloom.functions import scalars as S
-from flowloom.operators.flows import END, RETRANS, START, TUPLE
-
-MATCHED = "saddr long, daddr long, sport int, dport int, protocol int, kind string, start_ts long, end_ts long, bytes_sent long, retrans_count long"
+from flowloom.operators.flows import TUPLE
 
 
 def timed(events: DataFrame, delay: str = "2 minutes") -> DataFrame:
@@ -42,57 +43,6 @@ def udp_sessions(udp: DataFrame, gap: str = "30 seconds", delay: str = "2 minute
     return s.agg(F.sum("packet_size").alias("bytes"), F.count(F.lit(1)).alias("packets")).select(*TUPLE, "pid", F.col("s.start").alias("session_start"), "bytes", "packets")
 
 
-def flow_machine(max_age_s: int) -> Callable:
-    """START opens (or replaces) a flow, RETRANS updates it, END closes it or is an orphan, a timer expires it."""
-    age_ms = max_age_s * 1000
-
-    def row(key, kind, start, event=None, retrans=0):
-        end = None if event is None else int(event.ts_ns)
-        sent = 0 if event is None else int(event.bytes_sent)
-        count = retrans if event is None else int(event.retrans_count)
-        return (*key, kind, start, end, sent, count)
-
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        start, retrans = state.get if state.exists else (None, 0)
-        if state.hasTimedOut:
-            if start is not None:
-                out.append(row(key, "expired", start, None, retrans))
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts_ns", "seq"])
-            for e in rows.itertuples(index=False):
-                if start is not None and e.ts_ns - start > max_age_s * 1_000_000_000:
-                    out.append(row(key, "expired", start, None, retrans))
-                    start, retrans = None, 0
-                if e.event_type == START:
-                    start, retrans = int(e.ts_ns), 0
-                elif e.event_type == RETRANS and start is not None:
-                    retrans = int(e.retrans_count)
-                elif e.event_type == END:
-                    out.append(row(key, "orphan" if start is None else "matched", start, e))
-                    start, retrans = None, 0
-            if start is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((start, retrans))
-                due = start // 1_000_000 + age_ms + 1
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        names = [x.strip().split(" ")[0] for x in MATCHED.split(",")]
-        yield pd.DataFrame(out, columns=names)
-
-    return work
-
-
-def match_flows_stream(tcp: DataFrame, max_age_s: int = 300, delay: str = "2 minutes") -> DataFrame:
-    """Matched, orphan and expired flows, as they happen."""
-    rows = timed(tcp.where(F.col("event_type").isin(START, END, RETRANS)), delay)
-    return rows.groupBy(*TUPLE, "protocol").applyInPandasWithState(
-        flow_machine(max_age_s), MATCHED, "start_ts long, retrans long", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 FLOWS = "sock long, syn_ts long, established_ts long, close_ts long, bytes_sent long, packets_sent long, retrans_count long, rst_count long"
 
 
@@ -138,21 +88,75 @@ def reconstruct_flows_stream(hooks: DataFrame, ttl_s: int | None = None, delay:
     return timed(hooks, delay).groupBy("sock").applyInPandasWithState(socket_machine(ttl_s), FLOWS, state, "append", timeout)
 
 
+def by_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A handler that writes a batch to a folder of its own, so that a batch that runs again adds nothing."""
+    return lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def to_tables(events: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], path: str, poison: str | None = None, **trigger):
-    """Each micro-batch goes to every handler; rows that a condition calls poison go to a folder."""
+    """Each micro-batch goes to every handler; rows that a condition calls poison go to a folder.
+
+    A handler that raises costs its own rows only: its name, the batch and the error go to a table, and the other
+    handlers and the stream go on.
+    """
+    spark = events.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
-        good = batch
-        if poison:
-            bad = F.coalesce(F.expr(poison), F.lit(True))
-            batch.where(bad).write.mode("append").json(f"{path}/dead")
-            good = batch.where(~bad)
-        for handle in handlers.values():
-            handle(good, number)
+        good, failed = batch.persist(), []
+        try:
+            if poison:
+                bad = F.coalesce(F.expr(poison), F.lit(True))
+                batch.where(bad).write.mode("overwrite").json(f"{path}/dead/batch={number}")
+                good = batch.where(~bad)
+            for name, handle in handlers.items():
+                try:
+                    handle(good, number)
+                except Exception as error:  # noqa: BLE001
+                    failed.append((name, type(error).__name__, str(error)[:2000]))
+            found = spark.createDataFrame(failed, "handler string, kind string, message string")
+            found.coalesce(1).write.mode("overwrite").json(f"{path}/errors/batch={number}")
+        finally:
+            batch.unpersist()
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"processingTime": "15 seconds"})).start()
 
 
+DROPPED = "query string, batch long, operator string, dropped long"
+
+
+def dropped_rows(query) -> DataFrame:
+    """The rows that each stateful operator of each batch dropped because they were later than the watermark."""
+    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.getActiveSession()
+    rows = [(p["name"] or p["id"], p["batchId"], o["operatorName"], o["numRowsDroppedByWatermark"]) for p in map(as_dict, query.recentProgress) for o in p["stateOperators"]]
+    return spark.createDataFrame(rows, DROPPED)
+
+
+def as_dict(progress) -> dict:
+    return progress if isinstance(progress, dict) else json.loads(progress.json)
+
+
+class DroppedRows(StreamingQueryListener):
+    """Writes what dropped_rows has of every query of the session to a table, as batches end."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = as_dict(event.progress)
+        rows = [(p["name"] or p["id"], p["batchId"], o["operatorName"], o["numRowsDroppedByWatermark"]) for o in p["stateOperators"]]
+        if rows:
+            self.spark.createDataFrame(rows, DROPPED).coalesce(1).write.mode("overwrite").json(f"{self.path}/{p['id']}-{p['batchId']}")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def run_available(df: DataFrame, path: str, mode: str = "append") -> str:
     """All input that is there now, through the stream, to Parquet under path; returns the folder of the rows."""
     query = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").trigger(availableNow=True).start()
