@@ -6,7 +6,7 @@
 2. Each of these words is merged by one expression: its bytes become ids, each with the rank of its pair with the next
    one above it, and ``aggregate`` folds over them. A step merges the pair of lowest rank: all its places, from the left, in one
    pass while the array is long, or the leftmost by slices when it is short; both orders give the same ids. So a step is
-   linear in the word, and a long word needs as many passes as it has distinct merges. Ranks are a literal map, laid out
+   linear in the word, and there is a step for each of its bytes but one; steps that find nothing leave it alone. Ranks are a literal map, laid out
    as one array: the id of a pair's first half has a displacement, which its second half is added to.
    Displacements are chosen so that no two pairs meet. A token has one pair: merging its own bytes by lower ranks leaves
    exactly two parts, and no other pair with its bytes can arise in a text.
@@ -39,6 +39,8 @@ from flowloom.llm.tokens import RANKS, read_ranks
 WORDS, CHUNKS, CHUNK_CHARS = 400_000, 200_000, 48
 #: Ranks are below 2 ** SHIFT. Arrays longer than LONG merge all places of a pair in a step, shorter ones the leftmost.
 SHIFT, LONG = 20, 64
+#: Words of more characters are merged in segments.
+WHOLE = 24
 NONE = 2**31 - 1
 UNSAFE = re.compile(r"\s ").search
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
@@ -158,21 +160,44 @@ def merged(word: Column, path: str = RANKS) -> Column:
 
 
 class Numbers(dict):
-    """The numbers of words, in the order in which they are met."""
+    """The numbers of words, and of segments (bytes) of long ones, in the order in which they are met."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         self[word] = n = len(self)
         return n
 
 
+def neighbours(path: str = RANKS) -> np.ndarray:
+    """Whether two bytes (256 * first + second) stand next to each other in any token."""
+    found = np.zeros(1 << 16, bool)
+    for token in read_ranks(path):
+        b = np.frombuffer(token, np.uint8).astype(np.int64)
+        found[256 * b[:-1] + b[1:]] = True
+    return found
+
+
+def segments(word: str, beside: np.ndarray) -> list[bytes]:
+    """The word's bytes, cut between bytes that no token has side by side; no merge reaches over such a place."""
+    raw = word.encode()
+    b = np.frombuffer(raw, np.uint8).astype(np.int64)
+    cuts = (np.flatnonzero(~beside[256 * b[:-1] + b[1:]]) + 1).tolist()
+    return [raw[i:j] for i, j in zip([0, *cuts], [*cuts, len(raw)])]
+
+
 class Chunked(dict):
-    """The packed word numbers of a space and the key."""
+    """The packed numbers of the words, or of the segments of long ones, of a space and the key."""
 
-    def __init__(self, numbers: Numbers):
-        self.numbers, self.words = numbers, regex.compile(public_tokenizers.PATTERN).findall
+    def __init__(self, numbers: Numbers, beside: np.ndarray):
+        self.numbers, self.beside, self.words = numbers, beside, regex.compile(public_tokenizers.PATTERN).findall
 
     def packed(self, text: str) -> bytes:
-        return b"".join([self.numbers[w].to_bytes(4, "little") for w in self.words(text)])
+        found = []
+        for w in self.words(text):
+            if len(w) <= WHOLE:
+                found.append(self.numbers[w].to_bytes(4, "little"))
+            else:
+                found += [self.numbers[x].to_bytes(4, "little") for x in segments(w, self.beside)]
+        return b"".join(found)
 
     def __missing__(self, chunk: str) -> bytes:
         # most chunks are one word of letters, perhaps with a mark behind it
@@ -189,17 +214,19 @@ class Chunked(dict):
         return found
 
 
-def numbered_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def numbered_words(docs: DataFrame, words: int = WORDS, path: str = RANKS) -> DataFrame:
     """Rows of three kinds in order: word (its bytes), did and numbers of a document, or, with nulls, the end of a block."""
 
+    beside = docs.sparkSession.sparkContext.broadcast(neighbours(path))
+
     def work(batches):
-        chunks = Chunked(Numbers())
+        chunks = Chunked(Numbers(), beside.value)
         for batch in batches:
             known, packed = len(chunks.numbers), []
             for body in batch.column("body").to_pylist():
                 first, rest = split_chunks(body)
                 packed.append(chunks.packed(first) + b"".join(map(chunks.__getitem__, rest)))
-            new = [w.encode() for w in list(chunks.numbers)[known:]]
+            new = [w if isinstance(w, bytes) else w.encode() for w in list(chunks.numbers)[known:]]
             if new:
                 flat = np.frombuffer(b"".join(new), np.uint8).astype("i8")
                 edges = np.cumsum([0, *map(len, new)]).astype("i4")
@@ -207,7 +234,7 @@ def numbered_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield {"word": pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), "did": nothing.cast(pa.int64()), "numbers": nothing.cast(pa.binary())}
             yield {"word": pa.nulls(len(packed), pa.list_(pa.int64())), "did": batch.column("did"), "numbers": pa.array(packed, pa.binary())}
             if len(chunks.numbers) >= words:
-                chunks = Chunked(Numbers())
+                chunks = Chunked(Numbers(), beside.value)
                 yield {"word": pa.nulls(1, pa.list_(pa.int64())), "did": pa.nulls(1, pa.int64()), "numbers": pa.nulls(1, pa.binary())}
 
     return mapped(rows(docs), work, "word array<bigint>, did long, numbers binary")
@@ -245,7 +272,7 @@ def encoded(docs: DataFrame, path: str = RANKS, words: int = WORDS) -> DataFrame
                         "tokens": pa.ListArray.from_arrays(pa.array(at.astype("i4")), pa.array(ids)),
                     }
 
-    with_ids = numbered_words(docs, words).select(merged(F.col("word"), path).alias("ids"), "did", "numbers")
+    with_ids = numbered_words(docs, words, path).select(merged(F.col("word"), path).alias("ids"), "did", "numbers")
     return mapped(with_ids, look_up, "did long, ids binary, tokens array<int>")
 
 

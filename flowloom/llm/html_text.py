@@ -11,7 +11,8 @@ inside an article element are labelled as text, and the same blocks laid out ane
 is a few thousand weights, whatever the number of pages.
 
 A null or empty page gives an empty text. Character references are decoded, white space in a block becomes
-one space, and kept blocks are joined in page order by one space. Nothing is shortened. Text inside svg, math and
+one space, and kept blocks are joined in page order by one space. Nothing is shortened, except that a labelled page
+lends its first 14 blocks to each new layout. Text inside svg, math and
 object elements is text of the block around them, which the field sees by a feature of its own.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,55 +41,151 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = "script style noscript template textarea iframe".split()
 FOREIGN = frozenset(["svg", "math"])
 EMBEDDED = FOREIGN | {"object"}
+#: A comment, a section, a declaration, a raw element whole, or the beginning of a tag.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     rf"|<({'|'.join(RAW)})\b[^<>]*>.*?(?:</\1\s*>|\Z)"
-    # a quoted value ends where an attribute may end; if there is no such end, the tag ends at its first >
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]{0,2000}\"(?=[\s/>])|'[^']{0,2000}'(?=[\s/>]))*|[^<>]*)>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)",
     re.S | re.I,
 )
+MARK, PLAIN = re.compile("[<>\"']"), re.compile("[^<>]*>")
 NAMES = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "path", "names", "linked", "marks", "embedded")
-
-    def __init__(self, text, path, names, linked, marks, embedded):
-        self.text, self.path, self.names, self.linked, self.marks, self.embedded = text, path, names, linked, marks, embedded
+    """A run of text, the block elements around it (each once), the innermost, the words of their names, its marks."""
+
+    __slots__ = ("text", "path", "leaf", "names", "linked", "marks", "embedded")
+
+    def __init__(self, text, path, leaf, names, linked, marks, embedded):
+        self.text, self.path, self.leaf, self.names = text, path, leaf, names
+        self.linked, self.marks, self.embedded = linked, marks, embedded
+
+
+class Ends:
+    """Where tags end. A quoted value is passed over as a whole, however long; an unclosed quote is an ordinary character."""
+
+    def __init__(self, page: str):
+        self.page, self.none_left = page, {'"': len(page) + 1, "'": len(page) + 1}
+
+    def closing(self, quote: str, at: int) -> int:
+        """The place of the next quote from at on, or -1."""
+        if at >= self.none_left[quote]:
+            return -1
+        found = self.page.find(quote, at)
+        if found < 0:
+            self.none_left[quote] = at
+        return found
+
+    def of(self, at: int) -> int:
+        """The place after the tag whose attributes begin at at, or -1 if it is no tag."""
+        pos = at
+        while m := MARK.search(self.page, pos):
+            c, pos = m[0], m.end()
+            if c == ">":
+                return pos
+            if c == "<":
+                break
+            close = self.closing(c, pos)
+            # a value ends where an attribute may end; else the tag ends at its first >
+            if close < 0 or self.page[close + 1 : close + 2] not in tuple(" \t\n\r\f\v/>"):
+                break
+            pos = close + 1
+        plain = PLAIN.match(self.page, at)
+        return plain.end() if plain else -1
+
+
+class Open:
+    """The elements that are open, with counts of their tags, names and marks, so that a block costs no walk of them."""
+
+    def __init__(self):
+        self.stack, self.tags, self.names, self.marks = [], Counter(), Counter(), Counter()
+        self.blocks, self.embedded, self.seen = [], [], None
+
+    def push(self, tag: str, names: list[str], mark: str) -> None:
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        if tag in EMBEDDED:
+            self.embedded.append(len(self.stack))
+        self.stack.append((tag, names, mark))
+        self.tags[tag] += 1
+        self.names.update(names)
+        self.marks[mark] += 1
+        self.seen = None
+
+    def cut(self, size: int) -> None:
+        """Closes all but the first size elements."""
+        while len(self.stack) > size:
+            tag, names, mark = self.stack.pop()
+            for counts, keys in ((self.tags, (tag,)), (self.names, names), (self.marks, (mark,))):
+                for k in keys:
+                    counts[k] -= 1
+                    if not counts[k]:
+                        del counts[k]
+            for places in (self.blocks, self.embedded):
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+        self.seen = None
+
+    def close(self, tag: str) -> None:
+        if self.tags[tag]:
+            k = len(self.stack) - 1
+            while self.stack[k][0] != tag:
+                k -= 1
+            self.cut(k)
+
+    def drawing(self) -> bool:
+        return any(self.tags[t] for t in FOREIGN)
+
+    def around(self):
+        """The block elements, the innermost of them, the names and the marks; shared until an element opens or closes."""
+        if self.seen is None:
+            leaf = self.stack[self.blocks[-1]][0] if self.blocks else "-"
+            self.seen = frozenset(t for t in self.tags if t in BLOCK and self.tags[t]), leaf, frozenset(self.names), frozenset(m for m in self.marks if m)
+        return self.seen
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """The page's runs of text between block-level tags, in page order."""
-    blocks, stack, parts, linked, at, embedded = [], [], [], 0, 0, set()
+    blocks, parts, linked, at, embedded = [], [], 0, 0, set()
+    ends, now = Ends(page), Open()
 
     def flush():
         nonlocal parts, linked, embedded
-        text = " ".join("".join(parts).split())
-        if text:
-            names = [w for _, own, _ in stack for w in own]
-            blocks.append(Block(text, [t for t, _, _ in stack if t in BLOCK], names, linked, [m for _, _, m in stack if m], embedded))
-        parts, linked, embedded = [], 0, set()
+        if parts:
+            text = " ".join("".join(parts).split())
+            if text:
+                path, leaf, names, marks = now.around()
+                blocks.append(Block(text, path, leaf, names, linked, marks, embedded))
+            parts, linked, embedded = [], 0, set()
 
     def add(raw):
         nonlocal linked
         if raw:
             text = entities.unescape(raw)
             parts.append(text)
-            if any(t == "a" for t, _, _ in stack):
+            if now.tags["a"]:
                 linked += len(text)
-            if text.strip():
-                embedded.update(t for t, _, _ in stack if t in EMBEDDED)
+            if now.embedded and text.strip():
+                embedded.update(t for t in EMBEDDED if now.tags[t])
 
+    text_from = 0
     while m := TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+        tag, at = (m[3] or "").lower(), m.end()
+        if tag:
+            stop = ends.of(at)
+            if stop < 0:
+                # no tag: its text goes on
+                continue
+            attrs, at = page[at : stop - 1], stop
+        add(page[text_from : m.start()])
+        text_from = at
         if not tag:
-            if any(t in FOREIGN for t, _, _ in stack):
+            if now.drawing():
                 # only here a raw element may close itself, and a CDATA section is text
                 if m[1] and (own_end := page.index(">", m.start()) + 1) and page[own_end - 2] == "/":
-                    at = own_end
+                    at = text_from = own_end
                 elif m[0].startswith("<![CDATA["):
                     add(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
@@ -96,27 +194,24 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         # the title of a drawing is no block
-        block = tag in BLOCK and not (tag == "title" and any(t in FOREIGN for t, _, _ in stack))
+        block = tag in BLOCK and not (tag == "title" and now.drawing())
         if m[2]:
             if block:
                 flush()
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            now.close(tag)
             continue
         if block:
             flush()
             # a block inside an embedded element closes none outside of it
-            inner = max((i for i, (t, _, _) in enumerate(stack) if t in EMBEDDED), default=-1)
-            open_blocks = [i for i, (t, _, _) in enumerate(stack) if t in BLOCK and i > inner]
-            if open_blocks and (stack[open_blocks[-1]][0] == "p" or stack[open_blocks[-1]][0] == tag in ("li", "dt", "dd", "option", "tr", "td", "th")):
-                del stack[open_blocks[-1] :]
-        attrs = m[4]
+            near = now.blocks[-1] if now.blocks else -1
+            if near >= 0 and near > (now.embedded[-1] if now.embedded else -1):
+                if now.stack[near][0] == "p" or now.stack[near][0] == tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
+                    now.cut(near)
         own = WORDS.findall(" ".join(a or b or c for a, b, c in NAMES.findall(attrs)).lower()) if attrs.strip() else []
         mark = ("main" if "data-main" in attrs else "junk" if "data-junk" in attrs else "") if "data-" in attrs else ""
         if not attrs.rstrip().endswith("/"):
-            stack.append((tag, own, mark))
-    add(page[at:])
+            now.push(tag, own, mark)
+    add(page[text_from:])
     flush()
     return blocks
 
@@ -130,7 +225,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for k, b in enumerate(blocks):
         text, size = b.text, len(b.text)
         f = {f"in:{t}" for t in b.path} | {f"name:{w}" for w in b.names} | {f"holds:{t}" for t in b.embedded}
-        f.add(f"leaf:{b.path[-1] if b.path else '-'}")
+        f.add(f"leaf:{b.leaf}")
         f.add(f"size:{bucket(size, (10, 25, 60, 120, 300))}")
         f.add(f"linked:{bucket(b.linked / size, (0.05, 0.4, 0.9))}")
         f.add(f"stops:{bucket(sum(map(text.count, '.!?,')), (1, 2, 5))}")

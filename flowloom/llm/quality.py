@@ -71,7 +71,6 @@ def repeat_words(words: Column) -> Column:
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that the rules use."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     body = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("body"))
     split = body.select(
         "doc_id",

@@ -341,8 +341,9 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Netw
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     key = F.xxhash64("doc_id").alias("fit_hash")
     chosen = marked.select("doc_id", "toxic", key).orderBy("fit_hash", "doc_id", "toxic").limit(fit_rows).drop("fit_hash")
-    # at most fit_rows narrow rows, so they are the side to send
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
+    # at most fit_rows narrow rows, so they are the side to send; documents that share an id are no more rows either
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("text")).limit(fit_rows).collect()
     return fit([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.text or ""))])
 
 
