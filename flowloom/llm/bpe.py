@@ -36,7 +36,7 @@ from flowloom.llm.common import rows, shown_id
 from flowloom.llm.tokens import RANKS, read_ranks
 
 #: Distinct words of a block; chunks a task remembers, and the longest of them in characters.
-WORDS, CHUNKS, CHUNK_CHARS = 400_000, 200_000, 48
+WORDS, CHUNKS, CHUNK_CHARS = 250_000, 100_000, 48
 #: Ranks are below 2 ** SHIFT. Arrays longer than LONG merge all places of a pair in a step, shorter ones the leftmost.
 SHIFT, LONG = 20, 64
 #: Words of more characters are merged in segments.
