@@ -1,20 +1,24 @@
 """Flow reconstruction and matching: every rule is a window over one key, so one exchange serves each operator.
 
 Order within a key is (ts_ns, seq). Windows are keyed by raw integers (socket, five-tuple, thread), never by a
-formatted key, and need no self join.
+formatted key, and need no self join. Hook rows of one stamp are taken by name and argument. Where one key may have
+more rows than a task can take, slice_s cuts it into slices of time (scans).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.operators.scans import Run, running
+
 TUPLE = ["saddr", "daddr", "sport", "dport"]
 START, END, RETRANS, ZERO_WINDOW, RESET = 1, 2, 3, 4, 5
 #: Not a recorded event: derived when a flow is too old.
 EXPIRED = 6
 MAX_AGE_S = 300
 ESTABLISHED, CLOSE = 1, 7
+HOOK_ORDER = ["ts_ns", "hook", "arg"]
 
 
 def expiry_tick(start: str, max_age_s: int) -> Column:
@@ -23,21 +27,21 @@ def expiry_tick(start: str, max_age_s: int) -> Column:
     return F.expr(f"(({start}) + {age}) div {age} * {age} + {age}")
 
 
-def match_flows(tcp: DataFrame, max_age_s: int | None = None) -> DataFrame:
+def match_flows(tcp: DataFrame, max_age_s: int | None = None, slice_s: int | None = None) -> DataFrame:
     """Each event with matched (an END whose flow is open), start_ts, retrans_ratio, timeout_occurred.
 
     An END is matched if the START or END before it, of the same five-tuple, is a START. With max_age_s, a flow that
     is still open at its expiry_tick leaves then (expired_ts of its START), before any event of that moment, and its
-    END is an orphan. A START that another START replaces does not expire.
+    END is an orphan. A START that another START replaces does not expire. slice_s: see scans.
     """
-    keys, ends = Window.partitionBy(*TUPLE, "protocol"), F.col("event_type").isin(START, END)
-    before = keys.orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    out = tcp.withColumn("previous", F.last(F.when(ends, F.struct("event_type", "ts_ns")), ignorenulls=True).over(before))
+    ends = F.col("event_type").isin(START, END)
+    runs = {"previous": Run("last", F.when(ends, F.struct("event_type", "ts_ns")), own=False)}
+    if max_age_s is not None:
+        runs["next_ts"] = Run("next", F.when(ends, F.col("ts_ns")), own=False)
+    out = running(tcp, [*TUPLE, "protocol"], ["ts_ns", "seq"], runs, slice_s)
     open_flow = F.col("previous.event_type") == START
     if max_age_s is not None:
         open_flow &= F.col("ts_ns") < expiry_tick("previous.ts_ns", max_age_s)
-        after = keys.orderBy(F.desc("ts_ns"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumn("next_ts", F.last(F.when(ends, F.col("ts_ns")), ignorenulls=True).over(after))
         tick = expiry_tick("ts_ns", max_age_s)
         gone = (F.col("event_type") == START) & (F.col("next_ts").isNull() | (tick <= F.col("next_ts")))
         out = out.withColumn("expired_ts", F.when(gone, tick)).drop("next_ts")
@@ -82,22 +86,18 @@ def open_connections(tcp: DataFrame) -> DataFrame:
     )
 
 
-def hook_lifetimes(hooks: DataFrame) -> DataFrame:
+def hook_lifetimes(hooks: DataFrame, slice_s: int | None = None) -> DataFrame:
     """Life numbers the connects of a socket; rows before the first and after a CLOSE are dropped."""
-    sock = Window.partitionBy("sock").orderBy("ts_ns")
-    life = F.sum((F.col("hook") == "tcp_connect").cast("int")).over(sock.rowsBetween(Window.unboundedPreceding, 0))
-    closed = ((F.col("hook") == "tcp_set_state") & (F.col("arg") == CLOSE)).cast("int")
-    lived = Window.partitionBy("sock", "life").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    out = hooks.withColumn("life", life).withColumn("closed_before", F.sum(closed).over(lived) - closed)
-    return out.where("life > 0 and closed_before = 0").drop("closed_before")
+    connect, close = is_hook("tcp_connect"), is_hook("tcp_set_state", CLOSE)
+    runs = {"life": Run("sum", connect.cast("int")), "mark": Run("last", F.when(connect, START).when(close, END), own=False)}
+    out = running(hooks, ["sock"], HOOK_ORDER, runs, slice_s)
+    return out.where((F.col("life") > 0) & (connect | (F.col("mark") == START))).drop("mark")
 
 
-def round_trips(lives: DataFrame) -> DataFrame:
+def round_trips(lives: DataFrame, slice_s: int | None = None) -> DataFrame:
     """rtt_us of an ack that directly follows a send, among sends and acks of a life."""
-    talk = F.col("hook").isin("tcp_sendmsg", "tcp_ack")
-    order = Window.partitionBy("sock", "life").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(talk, F.struct("hook", "ts_ns")), ignorenulls=True).over(order)
-    out = lives.withColumn("sent", before)
+    talk = F.when(F.col("hook").isin("tcp_sendmsg", "tcp_ack"), F.struct("hook", "ts_ns"))
+    out = running(lives, ["sock", "life"], HOOK_ORDER, {"sent": Run("last", talk, own=False)}, slice_s)
     paired = (F.col("hook") == "tcp_ack") & (F.col("sent.hook") == "tcp_sendmsg")
     return out.withColumn("rtt_us", F.when(paired, F.expr("(ts_ns - sent.ts_ns) div 1000"))).drop("sent")
 
@@ -107,9 +107,9 @@ def is_hook(name: str, state: int | None = None):
     return hit if state is None else hit & (F.col("arg") == state)
 
 
-def reconstruct_flows(hooks: DataFrame) -> DataFrame:
+def reconstruct_flows(hooks: DataFrame, slice_s: int | None = None) -> DataFrame:
     """G-A1: one row for each life of a socket: stamps, sums, round trips, last state."""
-    rows = round_trips(hook_lifetimes(hooks))
+    rows = round_trips(hook_lifetimes(hooks, slice_s), slice_s)
     stamp = lambda hit: F.min(F.when(hit, F.col("ts_ns")))
     total = lambda name: F.sum(F.when(is_hook(name), F.col("arg")).otherwise(0))
     out = rows.groupBy("sock", "life").agg(
@@ -140,32 +140,30 @@ def reconstruct_flows(hooks: DataFrame) -> DataFrame:
     )
 
 
-def hook_events_to_tcp_events(hooks: DataFrame) -> DataFrame:
+def hook_events_to_tcp_events(hooks: DataFrame, slice_s: int | None = None) -> DataFrame:
     """G-A2, W3: START at the first ESTABLISHED, END at CLOSE, RETRANS and RST with the counts so far."""
-    lived = Window.partitionBy("sock", "life").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    so_far = lambda value: F.sum(value).over(lived)
-    first = lambda hit, value="ts_ns": F.min(F.when(hit, F.col(value))).over(lived)
+    first = lambda hit, value="ts_ns": Run("min", F.when(hit, F.col(value)))
     retrans, reset, sent = is_hook("tcp_retransmit_skb"), is_hook("tcp_send_active_reset"), is_hook("tcp_sendmsg")
     up = is_hook("tcp_set_state", ESTABLISHED)
-    rows = round_trips(hook_lifetimes(hooks))
-    rows = rows.select(
-        "*",
-        first(is_hook("tcp_connect")).alias("syn_ts"),
-        first(is_hook("tcp_synack")).alias("synack_ts"),
-        first(up).alias("established_ts"),
-        so_far(up.cast("int")).alias("ups"),
-        first(up, "saddr").alias("local_addr"),
-        first(up, "sport").alias("local_port"),
-        so_far(retrans.cast("long")).alias("retrans_count"),
-        so_far(F.when(retrans, F.col("arg")).otherwise(0)).alias("retrans_bytes"),
-        so_far(reset.cast("int")).alias("rst_count"),
-        so_far(sent.cast("long")).alias("packets_sent"),
-        so_far(F.when(sent, F.col("arg")).otherwise(0)).alias("bytes_sent"),
-        F.count("rtt_us").over(lived).alias("rtt_n"),
-        so_far("rtt_us").alias("rtt_sum"),
-        F.max("rtt_us").over(lived).alias("rtt_high"),
-        F.min("rtt_us").over(lived).alias("rtt_low"),
-    )
+    so_far = {
+        "syn_ts": first(is_hook("tcp_connect")),
+        "synack_ts": first(is_hook("tcp_synack")),
+        "established_ts": first(up),
+        "ups": Run("sum", up.cast("int")),
+        "local_addr": first(up, "saddr"),
+        "local_port": first(up, "sport"),
+        "retrans_count": Run("sum", retrans.cast("long")),
+        "retrans_bytes": Run("sum", F.when(retrans, F.col("arg")).otherwise(0)),
+        "rst_count": Run("sum", reset.cast("int")),
+        "packets_sent": Run("sum", sent.cast("long")),
+        "bytes_sent": Run("sum", F.when(sent, F.col("arg")).otherwise(0)),
+        "rtt_n": Run("sum", F.col("rtt_us").isNotNull().cast("long")),
+        "rtt_sum": Run("sum", F.col("rtt_us")),
+        "rtt_high": Run("max", F.col("rtt_us")),
+        "rtt_low": Run("min", F.col("rtt_us")),
+    }
+    lives = round_trips(hook_lifetimes(hooks, slice_s), slice_s)
+    rows = running(lives, ["sock", "life"], HOOK_ORDER, so_far, slice_s)
     kind = (
         F.when(up & (F.col("ups") == 1), START).when(is_hook("tcp_set_state", CLOSE), END).when(retrans, RETRANS).when(reset, RESET)
     )
@@ -211,9 +209,9 @@ def hook_stats(hooks: DataFrame) -> DataFrame:
     )
 
 
-def pair_udp_receives(calls: DataFrame) -> DataFrame:
+def pair_udp_receives(calls: DataFrame, slice_s: int | None = None) -> DataFrame:
     """An exit with bytes pairs with the entry directly before it; failed exits do not count."""
     rows = calls.where("kind = 'entry' or ret > 0")
-    order = Window.partitionBy("pid_tgid").orderBy("ts_ns", "sock")
-    paired = rows.withColumn("opened", F.lag("kind").over(order)).withColumn("entry_sock", F.lag("sock").over(order))
-    return paired.where("kind = 'exit' and opened = 'entry'").select("pid_tgid", "ts_ns", "ret", F.col("entry_sock").alias("sock"))
+    opened = Run("last", F.struct("kind", "sock"), own=False)
+    paired = running(rows, ["pid_tgid"], ["ts_ns", "sock", "kind"], {"opened": opened}, slice_s)
+    return paired.where("kind = 'exit' and opened.kind = 'entry'").select("pid_tgid", "ts_ns", "ret", F.col("opened.sock").alias("sock"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import scalars as S
+from flowloom.operators.scans import Run, running
 
 #: Upper bounds of the histogram buckets in microseconds.
 BOUNDS = (100, 200, 500, 1000, 2000, 5000, 10000, 20000, 50000, 100000, 200000, 500000, 1000000, 5000000, 10000000)
@@ -127,10 +128,11 @@ def udp_flows(udp: DataFrame) -> DataFrame:
     )
 
 
-def udp_running_totals(udp: DataFrame) -> DataFrame:
-    """total_bytes of the flow up to and with each packet."""
-    order = Window.partitionBy("saddr", "daddr", "sport", "dport", "pid").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    return udp.withColumn("total_bytes", F.sum("packet_size").over(order))
+def udp_running_totals(udp: DataFrame, slice_s: int | None = None) -> DataFrame:
+    """total_bytes of the flow up to and with each packet; packets of one stamp by direction and size. slice_s: see scans."""
+    if "total_bytes" in udp.columns:
+        udp = udp.drop("total_bytes")
+    return running(udp, ["saddr", "daddr", "sport", "dport", "pid"], ["ts_ns", "direction", "packet_size"], {"total_bytes": Run("sum", F.col("packet_size"))}, slice_s)
 
 
 def udp_sessions(udp: DataFrame, gap: str = "30 seconds") -> DataFrame:

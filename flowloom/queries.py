@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from flowloom.functions import scalars as S
 from flowloom.operators import anomalies as A
 from flowloom.operators import flows as W
 from flowloom.operators import metrics as M
+from flowloom.operators.scans import SLICE_S
 from flowloom.plans import panels, rules
 from flowloom.plans import vectors as V
 from flowloom.sources import codecs, events
@@ -80,8 +82,8 @@ def table(spark, d, name):
     return once(spark, d, name, lambda: derived(spark, d, name))
 
 
-def matched(spark, d):
-    return W.match_flows(table(spark, d, "tcp"), W.MAX_AGE_S)
+def matched(spark, d, slice_s=None):
+    return W.match_flows(table(spark, d, "tcp"), W.MAX_AGE_S, slice_s)
 
 
 def with_expiries(spark, d):
@@ -289,8 +291,8 @@ def flags(spark, d):
 
 # matching and reconstruction
 @query("q_j1_match_flows", O.MATCHED + " select sock, ts_ns, event_type, matched, start_ts, round(retrans_ratio, 9) retrans_ratio from m")
-def match(spark, d):
-    return matched(spark, d).select("sock", "ts_ns", "event_type", "matched", "start_ts", F.round("retrans_ratio", 9).alias("retrans_ratio"))
+def match(spark, d, slice_s=None):
+    return matched(spark, d, slice_s).select("sock", "ts_ns", "event_type", "matched", "start_ts", F.round("retrans_ratio", 9).alias("retrans_ratio"))
 
 
 @query("q_f8_expiry", O.MATCHED + " select saddr, daddr, sport, dport, ts_ns start_ts, expired_ts from gone")
@@ -321,13 +323,13 @@ def open_connections(spark, d):
 
 
 @query("q_j3_udp_receives", O.base("udp_calls") + ", r as (select *, lag(kind) over w o, lag(sock) over w s from udp_calls where kind = 'entry' or ret > 0 window w as (partition by pid_tgid order by ts_ns, sock)) select pid_tgid, ts_ns, ret, s sock from r where kind = 'exit' and o = 'entry'")
-def udp_receives(spark, d):
-    return W.pair_udp_receives(table(spark, d, "udp_calls"))
+def udp_receives(spark, d, slice_s=None):
+    return W.pair_udp_receives(table(spark, d, "udp_calls"), slice_s)
 
 
 @query("q_j4_round_trips", O.LIVES + " select sock, cast(life as bigint) life, ts_ns, rtt_us from rtts")
-def round_trips(spark, d):
-    return W.round_trips(W.hook_lifetimes(table(spark, d, "hooks"))).where("rtt_us is not null").select("sock", F.col("life").cast("long").alias("life"), "ts_ns", "rtt_us")
+def round_trips(spark, d, slice_s=None):
+    return W.round_trips(W.hook_lifetimes(table(spark, d, "hooks"), slice_s), slice_s).where("rtt_us is not null").select("sock", F.col("life").cast("long").alias("life"), "ts_ns", "rtt_us")
 
 
 @query("q_j6_bidirectional", O.base("packets") + " select count(*) flows, cast(sum(n) as bigint) packets from (select least((saddr, sport), (daddr, dport)) a, greatest((saddr, sport), (daddr, dport)) b, count(*) n from packets group by 1, 2)")
@@ -356,8 +358,8 @@ GA2 = O.base("tcp", "hooks") + """, n as (select event_type, count(*) events fro
 
 
 @query("q_ga2_events_from_hooks", GA2)
-def events_from_hooks(spark, d):
-    e = W.hook_events_to_tcp_events(table(spark, d, "hooks"))
+def events_from_hooks(spark, d, slice_s=None):
+    e = W.hook_events_to_tcp_events(table(spark, d, "hooks"), slice_s)
     n = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
     pick = lambda where, c: F.sum(F.expr(f"case when {where} then {c} end")).cast("long")
     t = e.agg(pick("event_type in (1, 2, 5)", "ts_ns").alias("stamps"), pick("event_type in (1, 2)", "syn_rtt").alias("syn_rtt"), pick("event_type = 2", "bytes_sent").alias("bytes_sent"), pick("event_type = 2", "retrans_bytes").alias("retrans_bytes"))
@@ -457,13 +459,18 @@ def tc_sample_rows(spark, d):
 
 # windows and rates
 @query("q_w1_lifetimes", O.LIVES + " select sock, cast(life as bigint) life, ts_ns, hook from lives")
-def lifetimes(spark, d):
-    return W.hook_lifetimes(table(spark, d, "hooks")).select("sock", F.col("life").cast("long").alias("life"), "ts_ns", "hook")
+def lifetimes(spark, d, slice_s=None):
+    return W.hook_lifetimes(table(spark, d, "hooks"), slice_s).select("sock", F.col("life").cast("long").alias("life"), "ts_ns", "hook")
 
 
 @query("q_w4_udp_running_totals", O.base("udp") + " select ts_ns, cast(sum(packet_size) over (partition by saddr, daddr, sport, dport, pid order by ts_ns rows unbounded preceding) as bigint) total_bytes from udp")
-def running_totals(spark, d):
-    return M.udp_running_totals(table(spark, d, "udp")).select("ts_ns", "total_bytes")
+def running_totals(spark, d, slice_s=None):
+    return M.udp_running_totals(table(spark, d, "udp"), slice_s).select("ts_ns", "total_bytes")
+
+
+# the same for keys that no task could take whole, in slices of time
+for _name in ("q_j1_match_flows", "q_j3_udp_receives", "q_j4_round_trips", "q_w1_lifetimes", "q_ga2_events_from_hooks", "q_w4_udp_running_totals"):
+    query(f"{_name}_in_slices", ORACLES[_name])(partial(QUERIES[_name], slice_s=SLICE_S))
 
 
 @query("q_w6_udp_rates", O.base("udp") + " select ts_ns // 60000000000 * 60 window_start_s, round(sum(packet_size) / 60, 6) per_second, round(count(*) / 60, 6) events_per_second from udp group by 1")
