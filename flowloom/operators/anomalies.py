@@ -1,4 +1,8 @@
-"""Anomaly counters from packets (X1 to X6): our definitions of families that have no other producer."""
+"""Anomaly counters from packets (X1 to X6): our definitions of families that have no other producer.
+
+They are counts, or (anomaly_events) rows beside the flow events, so that the aggregate of all families counts them
+too and they are samples like the others. client_syn_repeat has a producer among the flow events and is a count only.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,17 @@ from pyspark.sql import functions as F
 from flowloom.functions.scalars import bidirectional_key
 
 FIN, SYN, RST, ACK = 1, 2, 4, 16
+#: (family, event type, mark): event types of our own, which no recorded event has.
+EVENTS = (
+    ("client_establish_fail_total", 11, "establish_fail"),
+    ("server_syn_miss_total", 12, "syn_miss"),
+    ("client_port_reuse_total", 13, "port_reuse"),
+    ("client_half_close_lack_total", 14, "not by_client"),
+    ("server_half_close_lack_total", 15, "by_client"),
+)
+COUNTERS = tuple((name, f"event_type = {code}", "1") for name, code, _ in EVENTS)
+#: X1 as gauges that a tick sets.
+RATES = (("new_flows_per_second", "case when event_type = 1 then 1 else 0 end"), ("closed_flows_per_second", "case when event_type = 2 then 1 else 0 end"))
 
 
 def has(mask: int):
@@ -44,14 +59,28 @@ def anomaly_counts(packets: DataFrame, reuse_s: int = 60) -> DataFrame:
     )
 
 
-def half_close_lack(packets: DataFrame) -> DataFrame:
-    """Flows with a FIN of one side only; the client is the side of the first SYN, or else of the first packet."""
+def half_closed(packets: DataFrame) -> DataFrame:
+    """Flows with a FIN of one side only, with the time of their last packet and whether the FIN is the client's.
+
+    The client is the side of the first SYN, or else of the first packet.
+    """
     rows = packets.where("protocol = 6").withColumn("flow", bidirectional_key("saddr", "sport", "daddr", "dport"))
     first = F.min_by(F.struct("saddr", "sport"), F.struct((~(has(SYN) & ~has(ACK))).alias("late"), "ts_ns", "tcp_flags", "saddr", "sport"))
     ends = F.collect_set(F.when(has(FIN), F.struct("saddr", "sport")))
-    g = rows.groupBy("flow").agg(first.alias("client"), ends.alias("ends")).where(F.size("ends") == 1)
-    by_client = F.get("ends", 0) == F.col("client")
-    return g.agg(F.count_if(~by_client).alias("client_half_close_lack"), F.count_if(by_client).alias("server_half_close_lack"))
+    g = rows.groupBy("flow").agg(first.alias("client"), ends.alias("ends"), F.max("ts_ns").alias("ts_ns")).where(F.size("ends") == 1)
+    return g.select("flow", "ts_ns", (F.get("ends", 0) == F.col("client")).alias("by_client"))
+
+
+def half_close_lack(packets: DataFrame) -> DataFrame:
+    """How many closed by one side only; the other side is the one that lacks a close."""
+    return half_closed(packets).agg(F.count_if(~F.col("by_client")).alias("client_half_close_lack"), F.count_if("by_client").alias("server_half_close_lack"))
+
+
+def anomaly_events(packets: DataFrame, reuse_s: int = 60) -> DataFrame:
+    """ts_ns, event_type of each anomaly: at its packet, or at the last packet of a flow that is half closed."""
+    codes = lambda part: F.array_compact(F.array(*[F.when(F.expr(mark), code) for _, code, mark in part]))
+    by_packet = marked_packets(packets, reuse_s).select("ts_ns", F.explode(codes(EVENTS[:3])).alias("event_type"))
+    return by_packet.unionByName(half_closed(packets).select("ts_ns", F.explode(codes(EVENTS[3:])).alias("event_type")))
 
 
 def flow_rates(tcp: DataFrame, seconds: int = 60) -> DataFrame:

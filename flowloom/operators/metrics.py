@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import scalars as S
+from flowloom.operators import anomalies as A
 from flowloom.operators.scans import Run, running
 
 #: Upper bounds of the histogram buckets in microseconds.
@@ -86,10 +87,15 @@ def totals(df: DataFrame, families, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or [])).agg(*[added(f) for f in families])
 
 
-def tcp_metrics(matched: DataFrame, by: list[str] | None = None, dedup: bool = False) -> DataFrame:
-    """G-A4 to G-A12, G-A15: counters, the active gauge and last values. Ties of time and seq go to the larger five-tuple."""
+def tcp_metrics(matched: DataFrame, by: list[str] | None = None, dedup: bool = False, registry: Registry | None = None) -> DataFrame:
+    """G-A4 to G-A12, G-A15: counters, the active gauge and last values. Ties of time and seq go to the larger five-tuple.
+
+    A registry adds its counters and gauges without labels.
+    """
     rows = matched.withColumn("sock_order", F.struct("saddr", "daddr", "sport", "dport"))
-    return rows.groupBy(*(by or [])).agg(*[added(f) for f in (*TCP_COUNTERS, ACTIVE, *(TCP_DEDUP if dedup else ()))], *[last(f) for f in TCP_LAST])
+    more = registry or Registry()
+    counters = (*TCP_COUNTERS, ACTIVE, *(TCP_DEDUP if dedup else ()), *more.plain("counter"))
+    return rows.groupBy(*(by or [])).agg(*[added(f) for f in counters], *[last(f) for f in (*TCP_LAST, *more.plain("gauge"))])
 
 
 def true_extremes(matched: DataFrame) -> DataFrame:
@@ -175,13 +181,28 @@ def windowed_rate(df: DataFrame, value: str, seconds: int) -> DataFrame:
 
 
 class Registry:
-    """Families a user adds: register_metric gives an aggregate column in every table built from the registry."""
+    """Families a user adds; tcp_metrics and tcp_samples compute them with their own.
+
+    register_metric names a family by the events it counts (where) and what they add or set (value), both expressions
+    over matched events. kind: counter (a sum), gauge (the last value) or histogram. A counter may have labels, from
+    names to expressions; it then has a series for each set of labels, from its first event on.
+    """
 
-    def __init__(self, families=()):
-        self.families = list(families)
+    def __init__(self):
+        self.families = []
 
-    def register_metric(self, name: str, where: str, value: str) -> None:
-        self.families.append((name, where, value))
+    def register_metric(self, name: str, where: str, value: str, kind: str = "counter", labels: dict[str, str] | None = None) -> None:
+        if kind not in ("counter", "gauge", "histogram") or (labels and kind != "counter"):
+            raise ValueError(f"no family of kind {kind}" + (" with labels" if labels else ""))
+        if name in {f[0] for f in self.families}:
+            raise ValueError(f"{name} is registered")
+        self.families.append((name, where, value, kind, labels))
+
+    def plain(self, kind: str) -> tuple:
+        return tuple(f[:3] for f in self.families if f[3] == kind and not f[4])
+
+    def labelled(self) -> tuple:
+        return tuple(f for f in self.families if f[4])
 
 
 def slot_of(step: int = SCRAPE_S) -> Column:
@@ -219,6 +240,17 @@ def tc_samples(tc: DataFrame, interfaces: DataFrame, step: int = SCRAPE_S) -> Da
     return densified(added_up, rows.agg(F.max("slot").alias("until")), step)
 
 
+def labelled_sums(events: DataFrame, protocol: str, families, step: int = SCRAPE_S) -> DataFrame:
+    """What labelled families add: name, labels, slot, d, from one aggregate over all of them."""
+    cells = [
+        F.when(F.expr(where), F.struct(F.lit(f"network_{protocol}_{name}").alias("name"), F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.coalesce(F.expr(v).cast("string"), F.lit("")))]).alias("labels"), F.expr(f"cast({value} as double)").alias("d")))
+        for name, where, value, _, labels in families
+    ]
+    rows = events.select(slot_of(step).alias("slot"), F.inline(F.array_compact(F.array(*cells))))
+    series = F.to_json(F.array_sort(F.map_entries("labels")))
+    return rows.groupBy("name", series.alias("series"), "slot").agg(F.any_value("labels").alias("labels"), F.sum("d").alias("d")).drop("series")
+
+
 def histogram_sums(histograms) -> list[Column]:
     aggs = []
     for name, where, value in histograms:
@@ -275,7 +307,7 @@ def history_of(wide: DataFrame, by_state: DataFrame | None, grid: DataFrame, pro
     return out
 
 
-def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(), histograms=(), states: bool = False, unfed=(), unfed_histograms=(), step: int = SCRAPE_S, store=None, rates=()) -> DataFrame:
+def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(), histograms=(), states: bool = False, unfed=(), unfed_histograms=(), step: int = SCRAPE_S, store=None, rates=(), labelled=()) -> DataFrame:
     """G-A23, T11: name, labels, ts_s, value of every family on a grid of step seconds.
 
     Unlabelled families have a row on each slot from the first, labelled ones from the slot of their first event.
@@ -286,11 +318,21 @@ def samples(events: DataFrame, protocol: str, counters, gauges=(), last_values=(
         wide = store(wide.toDF(*[f"c{k}" for k in range(len(wide.columns))])).toDF(*wide.columns)
         by_state = store(by_state) if states else None
     grid = wide.agg(F.sequence(F.min("slot"), F.max("slot"), F.lit(step).cast("long")).alias("s")).select(F.explode("s").alias("slot"))
-    return history_of(wide, by_state, grid, protocol, last_values, rates, unfed, unfed_histograms, step)
+    out = history_of(wide, by_state, grid, protocol, last_values, rates, unfed, unfed_histograms, step)
+    if labelled:
+        out = out.unionByName(densified(labelled_sums(events, protocol, labelled, step), grid.agg(F.max("slot").alias("until")), step))
+    return out
 
 
-def tcp_samples(matched: DataFrame, store=None) -> DataFrame:
-    return samples(matched, "tcp", TCP_COUNTERS, (ACTIVE,), TCP_LAST, TCP_HISTOGRAMS, True, TCP_UNFED, UNFED_HISTOGRAMS, store=store)
+def tcp_samples(matched: DataFrame, store=None, packets: DataFrame | None = None, registry: Registry | None = None) -> DataFrame:
+    """All TCP families. With packets, the families that only packets can feed are fed (anomalies), and flow rates are set."""
+    more, fed, rates = registry or Registry(), (), ()
+    if packets is not None:
+        matched = matched.unionByName(A.anomaly_events(packets), allowMissingColumns=True)
+        fed, rates = A.COUNTERS, A.RATES
+    unfed = [name for name in TCP_UNFED if name not in {f[0] for f in (*fed, *rates)}]
+    counters, last_values, histograms = (*TCP_COUNTERS, *fed, *more.plain("counter")), (*TCP_LAST, *more.plain("gauge")), (*TCP_HISTOGRAMS, *more.plain("histogram"))
+    return samples(matched, "tcp", counters, (ACTIVE,), last_values, histograms, True, unfed, UNFED_HISTOGRAMS, store=store, rates=rates, labelled=more.labelled())
 
 
 def udp_samples(udp: DataFrame) -> DataFrame:
@@ -308,6 +350,13 @@ def keep_names(rows: DataFrame, pattern: str) -> DataFrame:
     return rows.where(F.col("name").rlike(f"^(?:{pattern})$"))
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """The last sample of each series: what a scrape sees now."""
+    series = F.to_json(F.array_sort(F.map_entries("labels")))
+    by = rows.withColumn("series", series).groupBy("name", "series")
+    return by.agg(F.any_value("labels").alias("labels"), F.max("ts_s").alias("ts_s"), F.max_by("value", "ts_s").alias("value")).drop("series")
+
+
 def exposition(rows: DataFrame) -> DataFrame:
     """A text line for each sample."""
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"')))

@@ -92,16 +92,27 @@ def with_expiries(spark, d):
     return W.with_expiries(matched(spark, d), last or 0)
 
 
+def registered():
+    """Families of our own, of each kind."""
+    own = M.Registry()
+    own.register_metric("large_flows_total", "event_type = 2 and bytes_sent >= 50000", "1")
+    own.register_metric("last_duration_microseconds", "event_type = 2 and matched", "duration_us", "gauge")
+    own.register_metric("handshake_server_microseconds", "event_type = 1", "syn_rtt_server", "histogram")
+    own.register_metric("sent_by_direction_total", "event_type = 2", "bytes_sent", labels={"direction": "case direction when 1 then 'EGRESS' when 0 then 'INGRESS' else 'UNKNOWN' end"})
+    return own
+
+
 def samples_of(spark, d, protocol):
     """The metric history of a protocol, in folders by date and family."""
     make = {
         "tcp": lambda: M.tcp_samples(with_expiries(spark, d), stored),
+        "tcp and packets": lambda: M.tcp_samples(with_expiries(spark, d), stored, table(spark, d, "packets")),
         "udp": lambda: M.udp_samples(table(spark, d, "udp")),
         "tc": lambda: M.tc_samples(table(spark, d, "tc"), table(spark, d, "interfaces")),
     }
     key = (spark.sparkContext.applicationId, version_of(spark, d), f"{protocol} history")
     if key not in WRITTEN:
-        path = through_store(spark, None, f"{protocol}-history")
+        path = through_store(spark, None, f"{protocol.replace(' ', '-')}-history")
         events.write_samples(make[protocol](), path)
         WRITTEN[key] = path
     return events.read_samples(spark, WRITTEN[key])
@@ -196,6 +207,7 @@ def flow_log(spark, d):
     return spark.read.schema("record string, bytes_sent long").json(path).groupBy("record").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_sent").alias("bytes_sent"))
 
 
+IPSQL = "(({0} & 255) || '.' || (({0} >> 8) & 255) || '.' || (({0} >> 16) & 255) || '.' || (({0} >> 24) & 255))"
 IF = "case ifindex when 1 then 'lo' when 2 then 'eth0' when 3 then 'ens33' else 'if' || ifindex end"
 PROTO = "case protocol when 6 then 'TCP' when 17 then 'UDP' else 'PROTO_' || protocol end"
 DIR = "case direction when 1 then 'EGRESS' when 0 then 'INGRESS' else 'UNKNOWN' end"
@@ -207,6 +219,19 @@ def packet_log(spark, d):
     return rows.select("ts_ns", "if_name", S.protocol_name("protocol").alias("protocol"), S.direction_name("direction").alias("direction"), "packet_len")
 
 
+LOGGED = "record string, ts_ns long, if_name string, protocol_name string, direction_name string, packet_len long, src_ip string, dst_ip string, sport int, dport int, packet_size long"
+
+
+@query("q_s9_packet_log_sink", O.base("tc", "udp") + f""" select 'packet' record, ts_ns, {IF} if_name, {PROTO} protocol_name, {DIR} direction_name, packet_len, null src_ip, null dst_ip, null sport, null dport, null packet_size from tc
+ union all select 'datagram', ts_ns, null, null, {DIR}, null, {IPSQL.format("saddr")}, {IPSQL.format("daddr")}, sport, dport, packet_size from udp""")
+def packet_log_sink(spark, d):
+    """The packet log of both kinds, written as JSON lines to one folder and read back."""
+    path = through_store(spark, None, "packet-log")
+    events.write_log(events.packet_log(table(spark, d, "tc"), table(spark, d, "interfaces")), path)
+    events.write_log(events.packet_log(table(spark, d, "udp")), path)
+    return spark.read.schema(LOGGED).json(path)
+
+
 @query("q_s10_exposition", O.MATCHED + ", " + O.samples_cte("m", "tcp", M.TCP_COUNTERS, histograms=M.TCP_HISTOGRAMS[3:4]) + """ select ts_s, name || case when le <> '' then '{le="' || le || '"}' else '' end || ' ' || cast("value" as bigint) line from s""")
 def text_exposition(spark, d):
     return M.exposition(M.samples(matched(spark, d), "tcp", M.TCP_COUNTERS, histograms=M.TCP_HISTOGRAMS[3:4]))
@@ -227,7 +252,6 @@ def sampled(spark, d):
 
 
 # scalars
-IPSQL = "(({0} & 255) || '.' || (({0} >> 8) & 255) || '.' || (({0} >> 16) & 255) || '.' || (({0} >> 24) & 255))"
 SRC, DST = IPSQL.format("saddr"), IPSQL.format("daddr")
 
 
@@ -457,6 +481,36 @@ def tc_sample_rows(spark, d):
     return tc_samples(spark, d).select("name", get("protocol"), get("direction"), get("ifindex"), get("flag"), "ts_s", "value")
 
 
+ALL_NOW = O.MATCHED + ", " + O.tcp_samples_cte() + f", udp as ({O.fixtures.sql('udp')}), " + O.samples_cte("udp", "udp", M.UDP_COUNTERS, unfed=M.UDP_UNFED, unfed_histograms=M.UDP_UNFED_HISTOGRAMS, name="su", rates=M.UDP_RATES) + f""", x as (
+ select name || case when le <> '' then '{{le="' || le || '"}}' when state <> '' then '{{state="' || state || '"}}' else '' end series, ts_s, "value" v from (select * from st union all select * from su)
+ union all select name || '{{direction="' || direction || '"' || case when flag <> '' then ',flag="' || flag || '"' else ',ifindex="' || ifindex || '",protocol="' || protocol || '"' end || '}}', ts_s, "value" from ({TC_SAMPLES}))
+ select series, round(cast(arg_max(v, ts_s) as double), 6) "value" from x group by series"""
+
+
+@query("q_s10_exposition_now", ALL_NOW)
+def exposition_now(spark, d):
+    """The last value of every series of all three protocols, written as text lines and parsed again."""
+    rows = all_samples(spark, d).unionByName(tc_samples(spark, d)).drop("date")
+    path = through_store(spark, None, "exposition")
+    events.write_exposition(M.latest(rows), path)
+    lines = spark.read.text(path)
+    return lines.select(F.regexp_extract("value", r"^(.*) [^ ]+$", 1).alias("series"), F.round(F.regexp_extract("value", r" ([^ ]+)$", 1).cast("double"), 6).alias("value"))
+
+
+REGISTERED = O.MATCHED + ", " + O.samples_cte("me", "tcp", [("large_flows_total", "event_type = 2 and bytes_sent >= 50000", "1")], [("last_duration_microseconds", "event_type = 2 and matched", "duration_us")], [("handshake_server_microseconds", "event_type = 1", "syn_rtt_server")]) + f""",
+ w as (select slot, {DIR} way, sum(bytes_sent) d from se where event_type = 2 group by all), k as (select way, min(slot) since from w group by way)
+ select name, le label, ts_s, round(cast("value" as double), 6) "value" from s union all
+ select 'network_tcp_sent_by_direction_total', k.way, g.slot, sum(cast(coalesce(d, 0) as double)) over (partition by k.way order by g.slot) from k join sg g on g.slot >= since left join w on w.way = k.way and w.slot = g.slot"""
+
+
+@query("q_register_metric", REGISTERED)
+def registered_metrics(spark, d):
+    own = registered()
+    rows = M.tcp_samples(with_expiries(spark, d), stored, registry=own)
+    mine = M.keep_names(rows, "network_tcp_(" + "|".join(f[0] for f in own.families) + ")(_bucket|_sum|_count)?")
+    return mine.select("name", F.coalesce(F.col("labels")["le"], F.col("labels")["direction"], F.lit("")).alias("label"), "ts_s", F.round("value", 6).alias("value"))
+
+
 # windows and rates
 @query("q_w1_lifetimes", O.LIVES + " select sock, cast(life as bigint) life, ts_ns, hook from lives")
 def lifetimes(spark, d, slice_s=None):
@@ -619,6 +673,38 @@ def half_close(spark, d):
     return A.half_close_lack(table(spark, d, "packets"))
 
 
+#: The anomalies as events beside the flows', and the history with them.
+FED = O.MATCHED + ", " + ANOMALY[len("with ") : ANOMALY.index(" select count(*) filter (where syn and nf")] + """,
+ half as (select a, b, max(ts_ns) ts_ns, arg_min((saddr, sport), (case when tcp_flags & 2 <> 0 and tcp_flags & 16 = 0 then 0 else 1 end, ts_ns, tcp_flags, saddr, sport)) client, list_distinct(list((saddr, sport)) filter (where tcp_flags & 1 <> 0)) ends from p group by a, b),
+ marks as (select ts_ns, 11 event_type from q where syn and nf & 4 <> 0 and ns <> saddr union all select ts_ns, 12 from q where synack and seen = 0 union all select ts_ns, 13 from q where syn and ts_ns - ended <= 60000000000
+  union all select ts_ns, case when ends[1] <> client then 14 else 15 end from half where len(ends) = 1),
+ mf as (select * from me union all by name select * from marks), """ + O.samples_cte(
+    "mf", "tcp",
+    (*M.TCP_COUNTERS, M.ACTIVE, *[(name, f"event_type = {11 + k}", "1") for k, name in enumerate(("client_establish_fail_total", "server_syn_miss_total", "client_port_reuse_total", "client_half_close_lack_total", "server_half_close_lack_total"))]),
+    unfed=("client_establish_other_total", "server_establish_fail_total", "server_queue_overflow_total", "timeout_total"),
+    rates=(("new_flows_per_second", "case when event_type = 1 then 1 else 0 end"), ("closed_flows_per_second", "case when event_type = 2 then 1 else 0 end")),
+)
+
+
+def fed_samples(spark, d):
+    return samples_of(spark, d, "tcp and packets")
+
+
+FROM_PACKETS = "network_tcp_(client_establish_fail|server_syn_miss|client_port_reuse|client_half_close_lack|server_half_close_lack)_total|network_tcp_(new|closed)_flows_per_second"
+
+
+@query("q_x_anomaly_samples", FED + f""" select name, ts_s, round("value", 6) "value" from s where regexp_full_match(name, '{FROM_PACKETS}')""")
+def anomaly_samples(spark, d):
+    return M.keep_names(fed_samples(spark, d), FROM_PACKETS).select("name", "ts_s", F.round("value", 6).alias("value"))
+
+
+for _p in ("o21", "o31", "e5", "e20", "e21", "e30"):
+
+    @query(f"q_d_{_p}_with_packets", FED + O.panel(_p)[len(O.TCP_ONLY) :])
+    def _fed_panel(spark, d, p=_p):
+        return panels.evaluate_panel(p, fed_samples(spark, d)).withColumn("value", F.round("value", 6))
+
+
 # streaming, run over what is there
 @query("q_t2_stream_window", O.base("udp") + ", k as (select max(ts_ns) e from udp) select ts_ns // 60000000000 * 60 window_start_s, cast(sum(packet_size) as bigint) total, count(*) events from udp, k where (ts_ns // 60000000000 + 1) * 60000000000 <= e // 1000000 * 1000000 - 120000000000 group by 1")
 def stream_window(spark, d):
@@ -629,6 +715,16 @@ def stream_window(spark, d):
     return rows.select(F.unix_timestamp("window_start").alias("window_start_s"), "total", "events")
 
 
+@query("q_t3_stream_sliding", O.base("udp") + """, k as (select max(ts_ns) e from udp), r as (select unnest(range(ts_ns // 30000000000 - 9, ts_ns // 30000000000 + 1)) w, packet_size from udp)
+ select w * 30 window_start_s, cast(sum(packet_size) as bigint) total, count(*) events from r, k where (w * 30 + 300) * 1000000000 <= e // 1000000 * 1000000 - 120000000000 group by 1""")
+def stream_sliding(spark, d):
+    """The five minutes before every half minute, as a stream."""
+    at = through_store(spark, None, "stream")
+    table(spark, d, "udp").write.parquet(f"{at}/in")
+    stream = jobs.windowed_counts(events.read_events(spark, f"{at}/in", "udp", streaming=True), "packet_size", "5 minutes", "30 seconds")
+    return spark.read.parquet(jobs.run_available(stream, at)).select(F.unix_timestamp("window_start").alias("window_start_s"), "total", "events")
+
+
 def in_parts(rows, order, parts, path, run):
     """rows go to path in so many stretches of order, one after the other; run takes what is there after each."""
     first, last = rows.agg(F.min(order), F.max(order)).first()
@@ -653,6 +749,36 @@ def stream_match(spark, d):
     return rows.select("kind", *W.TUPLE, "start_ts", "end_ts", "bytes_sent")
 
 
+T6 = O.LIVES + """ select sock, min(ts_ns) filter (where hook = 'tcp_connect') syn_ts, min(ts_ns) filter (where hook = 'tcp_set_state' and arg = 1) established_ts, min(ts_ns) filter (where hook = 'tcp_set_state' and arg = 7) close_ts,
+ cast(coalesce(sum(arg) filter (where hook = 'tcp_sendmsg'), 0) as bigint) bytes_sent, count(*) filter (where hook = 'tcp_sendmsg') packets_sent, count(*) filter (where hook = 'tcp_retransmit_skb') retrans_count, count(*) filter (where hook = 'tcp_send_active_reset') rst_count
+ from lives group by sock, life having count(*) filter (where hook = 'tcp_set_state' and arg = 7) > 0"""
+
+
+@query("q_t6_stream_reconstruct", T6)
+def stream_reconstruct(spark, d):
+    """Closed connections from state by socket, over the hook events in two stretches with a restart between them."""
+    at = through_store(spark, None, "stream")
+
+    def run():
+        source = events.read_hook_events(spark, f"{at}/in", streaming=True)
+        jobs.run_available(jobs.reconstruct_flows_stream(source), at)
+
+    in_parts(table(spark, d, "hooks"), "ts_ns", 2, f"{at}/in", run)
+    return spark.read.schema(jobs.FLOWS).parquet(f"{at}/rows")
+
+
+@query("q_t7_stream_totals", O.base("udp") + " select saddr, daddr, sport, dport, pid, cast(sum(packet_size) as bigint) total_bytes, count(*) packets from udp group by all")
+def stream_totals(spark, d):
+    """Running totals of flows in update mode, over three stretches."""
+    at = through_store(spark, None, "stream")
+
+    def run():
+        jobs.run_updates(jobs.running_udp_totals(events.read_events(spark, f"{at}/in", "udp", streaming=True)), at)
+
+    in_parts(table(spark, d, "udp"), "ts_ns", 3, f"{at}/in", run)
+    return jobs.last_updates(spark, at, [*W.TUPLE, "pid"])
+
+
 @query("q_t11_stream_snapshots", O.TCP_ONLY + SAMPLES)
 def stream_snapshots(spark, d):
     """The history as snapshots of a stream that takes the events in two stretches, and starts again between them."""

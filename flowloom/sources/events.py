@@ -34,11 +34,13 @@ def enrich(df: DataFrame, interfaces: DataFrame | None = None) -> DataFrame:
     out = df
     if interfaces is not None and "ifindex" in have:
         out = named_interfaces(out, interfaces)
-    out = out.withColumn("src_ip", S.uint32_to_ip("saddr")).withColumn("dst_ip", S.uint32_to_ip("daddr")).withColumn("ts", S.event_time("ts_ns"))
+    if "saddr" in have:
+        out = out.withColumn("src_ip", S.uint32_to_ip("saddr")).withColumn("dst_ip", S.uint32_to_ip("daddr"))
+    out = out.withColumn("ts", S.event_time("ts_ns"))
     for name, code, function in (("protocol_name", "protocol", S.protocol_name), ("direction_name", "direction", S.direction_name), ("state_name", "tcp_state", S.tcp_state_name)):
         if code in have:
             out = out.withColumn(name, function(code))
-    if "protocol_name" in out.columns:
+    if {"protocol_name", "src_ip"} <= set(out.columns):
         out = out.withColumn("flow_key", S.flow_key("src_ip", "sport", "dst_ip", "dport", "protocol_name"))
     return out
 
@@ -51,9 +53,9 @@ def flow_log(matched: DataFrame) -> DataFrame:
 
 
 def packet_log(packets: DataFrame, interfaces: DataFrame | None = None) -> DataFrame:
-    """Packets with names resolved."""
-    rows = enrich(packets, interfaces) if "saddr" in packets.columns else named_interfaces(packets, interfaces)
-    return rows
+    """A record for each packet of an interface or datagram of a process, with names in place of codes."""
+    rows = enrich(packets, interfaces).drop("ts")
+    return rows.select(F.lit("packet" if "ifindex" in packets.columns else "datagram").alias("record"), *[c for c in rows.columns if c not in ("ifindex", "saddr", "daddr", "protocol", "direction", "pid", "tid")])
 
 
 def write_log(df: DataFrame, path: str, fmt: str = "json") -> None:

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowloom.functions import scalars as S
-from flowloom.operators.flows import TUPLE
+from flowloom.operators.flows import HOOK_ORDER, TUPLE
 
 
 def timed(events: DataFrame, delay: str = "2 minutes") -> DataFrame:
@@ -52,7 +52,7 @@ def socket_machine(ttl_s: int | None) -> Callable:
         if state.hasTimedOut:
             state.remove()
         else:
-            for e in pd.concat(list(batches)).sort_values("ts_ns").itertuples(index=False):
+            for e in pd.concat(list(batches)).sort_values(HOOK_ORDER).itertuples(index=False):
                 if e.hook == "tcp_connect":
                     flow = [int(e.ts_ns), 0, 0, 0, 0, 0]
                 elif flow is None:
@@ -157,6 +157,18 @@ class DroppedRows(StreamingQueryListener):
         pass
 
 
+def run_updates(df: DataFrame, path: str) -> None:
+    """What is there now, in update mode: each batch's changed rows go to a folder by its id, so a retry adds nothing."""
+    df.writeStream.outputMode("update").foreachBatch(by_batch(f"{path}/rows")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def last_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The row of each key in the last batch that changed it."""
+    rows = spark.read.parquet(f"{path}/rows")
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
+
+
 def run_available(df: DataFrame, path: str, mode: str = "append") -> str:
     """All input that is there now, through the stream, to Parquet under path; returns the folder of the rows."""
     query = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").trigger(availableNow=True).start()

@@ -207,6 +207,34 @@ def test_anomalies(spark):
     df = spark.createDataFrame(rows, "ts_ns long, saddr long, daddr long, sport int, dport int, protocol int, tcp_flags int")
     got = anomalies.anomaly_counts(df).first()
     assert (got.client_establish_fail, got.server_syn_miss, got.client_port_reuse) == (1, 1, 1)
+    assert sorted(map(tuple, anomalies.anomaly_events(df).collect())) == [(1, 11), (3, 12), (4, 13), (5, 15)]
+
+
+def test_registered_families(spark):
+    own = metrics.Registry()
+    own.register_metric("big_total", "event_type = 2 and bytes_sent > 5", "1")
+    own.register_metric("last_size", "event_type = 2", "bytes_sent", "gauge")
+    own.register_metric("size", "event_type = 2", "bytes_sent", "histogram")
+    own.register_metric("by_port_total", "event_type = 2", "bytes_sent", labels={"port": "dport"})
+    with pytest.raises(ValueError):
+        own.register_metric("big_total", "true", "1")
+    with pytest.raises(ValueError):
+        own.register_metric("x", "true", "1", "gauge", {"a": "dport"})
+    start = {"event_type": 1, "ts_ns": 1, "seq": 1}
+    end = {"event_type": 2, "ts_ns": 20 * 10**9, "seq": 2, "bytes_sent": 150}
+    m = flows.match_flows(tcp(spark, start, end, end | {"ts_ns": 40 * 10**9, "seq": 3, "bytes_sent": 3}))
+    wide = metrics.tcp_metrics(m, registry=own).first()
+    assert (wide["big_total"], wide["last_size"]) == (1, 3.0) and "by_port_total" not in wide
+    got = {}
+    for x in metrics.tcp_samples(m, registry=own).collect():
+        if x.name.removeprefix("network_tcp_") in ("big_total", "last_size", "size_count", "by_port_total") or (x.name == "network_tcp_size_bucket" and x.labels == {"le": "100"}):
+            got.setdefault(x.name.removeprefix("network_tcp_"), {})[x.ts_s] = x.value
+    assert got["big_total"] == {15: 0, 30: 1, 45: 1} and got["last_size"] == {15: 0, 30: 150, 45: 3}
+    assert got["size_count"] == {15: 0, 30: 1, 45: 2} and got["size_bucket"] == {15: 0, 30: 0, 45: 1}
+    assert got["by_port_total"] == {30: 150, 45: 153}
+    plain = {x.name for x in metrics.tcp_samples(m).select("name").distinct().collect()}
+    more = {x.name for x in metrics.tcp_samples(m, registry=own).select("name").distinct().collect()}
+    assert more - plain == {f"network_tcp_{n}" for n in ("big_total", "last_size", "size_bucket", "size_count", "size_sum", "by_port_total")}
 
 
 @pytest.mark.parametrize("name", ["q_rtt_p95_per_minute", "q_ga1_reconstruct_flows", "q_ga4_tcp_metrics", "q_ga20_tcp_flags", "q_r1_rate", "q_d_o4", "q_a1_hightcpretransmissionrate", "q_t4_stream_match"])

@@ -163,3 +163,48 @@ def test_missing_slots_come_from_gaps(spark):
     assert got == {(i, t): float((i, t) in heard) for i in "ab" for t in range(0, 75, 15)}
     down = R.evaluate_rule(R.RULES["a8"], V.select_labels(up, job="agent", instance="b"))
     assert rows(down.select("t", "state")) == [(0, "pending"), (60, "pending")] or rows(down.select("t", "state")) == [(0, "pending"), (60, "firing")]
+
+
+def test_sliding_windows_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([(t * S, 10) for t in (0, 40, 310, 2000)], "ts_ns long, packet_size long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("ts_ns long, packet_size long").parquet(f"{tmp_path}/in")
+    done = spark.read.parquet(jobs.run_available(jobs.windowed_counts(source, "packet_size", "5 minutes", "30 seconds"), str(tmp_path / "o")))
+    got = {x.s: (x.total, x.events) for x in done.select(F.unix_timestamp("window_start").alias("s"), "total", "events").collect()}
+    want = {w: [t for t in (0, 40, 310) if w <= t < w + 300] for w in range(-270, 330, 30)}
+    assert got == {w: (10 * len(ts), len(ts)) for w, ts in want.items() if ts}
+
+
+HOOK_ROWS = "sock long, ts_ns long, hook string, arg long, saddr long, daddr long, sport int, dport int"
+
+
+def test_connections_of_a_stream_outlive_a_restart(spark, tmp_path):
+    hook = lambda sock, t, name, arg=0: (sock, t * S, name, arg, 1, 2, 3, 4)
+    parts = [
+        [hook(1, 1, "tcp_connect"), hook(1, 2, "tcp_set_state", 1), hook(1, 3, "tcp_sendmsg", 50), hook(2, 3, "tcp_sendmsg", 9)],
+        [hook(1, 5, "tcp_retransmit_skb", 7), hook(1, 6, "tcp_set_state", 7), hook(1, 7, "tcp_sendmsg", 99), hook(2, 8, "tcp_connect"), hook(2, 8, "tcp_set_state", 7)],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, HOOK_ROWS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(HOOK_ROWS).parquet(f"{tmp_path}/in")
+        jobs.run_available(jobs.reconstruct_flows_stream(source), str(tmp_path / "o"))
+    got = rows(spark.read.schema(jobs.FLOWS).parquet(f"{tmp_path}/o/rows"))
+    assert got == [(1, S, 2 * S, 6 * S, 50, 1, 1, 0), (2, 8 * S, None, 8 * S, 0, 0, 0, 0)]
+
+
+def test_connections_of_a_stream_leave_for_their_age(spark, tmp_path):
+    made = [[(1, 1 * S, "tcp_connect")], [(2, 1000 * S, "tcp_connect")], [(1, 1001 * S, "tcp_set_state"), (2, 1002 * S, "tcp_set_state")]]
+    for part in made:
+        full = [(*x, 7, 1, 2, 3, 4) for x in part]
+        spark.createDataFrame(full, HOOK_ROWS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(HOOK_ROWS).parquet(f"{tmp_path}/in")
+        jobs.run_available(jobs.reconstruct_flows_stream(source, 300), str(tmp_path / "o"))
+    assert [x[0] for x in rows(spark.read.schema(jobs.FLOWS).parquet(f"{tmp_path}/o/rows"))] == [2]
+
+
+def test_updates_of_totals(spark, tmp_path):
+    schema = "saddr long, daddr long, sport int, dport int, pid long, packet_size long"
+    for part in ([(1, 2, 3, 4, 5, 10), (9, 2, 3, 4, 5, 1)], [(1, 2, 3, 4, 5, 7), (1, 2, 3, 4, 5, 7)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.run_updates(jobs.running_udp_totals(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), str(tmp_path))
+    assert rows(jobs.last_updates(spark, str(tmp_path), [*W.TUPLE, "pid"])) == [(1, 2, 3, 4, 5, 24, 3), (9, 2, 3, 4, 5, 1, 1)]
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 3
