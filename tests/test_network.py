@@ -278,7 +278,7 @@ def test_byte_sizes_are_exact_on_ties(spark):
 
 
 def test_every_flow_is_formatted(spark, sf):
-    got = entry.queries()["q_p6_formats_all_flows"](spark, sf)
+    got = entry.queries()["q_p6_formats"](spark, sf)
     flows_ = spark.read.parquet(f"{sf}/orders.parquet").count()
     assert got.count() == flows_ and got.where("k % 8 = 0").count() > 0
 
