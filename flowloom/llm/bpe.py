@@ -23,10 +23,13 @@ import functools
 import json
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +39,9 @@ from flowloom.llm.common import rows, shown_id
 from flowloom.llm.tokens import RANKS, read_ranks
 
 #: Distinct words of a block; chunks a task remembers, and the longest of them in characters.
-WORDS, CHUNKS, CHUNK_CHARS = 250_000, 100_000, 48
+WORDS, CHUNKS, CHUNK_CHARS = 500_000, 100_000, 48
+#: Words that a task hands on, and word numbers or bytes of documents that it looks at, at once.
+PART_WORDS, PART = 50_000, 1_000_000
 #: Ranks are below 2 ** SHIFT. Arrays longer than LONG merge all places of a pair in a step, shorter ones the leftmost.
 SHIFT, LONG = 20, 64
 #: Words of more characters are merged in segments.
@@ -159,6 +164,16 @@ def merged(word: Column, path: str = RANKS) -> Column:
     return F.when(F.size(word) > 1, let(tables, fold)).otherwise(F.transform(word, lambda b: F.get(literal("of_byte", path), b.cast("int"))))
 
 
+def parts(sizes: np.ndarray, most: int = PART) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of rows that have at most this size together, or one row."""
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(ends):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield begin, end
+        begin = end
+
+
 class Numbers(dict):
     """The numbers of words, and of segments (bytes) of long ones, in the order in which they are met."""
 
@@ -219,23 +234,29 @@ def numbered_words(docs: DataFrame, words: int = WORDS, path: str = RANKS) -> Da
 
     beside = docs.sparkSession.sparkContext.broadcast(neighbours(path))
 
+    def as_words(new: list[str | bytes]) -> dict:
+        raw = [w if isinstance(w, bytes) else w.encode() for w in new]
+        flat = np.frombuffer(b"".join(raw), np.uint8).astype("i8")
+        edges = np.cumsum([0, *map(len, raw)]).astype("i4")
+        return {"word": pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), "did": pa.nulls(len(raw), pa.int64()), "numbers": pa.nulls(len(raw), pa.binary())}
+
     def work(batches):
         chunks = Chunked(Numbers(), beside.value)
         for batch in batches:
-            known, packed = len(chunks.numbers), []
-            for body in batch.column("body").to_pylist():
-                first, rest = split_chunks(body)
-                packed.append(chunks.packed(first) + b"".join(map(chunks.__getitem__, rest)))
-            new = [w if isinstance(w, bytes) else w.encode() for w in list(chunks.numbers)[known:]]
-            if new:
-                flat = np.frombuffer(b"".join(new), np.uint8).astype("i8")
-                edges = np.cumsum([0, *map(len, new)]).astype("i4")
-                nothing = pa.nulls(len(new))
-                yield {"word": pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), "did": nothing.cast(pa.int64()), "numbers": nothing.cast(pa.binary())}
-            yield {"word": pa.nulls(len(packed), pa.list_(pa.int64())), "did": batch.column("did"), "numbers": pa.array(packed, pa.binary())}
-            if len(chunks.numbers) >= words:
-                chunks = Chunked(Numbers(), beside.value)
-                yield {"word": pa.nulls(1, pa.list_(pa.int64())), "did": pa.nulls(1, pa.int64()), "numbers": pa.nulls(1, pa.binary())}
+            bodies, dids = batch.column("body"), batch.column("did")
+            for a, b in parts(pc.binary_length(bodies).to_numpy(zero_copy_only=False)):
+                known, packed = len(chunks.numbers), []
+                for body in bodies.slice(a, b - a).to_pylist():
+                    first, rest = split_chunks(body)
+                    packed.append(chunks.packed(first) + b"".join(map(chunks.__getitem__, rest)))
+                # new words, the latest in the dictionary, come before the documents that have them
+                new = list(islice(reversed(chunks.numbers), len(chunks.numbers) - known))[::-1]
+                for i in range(0, len(new), PART_WORDS):
+                    yield as_words(new[i : i + PART_WORDS])
+                yield {"word": pa.nulls(len(packed), pa.list_(pa.int64())), "did": dids.slice(a, b - a), "numbers": pa.array(packed, pa.binary())}
+                if len(chunks.numbers) >= words:
+                    chunks = Chunked(Numbers(), beside.value)
+                    yield {"word": pa.nulls(1, pa.list_(pa.int64())), "did": pa.nulls(1, pa.int64()), "numbers": pa.nulls(1, pa.binary())}
 
     return mapped(rows(docs), work, "word array<bigint>, did long, numbers binary")
 
@@ -243,6 +264,19 @@ def numbered_words(docs: DataFrame, words: int = WORDS, path: str = RANKS) -> Da
 def encoded(docs: DataFrame, path: str = RANKS, words: int = WORDS) -> DataFrame:
     """did, ids (packed little-endian unsigned 32-bit integers), tokens (the same as an array) of every row."""
 
+    def documents_of(dids, numbers, sizes, flat, edges) -> dict:
+        of = np.frombuffer(b"".join(numbers.to_pylist()), "<i4")
+        length = edges[of + 1] - edges[of]
+        ends = np.cumsum(length)
+        ids = flat[np.repeat(edges[of] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
+        raw = ids.astype("<i4").tobytes()
+        return {
+            "did": dids,
+            "ids": pa.array([raw[4 * x : 4 * y] for x, y in zip(at, at[1:])], pa.binary()),
+            "tokens": pa.ListArray.from_arrays(pa.array(at.astype("i4")), pa.array(ids)),
+        }
+
     def look_up(batches):
         # the ids of the block's words, end to end, and where each word begins and ends
         flat, edges = np.zeros(0, "<i4"), np.zeros(1, "i8")
@@ -258,19 +292,9 @@ def encoded(docs: DataFrame, path: str = RANKS, words: int = WORDS) -> DataFrame
                 elif kinds[a] == 0:
                     flat, edges = np.zeros(0, "<i4"), np.zeros(1, "i8")
                 else:
-                    packed = numbers.slice(a, b - a).to_pylist()
-                    sizes = np.array([len(x) // 4 for x in packed])
-                    of = np.frombuffer(b"".join(packed), "<i4")
-                    length = edges[of + 1] - edges[of]
-                    ends = np.cumsum(length)
-                    ids = flat[np.repeat(edges[of] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
-                    at = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
-                    raw = ids.astype("<i4").tobytes()
-                    yield {
-                        "did": dids.slice(a, b - a),
-                        "ids": pa.array([raw[4 * x : 4 * y] for x, y in zip(at, at[1:])], pa.binary()),
-                        "tokens": pa.ListArray.from_arrays(pa.array(at.astype("i4")), pa.array(ids)),
-                    }
+                    sizes = pc.binary_length(numbers.slice(a, b - a)).to_numpy(zero_copy_only=False) // 4
+                    for i, j in parts(sizes):
+                        yield documents_of(dids.slice(a + i, j - i), numbers.slice(a + i, j - i), sizes[i:j], flat, edges)
 
     with_ids = numbered_words(docs, words, path).select(merged(F.col("word"), path).alias("ids"), "did", "numbers")
     return mapped(with_ids, look_up, "did long, ids binary, tokens array<int>")

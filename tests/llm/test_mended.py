@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 import tiktoken
 import public_tokenizers
@@ -71,3 +72,14 @@ def test_documents_that_share_a_labelled_id_do_not_all_go_to_the_driver(spark, m
     docs = docs.withColumn("doc_id", F.lit(one).cast("long"))
     toxicity.fitted(docs, spark.createDataFrame([(one, 1, 1)], "doc_id long, quality int, toxic int"), 20)
     assert taken == [20]
+
+
+def test_encoding_in_parts(spark):
+    """A batch whose texts exceed what a task looks at at once, with rows that exceed it alone, equals the library."""
+    assert list(bpe.parts(np.array([3, 3, 9, 0, 5, 1]), 6)) == [(0, 2), (2, 3), (3, 6)]
+    assert list(bpe.parts(np.array([], int))) == [] and list(bpe.parts(np.zeros(3, int))) == [(0, 3)]
+    texts = [f"row{i} one {i % 7}, deux señor\n" * (1 + 4500 * (i % 3)) for i in range(12)] + ["", None, "x " * 520_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(), special_tokens={}).encode_ordinary
+    got = {r.did: list(r.tokens) for r in bpe.encoded(df).select("did", "tokens").collect()}
+    assert got == {i: plain(t or "") for i, t in enumerate(texts)}
