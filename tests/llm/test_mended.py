@@ -83,3 +83,23 @@ def test_encoding_in_parts(spark):
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(), special_tokens={}).encode_ordinary
     got = {r.did: list(r.tokens) for r in bpe.encoded(df).select("did", "tokens").collect()}
     assert got == {i: plain(t or "") for i, t in enumerate(texts)}
+
+
+def test_toxic_phrases_are_found_wherever_they_are(spark):
+    """Ten words of a held-out toxic row, moved through a clean text, with the fitted network."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    net = toxicity.fitted(docs, labels)
+    held = docs.join(labels, "doc_id").where(toxicity.held_out()).orderBy("doc_id").select("text", "toxic").collect()
+    chances = lambda texts: toxicity.squash(toxicity.Scorer(net).highest(texts)[0])
+    words = {k: [toxicity.words_of(r.text) for r in held if r.toxic == k] for k in (0, 1)}
+    phrases = []
+    for w in words[1]:
+        runs = [w[i : i + 10] for i in range(len(w) - 9)]
+        p = chances(runs) if runs else np.zeros(1)
+        phrases += [runs[int(p.argmax())]] if p.max() >= toxicity.THRESHOLD else []
+    clean = [w for w in words[0] if len(w) >= 200][:60]
+    clean = [w for w, p in zip(clean, chances(clean)) if p < 0.1]
+    assert len(phrases) > 50 and len(clean) > 30
+    for at in range(96, 96 + 2 * toxicity.STRIDE):
+        found = chances([c[:at] + phrases[k % len(phrases)] + c[at:] for k, c in enumerate(clean)]) >= toxicity.THRESHOLD
+        assert found.mean() >= 0.9
