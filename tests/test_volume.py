@@ -75,3 +75,13 @@ def test_a_history_in_slices_is_that_of_the_whole(spark, sf, monkeypatch):
     whole = rates()
     monkeypatch.setattr(M, "DAY_S", 90)
     assert rates() == whole and whole
+
+
+def test_half_closed_flows_need_no_sets(spark):
+    from flowloom.operators import anomalies as A
+
+    packet = lambda t, a, b, flags: (t, a, b, 1000 + a, 1000 + b, 6, flags)
+    made = [packet(1, 1, 2, 2), packet(2, 2, 1, 18), packet(3, 1, 2, 17), packet(1, 3, 4, 2), packet(2, 4, 3, 17), packet(3, 4, 3, 17), packet(1, 5, 6, 17), packet(2, 6, 5, 17), packet(1, 7, 8, 2), packet(4, 9, 9, 17)]
+    found = A.half_closed(spark.createDataFrame(made, "ts_ns long, saddr long, daddr long, sport int, dport int, protocol int, tcp_flags int"))
+    assert rows(found.select("ts_ns", "by_client")) == [(3, False), (3, True), (4, True)]
+    assert "collect_set" not in found._jdf.queryExecution().executedPlan().toString()
