@@ -85,3 +85,53 @@ def test_half_closed_flows_need_no_sets(spark):
     found = A.half_closed(spark.createDataFrame(made, "ts_ns long, saddr long, daddr long, sport int, dport int, protocol int, tcp_flags int"))
     assert rows(found.select("ts_ns", "by_client")) == [(3, False), (3, True), (4, True)]
     assert "collect_set" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+NAMED = "bytes_sent_total new_flows_total server_reset_total active_flows retrans_ratio rtt_microseconds_bucket srt_microseconds_sum connections_by_state timeout_total client_wait_microseconds_count".split()
+
+
+@pytest.mark.parametrize("day", [90, 86400])
+def test_samples_of_few_families_are_those_of_the_whole_history(spark, sf, monkeypatch, day):
+    whole = queries.flat(M.tcp_samples(queries.with_expiries(spark, sf)))
+    monkeypatch.setattr(M, "DAY_S", day)
+    monkeypatch.setattr(queries, "WRITTEN", {})
+    names = [f"network_tcp_{n}" for n in NAMED]
+    few = rows(queries.flat(queries.samples_named(spark, sf, "tcp", names)))
+    assert few == rows(whole.where(F.col("name").isin(names))) and {r[0] for r in few} == set(names)
+
+
+def test_samples_of_few_families_of_datagrams_and_packets(spark, sf, monkeypatch):
+    from flowloom.operators import anomalies as A
+
+    monkeypatch.setattr(queries, "WRITTEN", {})
+    udp = ["network_udp_bytes_sent_total", "network_udp_packets_per_second", "network_udp_active_flows"]
+    whole = queries.flat(M.udp_samples(queries.table(spark, sf, "udp"))).where(F.col("name").isin(udp))
+    assert rows(queries.flat(queries.samples_named(spark, sf, "udp", udp))) == rows(whole)
+    fed = [f"network_tcp_{f[0]}" for f in (*A.COUNTERS, *A.RATES)] + ["network_tcp_active_flows"]
+    whole = queries.flat(M.tcp_samples(queries.with_expiries(spark, sf), packets=queries.table(spark, sf, "packets"))).where(F.col("name").isin(fed))
+    assert rows(queries.flat(queries.samples_named(spark, sf, "tcp and packets", fed))) == rows(whole)
+
+
+def test_a_panel_computes_its_own_families_alone(spark, sf, monkeypatch):
+    monkeypatch.setattr(queries, "WRITTEN", {})
+    monkeypatch.setattr(queries, "READ", {})
+    assert queries.QUERIES["q_d_o10"](spark, sf).count()
+    assert sorted(name for *_, name in queries.WRITTEN) == ["tcp sums of slot bytes_sent_total bytes_received_total", "udp sums of slot bytes_sent_total bytes_received_total"]
+    assert queries.QUERIES["q_d_l31"](spark, sf).count() and len(queries.WRITTEN) == 2
+
+
+def test_events_are_dealt_by_slot_before_they_are_added_up(spark, sf):
+    sums = M.slot_sums(queries.derived(spark, sf, "tcp").withColumn("matched", F.lit(True)), last_values=(), histograms=M.TCP_HISTOGRAMS[:1], states=False, parts=3)[0]
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    own = [line for line in plan.splitlines() if "Aggregate" in line and "keys=[slot" in line]
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(slot" in line]
+    assert len(own) == 2 and len(dealt) == 1 and ", 3)" in dealt[0] and plan.index(dealt[0]) > plan.index(own[-1])
+
+
+def test_states_in_slices_are_those_of_the_whole(spark, monkeypatch):
+    sums = spark.createDataFrame([("n", {"s": k}, t, 1.0) for k in "ab" for t in range(0, 600, 45) if k == "a" or t > 200], "name string, labels map<string,string>, slot long, d double")
+    until = spark.createDataFrame([(900,)], "until long")
+    view = lambda days: rows(M.densified(sums, until, 15, days).selectExpr("labels['s'] s", "ts_s", "value"))
+    whole = view(None)
+    monkeypatch.setattr(M, "DAY_S", 100)
+    assert view(9) == whole and len(whole) > 50
