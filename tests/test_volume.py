@@ -135,3 +135,8 @@ def test_states_in_slices_are_those_of_the_whole(spark, monkeypatch):
     whole = view(None)
     monkeypatch.setattr(M, "DAY_S", 100)
     assert view(9) == whole and len(whole) > 50
+
+
+def test_states_alone_are_a_query(spark, sf, monkeypatch):
+    monkeypatch.setattr(queries, "WRITTEN", {})
+    assert rows(queries.QUERIES["q_d_o30"](spark, sf).where("value > 0").select("legend").distinct())
