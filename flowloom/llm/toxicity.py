@@ -293,11 +293,23 @@ class Scorer:
         run()
         return np.array([top[i] for i in range(k + 1)], float), np.array([start[i] for i in range(k + 1)], int)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The highest window's probability of each text."""
-        words = [words_of(t) for t in texts]
-        said = squash(self.highest(words)[0])
-        return np.where([len(w) > 0 for w in words], said, self.net.share)
+    def scores(self, texts) -> np.ndarray:
+        """The highest window's probability of each text; texts is an iterable, of which few are held at once."""
+        some = []
+
+        def split():
+            for text in texts:
+                words = words_of(text)
+                some.append(len(words) > 0)
+                yield words
+
+        said = squash(self.highest(split())[0])
+        return np.where(some, said, self.net.share)
+
+
+def scored_batch(batch: pa.RecordBatch, scorer: Scorer | None, constant) -> np.ndarray:
+    """A score for each row. A batch may have many MB of text, and its words take ten times that, so texts are read one by one."""
+    return scorer.scores(x.as_py() for x in batch.column("text")) if scorer else np.full(batch.num_rows, constant)
 
 
 def fit(labelled: list[tuple[str, int]], seed: int = SEED) -> Network | float:
@@ -306,7 +318,9 @@ def fit(labelled: list[tuple[str, int]], seed: int = SEED) -> Network | float:
     if not len(labels) or labels.min() == labels.max():
         return float(labels.mean()) if len(labels) else 0.0
     r = np.random.default_rng(seed)
-    texts = [words_of(t)[:FIT_WORDS] for t, _ in labelled]
+    # one object for a word, however often it is there
+    same: dict[str, str] = {}
+    texts = [[same.setdefault(w, w) for w in words_of(t)[:FIT_WORDS]] for t, _ in labelled]
     kinds = [Counter(w for t, y in zip(texts, labels) if y == k for w in set(t)) for k in (0, 1)]
     n = [int((labels == k).sum()) for k in (0, 1)]
     odds = {w: np.log((kinds[1][w] + 0.5) / (n[1] + 1)) - np.log((kinds[0][w] + 0.5) / (n[0] + 1)) for w in kinds[1] | kinds[0]}
@@ -314,10 +328,10 @@ def fit(labelled: list[tuple[str, int]], seed: int = SEED) -> Network | float:
     weight = {w: abs(o) * (kinds[0][w] + kinds[1][w]) ** 0.5 for w, o in odds.items() if kinds[0][w] + kinds[1][w] > 2}
     net = Network(sorted(weight, key=lambda w: (-weight[w], w))[:VOCABULARY], seed)
     net.share = float(labels.mean())
-    worth = [[odds[w] * (kinds[1][w] > 2) for w in t] for t in texts]
     last = [max(0, len(t) - WINDOW) for t in texts]
     # the word that says most lies in the middle, or as near to it as the text allows
-    begin = [min(max(0, int(np.argmax(v)) - WINDOW // 2), end) if v else 0 for v, end in zip(worth, last)]
+    best = [int(np.argmax([odds[w] * (kinds[1][w] > 2) for w in t])) if t else 0 for t in texts]
+    begin = [min(max(0, b - WINDOW // 2), end) for b, end in zip(best, last)]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     by_label, step = [np.flatnonzero(labels == k) for k in (0, 1)], 0
     for round_ in range(ROUNDS):
@@ -354,8 +368,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     def work(batches):
         scorer = None if isinstance(model.value, float) else Scorer(model.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            score = scorer.scores(texts) if scorer else np.full(len(texts), model.value)
+            score = scored_batch(batch, scorer, model.value)
             yield {c: batch.column(c) for c in ("doc_id", "row_hash", "held_out")} | {"score": score, "predicted": (score >= THRESHOLD).astype("i4")}
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), held_out().alias("held_out"), "text")
@@ -369,8 +382,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     def task(batches):
         scorer = None if isinstance(model.value, float) else Scorer(model.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            score = scorer.scores(texts) if scorer else np.full(len(texts), model.value)
+            score = scored_batch(batch, scorer, model.value)
             yield batch.filter(pa.array(score < THRESHOLD))
 
     return docs.mapInArrow(task, docs.schema)

@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import public_tokenizers
@@ -103,3 +104,26 @@ def test_toxic_phrases_are_found_wherever_they_are(spark):
     for at in range(96, 96 + 2 * toxicity.STRIDE):
         found = chances([c[:at] + phrases[k % len(phrases)] + c[at:] for k, c in enumerate(clean)]) >= toxicity.THRESHOLD
         assert found.mean() >= 0.9
+
+
+def test_scores_hold_the_words_of_few_texts(monkeypatch):
+    class Words(list):
+        alive = most = 0
+
+        def __init__(self, *args):
+            super().__init__(*args)
+            Words.alive += 1
+            Words.most = max(Words.most, Words.alive)
+
+        def __del__(self):
+            Words.alive -= 1
+
+    split = toxicity.words_of
+    monkeypatch.setattr(toxicity, "words_of", lambda text: Words(split(text)))
+    net = toxicity.Network([f"w{k}" for k in range(40)], 1)
+    batch = pa.RecordBatch.from_pydict({"text": [None, ""] + [" ".join(f"w{(k * i) % 50}" for i in range(k)) for k in range(300)]})
+    scorer = toxicity.Scorer(net)
+    scores = toxicity.scored_batch(batch, scorer, 0.0)
+    assert Words.most <= 4 and len(scores) == batch.num_rows and scores[0] == scores[1] == net.share
+    # the texts by themselves
+    assert np.allclose(scores, [toxicity.Scorer(net).scores([t])[0] for t in batch.column("text").to_pylist()], atol=1e-5)
