@@ -10,7 +10,9 @@
    as one array: the id of a pair's first half has a displacement, which its second half is added to.
    Displacements are chosen so that no two pairs meet. A token has one pair: merging its own bytes by lower ranks leaves
    exactly two parts, and no other pair with its bytes can arise in a text.
-3. In the same stage, documents look their word numbers up. Nothing is shuffled or broadcast: sending each word
+   Words that are frequent in about ``SAMPLE`` documents, ``COMMON`` at most, are merged once by the same expression and sent
+   to all tasks, which hand on the others only. That saves work and changes no ids; a text's words are all looked up or merged.
+3. In the same stage, documents look their word numbers up. No text is shuffled: sending each word
    through an exchange to be merged once in the whole corpus would carry every (word, block) pair twice, and the texts.
 4. Decoding looks up each id's bytes in a literal array and concatenates them, by built-in functions.
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
@@ -35,13 +37,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.arrow import mapped
-from flowloom.llm.common import rows, shown_id
+from flowloom.llm.common import rows, shown_id, written
 from flowloom.llm.tokens import RANKS, read_ranks
 
 #: Distinct words of a block; chunks a task remembers, and the longest of them in characters.
 WORDS, CHUNKS, CHUNK_CHARS = 500_000, 100_000, 48
 #: Words that a task hands on, and word numbers or bytes of documents that it looks at, at once.
 PART_WORDS, PART = 50_000, 1_000_000
+#: Documents, about, whose words are counted, and words at most that are merged before all others.
+SAMPLE, COMMON = 16_000, 250_000
 #: Ranks are below 2 ** SHIFT. Arrays longer than LONG merge all places of a pair in a step, shorter ones the leftmost.
 SHIFT, LONG = 20, 64
 #: Words of more characters are merged in segments.
@@ -229,9 +233,61 @@ class Chunked(dict):
         return found
 
 
-def numbered_words(docs: DataFrame, words: int = WORDS, path: str = RANKS) -> DataFrame:
-    """Rows of three kinds in order: word (its bytes), did and numbers of a document, or, with nulls, the end of a block."""
+def counted_words(docs: DataFrame) -> DataFrame:
+    """word, n: the words of at most WHOLE characters and how often they occur."""
 
+    def work(batches):
+        split = regex.compile(public_tokenizers.PATTERN).findall
+        for batch in batches:
+            bodies = batch.column("body")
+            for a, b in parts(pc.binary_length(bodies).to_numpy(zero_copy_only=False)):
+                chunks, found = Counter(), Counter()
+                for body in bodies.slice(a, b - a).to_pylist():
+                    first, rest = split_chunks(body)
+                    found.update(split(first))
+                    chunks.update(rest)
+                for chunk, n in chunks.items():
+                    for word in split(" " + chunk):
+                        found[word] += n
+                kept = [w for w in found if len(w) <= WHOLE]
+                yield {"word": pa.array(kept, pa.string()), "n": np.array([found[w] for w in kept], "i8")}
+
+    return mapped(docs, work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def common_words(docs: DataFrame, path: str = RANKS, sample: int | None = None, most: int | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """At most this many words, the most frequent of a sample, and their ids, end to end, with where each word's begin and end.
+
+    They are found among documents chosen by a hash, so the table is of one size for every input.
+    """
+    sample, most = SAMPLE if sample is None else sample, COMMON if most is None else most
+    each = max(1, docs.count() // sample)
+    chosen = rows(docs).where(F.pmod(F.xxhash64("did", F.length("body")), F.lit(each)) == 0)
+    counts = written(counted_words(chosen).where("n > 1"), "word-counts")
+    # the least count from which on the words are no more than that
+    sizes = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
+    totals = np.cumsum([r.words for r in sizes])
+    kept = int(np.searchsorted(totals, most, "right"))
+    if not kept:
+        return [], np.zeros(0, "<i4"), np.zeros(1, "i8")
+    own = counts.where(F.col("n") >= sizes[kept - 1].n)
+    # dealt anew, as counts may lie in few files and merging is the work
+    own = own.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    raw = F.transform(F.split(F.regexp_replace(F.hex(F.encode("word", "UTF-8")), "(..)(?!$)", "$1 "), " "), lambda x: F.conv(x, 16, 10).cast("bigint"))
+    table = own.select("word", merged(raw, path).cast("array<int>").alias("ids")).toArrow()
+    ids = table.column("ids").combine_chunks()
+    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+    lengths = ids.value_lengths().to_numpy(zero_copy_only=False).astype("i8")
+    return table.column("word").to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype("<i4"), np.cumsum(np.r_[0, lengths])
+
+
+def numbered_words(docs: DataFrame, words: int = WORDS, path: str = RANKS, common: list[str] | tuple = ()) -> DataFrame:
+    """Rows of three kinds in order: word (its bytes), did and numbers of a document, or, with nulls, the end of a block.
+
+    Words in common have their places there as numbers and are not handed on.
+    """
+
+    known_before = docs.sparkSession.sparkContext.broadcast(list(common))
     beside = docs.sparkSession.sparkContext.broadcast(neighbours(path))
 
     def as_words(new: list[str | bytes]) -> dict:
@@ -241,7 +297,8 @@ def numbered_words(docs: DataFrame, words: int = WORDS, path: str = RANKS) -> Da
         return {"word": pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), "did": pa.nulls(len(raw), pa.int64()), "numbers": pa.nulls(len(raw), pa.binary())}
 
     def work(batches):
-        chunks = Chunked(Numbers(), beside.value)
+        before = {w: k for k, w in enumerate(known_before.value)}
+        chunks = Chunked(Numbers(before), beside.value)
         for batch in batches:
             bodies, dids = batch.column("body"), batch.column("did")
             for a, b in parts(pc.binary_length(bodies).to_numpy(zero_copy_only=False)):
@@ -254,8 +311,8 @@ def numbered_words(docs: DataFrame, words: int = WORDS, path: str = RANKS) -> Da
                 for i in range(0, len(new), PART_WORDS):
                     yield as_words(new[i : i + PART_WORDS])
                 yield {"word": pa.nulls(len(packed), pa.list_(pa.int64())), "did": dids.slice(a, b - a), "numbers": pa.array(packed, pa.binary())}
-                if len(chunks.numbers) >= words:
-                    chunks = Chunked(Numbers(), beside.value)
+                if len(chunks.numbers) >= len(before) + words:
+                    chunks = Chunked(Numbers(before), beside.value)
                     yield {"word": pa.nulls(1, pa.list_(pa.int64())), "did": pa.nulls(1, pa.int64()), "numbers": pa.nulls(1, pa.binary())}
 
     return mapped(rows(docs), work, "word array<bigint>, did long, numbers binary")
@@ -277,9 +334,12 @@ def encoded(docs: DataFrame, path: str = RANKS, words: int = WORDS) -> DataFrame
             "tokens": pa.ListArray.from_arrays(pa.array(at.astype("i4")), pa.array(ids)),
         }
 
+    common, *ids_of = common_words(docs, path)
+    before = docs.sparkSession.sparkContext.broadcast(ids_of)
+
     def look_up(batches):
-        # the ids of the block's words, end to end, and where each word begins and ends
-        flat, edges = np.zeros(0, "<i4"), np.zeros(1, "i8")
+        # the ids of the common words and the block's, end to end, and where each word begins and ends
+        flat, edges = before.value
         for batch in batches:
             words_, dids, numbers = batch.column("ids"), batch.column("did"), batch.column("numbers")
             kinds = 2 * numbers.is_valid().to_numpy(zero_copy_only=False) + words_.is_valid().to_numpy(zero_copy_only=False)
@@ -290,13 +350,13 @@ def encoded(docs: DataFrame, path: str = RANKS, words: int = WORDS) -> DataFrame
                     flat = np.concatenate([flat, part.flatten().to_numpy(zero_copy_only=False).astype("<i4")])
                     edges = np.concatenate([edges, edges[-1] + np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))])
                 elif kinds[a] == 0:
-                    flat, edges = np.zeros(0, "<i4"), np.zeros(1, "i8")
+                    flat, edges = before.value
                 else:
                     sizes = pc.binary_length(numbers.slice(a, b - a)).to_numpy(zero_copy_only=False) // 4
                     for i, j in parts(sizes):
                         yield documents_of(dids.slice(a + i, j - i), numbers.slice(a + i, j - i), sizes[i:j], flat, edges)
 
-    with_ids = numbered_words(docs, words, path).select(merged(F.col("word"), path).alias("ids"), "did", "numbers")
+    with_ids = numbered_words(docs, words, path, common).select(merged(F.col("word"), path).alias("ids"), "did", "numbers")
     return mapped(with_ids, look_up, "did long, ids binary, tokens array<int>")
 
 

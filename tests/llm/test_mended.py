@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from flowloom.llm import bpe, html_text, toxicity
-from flowloom.llm.tokens import read_ranks
+from flowloom.llm.tokens import Encoder, read_ranks
 
 
 @pytest.mark.parametrize("piece", ["<div>x", "<b>x", "<font>x ", "<span>y<a>z", '<a href="x>', "<li class='a b'>x", "<p><object>x", "<!--", "<svg><title>a"])
@@ -127,3 +127,20 @@ def test_scores_hold_the_words_of_few_texts(monkeypatch):
     assert Words.most <= 4 and len(scores) == batch.num_rows and scores[0] == scores[1] == net.share
     # the texts by themselves
     assert np.allclose(scores, [toxicity.Scorer(net).scores([t])[0] for t in batch.column("text").to_pylist()], atol=1e-5)
+
+
+def test_frequent_words_are_merged_once(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(10**6, "naïve naïve\n\n  naïve  日本 日本 " + "x" * 60), (None, None), (10**6 + 1, "")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd)
+    monkeypatch.setattr(bpe, "COMMON", 300)
+    common, flat, edges = bpe.common_words(docs)
+    encode = Encoder().encode
+    assert 0 < len(common) == len(set(common)) <= 300
+    assert [flat[a:b].tolist() for a, b in zip(edges, edges[1:])] == [encode(w) for w in common]
+    handed = [bytes(r.word) for r in bpe.numbered_words(docs, common=common).where("word is not null").collect()]
+    assert handed and not {w.encode() for w in common} & set(handed)
+    got = bpe.encoded(docs, words=500).select("did", "tokens").collect()
+    want = [(r.doc_id, encode(r.text or "")) for r in docs.collect()]
+    key = lambda x: (x[0], x[1])
+    assert sorted(((r.did, list(r.tokens)) for r in got), key=key) == sorted(((2**63 - 1 if i is None else i, t) for i, t in want), key=key)
