@@ -5,19 +5,22 @@
    document whose number of shared ones is too small for any partner ends here. A shingle that many documents
    of a task hold is counted there and sent once.
 3. The others, whole, are ordered by the number of documents that hold a shingle. Linked sets share one of the
-   first ``prefix`` shingles of this order, so each such shingle roots a region: the documents that have it there.
+   first ``prefix`` shingles of this order, so each such shingle roots a region: the documents that have it there. A
+   region whose documents all have the same region just before it lies in that one, and goes: no pair meets there first.
 4. A region's first pivot is its node of smallest number; what lies within the radius of it is linked. Members that no link joins yet are compared directly in small regions. Crowded regions get
    further pivots, one of each of their smallest groups. A document's nearest pivot is its Voronoi cell; it is
    replicated into another pivot's cell if it lies no more than two radii farther from that pivot than from its own. By the
-   triangle inequality every link then lies in a cell of one of its ends. Cells are regions, so the join recurs.
-5. What is compared directly lies in one cell, in different groups, within one radius of distance to the pivot
-   (triangle inequality again), and passes two exact bounds: the places of the region's shingle in both orders, and the
-   Hamming distance of parity bitmaps, which never exceeds the symmetric difference of the sets.
+   triangle inequality every link then lies in a cell of one of its ends. Cells are regions, so the join recurs, where a
+   round has left at most half of the pairs. A region is divided only if that leaves at most half of its comparisons; else
+   it stays whole, with what its pivots linked.
+5. What is compared directly lies in one cell, in different groups, in the same or the next band of set sizes, within one
+   radius of distance to the pivot (triangle inequality again), and passes two exact bounds: the places of the region's
+   shingle in both orders, and the Hamming distance of parity bitmaps, which never exceeds the symmetric difference of the sets.
 6. Links are joined to components by alternating large-star and small-star steps, all in Spark.
 
 Plain Voronoi regions of a few pivots do not separate texts: nearly all distances between texts are 1, so each
-window would hold everything. The first regions are therefore rooted at shingles. After ``rounds`` rounds the members
-of a crowded cell that are still in different groups are compared directly, in blocks that adaptive execution splits.
+window would hold everything. The first regions are therefore rooted at shingles. Members of a crowded cell that are
+still in different groups when its rounds end, ``rounds`` at most, are compared directly, in blocks that adaptive execution splits.
 Shingles, and word sequences, are compared by 64-bit and 128-bit hashes.
 
 Null, empty and blank texts have an empty set and link with nothing. A text of fewer words than a shingle is one
@@ -287,7 +290,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u != v").distinct(), "large-star")
+        large = written(large.where("u != v"), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = written(small.where("u != v").distinct(), "small-star")
@@ -309,9 +312,28 @@ def open_cells(cells: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def counted(cells: DataFrame) -> DataFrame:
-    """cells, written, with g, the number of rows of a cell."""
+    """cells, written, with g, the number of rows of a cell, and apart, the number of its ordered pairs of different groups."""
     cells = written(cells, "cells")
-    return cells.join(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("g")), "cell")
+    sizes = cells.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("m"))
+    return cells.join(sizes.groupBy("cell").agg(F.sum("m").alias("g"), F.expr("sum(m) * sum(m) - sum(m * m)").alias("apart")), "cell")
+
+
+def outermost(cells: DataFrame) -> DataFrame:
+    """cells without those whose nodes all have one and the same other cell at the place before.
+
+    Such a cell lies in that other one, and the first shingle that two nodes share never roots it.
+    """
+    before = cells.withColumn("before", F.lag("cell").over(Window.partitionBy("node").orderBy("place")))
+    ends = before.groupBy("cell").agg(F.min("before").alias("low"), F.max("before").alias("high"), F.count_if(F.isnull("before")).alias("starts"))
+    return cells.join(ends.where("starts > 0 or low != high").select("cell"), "cell")
+
+
+def band_edges(percent: int) -> list[int]:
+    """The least set size of each band: sets that may be linked are in one band or in neighbouring ones."""
+    edges = [1]
+    while edges[-1] < 2**31:
+        edges.append(max(edges[-1] * 100 // percent, edges[-1] * 5 // 4) + 1)
+    return edges
 
 
 def unlinked_pairs(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -319,9 +341,12 @@ def unlinked_pairs(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame
     columns = ["cell", "node", "n", "place", "bits", "root", "home", "far"]
     near = f"abs(a.far - b.far) <= {1 - percent / 100 + 1e-9}"
     places = f"{100 + percent} * (1 + least(a.n - a.place, b.n - b.place)) >= {percent} * (a.n + b.n)"
-    once = "a.home and (a.node < b.node or not b.home)"
-    cells = cells.join(bits.select("node", "bits"), "node")
-    joined = cells.select(columns).alias("a").join(cells.select(columns).alias("b"), F.expr(f"a.cell = b.cell and a.root != b.root and {once} and {near} and {places} and {alike(percent)}"))
+    once = "(a.home or b.home) and (a.band < b.band or a.node < b.node)"
+    edges = ", ".join(f"{e}L" for e in band_edges(percent))
+    cells = cells.join(bits.select("node", "bits"), "node").select(*columns, F.expr(f"aggregate(array({edges}), 0, (i, e) -> i + int(e <= n))").alias("band"))
+    # a set meets those of its own band and the larger ones of the next
+    larger = cells.withColumn("met", F.explode(F.array("band", F.col("band") - 1)))
+    joined = cells.alias("a").join(larger.alias("b"), F.expr(f"a.cell = b.cell and a.band = b.met and a.root != b.root and {once} and {near} and {places} and {alike(percent)}"))
     return joined.selectExpr("least(a.node, b.node) as x", "greatest(a.node, b.node) as y")
 
 
@@ -343,28 +368,34 @@ def links(docs: DataFrame, first: DataFrame, words: int = WORDS, percent: int =
     bits = written(sets.select("node", F.size("members").alias("n"), "bits").distinct(), "bitmaps")
     cells = written(rooted(sets, percent), "prefixes")
     regions = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("g"), F.min("node").alias("pivot")).where("g > 1")
-    cells = written(cells.join(regions, "cell"), "regions")
+    cells = written(outermost(written(cells.join(regions, "cell"), "regions")), "outermost-regions")
     ask = cells.where("node != pivot").select("node", "pivot").distinct()
     ask = ask.join(bits.alias("a"), "node").join(bits.alias("b"), F.expr("pivot = b.node")).where(alike(percent)).select(F.col("a.node").alias("x"), F.col("pivot").alias("y"))
     found = written(linked(overlaps(written(ask, "pivot-pairs"), sets), percent), "links")
     cells = open_cells(cells.withColumn("old", F.expr("node = pivot")).drop("pivot", "g"), found)
-    cells = counted(cells.withColumn("home", F.lit(True)).withColumn("far", F.lit(0.0)))
+    cells = counted(cells.withColumn("home", F.lit(True)).withColumn("far", F.lit(0.0)).withColumn("was", F.lit(2**62)))
     candidates = []
     for _ in range(rounds):
-        candidates.append(unlinked_pairs(cells.where(F.col("g") < crowd), bits, percent))
-        cells = cells.where(F.col("g") >= crowd)
+        # another round only where the last one has left at most half of the pairs
+        again = (F.col("g") >= crowd) & (F.col("apart") <= F.col("was") / 2)
+        candidates.append(unlinked_pairs(cells.where(~again), bits, percent))
+        cells = cells.where(again).drop("was").withColumnRenamed("apart", "was")
         if not cells.limit(1).count():
             break
         cells, new = divided(cells, sets, percent)
         found = written(found.unionByName(new), "links")
         cells = counted(open_cells(cells, found))
-    candidates.append(unlinked_pairs(cells, bits, percent))
+    else:
+        candidates.append(unlinked_pairs(cells, bits, percent))
     exact = overlaps(written(union(candidates).distinct(), "candidates"), sets)
     return found.unionByName(linked(exact, percent))
 
 
 def divided(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The Voronoi cells of further pivots in each cell, and the links to those pivots."""
+    """The Voronoi cells of further pivots in each cell that they lighten, the other cells whole; and the links to those pivots.
+
+    A cell whose nodes have all been pivots is done and goes.
+    """
     groups = cells.groupBy("cell", "root").agg(F.min(F.when(~F.col("old"), F.col("node"))).alias("pivot"), F.count(F.lit(1)).alias("members"))
     smallest = Window.partitionBy("cell").orderBy("members", "pivot")
     pivots = groups.where("pivot is not null").withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= PIVOTS)
@@ -373,12 +404,16 @@ def divided(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     far = got.select(F.col("x").alias("node"), F.col("y").alias("pivot"), F.col("far").alias("away"))
     reach = cells.join(pivots, "cell").join(far, ["node", "pivot"], "left").withColumn("away", F.coalesce("away", F.lit(0.0)))
     each = Window.partitionBy("cell", "node")
-    reach = reach.withColumn("nearest", F.min(F.struct("away", "pivot")).over(each))
+    reach = reach.withColumn("nearest", F.min(F.struct("away", "pivot")).over(each)).withColumn("pivots", F.collect_set("pivot").over(each))
+    reach = written(reach.where(F.col("away") <= F.col("nearest.away") + 2 * (1 - percent / 100) + 1e-9), "reach")
+    sizes = reach.groupBy("cell", "pivot").agg(F.count(F.lit(1)).alias("size"), F.first("g").alias("g"))
+    light = sizes.groupBy("cell").agg((2 * F.sum(F.col("size") * F.col("size")) <= F.first("g") * F.first("g")).alias("light"))
+    reach = reach.join(light, "cell").withColumn("old", F.expr("old or array_contains(pivots, node)"))
+    whole = reach.where(~F.col("light") & (F.col("pivot") == F.col("nearest.pivot")))
     # a document of another cell stays a guest wherever it goes
-    reach = reach.withColumn("home", F.col("home") & (F.col("pivot") == F.col("nearest.pivot")))
-    reach = reach.where(F.col("away") <= F.col("nearest.away") + 2 * (1 - percent / 100) + 1e-9)
-    reach = reach.withColumn("cell", F.xxhash64("cell", "pivot")).withColumn("far", F.col("away")).withColumn("old", F.expr("old or node = pivot"))
-    return reach.drop("away", "nearest", "pivot", "g"), linked(got, percent)
+    parts = reach.where("light").withColumn("home", F.col("home") & (F.col("pivot") == F.col("nearest.pivot")))
+    parts = parts.withColumn("cell", F.xxhash64("cell", "pivot")).withColumn("far", F.col("away"))
+    return whole.unionByName(parts).drop("away", "nearest", "pivots", "pivot", "light", "g"), linked(got, percent)
 
 
 def union(tables: list[DataFrame]) -> DataFrame:

@@ -10,7 +10,7 @@ import tiktoken
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, html_text, toxicity
+from flowloom.llm import bpe, html_text, jaccard_join, toxicity
 from flowloom.llm.tokens import Encoder, read_ranks
 
 
@@ -144,3 +144,30 @@ def test_frequent_words_are_merged_once(spark, sf, monkeypatch):
     want = [(r.doc_id, encode(r.text or "")) for r in docs.collect()]
     key = lambda x: (x[0], x[1])
     assert sorted(((r.did, list(r.tokens)) for r in got), key=key) == sorted(((2**63 - 1 if i is None else i, t) for i, t in want), key=key)
+
+
+def test_crowded_cells_are_not_copied_where_pivots_do_not_part_them(spark, monkeypatch):
+    """60 unlinked texts that share a passage: their rows do not grow from round to round, and nested regions are one."""
+    r = np.random.default_rng(3)
+    passages = [" ".join(f"p{k}_{n}" for n in range(40)) for k in range(12)]
+    items = [(k, " ".join([passages[0], *(passages[j] for j in r.choice(range(1, 12), 3, replace=False)), *(f"o{k}_{n}" for n in range(20))])) for k in range(60)]
+    items += [(100 + k, items[k][1] + " more") for k in range(0, 60, 7)]
+    tables = []
+    written = jaccard_join.written
+
+    def seen(df, label):
+        out = written(df, label)
+        tables.append((label, out))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    got = jaccard_join.grouped(spark.createDataFrame(items, "doc_id long, text string"), crowd=8, rounds=3).select("did", "component").collect()
+    sets = {i: set(jaccard_join.shingles(t.encode()).tolist()) for i, t in items}
+    near = {(i, j) for i in sets for j in sets if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    least = {i: i for i in sets}
+    for _ in sets:
+        least = {i: min(least[j] for j in sets if (i, j) in near) for i in sets}
+    assert {r.did: r.component for r in got} == least and len(set(least.values())) > 30
+    counts = [(label, t.count(), t.select("cell").distinct().count()) for label, t in tables if label in ("regions", "outermost-regions", "cells")]
+    (_, rows, _), (_, outer, cells), *rest = counts
+    assert rest and outer < rows and all(n <= outer for _, n, _ in rest), counts
