@@ -303,9 +303,9 @@ def alike(percent: int) -> str:
     return f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {100 + percent} * ({differ}) <= {100 - percent} * (a.n + b.n)"
 
 
-def open_cells(cells: DataFrame, found: DataFrame) -> DataFrame:
-    """cells with root, the group of each node by the links found, and g, without the cells that hold one group only."""
-    rooted_ = cells.drop("root").join(components(found).withColumnRenamed("node", "member"), F.expr("node = member"), "left")
+def open_cells(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    """cells with root, the group of each node by roots (see components), without the cells that hold one group only."""
+    rooted_ = cells.drop("root").join(roots.withColumnRenamed("node", "member"), F.expr("node = member"), "left")
     rooted_ = rooted_.drop("member").withColumn("root", F.coalesce("root", "node"))
     several = rooted_.groupBy("cell").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).where("lowest != highest")
     return rooted_.join(several.select("cell"), "cell")
@@ -371,8 +371,8 @@ def links(docs: DataFrame, first: DataFrame, words: int = WORDS, percent: int =
     cells = written(outermost(written(cells.join(regions, "cell"), "regions")), "outermost-regions")
     ask = cells.where("node != pivot").select("node", "pivot").distinct()
     ask = ask.join(bits.alias("a"), "node").join(bits.alias("b"), F.expr("pivot = b.node")).where(alike(percent)).select(F.col("a.node").alias("x"), F.col("pivot").alias("y"))
-    found = written(linked(overlaps(written(ask, "pivot-pairs"), sets), percent), "links")
-    cells = open_cells(cells.withColumn("old", F.expr("node = pivot")).drop("pivot", "g"), found)
+    roots = components(linked(overlaps(written(ask, "pivot-pairs"), sets), percent))
+    cells = open_cells(cells.withColumn("old", F.expr("node = pivot")).drop("pivot", "g"), roots)
     cells = counted(cells.withColumn("home", F.lit(True)).withColumn("far", F.lit(0.0)).withColumn("was", F.lit(2**62)))
     candidates = []
     for _ in range(rounds):
@@ -383,12 +383,16 @@ def links(docs: DataFrame, first: DataFrame, words: int = WORDS, percent: int =
         if not cells.limit(1).count():
             break
         cells, new = divided(cells, sets, percent)
-        found = written(found.unionByName(new), "links")
-        cells = counted(open_cells(cells, found))
+        roots = components(as_links(roots).unionByName(new))
+        cells = counted(open_cells(cells, roots))
     else:
         candidates.append(unlinked_pairs(cells, bits, percent))
     exact = overlaps(written(union(candidates).distinct(), "candidates"), sets)
-    return found.unionByName(linked(exact, percent))
+    return as_links(roots).unionByName(linked(exact, percent))
+
+
+def as_links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
 
 def divided(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
