@@ -3,18 +3,18 @@
 A string of ``length`` bytes is routed by its minimizer: the smallest hash of the ``GRAM``-byte strings in it. Equal
 strings have equal minimizers, so they meet in one bucket, wherever they lie.
 
-1. Tasks cut texts into runs of neighbouring strings with one minimizer, and send each minimizer once for
-   each document, as a short fingerprint, to its bucket. Buckets return those that two documents hold. This is a
-   filter only; a false match costs work, not correctness.
-2. Documents with shared minimizers are read again. Strings that an earlier document of the same task holds are
-   decided there. The others go to their buckets as byte runs, compressed.
+1. Tasks cut texts into runs of neighbouring strings with one minimizer, and send each minimizer, as a short
+   fingerprint with the smallest document that holds it, to its bucket. Buckets return those that two documents hold as
+   bits of a sketch, ten for each and ``SKETCH`` bytes for all at most. This is a filter only; a false match costs work, not correctness.
+2. Texts are read again where they lie, with the sketch broadcast. Strings with a shared minimizer that an earlier document of the
+   same task holds are decided there. The others go to their buckets as byte runs, compressed.
 3. A bucket sorts the hashes of all its strings; a class's smallest document keeps them, and the strings of other
    documents are hits. Hits return as ranges of positions.
 4. Ranges are gathered by document and their bytes removed.
 
-Both exchanges carry compressed blobs, a few for each task and bucket; a string that a third of all documents
-hold is sent once for each 1.5 MB of text, not once for each document. Buckets grow in number with the bytes of the
-input, so that one that a task holds does not grow. Strings are compared by two 64-bit hashes.
+Both exchanges carry compressed blobs, one for each 8 MB of text and bucket, so that they stay large where buckets are
+many; a string that a third of all documents hold is sent once for each 1.5 MB of text, not once for each document. Buckets grow
+in number with the bytes of the input, so that one that a task holds does not grow. Strings are compared by two 64-bit hashes.
 
 Null and empty texts, and texts shorter than ``length``, keep everything. Rows that repeat a doc_id are one
 document: they never displace each other. A text is processed in segments, so its length is not bounded.
@@ -27,6 +27,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,10 @@ from flowloom.llm.arrow import OUT_ROWS, changed_texts, mapped
 from flowloom.llm.common import rows, shown_id, written
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text that a task works on at a time, and bytes of the input for each bucket.
-CHUNK, BUCKET = 3 << 19, 24 << 20
+#: Bytes of text that a task works on at a time, those whose strings it sends together, and bytes of the input for each bucket.
+CHUNK, SEND, BUCKET = 3 << 19, 8 << 20, 24 << 20
+#: Bytes of the sketch of shared minimizers. Where it would be larger, more strings travel that no other document holds.
+SKETCH = 64 << 20
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -105,17 +108,16 @@ class Segments:
 
 
 def segmented(batches, length: int):
-    """(Segments, the rows they belong to) for every CHUNK of text; a row is did, row_hash, keys."""
+    """(Segments, the rows they belong to) for every CHUNK of text; a row is did, row_hash."""
     seg, owners = Segments(length), []
     for batch in batches:
-        keys = batch.column("keys").to_pylist() if "keys" in batch.schema.names else [None] * batch.num_rows
-        for did, row_hash, body, key in zip(batch.column("did").to_pylist(), batch.column("row_hash").to_pylist(), bodies_of(batch), keys):
+        for did, row_hash, body in zip(batch.column("did").to_pylist(), batch.column("row_hash").to_pylist(), bodies_of(batch)):
             for at in range(0, max(1, len(body) - length + 1), CHUNK):
                 part = body[at : at + CHUNK + length - 1]
                 if len(part) < length:
                     continue
                 seg.take(len(owners), at, part)
-                owners.append((did, row_hash, key))
+                owners.append((did, row_hash))
                 if seg.size >= CHUNK:
                     yield seg, owners
                     seg, owners = Segments(length), []
@@ -123,10 +125,15 @@ def segmented(batches, length: int):
         yield seg, owners
 
 
+def planes(a: np.ndarray) -> bytes:
+    """The first byte of every number, then the second ones: bytes that are alike lie side by side."""
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(a.size, a.itemsize).T).tobytes()
+
+
 def blob(*arrays: np.ndarray) -> bytes:
     """Arrays of one length each, with their types and lengths, compressed."""
     head = ";".join(f"{a.dtype.str}:{a.size}" for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=5).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=5).compress(b"".join([len(head).to_bytes(4, "little"), head, *map(planes, arrays)]))
 
 
 def unblob(data: bytes) -> list[np.ndarray]:
@@ -134,11 +141,18 @@ def unblob(data: bytes) -> list[np.ndarray]:
     at = 4 + int.from_bytes(raw[:4], "little")
     out = []
     for kind, size in (x.split(":") for x in raw[4:at].decode().split(";")):
-        out.append(np.frombuffer(raw, kind, int(size), at))
-        at += out[-1].nbytes
+        width, size = np.dtype(kind).itemsize, int(size)
+        part = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(part.T).view(kind).reshape(size))
+        at += part.size
     return out
 
 
+def steps(a: np.ndarray) -> np.ndarray:
+    """Numbers as differences, which compress where they are in order; np.cumsum gives them back."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
 def starts_of(*changes: np.ndarray) -> np.ndarray:
     """Where a run begins: where any of the arrays differs from the place before."""
     new = np.ones(len(changes[0]), bool)
@@ -189,47 +203,84 @@ def dealt(df: DataFrame, buckets: int) -> DataFrame:
 BLOBS = "bucket int, kind int, data binary"
 
 
+class Sketch:
+    """The fingerprints of shared minimizers, as bits: a part for each bucket, as long as it needs."""
+
+    def __init__(self, parts: Iterable[tuple[int, bytes]], buckets: int):
+        self.buckets, self.size = buckets, np.zeros(buckets, np.int64)
+        parts = sorted(parts)
+        for bucket, bits in parts:
+            self.size[bucket] = len(bits)
+        self.first = np.cumsum(self.size) - self.size
+        self.bits = np.frombuffer(b"".join(bits for _, bits in parts), np.uint8)
+
+    @staticmethod
+    def places(finger: np.ndarray, size) -> tuple[np.ndarray, np.ndarray]:
+        """Two bits for each fingerprint, of a part of size bytes."""
+        return finger % (8 * size), ((finger.astype(np.uint64) * A) >> np.uint64(33)).astype(np.int64) % (8 * size)
+
+    @classmethod
+    def part(cls, finger: np.ndarray, most: int) -> bytes:
+        bits = np.zeros(max(1, min(most, -(-10 * finger.size // 8))), np.uint8)
+        for at in cls.places(finger, bits.size):
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return bits.tobytes()
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        """Whether each minimizer may be a shared one."""
+        bucket, finger = (h % np.uint64(self.buckets)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64)
+        found = self.size[bucket] > 0
+        bucket, finger = bucket[found], finger[found]
+        hit = np.ones(finger.size, bool)
+        for at in self.places(finger, self.size[bucket]):
+            hit &= (self.bits[self.first[bucket] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        found[found] = hit
+        return found
+
+
 def shared_minimizers(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """did, key: the minimizers of a document that another document may hold as well."""
+    """bucket, bits: the part of the Sketch of a bucket, of the minimizers in it that several documents hold."""
 
     def send(batches):
+        held, size = [], 0
         for seg, owners in segmented(batches, length):
             place, segment, h = seg.strings()
-            out = {"bucket": [], "kind": [], "data": []}
             first = starts_of(segment, h) if place.size else place
             h, did = h[first], np.array([o[0] for o in owners], np.int64)[np.array(seg.owner, np.int64)[segment[first]]]
-            key = (h % np.uint64(buckets)).astype(np.int64) << 32 | (h >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(key)
-            key, did = key[order], did[order]
-            if key.size:
-                run = starts_of(key)
-                size = np.diff(np.append(run, key.size))
-                least = np.minimum.reduceat(did, run)
-                several = least != np.maximum.reduceat(did, run)
-                here = did != np.repeat(least, size)  # known to be shared, so no bucket needs them: spread
-                here_key, here_did = key[here], did[here]
-                for b, of in parts_of(here_did % buckets):
-                    sent(out, b, 1, here_key[of], here_did[of])
-                key, did = key[run], least
-                for b, of in parts_of(key >> 32):
-                    # sorted fingerprints as differences, which compress
-                    sent(out, b, 0, np.diff(key[of] & 0xFFFFFFFF, prepend=0).astype("<u4"), did[of], several[of])
-            yield frame(out)
+            held.append(((h % np.uint64(buckets)).astype(np.int64) << 32 | (h >> np.uint64(32)).astype(np.int64), did))
+            size += seg.size
+            if size >= SEND:
+                yield frame(fingerprints(held))
+                held, size = [], 0
+        if held:
+            yield frame(fingerprints(held))
+
+    def fingerprints(held):
+        out = {"bucket": [], "kind": [], "data": []}
+        key, did = joined(held)
+        order = np.argsort(key)
+        key, did = key[order], did[order]
+        if key.size:
+            run = starts_of(key)
+            least = np.minimum.reduceat(did, run)
+            several = least != np.maximum.reduceat(did, run)
+            key = key[run]
+            for b, of in parts_of(key >> 32):
+                # sorted fingerprints as differences, which compress
+                sent(out, b, 0, steps(key[of] & 0xFFFFFFFF).astype("<u4"), least[of], several[of])
+        return out
 
     def receive(batches):
         for bucket, blobs in by_bucket(batches):
-            for key, did in blobs.get(1, []):
-                yield {"did": did, "key": key}
-            if 0 in blobs:
-                fingers, did, several = joined([[np.cumsum(f.astype(np.int64)), d, s] for f, d, s in blobs[0]])
-                order = np.argsort(fingers, kind="stable")
-                fingers, did, several = fingers[order], did[order], several[order]
-                run = starts_of(fingers)
-                many = (np.minimum.reduceat(did, run) != np.maximum.reduceat(did, run)) | np.logical_or.reduceat(several, run)
-                of = np.repeat(many, np.diff(np.append(run, fingers.size)))
-                yield {"did": did[of], "key": bucket << 32 | fingers[of]}
+            fingers, did, several = joined([[np.cumsum(f.astype(np.int64)), d, s] for f, d, s in blobs[0]])
+            order = np.argsort(fingers, kind="stable")
+            fingers, did, several = fingers[order], did[order], several[order]
+            run = starts_of(fingers)
+            many = (np.minimum.reduceat(did, run) != np.maximum.reduceat(did, run)) | np.logical_or.reduceat(several, run)
+            if many.any():
+                yield {"bucket": np.array([bucket], "i4"), "bits": pa.array([Sketch.part(fingers[run][many], SKETCH // buckets)], pa.binary())}
 
-    return mapped(dealt(mapped(texts, send, BLOBS), buckets), receive, "did long, key long")
+    return mapped(dealt(mapped(texts, send, BLOBS), buckets), receive, "bucket int, bits binary")
 
 
 def earlier(buf: bytes, n: int, length: int, place: np.ndarray, did: np.ndarray) -> np.ndarray:
@@ -255,39 +306,59 @@ def ranges(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return owner[run], at[run], at[np.append(run[1:], at.size) - 1] + 1
 
 
-def repeated_ranges(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """did, row_hash, first, stop: positions first..stop-1 begin strings that a smaller document holds."""
+def repeated_ranges(texts: DataFrame, length: int, buckets: int, shared: Broadcast) -> DataFrame:
+    """did, row_hash, first, stop: positions first..stop-1 begin strings that a smaller document holds; shared has the Sketch."""
 
     def send(batches):
+        held, size = [], 0
         for seg, owners in segmented(batches, length):
-            place, segment, h = seg.strings()
-            out = {"bucket": [], "kind": [], "data": []}
-            wanted = np.unique(np.concatenate([np.array(o[2], np.int64) for o in owners]))
-            key = (h % np.uint64(buckets)).astype(np.int64) << 32 | (h >> np.uint64(32)).astype(np.int64)
-            if place.size:
-                run = starts_of(segment, key)
-                of = np.repeat(np.isin(key[run], wanted), np.diff(np.append(run, key.size)))
-                place, segment, key = place[of], segment[of], key[of]
-            if place.size:
-                owner = np.array(seg.owner, np.int64)[segment]
-                did, row = np.array([o[0] for o in owners], np.int64), np.array([o[1] for o in owners], np.int64)
-                shift = (np.array(seg.start, np.int64) - seg.first)[segment]  # from the buffer to the text
-                hit = earlier(seg.buf, len(seg.buf) - length - 8, length, place, did[owner])
-                o, first, stop = ranges(owner[hit], (place + shift)[hit])
-                for b, x in parts_of(did[o] % buckets):
-                    sent(out, b, 1, did[o[x]], row[o[x]], first[x], stop[x])
-                place, owner, key, shift = place[~hit], owner[~hit], key[~hit], shift[~hit]
-                if place.size:
-                    run = starts_of(owner, key, place - np.arange(place.size))
-                    count = np.diff(np.append(run, place.size))
-                    raw = np.frombuffer(seg.buf, np.uint8)
-                    for b, of in parts_of(key[run] >> 32):
-                        r, c = run[of], count[of]
-                        size = c + length - 1
-                        take = np.repeat(place[r] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                        o = owner[r]
-                        sent(out, b, 0, raw[take], c.astype("<i4"), did[o], row[o], place[r] + shift[r])
-            yield frame(out)
+            held.append(chunk(seg, owners))
+            size += sum(x.nbytes for x in held[-1])
+            del seg, owners
+            if size >= 3 * SEND:
+                yield frame(runs(held))
+                held, size = [], 0
+        if held:
+            yield frame(runs(held))
+
+    def chunk(seg, owners):
+        """did and row_hash of the rows; row, first, stop of what is decided here; bucket, place, count, row, start of the other runs; the buffer, if needed."""
+        place, segment, h = seg.strings()
+        did, row = np.array([o[0] for o in owners], np.int64), np.array([o[1] for o in owners], np.int64)
+        if place.size:
+            run = starts_of(segment, h)
+            of = np.repeat(shared.value.may_hold(h[run]), np.diff(np.append(run, h.size)))
+            place, segment, h = place[of], segment[of], h[of]
+        none = np.zeros(0, "<i4")
+        if not place.size:
+            return did, row, none, place, place, none, none, none, none, place, np.zeros(0, np.uint8)
+        owner = np.array(seg.owner, np.int64)[segment]
+        shift = (np.array(seg.start, np.int64) - seg.first)[segment]  # from the buffer to the text
+        hit = earlier(seg.buf, len(seg.buf) - length - 8, length, place, did[owner])
+        o, first, stop = ranges(owner[hit], (place + shift)[hit])
+        place, owner, h, shift = place[~hit], owner[~hit], h[~hit], shift[~hit]
+        run = starts_of(owner, h, place - np.arange(place.size)) if place.size else none
+        count = np.diff(np.append(run, place.size))
+        small = [x.astype("<i4") for x in (h[run] % np.uint64(buckets), place[run], count if run.size else none, owner[run])]
+        return did, row, o.astype("<i4"), first, stop, *small, place[run] + shift[run], np.frombuffer(seg.buf if run.size else b"", np.uint8)
+
+    def runs(held):
+        out = {"bucket": [], "kind": [], "data": []}
+        rows_before = np.cumsum([0] + [x[0].size for x in held[:-1]])
+        bytes_before = np.cumsum([0] + [x[10].size for x in held[:-1]])
+        did, row, o, first, stop, bucket, place, count, owner, start, raw = joined(
+            [(*x[:2], x[2] + r, *x[3:6], x[6] + b, x[7], x[8] + r, *x[9:]) for x, r, b in zip(held, rows_before, bytes_before)]
+        )
+        held.clear()
+        for b, x in parts_of(did[o] % buckets):
+            sent(out, b, 1, did[o[x]], row[o[x]], first[x], stop[x])
+        for b, of in parts_of(bucket):
+            c, o = count[of], owner[of]
+            size = c.astype(np.int64) + length - 1
+            take = np.repeat(place[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            each = starts_of(o)  # a document with several runs is named once
+            sent(out, b, 0, raw[take], c, start[of], steps(did[o[each]]), row[o[each]], np.diff(np.append(each, o.size)).astype("<i4"))
+        return out
 
     def receive(batches):
         for _, blobs in by_bucket(batches):
@@ -295,7 +366,7 @@ def repeated_ranges(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 yield {"did": did, "row_hash": row, "first": first, "stop": stop}
             if 0 not in blobs:
                 continue
-            raw, count, did, row, start = joined(blobs[0])
+            raw, count, start, did, row = joined([[raw, c, s, np.repeat(np.cumsum(d), n), np.repeat(r, n)] for raw, c, s, d, r, n in blobs.pop(0)])
             size = count.astype(np.int64) + length - 1
             base = np.cumsum(size) - size
             part = np.repeat(np.arange(count.size), count)
@@ -322,14 +393,22 @@ def bucket_count(docs: DataFrame, size: int = BUCKET) -> int:
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """did, row_hash, firsts, stops: the ranges of positions at which repeated strings begin; rows with some only."""
     buckets, texts = bucket_count(docs), keyed(docs)
-    keys = written(shared_minimizers(texts, length, buckets), "shared-minimizers")
-    keys = keys.groupBy("did").agg(F.collect_set("key").alias("keys"))
-    found = written(repeated_ranges(packed_texts(docs).join(keys, "did"), length, buckets), "repeats")
+    parts = [(r.bucket, bytes(r.bits)) for r in shared_minimizers(texts, length, buckets).collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(Sketch(parts, buckets))
+    without_ended_exchanges(docs)
+    found = written(repeated_ranges(texts, length, buckets, shared), "repeats")
+    shared.destroy()
+    without_ended_exchanges(docs)
     return found.groupBy("did", "row_hash").agg(F.collect_list("first").alias("firsts"), F.collect_list("stop").alias("stops"))
 
 
+def without_ended_exchanges(docs: DataFrame) -> None:
+    """Lets Spark remove the files of exchanges whose jobs have ended; it does when the driver's collector meets them, which may be late."""
+    docs.sparkSession._jvm.System.gc()
+
+
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """did, row_hash, packed: texts compressed one by one, for the exchanges that carry them."""
+    """did, row_hash, packed: texts compressed one by one, for the exchange that carries them."""
 
     def work(batches):
         compress = zstandard.ZstdCompressor(level=5).compress
@@ -342,7 +421,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 def bodies_of(batch) -> Iterable[bytes]:
     if "body" in batch.schema.names:
-        return batch.column("body").to_pylist()
+        return (body.as_py() for body in batch.column("body"))
     return map(zstandard.ZstdDecompressor().decompress, batch.column("packed").to_pylist())
 
 

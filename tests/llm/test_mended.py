@@ -2,6 +2,7 @@
 
 import random
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import tiktoken
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, html_text, jaccard_join, toxicity
+from flowloom.llm import bpe, html_text, jaccard_join, repeat_dedup, toxicity
 from flowloom.llm.tokens import Encoder, read_ranks
 
 
@@ -171,3 +172,44 @@ def test_crowded_cells_are_not_copied_where_pivots_do_not_part_them(spark, monke
     counts = [(label, t.count(), t.select("cell").distinct().count()) for label, t in tables if label in ("regions", "outermost-regions", "cells")]
     (_, rows, _), (_, outer, cells), *rest = counts
     assert rest and outer < rows and all(n <= outer for _, n, _ in rest), counts
+
+
+def in_this_process(monkeypatch, make):
+    """The two sides of an exchange of repeat_dedup, as functions of batches."""
+    sides = []
+    monkeypatch.setattr(repeat_dedup, "mapped", lambda df, work, schema: sides.append(work))
+    monkeypatch.setattr(repeat_dedup, "dealt", lambda df, buckets: df)
+    make()
+    return sides
+
+
+def test_repeats_are_sent_in_one_blob_for_each_bucket(monkeypatch):
+    monkeypatch.setattr(repeat_dedup, "CHUNK", 4096)
+    draw = random.Random(6)
+    texts = ["".join(draw.choices("abcdefgh ", k=2500)) for _ in range(60)]
+    texts += [t[300:1900] for t in texts]
+    batch = pa.RecordBatch.from_pydict({"did": pa.array(range(len(texts)), pa.int64()), "row_hash": pa.array(range(len(texts)), pa.int64()), "body": pa.array([t.encode() for t in texts])})
+    blobs = lambda frames: [(b, k, d) for f in frames for b, k, d in zip(f["bucket"].tolist(), f["kind"].tolist(), f["data"].to_pylist())]
+    sorted_by_bucket = lambda rows: pa.RecordBatch.from_pydict(dict(zip(("bucket", "kind", "data"), map(list, zip(*sorted(rows))))))
+    send, receive = in_this_process(monkeypatch, lambda: repeat_dedup.shared_minimizers(None, 50, 40))
+    rows = blobs(send([batch]))
+    assert len(rows) == len({r[:2] for r in rows}) == 40
+    parts = [(b, bits) for f in receive([sorted_by_bucket(rows)]) for b, bits in zip(f["bucket"].tolist(), f["bits"].to_pylist())]
+    shared = SimpleNamespace(value=repeat_dedup.Sketch(parts, 40))
+    send, receive = in_this_process(monkeypatch, lambda: repeat_dedup.repeated_ranges(None, 50, 40, shared))
+    rows = blobs(send([batch]))
+    assert len(rows) == len({r[:2] for r in rows})
+    gone = {}
+    for f in receive([sorted_by_bucket(rows)]):
+        for did, first, stop in zip(*(np.asarray(f[c]).tolist() for c in ("did", "first", "stop"))):
+            gone.setdefault(did, set()).update(range(first, stop))
+    assert gone == {60 + k: set(range(1600 - 49)) for k in range(60)}
+
+
+def test_a_full_sketch_misses_nothing():
+    h = np.random.default_rng(3).integers(0, 2**64, 5000, np.uint64)
+    buckets, finger = (h % np.uint64(7)).astype(int), (h >> np.uint64(32)).astype(np.int64)
+    for most, share in ((10**6, 0.1), (64, 1)):
+        sketch = repeat_dedup.Sketch([(b, repeat_dedup.Sketch.part(finger[buckets == b], most)) for b in range(7)], 7)
+        assert sketch.may_hold(h).all() and sketch.may_hold(h + np.uint64(1 << 40)).mean() <= share
+    assert not repeat_dedup.Sketch([], 7).may_hold(h).any()
