@@ -85,3 +85,16 @@ def test_no_task_reads_more_than_a_slice_of_a_hot_key(spark):
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
+
+
+def test_events_in_slices_exchange_the_rows_once(spark):
+    h = hooks(spark, 1500, 8).withColumn("sock", F.expr("nullif(sock, 9)")).withColumn("hook", F.expr("case when ts_ns % 7 = 3 then 'other' else hook end"))
+    whole = rows(W.hook_events_to_tcp_events(h))
+    for s in (1, 5, 60, 10_000):
+        assert rows(W.hook_events_to_tcp_events(h, s)) == whole != []
+    some = W.hook_events_to_tcp_events(h, 20).select("event_type", "ts_ns", "syn_rtt", "bytes_sent", "retrans_bytes")
+    some.collect()
+    plan = some._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    made = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    # of the rows, of what slices leave behind, and of the rows that another slice's life may reach; before, 10
+    assert len(made) == 3 and plan.count("ReusedExchange") == 2, plan
