@@ -39,6 +39,8 @@ LENGTH, GRAM = 50, 16
 CHUNK, SEND, BUCKET = 3 << 19, 8 << 20, 24 << 20
 #: Bytes of the sketch of shared minimizers. Where it would be larger, more strings travel that no other document holds.
 SKETCH = 64 << 20
+#: Places that are hashed at a time.
+PART = 1 << 18
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -285,7 +287,8 @@ def shared_minimizers(texts: DataFrame, length: int, buckets: int) -> DataFrame:
 
 def earlier(buf: bytes, n: int, length: int, place: np.ndarray, did: np.ndarray) -> np.ndarray:
     """Whether the string at each place is also at the place of a smaller document."""
-    h1, h2 = hashes(buf, n, length, place), second_hashes(buf, n, length, place)
+    # by parts, since a hash of all places at once holds several arrays of that length
+    h1, h2 = (np.concatenate([h(buf, n, length, place[i : i + PART]) for i in range(0, place.size, PART)]) for h in (hashes, second_hashes))
     order = np.argsort(h1)
     run = starts_of(h1[order])
     other = h2[order]
@@ -369,12 +372,13 @@ def repeated_ranges(texts: DataFrame, length: int, buckets: int, shared: Broadca
             raw, count, start, did, row = joined([[raw, c, s, np.repeat(np.cumsum(d), n), np.repeat(r, n)] for raw, c, s, d, r, n in blobs.pop(0)])
             size = count.astype(np.int64) + length - 1
             base = np.cumsum(size) - size
-            part = np.repeat(np.arange(count.size), count)
-            offset = np.arange(part.size) - np.repeat(np.cumsum(count) - count, count)
-            buf = raw.tobytes() + bytes(length + 8)
-            at = base[part] + offset
-            hit = earlier(buf, raw.size, length, at, did[part])
-            o, first, stop = ranges(part[hit], (start[part] + offset)[hit])
+            at = np.repeat(base - (np.cumsum(count) - count), count)
+            at += np.arange(at.size)
+            buf, n = b"".join([raw.data, bytes(length + 8)]), raw.size
+            del raw
+            hit = earlier(buf, n, length, at, np.repeat(did, count))
+            part = np.repeat(np.arange(count.size, dtype=np.int32), count)[hit]
+            o, first, stop = ranges(part, at[hit] + (start - base)[part])
             yield {"did": did[o], "row_hash": row[o], "first": first, "stop": stop}
 
     return mapped(dealt(mapped(texts, send, BLOBS), buckets), receive, "did long, row_hash long, first long, stop long")
